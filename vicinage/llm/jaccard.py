@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinage.llm.common import Scratch, cut
@@ -45,8 +45,6 @@ LEADER_ROUNDS = 3
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-#: Odd factors for a word's place in its shingle.
-_PLACE = np.array([(0xD6E8FEB86659FD93 * (2 * k + 1)) % (1 << 64) | 1 for k in range(64)], dtype=np.uint64)
 _powers: list[np.ndarray] = []
 
 
@@ -56,6 +54,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Odd factors for a word's place in its shingle; mixed, as factors in an even row would let swapped words cancel out.
+_PLACE = _mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
 def _power_tables(n: int) -> list[np.ndarray]:
     """base^i and base^-i modulo 2^64, for i < n."""
     if not _powers or len(_powers[0]) < n:
@@ -304,5 +306,3 @@ def keep_one(docs: DataFrame) -> DataFrame:
     heads = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head")).distinct()
     return docs.join(heads, docs["doc_id"].eqNullSafe(heads["_head"])).drop("_head").dropDuplicates(["doc_id"])
 
-
-__all__ = ["Column", "components", "jaccard_components", "keep_one", "needed", "prefix", "shingle_sets"]

@@ -84,3 +84,17 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
         taken_at = lambda p: (slot(p) < edge["slot"]) | ((slot(p) == edge["slot"]) & within(p))
     copies_taken = sum((F.coalesce(taken_at(place(k)), F.lit(False)).cast("long") for k in range(MAX_PASSES)), F.lit(0).cast("long"))
     return rows.select("doc_id", *extra, "size", "source_size", "target", (F.col("size") * copies_taken).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
+    """docs with each row as often as the mix takes it (not at all, once or twice), all columns kept.
+
+    Rows are found again by doc_id and text; rows that repeat both share their group's copies.
+    """
+    rows = docs.withColumn("_key", F.xxhash64("text"))
+    plan = mix(rows, extra=["_key"], **options).groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_text")).agg(F.sum((F.col("taken") / F.col("size")).cast("int")).alias("_c"), F.count("*").alias("_m"))
+    found = rows.join(plan, rows["doc_id"].eqNullSafe(plan["_doc"]) & (F.col("_key") == F.col("_text")))
+    alike = Window.partitionBy("doc_id", "_key").orderBy("_c")
+    one = found.where("_m = 1").withColumn("_k", F.col("_c"))
+    many = found.where("_m > 1").withColumn("_n", F.row_number().over(alike)).withColumn("_k", (F.floor(F.col("_c") / F.col("_m")) + (F.col("_n") <= F.col("_c") % F.col("_m")).cast("int")).cast("long")).drop("_n")
+    return one.unionByName(many).where("_k > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k")))).select(*docs.columns)

@@ -75,7 +75,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """(doc_id, text, toxic) of the labelled rows that learning reads; at most `sample`, so that their ids can be broadcast."""
     own = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(training_part(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    # copies of one text would lend chance words the weight of many documents
+    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").dropDuplicates(["text", "toxic"])
 
 
 def learn_lexicon(rows: DataFrame, entries: int = ENTRIES, evidence: float = EVIDENCE) -> dict[str, float]:
@@ -197,7 +198,9 @@ def calibrate(rows: DataFrame, lexicon: dict[str, float], exceptions: frozenset[
     bin_of = F.when(F.col("value") <= 0, 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(63), 1 + (_BINS * (F.log2("value") + 6)).cast("int"))))
     seen = {r["bin"]: (r["bad"], r["n"]) for r in value.groupBy(bin_of.alias("bin")).agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()}
     pools: list[list[float]] = []
-    base = (sum(b for b, _ in seen.values()) + 0.5) / (sum(n for _, n in seen.values()) + 1)
+    share = lambda rows: (sum(b for b, _ in rows) + 0.5) / (sum(n for _, n in rows) + 1)
+    # a bin's share leans, by the weight of one row, to that of all rows with, or without, a hit
+    hit, none = share([v for k, v in seen.items() if k]), share([v for k, v in seen.items() if not k])
     for k in range(64):
         bad, n = seen.get(k, (0, 0))
         pools.append([bad, n, 1])
@@ -206,6 +209,7 @@ def calibrate(rows: DataFrame, lexicon: dict[str, float], exceptions: frozenset[
             pools[-1] = [a + b for a, b in zip(pools[-1], top, strict=True)]
     out: list[float] = []
     for bad, n, bins in pools:
+        base = hit if out else none
         p = (bad + base) / (n + 1) if n else (out[-1] if out else base)
         out += [max(p, out[-1]) if out else p] * int(bins)
     # bins without rows between none and the first seen one take the first seen one's value
