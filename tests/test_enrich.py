@@ -1,0 +1,87 @@
+import json
+
+from pyspark.sql import functions as F
+
+from vicinage.operators import enrich
+from vicinage.operators.taxonomy import allowed_leaves, bucket, leaf_dim, with_bucket
+from vicinage.plans import fixtures as fx
+from vicinage.plans import jobs
+from vicinage.sources import readers, writers
+
+
+def places(spark, *rows):
+    return spark.createDataFrame([(i, n, c, f, float(x), float(y)) for i, n, c, f, x, y in rows], "poi_id long, name string, category string, confidence double, x_m double, y_m double")
+
+
+def listings(spark, *rows):
+    return spark.createDataFrame([(i, float(x), float(y)) for i, x, y in rows], "id long, x_m double, y_m double")
+
+
+def test_routing(spark):
+    cases = [
+        ("bar", "eat_and_drink,bar", "nightlife"), ("x", "eat_and_drink,cafe,x", "cafe"), ("x", "eat_and_drink", "dining"), ("butcher", "retail,food", "grocery"), ("bus_stop", "retail,shopping", "transit"),
+        ("x", "retail,food", "shopping"), ("x", "attractions_and_activities,trail", "park_green"), ("x", "attractions_and_activities,art_gallery,x", "culture"), ("x", "attractions_and_activities", "landmark"),
+        ("x", "accommodation,y", "lodging"), ("x", "active_life", "fitness_sport"), ("x", "arts_and_entertainment,z", "entertainment"), ("x", "travel,y", "travel"), ("unknown", None, "unknown"), ("airport", None, "transit"),
+    ]
+    df = spark.createDataFrame(cases, "leaf string, p string, want string").withColumn("path", F.split("p", ","))
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", bucket(F.col("leaf"), F.col("path"))).collect())
+
+
+def test_allowed_and_unknown_categories(spark):
+    tax = fx.taxonomy(spark)
+    allowed = {r["leaf"] for r in allowed_leaves(tax).collect()}
+    assert {"bar", "hotel", "bus_stop", "airport", "active_life"} <= allowed and not {"dentist", "bank", "car_rental"} & allowed
+    assert {r["leaf"] for r in leaf_dim(tax).where("allowed").collect()} <= allowed
+    got = with_bucket(places(spark, (1, "a", "no_such", 1.0, 0, 0), (2, "b", "cafe", 1.0, 0, 0)), tax).collect()
+    assert {r["poi_id"]: r["bucket"] for r in got} == {1: "no_such", 2: "cafe"}
+
+
+def test_edges_of_the_rings(spark):
+    at = [(1, 150), (2, 150.5), (3, 450), (4, 450.5), (5, 0)]
+    got = enrich.places_within(listings(spark, (9, 0, 0)), places(spark, *((i, None, "bar", 1.0, x, 0) for i, x in at)).withColumn("bucket", F.col("category")), 450.0)
+    r = enrich.density(got).collect()
+    assert [(x["n_doorstep"], x["n_radius"], x["nearest_m"]) for x in r] == [(2, 4, 0)]
+
+
+def test_nearest_rounds_half_to_even(spark):
+    for x, want in ((2.5, 2), (3.5, 4), (2.500001, 3)):
+        pairs = spark.createDataFrame([(1, "bar", x)], "id long, bucket string, dist double")
+        assert enrich.density(pairs).first()["nearest_m"] == want
+
+
+def test_gate(spark):
+    rows = places(spark, (1, "a", "bar", 0.6, 0, 0), (2, "a", "bar", 0.5999, 0, 0), (3, "a", "dentist", 1.0, 0, 0), (4, "a", None, 1.0, 0, 0), (5, "a", "bar", None, 0, 0), (6, "a", "bar", 1.0, 99, 0))
+    assert [r["poi_id"] for r in enrich.gated(rows, fx.taxonomy(spark)).orderBy("poi_id").collect()] == [1, 6]
+    assert [r["poi_id"] for r in enrich.gated(rows, fx.taxonomy(spark), box=(-1, 1, -1, 1)).collect()] == [1]
+    assert enrich.extent(listings(spark, (1, 2, 3), (2, 5, 1)), 0.5, "x_m", "y_m") == (1.5, 5.5, 0.5, 3.5)
+    assert enrich.extent(listings(spark, (1, 0, 0)).limit(0), 0.5, "x_m", "y_m") is None
+
+
+def test_landmarks(spark):
+    marks = spark.createDataFrame([("B", 1, "POINT (0 800)"), ("A", 0, "POINT (800 0)"), ("Far", 2, "POINT (0 800.01)"), ("In", 3, "POLYGON ((-5 -5, 5 -5, 5 5, -5 5, -5 -5))")], "name string, ord int, wkt string")
+    got = enrich.landmark_lists(enrich.landmarks_within(listings(spark, (1, 0, 0)), marks)).first()["landmarks"]
+    assert [(x["name"], x["dist_m"]) for x in got] == [("In", 0), ("A", 800), ("B", 800)]
+
+
+def test_records_drop_listings_without_places(spark):
+    marks = spark.createDataFrame([("M", 0, "POINT (1000 0)")], "name string, ord int, wkt string")
+    tax = fx.taxonomy(spark)
+    own = listings(spark, (1, 0, 0), (2, 1000, 0)).withColumn("price", F.lit(5.0)).withColumn("host_id", F.lit(1))
+    got = jobs.enrich_job(own, places(spark, (1, 'Café "Zö\\e"', "cafe", 1.0, 10, 0), (2, None, "bar", 1.0, 30, 0), (3, None, "bar", 1.0, 160, 0)), tax, marks)
+    assert got.columns == ["id", "price", "cats", "landmarks"]
+    rows = got.collect()
+    assert [r["id"] for r in rows] == [1]
+    assert [tuple(c) for c in rows[0]["cats"]] == [("cafe", 1, 1, 10), ("nightlife", 1, 2, 30)]
+    text = writers.enriched(got, "id").first()["surroundings"]
+    assert json.loads(text) == {"cats": {"cafe": [1, 1, 10], "nightlife": [1, 2, 30]}, "landmarks": []}
+    assert writers.vanilla(got, "id").columns == ["price"]
+
+
+def test_record_json_round_trip(spark):
+    names = ['A "quoted" one', "back\\slash", "Zürich 漢", "comma, ] bracket"]
+    schema = "cats array<struct<bucket:string,n_doorstep:int,n_radius:int,nearest_m:int>>, landmarks array<struct<name:string,dist_m:int>>"
+    df = spark.createDataFrame([([("bar", 1, 2, 3), ("x_y", 0, 1, 9)], [(n, k) for k, n in enumerate(names)]), ([], [])], schema)
+    rows = df.withColumn("text", writers.record_json(F.col("cats"), F.col("landmarks"))).withColumn("back", readers.parse_record(F.col("text"))).collect()
+    assert json.loads(rows[0]["text"]) == {"cats": {"bar": [1, 2, 3], "x_y": [0, 1, 9]}, "landmarks": [[n, k] for k, n in enumerate(names)]}
+    for r in rows:
+        assert r["back"]["cats"] == r["cats"] and r["back"]["landmarks"] == r["landmarks"]

@@ -1,0 +1,38 @@
+import pytest
+
+from vicinage.operators import features
+
+ROWS = [(1, "1.5", "x", True, None, "t1"), (2, None, "b", False, "7", "t2"), (3, "2.5", None, None, "8", "t3"), (4, "oops", "a", True, "9", None)]
+SCHEMA = "id long, num string, cat string, flag boolean, mostly string, text string"
+
+
+def test_profile_is_strict(spark):
+    got = {r["column"]: (r["share"], r["numeric"]) for r in features.column_profile(spark.createDataFrame(ROWS, SCHEMA), ["num", "cat", "flag", "mostly"]).collect()}
+    assert got == {"num": (0.5, False), "cat": (0.0, False), "flag": (0.75, True), "mostly": (0.75, True)}
+
+
+def test_fill_and_codes(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    assert [r["num"] for r in features.median_fill(df, ["num"]).orderBy("id").collect()] == [1.5, 2.0, 2.5, 2.0]
+    assert [r["cat"] for r in features.encode(df, "cat").orderBy("id").collect()] == [2, 1, -1, 0]
+    got = [tuple(r) for r in features.structured(df, "id", ("text",)).orderBy("id").collect()]
+    assert got == [(1, 0, 2, 1.0, 8.0), (2, -1, 1, 0.0, 7.0), (3, 1, -1, 1.0, 8.0), (4, 2, 0, 1.0, 9.0)]
+    assert features.structured(df.limit(0), "id", ("text",)).count() == 0
+
+
+def test_conditions(spark):
+    sets = features.condition_sets(spark.createDataFrame(ROWS, SCHEMA), "id", "num", "text", "mostly")
+    assert set(sets) == {"structured", "unstructured_text", "joint_text", "unstructured_image", "joint_image"}
+    assert sets["joint_text"].columns == ["id", "cat", "flag", "text"] and sets["structured"].columns == ["id", "cat", "flag"]
+
+
+REPORT = "learner string, structured double, unstructured_text double, joint_text_frozen double, joint_text_tar double, unstructured_image double, joint_image_frozen double, joint_image_tar double"
+
+
+@pytest.mark.parametrize(("tuned", "n", "ok"), [([0.9, 0.9, 0.9, 0.1, 0.1], 3, True), ([0.9, 0.9, float("nan"), None, 0.8], 2, False)])
+def test_verdicts(spark, tuned, n, ok):
+    df = spark.createDataFrame([(f"l{k}", 0.5, 0.6, 0.8, t, 0.1, 0.9, 0.95) for k, t in enumerate(tuned)], REPORT)
+    got = {r["modality"]: (r["n_pass"], r["eligible"]) for r in features.verdict_of_both(df).collect()}
+    assert got == {"text": (n, ok), "image": (5, True), "both": (n, ok)}
+    equal = spark.createDataFrame([("l", 0.8, 0.6, 0.8, 0.9, 0.0, 0.0, 0.0)], REPORT)
+    assert not features.criteria(equal).first()["joint_signal"]
