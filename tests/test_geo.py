@@ -9,7 +9,7 @@ from vicinage.functions import geo
 from vicinage.operators import enrich
 
 #: Longitude, latitude, zone, easting, northing of points on the central meridian and off it.
-UTM = [(-75.0, 0.0, 18, 500000.0, 0.0), (-73.985656, 40.748433, 18, 585628.6, 4511322.4), (9.0, 45.0, 32, 500000.0, 4982950.4)]
+UTM = [(-75.0, 0.0, 18, 500000.0, 0.0), (-79.387139, 43.642567, 17, 630084.0, 4833438.0), (9.0, 45.0, 32, 500000.0, 4982950.4)]
 
 
 def test_utm_against_known_points(spark):

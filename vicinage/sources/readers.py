@@ -51,7 +51,7 @@ def taxonomy_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def landmarks_json(spark: SparkSession, path: str, zone: int | None = P.DEFAULT.utm_zone) -> DataFrame:
     """SRC4: (ord, name, wkt) in the file's order; coordinates go to the metric plane unless zone is None."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = F.from_json("value", "landmarks MAP<STRING,STRUCT<lat:DOUBLE,lon:DOUBLE,type:STRING,wkt:STRING>>")
     rows = text.select(F.posexplode(F.map_entries(parsed["landmarks"])).alias("ord", "_e")).select("ord", F.col("_e.key").alias("name"), F.col("_e.value.wkt").alias("wkt"))
     return rows if zone is None else project_wkt(rows, zone)
