@@ -23,6 +23,7 @@ import heapq
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,12 @@ SPACE = "▁"
 #: Stands for a literal U+2581 inside the lattice; no valid text holds a lone surrogate.
 LITERAL = "\ud800"
 N_BEST = 3
-MEMO = 300_000
+#: Solved chunks that a Python worker remembers.
+MEMO = 1_200_000
 _CHUNK = re.compile(r" *[^ \n]+|\n| +")
+#: Where no piece joins a letter with a mark behind it, a word's marks are chunks of their own.
+_MARKS = ",.!?;:"
+_FINE = re.compile(r" *[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ ,.!?;:\n]|$)| *[^ \n]+|\n| +")
 _coders: dict[str, Coder] = {}
 
 
@@ -42,42 +47,68 @@ class Lattice:
     """Pieces and scores of a model, and the search over one chunk."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], unknown: float):
-        self.pieces, self.byte_ids, self.unknown = pieces, byte_ids, unknown
-        self.starts = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
-
-    def edges(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end: (start, score, ids) of the pieces that end there."""
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(s) + 1)]
-        get, starts = self.pieces.get, self.starts
-        for i in range(len(s)):
-            single = False
-            for j in range(i + 1, len(s) + 1):
-                if (sub := s[i:j]) not in starts:
+        self.byte_ids, self.unknown = byte_ids, unknown
+        #: Every beginning of a piece; those that are pieces have their id and score.
+        self.starts: dict[str, tuple] = {p[:k]: () for p in pieces for k in range(1, len(p))}
+        self.starts |= {p: ((k,), score) for p, (k, score) in pieces.items()}
+
+    def forward(self, s: str) -> tuple[list[float], list[list[tuple[float, int, float, tuple[int, ...]]]]]:
+        """Viterbi: each node's best score from the start, and its incoming edges (best score over the edge, start, score, ids)."""
+        n, find = len(s), self.starts.get
+        best = [0.0] + [-math.inf] * n
+        into: list[list] = [[] for _ in range(n + 1)]
+        for i in range(n):
+            here, single = best[i], False
+            for j in range(i + 1, n + 1):
+                hit = find(s[i:j])
+                if hit is None:
                     break
-                if hit := get(sub):
-                    into[j].append((i, hit[1], (hit[0],)))
+                if hit:
+                    ids, score = hit
+                    total = here + score
+                    into[j].append((total, i, score, ids))
+                    if total > best[j]:
+                        best[j] = total
                     single |= j == i + 1
             if not single:
                 char = SPACE if s[i] == LITERAL else s[i]
-                into[i + 1].append((i, self.unknown, tuple(self.byte_ids[b] for b in char.encode())))
-        return into
+                total = here + self.unknown
+                into[i + 1].append((total, i, self.unknown, tuple(self.byte_ids[b] for b in char.encode())))
+                best[i + 1] = max(best[i + 1], total)
+        return best, into
 
     def n_best(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of s, best first."""
-        into = self.edges(s)
-        best = [0.0] * (len(s) + 1)
-        for j in range(1, len(s) + 1):
-            best[j] = max(best[i] + score for i, score, _ in into[j])
-        heap: list[tuple[float, int, int, float, tuple]] = [(-best[-1], 0, len(s), 0.0, ())]
-        out, count = [], 0
-        while heap and len(out) < n:
-            _, _, at, behind, path = heapq.heappop(heap)
-            if at == 0:
-                out.append((behind, tuple(x for ids in _unwind(path) for x in ids)))
-                continue
-            for i, score, ids in into[at]:
+        """The n best (score, ids) of s, best first.
+
+        A heap entry is a path from the end, as good as its best completion. When it is taken, the
+        next best edge beside its last one enters the heap, and the best edge into its start.
+        """
+        _, into = self.forward(s)
+        ordered: dict[int, list] = {}
+        heap: list[tuple] = []
+        out: list[tuple[float, tuple[int, ...]]] = []
+        count = 0
+
+        def push(at: int, k: int, behind: float, path: tuple) -> None:
+            nonlocal count
+            edges = ordered.get(at)
+            if edges is None:
+                edges = ordered[at] = sorted(into[at], reverse=True)
+            if k < len(edges):
+                total, i, score, ids = edges[k]
                 count += 1
-                heapq.heappush(heap, (-(best[i] + score + behind), count, i, behind + score, (ids, path)))
+                heapq.heappush(heap, (-(total + behind), count, i, behind + score, (ids, path), at, k, behind, path))
+
+        push(len(s), 0, 0.0, ())
+        while heap:
+            _, _, i, score, path, at, k, behind, rest = heapq.heappop(heap)
+            if i == 0:
+                out.append((score, tuple(x for ids in _unwind(path) for x in ids)))
+                if len(out) == n:
+                    break
+            push(at, k + 1, behind, rest)
+            if i:
+                push(i, 0, score, path)
         return out
 
 
@@ -87,6 +118,13 @@ def _unwind(path: tuple) -> Iterator[tuple[int, ...]]:
         path = path[1]
 
 
+def _nearest(gaps: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n smallest gaps: only these chunks can differ from their best in one of the n + 1 best paths."""
+    if len(gaps) <= n:
+        return np.arange(len(gaps))
+    return np.sort(np.argpartition(gaps, n - 1)[:n]) if n else np.zeros(0, dtype=np.int64)
+
+
 def combine(gaps: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n smallest sums that take one entry of each list (each starts with 0 and ascends), with the entries taken."""
     heap = [(0.0, (0,) * len(gaps))]
@@ -120,6 +158,8 @@ class Coder:
             elif not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k)):
                 pieces[p] = (k, -math.log(2 - model.get_score(k)))
                 self.bytes_of[k] = p.replace(SPACE, " ").encode()
+        joined = any(a.isalpha() and b in _MARKS for p in pieces for a, b in zip(p, p[1:], strict=False))
+        self.chunk = _CHUNK if joined else _FINE
         self.lattice = Lattice(pieces, self.byte_ids, min(s for _, s in pieces.values()) - 10)
         self.forget()
 
@@ -131,53 +171,50 @@ class Coder:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.found: list[list[tuple[float, tuple[int, ...]]]] = []
         self.best: list[bytes] = []
-        self.scores, self.gaps = np.zeros(1024), np.zeros(1024)
+        self.scores, self.gaps = np.zeros(1024), np.zeros((1024, N_BEST - 1))
 
-    def _solve(self, chunk: str, n: int) -> int:
-        found = self.lattice.n_best(chunk.replace(SPACE, LITERAL).replace(" ", SPACE), n)
-        k = self.index[chunk] = len(self.found)
-        self.found.append(found)
-        self.best.append(np.array(found[0][1], dtype="<u4").tobytes())
+    def _solve(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        return self.lattice.n_best(chunk.replace(SPACE, LITERAL).replace(" ", SPACE), n)
+
+    def _remember(self, chunk: str) -> None:
+        found = self._solve(chunk, N_BEST)
+        k = self.index[chunk] = len(self.best)
+        self.best.append(array("I", found[0][1]).tobytes())
         if k == len(self.scores):
-            self.scores, self.gaps = np.concatenate([self.scores, np.zeros(k)]), np.concatenate([self.gaps, np.zeros(k)])
+            self.scores, self.gaps = np.concatenate([self.scores, np.zeros(k)]), np.concatenate([self.gaps, np.zeros((k, N_BEST - 1))])
         self.scores[k] = found[0][0]
-        self.gaps[k] = found[0][0] - found[1][0] if len(found) > 1 else np.inf
-        return k
+        self.gaps[k] = [found[0][0] - found[r][0] if r < len(found) else np.inf for r in range(1, N_BEST)]
+
+    def _split(self, text: str) -> list[str]:
+        return self.chunk.findall(" " + text) if text else []
 
-    def _chunks(self, text: str, n: int) -> np.ndarray:
+    def encode(self, text: str) -> tuple[bytes, list[float]]:
+        """The best segmentation's ids (little-endian 32-bit) and the scores of the N_BEST best."""
         if len(self.index) > MEMO:
             self.forget()
-        chunks = _CHUNK.findall(" " + text) if text else []
-        index = self.index
+        chunks, index = self._split(text), self.index
         try:
-            return np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
+            at = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
         except KeyError:
             for c in chunks:
                 if c not in index:
-                    self._solve(c, n)
-            return np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
-
-    def encode(self, text: str, n: int = N_BEST) -> tuple[bytes, list[float]]:
-        """The best segmentation's ids (little-endian 32-bit) and the scores of the n best."""
-        at = self._chunks(text, n)
-        total, gaps = float(self.scores[at].sum()), self.gaps[at]
-        near = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) < 64 else np.sort(np.argpartition(gaps, n - 1)[: n - 1])
-        lists = [[self.found[k][0][0] - s for s, _ in self.found[k]] for k in at[near]]
+                    self._remember(c)
+            at = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
+        total, first = float(self.scores[at].sum()), self.gaps[at, 0]
+        near = _nearest(first, N_BEST - 1)
+        lists = [[0.0, *(g for g in self.gaps[k].tolist() if g < math.inf)] for k in at[near].tolist()]
         best = self.best
-        return b"".join([best[k] for k in at.tolist()]), [total - cost for cost, _ in combine(lists, n)]
+        return b"".join([best[k] for k in at.tolist()]), [total - cost for cost, _ in combine(lists, N_BEST)]
 
     def encode_n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text, best first."""
-        self.forget()  # chunks solved for fewer paths are of no use here
-        at = self._chunks(text, n)
-        near = np.argsort(self.gaps[at], kind="stable")[: n - 1].tolist()
-        total, out = float(self.scores[at].sum()), []
-        for cost, taken in combine([[self.found[k][0][0] - s for s, _ in self.found[k]] for k in at[near]], n):
+        solved = [self._solve(c, n) for c in self._split(text)]
+        near = _nearest(np.array([s[0][0] - s[1][0] if len(s) > 1 else np.inf for s in solved]), n - 1).tolist()
+        total, out = sum(s[0][0] for s in solved), []
+        for cost, taken in combine([[solved[k][0][0] - score for score, _ in solved[k]] for k in near], n):
             other = dict(zip(near, taken, strict=True))
-            out.append((total - cost, [x for p, k in enumerate(at.tolist()) for x in self.found[k][other.get(p, 0)][1]]))
-        self.forget()
+            out.append((total - cost, [x for p, s in enumerate(solved) for x in s[other.get(p, 0)][1]]))
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -185,7 +222,7 @@ class Coder:
         return b"".join([table[k] for k in np.frombuffer(ids, dtype="<u4").tolist()])[1:].decode()
 
 
-def _encode_batches(path: str, n: int, keep_ids: bool):
+def _encode_batches(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from vicinage.llm.tokenfile import _id_lists
 
@@ -194,7 +231,7 @@ def _encode_batches(path: str, n: int, keep_ids: bool):
             for first in range(0, whole.num_rows, 512):
                 b = whole.slice(first, 512)
                 texts = [t or "" for t in b.column("text").to_pylist()]
-                coded = [coder.encode(t, n) for t in texts]
+                coded = [coder.encode(t) for t in texts]
                 ids = [c for c, _ in coded]
                 back = [coder.decode(c) for c in ids]
                 columns = {
@@ -212,7 +249,7 @@ def _encode_batches(path: str, n: int, keep_ids: bool):
     return run
 
 
-def encode_pieces(docs: DataFrame, model: str, n: int = N_BEST, keep_ids: bool = False) -> DataFrame:
-    """One row a document: n_pieces and crc32 of the best ids, crc32 of the text decoded from them, whether it is the text, the n best scores, and the ids on request."""
+def encode_pieces(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
+    """One row a document: n_pieces and crc32 of the best ids, crc32 of the text decoded from them, whether it is the text, the N_BEST best scores, and the ids on request."""
     schema = "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, exact boolean, scores array<double>" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(_encode_batches(model, n, keep_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(_encode_batches(model, keep_ids), schema)
