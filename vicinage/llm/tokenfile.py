@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +36,13 @@ LAYOUT = {
 }
 SCHEMA = "doc_id long, part int, at long, n_tokens int, ids array<int>"
 #: Encoded pieces of text that a Python worker remembers.
-MEMO = 500_000
-#: White space and the text up to the next. Byte-level BPE never joins what stands before a white-space
-#: character with it, unless that is white space too; so pieces cut there are encoded alike alone.
-_CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+MEMO = 900_000
+#: White space and the text up to the next; a word's own punctuation stands alone. Byte-level BPE never joins
+#: what stands before a white-space character with it, unless that is white space too, nor letters with
+#: a comma, stop or mark behind them; so pieces cut there are encoded alike alone.
+_CHUNK = re.compile(r"[ \n\t\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ ,.!?\n]|$)|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Other white space can join a run; texts that hold any are encoded whole.
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 _encoders: dict[str, Encoder] = {}
 
@@ -65,19 +67,21 @@ class Encoder:
         return _encoders[path]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        chunks = [None if _OTHER_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
-        new = set().union(*(c for c in chunks if c)).difference(self.memo)
-        if new:
-            new = list(new)
-            self.memo.update(zip(new, self._encode(new), strict=True))
-        get = self.memo.__getitem__
-        return [self._encode([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks, strict=True)]
+        get = self.memo.get
+        chunks = [[] if _OTHER_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
+        known = [list(map(get, c)) for c in chunks]
+        new = list({c for cs, ids in zip(chunks, known, strict=True) if None in ids for c, i in zip(cs, ids, strict=True) if i is None})
+        self.memo.update(zip(new, self._encode(new), strict=True))
+        return [
+            (b"".join(ids if None not in ids else [get(c) if i is None else i for c, i in zip(cs, ids, strict=True)]) if cs else b"".join(self._encode([t])))
+            for t, cs, ids in zip(texts, chunks, known, strict=True)
+        ]
 
 
 def _id_lists(ids: list[bytes]) -> pa.Array:
