@@ -1,14 +1,15 @@
 """N-gram Jaccard join: exact links between shingle sets, and the components that they form.
 
 Equal sets are one node, known by a 64-bit fingerprint. Two nodes whose Jaccard similarity is at
-least t share a token within the first n - ceil(t n) + 1 tokens of each, in any one global order of
-tokens; the order here puts very frequent tokens last, then goes by hash. Over those tokens:
+least t share l tokens or more within the first n - ceil(t n) + l tokens of each, in any one global
+order of tokens; the order here puts very frequent tokens last, then goes by hash, and l is a fifth
+of the set. Nodes that share fewer of these tokens with anything link with nothing and go. Then:
 
 1. Leader rounds. Every node is compared with one leader for each of its tokens; what links forms
    groups of similar documents (connected components). No pair of members is formed.
 2. Token-group matrix. Only tokens whose nodes lie in several groups are left. For each such group
    the union of its members' tokens is stored, one row a token. A node can link into a group only
-   if at least ceil(t n) of its tokens are in the union; the overlap is counted by one join, and only
+   if at least l of its tokens are in the union; the overlap is counted by one join, and only
    groups that reach it are opened, that is, compared member by member.
 
 So no link between different texts is lost, and hot groups of copies cost one comparison a member.
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinage.llm.common import Scratch, cut
@@ -36,6 +37,8 @@ from vicinage.llm.common import Scratch, cut
 WORDS = 5
 #: Two sets link when 100 * common >= PERCENT * together.
 PERCENT = 75
+#: l is a fifth (one by EXTRA) of a set, rounded up.
+EXTRA = 5
 #: Tokens of more nodes than HOT go last in the order; at most HOT_TOKENS do, which bounds what is broadcast (8 bytes each).
 HOT, HOT_TOKENS = 8, 1 << 19
 #: Bits of the filter over node ids (a fixed 4 MB, whatever the corpus).
@@ -132,8 +135,8 @@ def needed(n: int) -> int:
 
 
 def prefix(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The tokens of which a linked set must share one: the first in the order (frequent ones last, then by hash)."""
-    n = len(tokens) - needed(len(tokens)) + 1
+    """The tokens of which a linked set must share l or more: the first in the order (frequent ones last, then by hash)."""
+    n = len(tokens) - needed(len(tokens)) - (-len(tokens) // EXTRA)
     head = tokens[:n]
     if not len(hot) or not _among(head, hot).any():
         return head
@@ -147,6 +150,12 @@ def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == x
 
 
+def least_shared(n: Column) -> Column:
+    """The least l of a set of n tokens and of any set that it links with, as that one may be smaller."""
+    smallest = F.ceil(PERCENT * n / 100)
+    return F.ceil(smallest / EXTRA)
+
+
 def prefix_rows(docs: DataFrame, hot: Broadcast) -> DataFrame:
     """(h, node, n) for each token of each node's prefix; a task gives each node once."""
 
@@ -247,17 +256,26 @@ def leader_pairs(rows: DataFrame, k: int) -> DataFrame:
     return rows.join(leads, "h").where(F.col("comp") != F.col("cb")).select(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
 
 
-def group_pairs(rows: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+def group_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, na, b, nb) of each node with the members of every other group that its bound in the token-group matrix doesn't rule out."""
     members = rows.select("h", F.col("comp").alias("grp"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    spans = members.groupBy("h", "grp").agg(F.min("nb").alias("least"), F.max("nb").alias("most"))
-    asks = rows.join(spans, "h").where((F.col("comp") != F.col("grp")) & (100 * F.col("most") >= PERCENT * F.col("n")) & (PERCENT * F.col("least") <= 100 * F.col("n"))).select("node", "n", "grp").distinct()
-    asks = scratch.table("asks", asks)
-    in_groups = members.select("grp", F.col("b").alias("node")).distinct().join(asks.select("grp").distinct(), "grp", "left_semi")
-    matrix = in_groups.join(sets, "node").select("grp", F.explode("tokens").alias("token")).distinct()
-    overlap = asks.join(sets, "node").select("node", "n", "grp", F.explode("tokens").alias("token")).join(matrix, ["grp", "token"]).groupBy("node", "n", "grp").agg(F.count("*").alias("overlap"))
-    opened = scratch.table("opened", overlap.where(100 * F.col("overlap") >= PERCENT * F.col("n")).select("node", "n", "grp"))
-    return opened.join(rows.select("node", "h"), "node").join(members, ["h", "grp"]).select(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
+    matrix = members.groupBy("h", "grp").agg(F.min("nb").alias("least"), F.max("nb").alias("most"))
+    fits = (100 * F.col("most") >= PERCENT * F.col("n")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
+    overlap = rows.join(matrix, "h").where((F.col("comp") != F.col("grp")) & fits).groupBy("node", "n", "grp").agg(F.count("*").alias("overlap"))
+    opened = scratch.table("opened", overlap.where(F.col("overlap") >= least_shared(F.col("n"))).select("node", "grp"))
+    common = rows.join(opened, "node").join(members, ["h", "grp"]).groupBy(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count("*").alias("common"))
+    return common.where(F.col("common") >= least_shared(F.least("na", "nb"))).drop("common")
+
+
+def with_enough_shared(rows: DataFrame, scratch: Scratch, rounds: int = 2) -> DataFrame:
+    """Without nodes that share too few tokens with others; as their going makes tokens single, a second round follows."""
+    for k in range(rounds):
+        counts = rows.groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("m"))
+        kept = counts.where(F.col("k") >= least_shared(F.col("m"))).select("node")
+        rows = rows.join(kept, "node", "left_semi")
+        shared = rows.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h")
+        rows = scratch.table(f"rows{k}", rows.join(shared, "h"))
+    return rows
 
 
 def set_links(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -267,7 +285,8 @@ def set_links(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
     rows = prefix_rows(docs, hot)
     shared = scratch.table("shared", rows.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h"))
     # one row a token on the other side: a hot token's rows can be split over tasks
-    rows = scratch.table("rows", rows.join(shared, "h"))
+    rows = scratch.table("rows", rows.join(shared, "h").distinct())
+    rows = with_enough_shared(rows, scratch)
     nodes = rows.groupBy("node").agg(F.first("n").alias("n"))
     sets = scratch.table("sets", node_sets(docs, nodes))
     links, labels = None, None
@@ -280,8 +299,8 @@ def set_links(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
         links = new if links is None else links.unionByName(new)
         labels = components(links)
     here = _with_comp(rows, labels)
-    left = scratch.table("left", here.join(_several(here), "h", "left_semi").distinct())
-    last = scratch.table("last", linked(group_pairs(left, sets, scratch), sets))
+    left = scratch.table("left", here.join(_several(here), "h", "left_semi"))
+    last = scratch.table("last", linked(group_pairs(left, scratch), sets))
     if not last.isEmpty():
         labels = components(last if links is None else links.unionByName(last))
     return labels
