@@ -55,9 +55,10 @@ def test_edge_cases(edge, empty):
     assert mix(empty).count() == 0 and mixed_rows(empty).count() == 0
 
 
-def test_mixed_rows_repeat_as_taken(frame):
-    docs = frame((1, "a b c", "x"), (2, "d e", "x"), (2, "d e", "x"), (3, "f", "y"), (None, "g h", "z"))
+def test_mixed_rows_repeat_as_taken(frame, edge):
+    docs = frame((0, "", "x"), (9, None, None), (1, "a b c", "x"), (2, "d e", "x"), (2, "d e", "x"), (3, "f", "y"), (None, "g h", "z"))
     plan = mix(docs).collect()
     rows = mixed_rows(docs)
     assert rows.columns == docs.columns
     assert sum(len(r["text"].split()) for r in rows.collect()) == sum(r["taken"] for r in plan)
+    assert mixed_rows(edge).count() > 0
