@@ -92,7 +92,7 @@ def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
     Rows are found again by doc_id and text; rows that repeat both share their group's copies.
     """
     rows = docs.withColumn("_key", F.xxhash64("text"))
-    plan = mix(rows, extra=["_key"], **options).groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_text")).agg(F.sum((F.col("taken") / F.col("size")).cast("int")).alias("_c"), F.count("*").alias("_m"))
+    plan = mix(rows, extra=["_key"], **options).groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_text")).agg(F.sum((F.col("taken") / F.greatest("size", F.lit(1))).cast("int")).alias("_c"), F.count("*").alias("_m"))
     found = rows.join(plan, rows["doc_id"].eqNullSafe(plan["_doc"]) & (F.col("_key") == F.col("_text")))
     alike = Window.partitionBy("doc_id", "_key").orderBy("_c")
     one = found.where("_m = 1").withColumn("_k", F.col("_c"))
