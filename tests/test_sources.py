@@ -27,7 +27,7 @@ def test_places_parquet(spark, tmp_path):
 
 
 def test_taxonomy_csv(spark, tmp_path):
-    (tmp_path / "t.csv").write_text("﻿Category code; Overture Taxonomy\nbar ; [eat_and_drink, bar]\nshort\nbar;[eat_and_drink,bar,late]\ngym;[active_life]\n", encoding="utf-8")
+    (tmp_path / "t.csv").write_text("﻿Category code; Taxonomy\nbar ; [eat_and_drink, bar]\nshort\nbar;[eat_and_drink,bar,late]\ngym;[active_life]\n", encoding="utf-8")
     got = {r["leaf"]: r["path"] for r in readers.taxonomy_csv(spark, f"{tmp_path}/t.csv").collect()}
     assert got == {"bar": ["eat_and_drink", "bar", "late"], "gym": ["active_life"]}
 
