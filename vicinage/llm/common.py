@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -57,8 +59,14 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs before the next large one."""
-    spark._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files of finished jobs before the next large one.
+
+    Plans are held from Python and, until that is told, from the JVM; so both collect, twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def n_words(text: Column) -> Column:

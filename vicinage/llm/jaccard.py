@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinage.llm.common import Scratch, cut
+from vicinage.llm.common import Scratch, cut, release
 
 WORDS = 5
 #: Two sets link when 100 * common >= PERCENT * together.
@@ -282,6 +282,7 @@ def set_links(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(node, comp) of every node that links with another one; None if none does."""
     spark: SparkSession = docs.sparkSession
     hot = spark.sparkContext.broadcast(hot_tokens(docs))
+    release(spark)
     rows = prefix_rows(docs, hot)
     shared = scratch.table("shared", rows.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h"))
     # one row a token on the other side: a hot token's rows can be split over tasks
