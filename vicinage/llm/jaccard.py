@@ -3,7 +3,8 @@
 Equal sets are one node, known by a 64-bit fingerprint. Two nodes whose Jaccard similarity is at
 least t share l tokens or more within the first n - ceil(t n) + l tokens of each, in any one global
 order of tokens; the order here puts very frequent tokens last, then goes by hash, and l is a fifth
-of the set. Nodes that share fewer of these tokens with anything link with nothing and go. Then:
+of the set. Nodes that share fewer of these tokens with anything link with nothing and go, and so do
+those of which fewer than ceil(t n) tokens of the whole set are in any other that is left. Then:
 
 1. Leader rounds. Every node is compared with one leader for each of its tokens; what links forms
    groups of similar documents (connected components). No pair of members is formed.
@@ -257,11 +258,11 @@ def leader_pairs(rows: DataFrame, k: int) -> DataFrame:
 
 
 def group_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, na, b, nb) of each node with the members of every other group that its bound in the token-group matrix doesn't rule out."""
+    """Pairs (a, na, b, nb) of each node with the members of every later group that its bound in the token-group matrix doesn't rule out; a pair's other side need not ask."""
     members = rows.select("h", F.col("comp").alias("grp"), F.col("node").alias("b"), F.col("n").alias("nb"))
     matrix = members.groupBy("h", "grp").agg(F.min("nb").alias("least"), F.max("nb").alias("most"))
     fits = (100 * F.col("most") >= PERCENT * F.col("n")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
-    overlap = rows.join(matrix, "h").where((F.col("comp") != F.col("grp")) & fits).groupBy("node", "n", "grp").agg(F.count("*").alias("overlap"))
+    overlap = rows.join(matrix, "h").where((F.col("comp") < F.col("grp")) & fits).groupBy("node", "n", "grp").agg(F.count("*").alias("overlap"))
     opened = scratch.table("opened", overlap.where(F.col("overlap") >= least_shared(F.col("n"))).select("node", "grp"))
     common = rows.join(opened, "node").join(members, ["h", "grp"]).groupBy(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count("*").alias("common"))
     return common.where(F.col("common") >= least_shared(F.least("na", "nb"))).drop("common")
@@ -278,6 +279,14 @@ def with_enough_shared(rows: DataFrame, scratch: Scratch, rounds: int = 2) -> Da
     return rows
 
 
+def coverable(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node) of sets of which enough tokens are in other ones too: whole sets, at least ceil(t n) of n."""
+    tokens = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("h"))
+    shared = scratch.table("shared_by_sets", tokens.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h"))
+    counts = tokens.join(shared, "h").groupBy("node", "n").agg(F.count("*").alias("k"))
+    return scratch.table("coverable", counts.where(100 * F.col("k") >= PERCENT * F.col("n")).select("node"))
+
+
 def set_links(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(node, comp) of every node that links with another one; None if none does."""
     spark: SparkSession = docs.sparkSession
@@ -289,7 +298,9 @@ def set_links(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
     rows = scratch.table("rows", rows.join(shared, "h").distinct())
     rows = with_enough_shared(rows, scratch)
     nodes = rows.groupBy("node").agg(F.first("n").alias("n"))
-    sets = scratch.table("sets", node_sets(docs, nodes))
+    sets = scratch.table("all_sets", node_sets(docs, nodes))
+    kept = coverable(sets, scratch)
+    rows, sets = scratch.table("kept_rows", rows.join(kept, "node", "left_semi")), scratch.table("kept_sets", sets.join(kept, "node", "left_semi"))
     links, labels = None, None
     for k in range(LEADER_ROUNDS):
         here = _with_comp(rows, labels)
