@@ -70,3 +70,23 @@ def test_edge_cases(edge, empty):
 @given(st.text(alphabet="ab.,!?\n \t;é", max_size=200))
 def test_sentences_join_to_the_text(text):
     assert "".join(spans.sentences(text)) == text
+
+
+def test_unpunctuated_passages_in_varied_contexts(frame):
+    """Passages of 51 to 80 words without a mark: each later copy loses most of its words, and no other words go."""
+    rng, pairs, lengths = random.Random(5), [], []
+    words = lambda n, own: [f"{own}{rng.randrange(10**6)}" for _ in range(n)]
+    for n in range(51, 81):
+        passage = words(n, "p")
+        for _ in range(5):
+            pairs.append((len(pairs), " ".join([*words(rng.randrange(40), "a"), *passage, *words(rng.randrange(40), "b")])))
+            lengths.append(n)
+    shares = []
+    for r in spans.dedup_spans(frame(*((i, t, "s") for i, t in pairs))).collect():
+        before, after = pairs[r["doc_id"]][1].split(), r["text"].split()
+        if r["doc_id"] % 5 == 0:
+            assert after == before
+            continue
+        assert [w for w in after if w[0] != "p"] == [w for w in before if w[0] != "p"]
+        shares.append(1 - sum(w[0] == "p" for w in after) / lengths[r["doc_id"]])
+    assert min(shares) > 0.4 and sum(shares) / len(shares) > 0.8

@@ -1,143 +1,209 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences at full stops, question and exclamation marks and line ends; one of
-more than 20 words is cut further, after commas and at words that their own hash picks, so that a
-passage is cut alike wherever it stands. Every run of SPAN consecutive sentences is hashed and
-joined globally. The first place of a run (the smallest doc_id, then the place in it) stays; the
-sentences that any later one covers are removed.
-
-Null text stays null; a text of fewer sentences than a span is left as it is. Rows that repeat
+A text is cut into sentences at full stops, question and exclamation marks and line ends; long ones
+are cut further, into pieces of about five words, before each word whose hash is the least among its
+NEAR neighbours on both sides. As only near words decide, and sentence ends fewer than EDGE words
+away, a passage is cut alike wherever it stands, but for its first and last few words. (A stretch of
+one or two words over and over has no least word and is one piece.) Every run of SPAN consecutive
+pieces of MIN_WORDS words or more together is hashed and joined globally; a run that holds a piece of
+a cut sentence always has so many. The first place of a run (the smallest doc_id, then the
+place in it) stays; the pieces that any later one covers are removed.
+
+Null text stays null; a text of fewer pieces than a span is left as it is. Rows that repeat
 a doc_id and its text are one document to this operator: all stay as the first one does. A text of
-which all is covered becomes empty. All columns of the input are kept. An empty table gives an
-empty result.
+which all is covered becomes empty. All columns of the input are kept. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinage.llm.common import cut
+from vicinage.llm.jaccard import FILTER_BITS, _mix, _power_tables, id_filter
+
 SPAN = 3
 #: Words of a span at least; shorter runs ("Yes. No. Oh.") may repeat by chance.
 MIN_WORDS = 8
-LONG_SENTENCE = 20
-_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[^\S\n]*|[^.!?\n]+")
-_WORD = re.compile(r"\S+\s*")
+#: A word starts a piece if its hash is the least of NEAR words on either side, so pieces have more than NEAR words.
+NEAR = 2
+#: Words at least in the first and in the last piece of a cut sentence, so that no run that holds one is short.
+EDGE = MIN_WORDS - SPAN + 1
+_WIDE_BLANK = re.compile(r"[^\S\x00-\x7f]")
+
+
+def _shadow(text: str) -> bytes:
+    """The text's bytes with every other white space than ASCII as spaces, place by place."""
+    return (text if text.isascii() else _WIDE_BLANK.sub(lambda m: " " * len(m.group().encode()), text)).encode()
+
+
+class Pieces:
+    """The pieces of a list of texts: byte places, and hashes and words of those that are not blank."""
+
+    def __init__(self, texts: list[str | None]):
+        raw = [(t or "").encode() for t in texts]
+        sizes = np.array([len(r) + 1 for r in raw], dtype=np.int64)
+        self.base = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+        seen = np.frombuffer(b"\n".join(r if len(t or "") == len(r) else _shadow(t or "") for t, r in zip(texts, raw, strict=True)) + b"\n", dtype=np.uint8)
+        n = len(seen)
+        blank = (seen == 32) | ((seen >= 9) & (seen <= 13)) | ((seen >= 28) & (seen <= 31))
+        ends = (seen == 10) | (seen == 46) | (seen == 33) | (seen == 63)
+        space = blank & (seen != 10)
+        # a sentence starts where the last byte that is no space ends one, unless the run of end marks goes on
+        last = np.maximum.accumulate(np.where(space, -1, np.arange(n)))
+        starts = np.zeros(n, dtype=bool)
+        after_end = (last[:-1] >= 0) & ends[last[:-1]]
+        starts[1:] = after_end & ~space[1:] & ~(ends[1:] & (last[:-1] == np.arange(n - 1)))
+        starts[self.base[:-1]] = True
+        sentence = np.cumsum(starts)
+        # words: stretches without blanks, parted where a sentence starts
+        word_at = ~blank
+        word_at[1:] &= blank[:-1] | starts[1:]
+        first = np.flatnonzero(word_at)
+        stop = ~blank
+        stop[:-1] &= blank[1:] | starts[1:]
+        end = np.flatnonzero(stop) + 1
+        power, inverse = _power_tables(n + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64)])
+        own = _mix((total[end] - total[first]) * inverse[first])
+        of = sentence[first]
+        n_words = np.bincount(of, minlength=int(sentence[-1]) + 1)
+        from_start = np.arange(len(of)) - (np.cumsum(n_words) - n_words)[of]
+        least = (from_start >= EDGE) & (n_words[of] - from_start >= EDGE)
+        for k in range(1, NEAR + 1):
+            least[k:] &= own[k:] < own[:-k]
+            least[:-k] &= own[:-k] <= own[k:]
+        starts[first[least]] = True
+        #: start of every piece, blank ones too, in the joined bytes; the line end after a text belongs to none
+        self.at = np.flatnonzero(starts)
+        piece = np.cumsum(starts)[first] - 1
+        new = np.flatnonzero(np.diff(piece, prepend=-1))
+        close = np.append(new[1:], len(piece))[: len(new)] - 1
+        #: places in `at` of those that are not blank, from their first word to their last one
+        self.full = piece[new]
+        a, b = first[new], end[close]
+        self.hash = _mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+        gaps = np.concatenate([np.zeros(1, np.int64), np.cumsum(data == 32)])
+        self.words = gaps[b] - gaps[a] + 1
+        #: bounds of each text in `at` and in `full`
+        self.bounds = np.searchsorted(self.at, self.base)
+        self.full_bounds = np.searchsorted(self.full, self.bounds)
+
+    def runs(self, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start in `full`, text) of every run of `span` pieces and MIN_WORDS words or more."""
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.words)])
+        start = np.arange(max(0, len(self.full) + 1 - span))
+        text = np.repeat(np.arange(len(self.full_bounds) - 1), np.diff(self.full_bounds))[: len(start)]
+        ok = (start + span <= self.full_bounds[1:][text]) & (total[span:] - total[: len(start)] >= MIN_WORDS if len(start) else True)
+        return start[ok], text[ok]
 
 
 def sentences(text: str) -> list[str]:
     """The text in pieces that join to it again."""
-    out = []
-    for s in _SENTENCE.findall(text):
-        if s.count(" ") <= LONG_SENTENCE:
-            out.append(s)
-            continue
-        piece: list[str] = []
-        lead = len(s) - len(s.lstrip())
-        words = _WORD.findall(s)
-        if lead and words:
-            words[0] = s[:lead] + words[0]
-        for w in words or [s]:
-            piece.append(w)
-            bare = w.strip()
-            if len(piece) >= 4 and (bare.endswith((",", ";", ":")) or zlib.crc32(bare.encode()) % 8 == 0):
-                out.append("".join(piece))
-                piece = []
-        if piece:
-            out.append("".join(piece))
-    return out
+    p, raw = Pieces([text]), text.encode()
+    at = p.at[p.at < len(raw)].tolist()
+    return [raw[a:b].decode() for a, b in zip(at, [*at, len(raw)][1:], strict=True)]
 
 
-def _key(sentence: str) -> bytes:
-    """White space at the ends, which depends on what follows, doesn't count."""
-    return sentence.strip().encode()
+def span_hashes(texts: list[str | None], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the runs of all texts: hash, text, and place of the first piece among those of its text that are not blank."""
+    p = Pieces(texts)
+    start, text = p.runs(span)
+    h = np.zeros(len(start), dtype=np.uint64)
+    for k in range(span):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + p.hash[start + k])
+    return h.view(np.int64), text, start - p.full_bounds[text]
 
 
-def span_hashes(text: str | None, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the runs of `span` sentences that are not blank; the place is that among all sentences."""
-    parts = [(i, k) for i, s in enumerate(sentences(text or "")) if (k := _key(s))]
-    if len(parts) < span:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    own = np.array([xxhash.xxh3_64_intdigest(k) for _, k in parts], dtype=np.uint64)
-    words = np.array([k.count(b" ") + 1 for _, k in parts])
-    n = len(parts) - span + 1
-    total, h = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.uint64)
-    for k in range(span):
-        total += words[k : k + n]
-        h = (h ^ own[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    long = total >= MIN_WORDS
-    return h[long].view(np.int64), np.arange(n, dtype=np.int32)[long]
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of about `most` characters with their texts."""
+    for whole in batches:
+        texts, first, size = whole.column("text").to_pylist(), 0, 0
+        for k, t in enumerate(texts):
+            size += len(t or "") + 1
+            if size >= most or k + 1 == len(texts):
+                yield whole.slice(first, k + 1 - first), texts[first : k + 1]
+                first, size = k + 1, 0
 
 
-def _spans(span: int):
+def _spans(span: int, repeated: Broadcast | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 1000):
-                b = whole.slice(first, 1000)
-                found = [span_hashes(t, span) for t in b.column("text").to_pylist()]
-                n = [len(h) for h, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([h for h, _ in found])), b.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate([p for _, p in found]))],
-                    names=["h", "doc_id", "pos"],
-                )
+        for b, texts in _slices(batches):
+            h, row, pos = span_hashes(texts, span)
+            if repeated is not None:
+                at = h & ((1 << FILTER_BITS) - 1)
+                some = np.flatnonzero((repeated.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+                h, row, pos = h[some], row[some], pos[some]
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column("doc_id").take(pa.array(row)), pa.array(pos)], names=["h", "doc_id", "place"])
 
     return run
 
 
-def spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(h, doc_id, pos): every run of `span` sentences."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_spans(span), "h long, doc_id long, pos int")
+def spans(docs: DataFrame, span: int = SPAN, repeated: Broadcast | None = None) -> DataFrame:
+    """(h, doc_id, place): every run of `span` pieces, or those that the filter lets through."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(_spans(span, repeated), "h long, doc_id long, place long")
 
 
-def remove(text: str | None, starts: list[int] | None, span: int = SPAN) -> tuple[str | None, int, int]:
-    """The text without the runs that start at the given places, its sentences, and those removed."""
-    if text is None:
-        return None, 0, 0
-    parts = sentences(text)
-    if not starts:
-        return text, len(parts), 0
-    full = [i for i, s in enumerate(parts) if _key(s)]
-    gone = {full[k] for at in starts for k in range(at, at + span)}
-    kept = "".join(s for i, s in enumerate(parts) if i not in gone)
-    return (kept if kept.strip() else ""), len(parts), len(gone)
+def remove(texts: list[str | None], places: list[list[int] | None], span: int = SPAN) -> list[tuple[str | None, int, int]]:
+    """Each text without the runs that start at the given places, its pieces, and those removed."""
+    p = Pieces(texts)
+    out = []
+    for k, (t, some) in enumerate(zip(texts, places, strict=True)):
+        if t is None:
+            out.append((None, 0, 0))
+            continue
+        raw, base = t.encode(), int(p.base[k])
+        at = p.at[p.bounds[k] : p.bounds[k + 1]] - base
+        at = at[at < len(raw)]
+        if not some:
+            out.append((t, len(at), 0))
+            continue
+        full = p.full[p.full_bounds[k] : p.full_bounds[k + 1]] - p.bounds[k]
+        gone = full[np.unique(np.add.outer(np.asarray(some, dtype=np.int64), np.arange(span)))]
+        stay = np.ones(len(at), dtype=bool)
+        stay[gone] = False
+        stops = np.append(at, len(raw))[1:]
+        kept = b"".join(raw[a:b] for a, b in zip(at[stay].tolist(), stops[stay].tolist(), strict=True)).decode()
+        out.append((kept if kept.strip() else "", len(at), len(gone)))
+    return out
 
 
 def _rebuild(span: int, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 1000):
-                b = whole.slice(first, 1000)
-                done = [remove(t, s, span) for t, s in zip(b.column("text").to_pylist(), b.column("_starts").to_pylist(), strict=True)]
-                new = {"text": pa.array([t for t, _, _ in done], pa.string()), "n_sentences": pa.array([n for _, n, _ in done], pa.int64()), "n_removed": pa.array([n for _, _, n in done], pa.int64())}
-                yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in columns], names=columns)
+        for b, texts in _slices(batches):
+            done = remove(texts, b.column("_starts").to_pylist(), span)
+            new = {"text": pa.array([t for t, _, _ in done], pa.string()), "n_sentences": pa.array([n for _, n, _ in done], pa.int64()), "n_removed": pa.array([n for _, _, n in done], pa.int64())}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in columns], names=columns)
 
     return run
 
 
 def repeated_places(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, pos) of every repeated run but its first. Counts are summed before the shuffle, so a hot run is one row a task there."""
-    rows = spans(docs, span)
-    at = F.struct("doc_id", "pos")
-    firsts = rows.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("h", "first")
+    """(doc_id, place) of every repeated run but its first. Counts are summed before the shuffle, so a hot run is one row a task there."""
+    at = F.struct("doc_id", "place")
+    firsts = spans(docs, span).groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("NOT (first <=> last)").select("h", "first")
+    # a filter of fixed size saves most of the second shuffle, until repeated runs are as many as its bits
+    firsts = cut(firsts)
+    repeated = docs.sparkSession.sparkContext.broadcast(id_filter(firsts, "h"))
     # many spans of one hash split over tasks (adaptive skew join), as the other side has one row a hash
-    return rows.join(firsts, "h").where(F.struct("doc_id", "pos") != F.col("first")).select("doc_id", "pos")
+    return spans(docs, span, repeated).join(firsts, "h").where(~at.eqNullSafe(F.col("first"))).select("doc_id", "place")
 
 
 def dedup_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """docs with repeated sentences removed from text, and n_sentences and n_removed."""
-    starts = repeated_places(docs, span).groupBy("doc_id").agg(F.collect_set("pos").alias("_starts")).withColumnRenamed("doc_id", "_doc")
+    """docs with repeated pieces removed from text, and n_sentences and n_removed."""
+    starts = repeated_places(docs, span).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("place").alias("_starts"))
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "_starts", "_doc")]
     joined = docs.select(*kept).join(starts, docs["doc_id"] == starts["_doc"], "left").drop("_doc")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     out = [*kept, "n_sentences", "n_removed"]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", n_sentences long, n_removed long"
     return joined.mapInArrow(_rebuild(span, out), schema)
-
