@@ -90,3 +90,24 @@ def test_unpunctuated_passages_in_varied_contexts(frame):
         assert [w for w in after if w[0] != "p"] == [w for w in before if w[0] != "p"]
         shares.append(1 - sum(w[0] == "p" for w in after) / lengths[r["doc_id"]])
     assert min(shares) > 0.4 and sum(shares) / len(shares) > 0.8
+
+
+def test_rows_are_known_by_id_and_text(frame):
+    """Null ids, and one id with several texts: each row loses its own repeats, and rows of one id are compared too."""
+    passage = "It was the first of many days by the sea. Nobody spoke of what had been lost there. The boats came in late, as they did. "
+    own = [f"Text {k} starts in its own way. {f"More of {k}. " * (k % 2)}" for k in range(6)]
+    tail = [f"Then text {k} goes on about thing{k} for a while. And it ends at last with word{k}." for k in range(6)]
+    ids = [None, None, 7, 7, 8, 7]
+    texts = [own[k] + passage + tail[k] for k in range(6)]
+    rows = spans.dedup_spans(frame(*((i, t, "s") for i, t in zip(ids, texts, strict=True)))).collect()
+    left = sorted(r["text"] for r in rows)
+    kept = [t for t in left if passage in t]
+    assert len(rows) == 6 and len(kept) == 1 and kept[0] in texts[:2]
+    assert left == sorted([kept[0], *(own[k] + tail[k] for k in range(6) if texts[k] != kept[0])])
+
+
+def test_one_id_with_a_short_and_a_long_text(frame):
+    passage = "".join(f"The same line of number {k} stands here. " for k in range(30))
+    pairs = [(1, passage), (2, passage + "A tail of its own."), (2, "One line here. Two lines here.")]
+    rows = spans.dedup_spans(frame(*((i, t, "s") for i, t in pairs))).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == [(1, passage), (2, "A tail of its own."), (2, pairs[2][1])]

@@ -6,13 +6,14 @@ NEAR neighbours on both sides. As only near words decide, and sentence ends fewe
 away, a passage is cut alike wherever it stands, but for its first and last few words. (A stretch of
 one or two words over and over has no least word and is one piece.) Every run of SPAN consecutive
 pieces of MIN_WORDS words or more together is hashed and joined globally; a run that holds a piece of
-a cut sentence always has so many. The first place of a run (the smallest doc_id, then the
-place in it) stays; the pieces that any later one covers are removed.
-
-Null text stays null; a text of fewer pieces than a span is left as it is. Rows that repeat
-a doc_id and its text are one document to this operator: all stay as the first one does. A text of
-which all is covered becomes empty. All columns of the input are kept. An empty table gives an empty
-result.
+a cut sentence always has so many. The first place of a run (the smallest doc_id, then the text's
+hash, then the place in it) stays; the pieces that any later one covers are removed.
+
+Null text stays null; a text of fewer pieces than a span is left as it is. A document is known by its
+doc_id, which may be null, and a hash of its text: rows that share both are one document to this
+operator, and all stay as the first one does; rows that share only one are different documents. A text
+of which all is covered becomes empty. All columns of the input are kept. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinage.llm.common import cut
@@ -36,6 +37,8 @@ MIN_WORDS = 8
 NEAR = 2
 #: Words at least in the first and in the last piece of a cut sentence, so that no run that holds one is short.
 EDGE = MIN_WORDS - SPAN + 1
+#: Low bits of a place that number the run; those above are the text's hash. A text has fewer runs than bytes, so 2^31 at most.
+RUN_BITS = 31
 _WIDE_BLANK = re.compile(r"[^\S\x00-\x7f]")
 
 
@@ -142,14 +145,19 @@ def _spans(span: int, repeated: Broadcast | None):
                 at = h & ((1 << FILTER_BITS) - 1)
                 some = np.flatnonzero((repeated.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
                 h, row, pos = h[some], row[some], pos[some]
-            yield pa.RecordBatch.from_arrays([pa.array(h), b.column("doc_id").take(pa.array(row)), pa.array(pos)], names=["h", "doc_id", "place"])
+            high = b.column("text_id").to_numpy(zero_copy_only=False)[row] >> RUN_BITS << RUN_BITS
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column("doc_id").take(pa.array(row)), pa.array(high | pos)], names=["h", "doc_id", "place"])
 
     return run
 
 
+def _text_id(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def spans(docs: DataFrame, span: int = SPAN, repeated: Broadcast | None = None) -> DataFrame:
-    """(h, doc_id, place): every run of `span` pieces, or those that the filter lets through."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(h, doc_id, place): every run of `span` pieces, or those that the filter lets through; place is the text's hash and the run's number."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_id(F.col("text")).alias("text_id"), "text")
     return rows.mapInArrow(_spans(span, repeated), "h long, doc_id long, place long")
 
 
@@ -200,9 +208,11 @@ def repeated_places(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 def dedup_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """docs with repeated pieces removed from text, and n_sentences and n_removed."""
-    starts = repeated_places(docs, span).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("place").alias("_starts"))
-    kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "_starts", "_doc")]
-    joined = docs.select(*kept).join(starts, docs["doc_id"] == starts["_doc"], "left").drop("_doc")
+    number, high = F.col("place").bitwiseAND(F.lit((1 << RUN_BITS) - 1)), lambda c: F.shiftright(c, RUN_BITS)
+    starts = repeated_places(docs, span).groupBy(F.col("doc_id").alias("_doc"), high(F.col("place")).alias("_text")).agg(F.collect_set(number).alias("_starts"))
+    kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "_starts", "_doc", "_text")]
+    same = docs["doc_id"].cast("long").eqNullSafe(starts["_doc"]) & (high(_text_id(docs["text"])) == starts["_text"])
+    joined = docs.select(*kept).join(starts, same, "left").drop("_doc", "_text")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     out = [*kept, "n_sentences", "n_removed"]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", n_sentences long, n_removed long"
