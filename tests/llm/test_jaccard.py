@@ -114,3 +114,13 @@ def test_prefix_of_linked_sets_meets():
         if 100 * both >= 75 * (len(x) + len(y) - both):
             shared = len(np.intersect1d(jaccard.prefix(x, hot), jaccard.prefix(y, hot)))
             assert shared >= -(-min(len(x), len(y)) // jaccard.EXTRA)
+
+
+def test_keep_one_knows_rows_by_id_and_text(frame):
+    """Null ids, and one id with several texts: of each component one row stays, and rows without words all do."""
+    a, b, c, d = ("".join(f"{k}{j} " for j in range(30)) for k in "abcd")
+    pairs = [(None, a), (None, b), (None, c), (None, None), (None, ""), (1, d), (4, c), (4, d), (5, a + "end"), (5, a + "end"), (5, "its own text of a few words"), (6, None), (6, " ")]
+    rows = jaccard.keep_one(frame(*((i, t, "s") for i, t in pairs))).collect()
+    want = [(None, b), (None, None), (None, ""), (1, d), (4, c), (5, a + "end"), (5, "its own text of a few words"), (6, None), (6, " ")]
+    assert sorted((r["doc_id"], r["text"]) for r in rows if r["text"] and r["doc_id"]) == sorted(x for x in want if x[0] and x[1])
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in rows))) == sorted(map(str, want))

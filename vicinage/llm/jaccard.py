@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinage.llm.common import Scratch, cut, release
+from vicinage.llm.common import WORD, Scratch, cut, release
 
 WORDS = 5
 #: Two sets link when 100 * common >= PERCENT * together.
@@ -120,14 +120,15 @@ def _batches(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id) of every row; set_id is null for an empty set."""
+    """(doc_id, text_id, n_shingles, set_id) of every row: text_id is a hash of the text; set_id is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _batches(batches):
             ids = [_set_id(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "text_id", "n_shingles", "set_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_id long, n_shingles long, set_id long")
 
 
 def needed(n: int) -> int:
@@ -318,8 +319,8 @@ def set_links(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
     return labels
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_sets): for every row the least doc_id that links reach, and how many different sets its component has."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """document_sets with comp, component_id and n_sets, which are null for an empty set."""
     spark = docs.sparkSession
     own = cut(document_sets(docs))
     with Scratch(spark) as scratch:
@@ -327,13 +328,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     by = own.where("set_id IS NOT NULL").groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("first"))
     by = cut(_with_comp(by, labels))
     heads = by.groupBy("comp").agg(F.min("first").alias("component_id"), F.count("*").alias("n_sets"))
-    of_set = cut(by.join(heads, "comp").select(F.col("node").alias("set_id"), "component_id", "n_sets"))
+    of_set = cut(by.join(heads, "comp").select(F.col("node").alias("set_id"), "comp", "component_id", "n_sets"))
+    return own.join(of_set, "set_id", "left")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_sets): for every row the least doc_id that links reach, and how many different sets its component has."""
     alone = F.col("component_id").isNull()
-    return own.join(of_set, "set_id", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_sets", F.lit(1).cast("long")).alias("n_sets"))
+    return _labelled(docs).select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_sets", F.lit(1).cast("long")).alias("n_sets"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that whose doc_id names it. All columns are kept."""
-    heads = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head")).distinct()
-    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["_head"])).drop("_head").dropDuplicates(["doc_id"])
-
+    """docs with one row of each component: the least by doc_id (null last), set and text. Rows without tokens all stay, as do all columns."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id", "text_id")
+    heads = _labelled(docs).where("set_id IS NOT NULL").groupBy("comp").agg(F.min(order).alias("head")).select(F.col("head.doc_id").alias("_head"), F.col("head.text_id").alias("_text"))
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    full = docs.where(has_words)
+    kept = full.join(heads, full["doc_id"].cast("long").eqNullSafe(heads["_head"]) & (F.xxhash64(full["text"]) == heads["_text"]))
+    # rows that repeat a doc_id and its text
+    return kept.dropDuplicates(["_head", "_text"]).select(*docs.columns).unionByName(docs.where(~has_words))
