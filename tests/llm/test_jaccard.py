@@ -72,10 +72,25 @@ def test_against_all_pairs(frame, seed):
 
 
 def test_groups_are_bounded_and_opened(frame, monkeypatch):
-    """Without leader rounds the token-group matrix alone finds every link; with hot tokens the order changes but not the result."""
+    """Without leader rounds the token-group matrix alone finds every link."""
     pairs = families(3)
     monkeypatch.setattr(jaccard, "LEADER_ROUNDS", 0)
-    monkeypatch.setattr(jaccard, "HOT", 2)
+    assert got(frame(*((i, t, "s") for i, t in pairs))) == brute(pairs)
+
+
+def test_short_bit_maps_rule_out_no_link(frame, monkeypatch):
+    """Two words of bits a set: maps say little, and links are as before."""
+    pairs = families(4)
+    for name, value in (("MAP", 2), ("PARITY", ["p0", "p1"]), ("UNION", ["u0", "u1"]), ("LEADER_ROUNDS", 0)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert got(frame(*((i, t, "s") for i, t in pairs))) == brute(pairs)
+
+
+def test_passages_of_most_of_a_text(frame):
+    """Boilerplate of 60 to 95 percent in hundreds of texts, around the threshold."""
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(100)]
+    pairs = [(k, " ".join([f"u{k}x{j}" for j in range(rng.randrange(5, 60))] + passage[: rng.choice([60, 100])])) for k in range(300)]
     assert got(frame(*((i, t, "s") for i, t in pairs))) == brute(pairs)
 
 
@@ -103,17 +118,29 @@ def test_shingles_do_not_collide():
     assert len({int(s[0]) for s in jaccard.shingle_sets(texts)}) == 5**5
 
 
-def test_prefix_of_linked_sets_meets():
-    rng = np.random.default_rng(5)
-    for _ in range(300):
+def linked_sets(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(400):
         n = int(rng.integers(1, 60))
         x = np.unique(rng.integers(0, 10**6, n))
         y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 10**6, int(rng.integers(0, 4)))]))
-        hot = np.unique(x[rng.random(len(x)) < 0.4])
         both = len(np.intersect1d(x, y))
         if 100 * both >= 75 * (len(x) + len(y) - both):
-            shared = len(np.intersect1d(jaccard.prefix(x, hot), jaccard.prefix(y, hot)))
-            assert shared >= -(-min(len(x), len(y)) // jaccard.EXTRA)
+            yield x, y
+
+
+def test_prefix_of_linked_sets_meets():
+    for x, y in linked_sets(5):
+        shared = len(np.intersect1d(jaccard.prefix(x), jaccard.prefix(y)))
+        assert shared >= -(-min(len(x), len(y)) // jaccard.EXTRA)
+
+
+def test_bit_maps_bound_what_differs():
+    ones = lambda words: int(np.bitwise_count(words.view(np.uint64)).sum())
+    for x, y in linked_sets(6):
+        a, b = jaccard.bit_maps([x, y])
+        p, u = slice(0, jaccard.MAP), slice(jaccard.MAP, 2 * jaccard.MAP)
+        assert ones(a[p] ^ b[p]) <= len(np.setxor1d(x, y)) and ones(a[u] & ~b[u]) <= len(np.setdiff1d(x, y))
 
 
 def test_keep_one_knows_rows_by_id_and_text(frame):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,7 +46,6 @@ class Scratch:
 
     def table(self, name: str, df: DataFrame, *partition_by: str) -> DataFrame:
         df.write.partitionBy(*partition_by).parquet(f"{self.path}/{name}")
-        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}") if not partition_by else self.spark.read.parquet(f"{self.path}/{name}")
 
     def drop(self, name: str = "") -> None:
@@ -55,18 +54,21 @@ class Scratch:
 
     def __exit__(self, *_: object) -> None:
         self.drop()
-        release(self.spark)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs before the next large one.
-
-    Plans are held from Python and, until that is told, from the JVM; so both collect, twice.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+@contextmanager
+def shuffles_end_with_their_query(spark: SparkSession) -> Iterator[None]:
+    """Inside the block Spark removes a query's shuffle files when it ends, not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def n_words(text: Column) -> Column:

@@ -1,51 +1,55 @@
 """N-gram Jaccard join: exact links between shingle sets, and the components that they form.
 
-Equal sets are one node, known by a 64-bit fingerprint. Two nodes whose Jaccard similarity is at
-least t share l tokens or more within the first n - ceil(t n) + l tokens of each, in any one global
-order of tokens; the order here puts very frequent tokens last, then goes by hash, and l is a fifth
-of the set. Nodes that share fewer of these tokens with anything link with nothing and go, and so do
-those of which fewer than ceil(t n) tokens of the whole set are in any other that is left. Then:
-
-1. Leader rounds. Every node is compared with one leader for each of its tokens; what links forms
-   groups of similar documents (connected components). No pair of members is formed.
-2. Token-group matrix. Only tokens whose nodes lie in several groups are left. For each such group
-   the union of its members' tokens is stored, one row a token. A node can link into a group only
-   if at least l of its tokens are in the union; the overlap is counted by one join, and only
-   groups that reach it are opened, that is, compared member by member.
-
-So no link between different texts is lost, and hot groups of copies cost one comparison a member.
-Comparisons count common tokens of whole sets; 64-bit hashes stand for tokens and for sets.
+Equal sets are one node, known by a 64-bit fingerprint. Linked sets have much in common, so every step
+keeps only what can still link, and none forms the pairs of a group:
+
+1. Screens. A node stays only if enough of its first tokens in hash order (l is a tenth of the set, see
+   `prefix`) are in the same place of other nodes; then only if ceil(t n) tokens of its whole set are
+   in other nodes that are left. What has a quarter of its tokens to itself links with nothing.
+2. Leader rounds. Tokens are ordered by the groups that have them, fewest first; of two nodes that link in
+   c tokens, both have one in the first s - c + 1 of their s shared ones. Every node is compared with two
+   leaders for each of these tokens: the node most covered by others, which a family of copies has in common,
+   and a drawn one. What links forms groups of similar documents (connected components).
+3. Token-group matrix. For each of these tokens that lies in several groups, the matrix has a row for each group,
+   with its sizes and the union of its members' tokens as a bit map. A node asks the groups that are larger than
+   its own; those whose union can't cover enough of the node stay shut. Opened groups are compared
+   member by member, by bit maps of token parity first, then on whole sets.
+
+No link between different texts is lost: bit maps and bounds only rule out what can't link. A family of m texts that
+are near each other but do not link takes up to m^2 comparisons of bit maps for each token they start with, inside
+one join, which puts out only the pairs that pass; bit maps tell sets of some 700 tokens and less apart, and
+pairs of longer ones go on to whole sets. Comparisons count common tokens of whole sets; 64-bit hashes stand for tokens,
+for sets and for texts, so that among 10^10 different texts a few may be taken for equal.
 
 A text with fewer words than a shingle has its whole sequence as its one token. Null texts and
-texts without words have no tokens: n_shingles is 0 and they are linked with nothing. Rows that
-repeat a doc_id are joined as one document if their texts' sets link, else each for itself. An
-empty table gives an empty result.
+texts without words have no tokens: n_shingles is 0 and they are linked with nothing. Very long texts are taken
+whole: a task holds one of them with its hashes, some 60 bytes for each of the text's. Rows that
+repeat a doc_id are joined as one document if their texts' sets link, else each for itself. Columns beside doc_id and
+text are not read, so their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vicinage.llm.common import WORD, Scratch, cut, release
+from vicinage.llm.common import WORD, Scratch, cut, shuffles_end_with_their_query
 
 WORDS = 5
 #: Two sets link when 100 * common >= PERCENT * together.
 PERCENT = 75
-#: l is a fifth (one by EXTRA) of a set, rounded up.
-EXTRA = 5
-#: Tokens of more nodes than HOT go last in the order; at most HOT_TOKENS do, which bounds what is broadcast (8 bytes each).
-HOT, HOT_TOKENS = 8, 1 << 19
-#: Bits of the filter over node ids (a fixed 4 MB, whatever the corpus).
-FILTER_BITS = 25
-#: Rounds with one leader a token, before groups are bounded.
-LEADER_ROUNDS = 3
+#: l of the first screen is a tenth (one by EXTRA) of a set, rounded up.
+EXTRA = 10
+#: 64-bit words of a set's bit maps.
+MAP = 16
+#: Rounds with leaders, before groups are bounded.
+LEADER_ROUNDS = 2
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -65,7 +69,7 @@ _PLACE = _mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 def _power_tables(n: int) -> list[np.ndarray]:
     """base^i and base^-i modulo 2^64, for i < n."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 20)
         _powers.clear()
         for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, b, dtype=np.uint64)
@@ -108,7 +112,7 @@ def _set_id(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of about `most` characters with their sets."""
     for whole in batches:
         texts, first, size = whole.column("text").to_pylist(), 0, 0
@@ -136,37 +140,25 @@ def needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def prefix(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The tokens of which a linked set must share l or more: the first in the order (frequent ones last, then by hash)."""
-    n = len(tokens) - needed(len(tokens)) - (-len(tokens) // EXTRA)
-    head = tokens[:n]
-    if not len(hot) or not _among(head, hot).any():
-        return head
-    late = _among(tokens, hot)
-    return np.concatenate([tokens[~late], tokens[late]])[:n]
-
-
-def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(ordered, x)
-    at[at == len(ordered)] = 0
-    return ordered[at] == x
+def prefix(tokens: np.ndarray) -> np.ndarray:
+    """The first tokens in hash order, of which any two linked sets share l or more, l being that of the smaller."""
+    return tokens[: len(tokens) - needed(len(tokens)) - (-len(tokens) // EXTRA)]
 
 
 def least_shared(n: Column) -> Column:
     """The least l of a set of n tokens and of any set that it links with, as that one may be smaller."""
-    smallest = F.ceil(PERCENT * n / 100)
-    return F.ceil(smallest / EXTRA)
+    return F.ceil(F.ceil(PERCENT * n / 100) / EXTRA)
 
 
-def prefix_rows(docs: DataFrame, hot: Broadcast) -> DataFrame:
+def prefix_rows(docs: DataFrame) -> DataFrame:
     """(h, node, n) for each token of each node's prefix; a task gives each node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, done = hot.value, set()
+        done: set[int] = set()
         for _, sets in _batches(batches):
             new = {i: s for s in sets if len(s) and (i := _set_id(s)) not in done}
             done.update(new)
-            heads = [prefix(s, late) for s in new.values()]
+            heads = [prefix(s) for s in new.values()]
             n = [len(h) for h in heads]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(list(new), dtype=np.int64), n)), pa.array(np.repeat(np.array([len(s) for s in new.values()], dtype=np.int32), n))],
@@ -176,52 +168,75 @@ def prefix_rows(docs: DataFrame, hot: Broadcast) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, node long, n int")
 
 
-def hot_tokens(docs: DataFrame) -> np.ndarray:
-    """The most frequent tokens of all prefixes in hash order, at most HOT_TOKENS."""
-    spark = docs.sparkSession
-    rows = prefix_rows(docs, spark.sparkContext.broadcast(np.zeros(0, np.int64)))
-    counts = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    found = counts.orderBy(F.desc("n"), "h").limit(HOT_TOKENS).select("h").toPandas()
-    return np.sort(found["h"].to_numpy(dtype=np.int64))
+def _several(rows: DataFrame, what: str = "node") -> DataFrame:
+    """Tokens that several nodes (or groups) have."""
+    return rows.groupBy("h").agg(F.min(what).alias("lo"), F.max(what).alias("hi")).where("lo <> hi").select("h")
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit for each remainder of an id that is among ids[column]: 2^FILTER_BITS bits, merged by Spark."""
-    place = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = ids.groupBy(F.shiftright(place, 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-    out[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-    return out
+def screened(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node) of nodes that share enough tokens of their prefixes with others. Copies of a node in other tasks may let more through."""
+    rows = prefix_rows(docs)
+    shared = scratch.table("shared", _several(rows))
+    counts = rows.join(shared, "h", "left_semi").groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    return scratch.table("screened", counts.where(F.col("k") >= least_shared(F.col("n"))).select("node"))
+
 
+def bit_maps(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set 2 * MAP words: the parity of its tokens on each bit, then the bits that any token has."""
+    bits = 64 * MAP
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    tokens = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+    counts = np.bincount(row * bits + (tokens & (bits - 1)), minlength=len(sets) * bits).reshape(len(sets), bits)
+    return np.concatenate([np.packbits(x, axis=1, bitorder="little").view("<i8") for x in (counts & 1 == 1, counts > 0)], axis=1)
 
-def _passes(bits: np.ndarray, node: int) -> bool:
-    at = node & ((1 << FILTER_BITS) - 1)
-    return bool((int(bits[at >> 6]) >> (at & 63)) & 1)
 
+PARITY = [f"p{k}" for k in range(MAP)]
+UNION = [f"u{k}" for k in range(MAP)]
 
-def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, tokens) of the given nodes, each once."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(nodes, "node"))
+
+def node_sets(docs: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, tokens, bit maps) of the given nodes, each once: of the rows that have a set, the first one's text is read."""
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_z")]
+    wanted = own.join(nodes, own["set_id"] == nodes["node"]).groupBy("node").agg(F.min(F.struct(*key, "text_id")).alias("r")).select("node", "r.*")
+    texts = docs.select(*key, F.xxhash64("text").alias("text_id"), "text").groupBy("_d", "_z", "text_id").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, done = bits.value, set()
-        for _, sets in _batches(batches):
-            new = {i: s for s in sets if len(s) and (i := _set_id(s)) not in done and _passes(wanted, i)}
-            done.update(new)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in new.values()])]).astype(np.int32)
-            values = np.concatenate(list(new.values())) if new else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["node", "tokens"])
+        for b, sets in _batches(batches):
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            maps = bit_maps(sets)
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(np.diff(offsets)), tokens, *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(2 * MAP))], names=["node", "n", "tokens", *PARITY, *UNION])
+
+    found = texts.join(wanted, ["_d", "_z", "text_id"]).select("node", "text")
+    return found.mapInArrow(run, "node long, n int, tokens array<long>, " + ", ".join(f"{c} long" for c in PARITY + UNION))
+
+
+def _rows(sets: DataFrame) -> DataFrame:
+    return sets.select(F.explode("tokens").alias("h"), "node", "n")
+
+
+def coverable(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those sets of which at least ceil(t n) of n tokens are in other ones too."""
+    rows = _rows(sets)
+    shared = scratch.table("shared_by_sets", _several(rows))
+    counts = rows.join(shared, "h", "left_semi").groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    return scratch.table("sets", sets.join(counts.where(100 * F.col("k") >= PERCENT * F.col("n")).select("node"), "node", "left_semi"))
+
 
-    found = docs.select("text").mapInArrow(run, "node long, tokens array<long>")
-    return found.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
+def together(c: Column, n: Column, m: Column) -> Column:
+    """Whether c common tokens or more can link sets of n and m tokens."""
+    return (100 + PERCENT) * c >= PERCENT * (n + m)
+
+
+def fits(n: Column, m: Column) -> Column:
+    return (PERCENT * n <= 100 * m) & (PERCENT * m <= 100 * n)
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs(a, na, b, nb) whose sets link, by common tokens of the whole sets."""
-    near = pairs.where((PERCENT * F.col("na") <= 100 * F.col("nb")) & (PERCENT * F.col("nb") <= 100 * F.col("na")))
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.withColumn("_c", common).where(100 * F.col("_c") >= PERCENT * (F.col("na") + F.col("nb") - F.col("_c"))).select("a", "b")
+    """Those of pairs(a, b) whose sets link, by common tokens of the whole sets."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(together(F.size(F.array_intersect("ta", "tb")), F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -245,90 +260,109 @@ def _with_comp(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _several(rows: DataFrame) -> DataFrame:
-    """Tokens whose nodes lie in several groups."""
-    return rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+def with_groups(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(h, node, n, comp, g): rows of tokens that lie in g groups, two or more."""
+    here = _with_comp(rows.select("h", "node", "n"), labels)
+    each = here if labels is None else here.select("h", "comp").distinct()
+    # one row a token on the other side: a hot token's rows can be split over tasks
+    return here.join(each.groupBy("h").agg(F.count("*").alias("g")).where("g > 1"), "h")
 
 
-def leader_pairs(rows: DataFrame, k: int) -> DataFrame:
-    """Pairs (a, na, b, nb) of each node with the leader that round k picks for its token, if they are in different groups."""
-    draw = F.xxhash64("node", F.lit(k))
-    first = rows.groupBy("h").agg(F.min(draw).alias("d"))
-    leads = rows.select("h", draw.alias("d"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(first, ["h", "d"]).dropDuplicates(["h"]).drop("d")
-    return rows.join(leads, "h").where(F.col("comp") != F.col("cb")).select(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
+def active(rows: DataFrame) -> DataFrame:
+    """rows(h, node, n, comp, g) of nodes of which ceil(t n) tokens are left, with s: how many are, and pos: the token's place among them, those in few groups first."""
+    own = Window.partitionBy("node")
+    rows = rows.withColumn("s", F.count("*").over(own)).where(100 * F.col("s") >= PERCENT * F.col("n"))
+    return rows.withColumn("pos", F.row_number().over(own.orderBy("g", "h")))
 
 
-def group_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, na, b, nb) of each node with the members of every later group that its bound in the token-group matrix doesn't rule out; a pair's other side need not ask."""
-    members = rows.select("h", F.col("comp").alias("grp"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    matrix = members.groupBy("h", "grp").agg(F.min("nb").alias("least"), F.max("nb").alias("most"))
-    fits = (100 * F.col("most") >= PERCENT * F.col("n")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
-    overlap = rows.join(matrix, "h").where((F.col("comp") < F.col("grp")) & fits).groupBy("node", "n", "grp").agg(F.count("*").alias("overlap"))
-    opened = scratch.table("opened", overlap.where(F.col("overlap") >= least_shared(F.col("n"))).select("node", "grp"))
-    common = rows.join(opened, "node").join(members, ["h", "grp"]).groupBy(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count("*").alias("common"))
-    return common.where(F.col("common") >= least_shared(F.least("na", "nb"))).drop("common")
+def first_tokens(rows: DataFrame) -> DataFrame:
+    """Rows whose token can be the first that the node has in common with a linked one."""
+    return rows.where(100 * (F.col("s") - F.col("pos") + 1) >= PERCENT * F.col("n"))
 
 
-def with_enough_shared(rows: DataFrame, scratch: Scratch, rounds: int = 2) -> DataFrame:
-    """Without nodes that share too few tokens with others; as their going makes tokens single, a second round follows."""
-    for k in range(rounds):
-        counts = rows.groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("m"))
-        kept = counts.where(F.col("k") >= least_shared(F.col("m"))).select("node")
-        rows = rows.join(kept, "node", "left_semi")
-        shared = rows.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h")
-        rows = scratch.table(f"rows{k}", rows.join(shared, "h"))
-    return rows
+def may_link(x: str, y: str) -> Column:
+    """Whether two rows of one token can be the first common one of sets that link, by places and sizes."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    left = lambda r: F.col(f"{r}.s") - F.col(f"{r}.pos") + 1
+    return fits(n, m) & together(F.least(left(x), left(y)), n, m) & (F.col(f"{x}.comp") != F.col(f"{y}.comp"))
 
 
-def coverable(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node) of sets of which enough tokens are in other ones too: whole sets, at least ceil(t n) of n."""
-    tokens = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("h"))
-    shared = scratch.table("shared_by_sets", tokens.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h"))
-    counts = tokens.join(shared, "h").groupBy("node", "n").agg(F.count("*").alias("k"))
-    return scratch.table("coverable", counts.where(100 * F.col("k") >= PERCENT * F.col("n")).select("node"))
+def leader_pairs(firsts: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """Pairs (a, b) of each node with the two leaders of its first tokens, if they are in different groups."""
+    node, draw = F.struct("node", "n", "s", "pos", "comp"), F.xxhash64("node", F.lit(k))
+    leaders = F.array(F.max_by(node, F.struct(F.col("s") / F.col("n"), draw)), F.min_by(node, draw))
+    # written, as the join with them is then one that Spark splits when a token is hot
+    leads = scratch.table(f"leaders{k}", firsts.groupBy("h").agg(leaders.alias("l")).select("h", F.explode("l").alias("l")).select("h", "l.*"))
+    return firsts.alias("x").join(leads.alias("y"), F.col("x.h") == F.col("y.h")).where(may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _ones(words: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [F.bit_count(w) for w in words])
+
+
+def differ(x: str, y: str) -> Column:
+    """A lower bound of the tokens that only one of two sets has, by parity."""
+    return _ones([F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")) for c in PARITY])
 
 
-def set_links(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
+def apart(d: Column, n: Column, m: Column) -> Column:
+    """Whether sets of n and m tokens that differ in d or more can't link."""
+    return (100 + PERCENT) * d > (100 - PERCENT) * (n + m)
+
+
+def group_pairs(firsts: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes with members of other groups that the bounds don't rule out."""
+    maps = sets.select("node", *PARITY, *UNION)
+    nodes = firsts.select("node", "n", "comp").distinct().join(maps, "node")
+    union = [F.expr(f"bit_or({c})").alias(c) for c in UNION] + [F.max(c).alias(c) for c in PARITY]
+    groups = scratch.table("groups", nodes.groupBy(F.col("comp").alias("grp")).agg(F.count("*").alias("members"), *union))
+    matrix = firsts.groupBy("h", F.col("comp").alias("grp")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = scratch.table("matrix", matrix.join(groups, "grp"))
+    # a node asks larger groups alone, so the members of a token's largest group need not ask for it
+    largest = scratch.table("largest", matrix.groupBy("h").agg(F.max(F.struct("members", "grp")).alias("top")))
+    size = groups.select(F.col("grp").alias("comp"), "members")
+    asking = firsts.join(size, "comp").join(largest, "h").where(F.struct("members", F.col("comp").alias("grp")) < F.col("top")).drop("top")
+    asking = scratch.table("asking", asking.join(maps, "node"))
+    n, least = F.col("x.n"), F.greatest(F.col("y.least"), F.ceil(PERCENT * F.col("x.n") / 100))
+    later = F.struct("x.members", F.col("x.comp").alias("grp")) < F.struct("y.members", "y.grp")
+    in_size = (100 * F.col("y.most") >= PERCENT * n) & (PERCENT * F.col("y.least") <= 100 * n) & together(F.col("x.s") - F.col("x.pos") + 1, n, least)
+    outside = _ones([F.col(f"x.{c}").bitwiseAND(F.bitwise_not(F.col(f"y.{c}"))) for c in UNION])
+    covered = F.when(F.col("y.members") == 1, ~apart(differ("x", "y"), n, F.col("y.most"))).otherwise(together(n - outside, n, least))
+    opened = asking.alias("x").join(matrix.alias("y"), F.col("x.h") == F.col("y.h")).where(later & in_size & covered)
+    opened = scratch.table("opened", opened.select("x.node", "y.grp").distinct())
+    side = scratch.table("members", firsts.join(maps.select("node", *PARITY), "node"))
+    x = side.join(opened, "node").alias("x")
+    same = (F.col("x.h") == F.col("y.h")) & (F.col("x.grp") == F.col("y.comp"))
+    pairs = x.join(side.alias("y"), same).where(may_link("x", "y") & ~apart(differ("x", "y"), n, F.col("y.n")))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def set_links(docs: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(node, comp) of every node that links with another one; None if none does."""
-    spark: SparkSession = docs.sparkSession
-    hot = spark.sparkContext.broadcast(hot_tokens(docs))
-    release(spark)
-    rows = prefix_rows(docs, hot)
-    shared = scratch.table("shared", rows.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h"))
-    # one row a token on the other side: a hot token's rows can be split over tasks
-    rows = scratch.table("rows", rows.join(shared, "h").distinct())
-    rows = with_enough_shared(rows, scratch)
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"))
-    sets = scratch.table("all_sets", node_sets(docs, nodes))
-    kept = coverable(sets, scratch)
-    rows, sets = scratch.table("kept_rows", rows.join(kept, "node", "left_semi")), scratch.table("kept_sets", sets.join(kept, "node", "left_semi"))
-    links, labels = None, None
-    for k in range(LEADER_ROUNDS):
-        here = _with_comp(rows, labels)
-        left = here if labels is None else here.join(_several(here), "h", "left_semi")
-        new = scratch.table(f"links{k}", linked(leader_pairs(scratch.table(f"left{k}", left), k), sets))
-        if new.isEmpty():
-            break
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
-    here = _with_comp(rows, labels)
-    left = scratch.table("left", here.join(_several(here), "h", "left_semi"))
-    last = scratch.table("last", linked(group_pairs(left, scratch), sets))
-    if not last.isEmpty():
-        labels = components(last if links is None else links.unionByName(last))
+    sets = coverable(scratch.table("screened_sets", node_sets(docs, own, screened(docs, scratch))), scratch)
+    rows, links, labels = _rows(sets), None, None
+    for k in range(LEADER_ROUNDS + 1):
+        # groups only grow, so what is in one group alone, and nodes too little of which is left, need not come back
+        rows = scratch.table(f"rows{k}", active(with_groups(rows, labels)))
+        firsts = scratch.table(f"firsts{k}", first_tokens(rows))
+        pairs = leader_pairs(firsts, scratch, k) if k < LEADER_ROUNDS else group_pairs(firsts, sets, scratch)
+        new = scratch.table(f"links{k}", linked(pairs, sets))
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
     return labels
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
     """document_sets with comp, component_id and n_sets, which are null for an empty set."""
-    spark = docs.sparkSession
-    own = cut(document_sets(docs))
-    with Scratch(spark) as scratch:
-        labels = set_links(docs, scratch)
-    by = own.where("set_id IS NOT NULL").groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("first"))
-    by = cut(_with_comp(by, labels))
+    spark: SparkSession = docs.sparkSession
+    with shuffles_end_with_their_query(spark), Scratch(spark) as scratch:
+        own = cut(document_sets(docs))
+        labels = set_links(docs, own, scratch)
+        by = own.where("set_id IS NOT NULL").groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("first"))
+        by = cut(_with_comp(by, labels))
     heads = by.groupBy("comp").agg(F.min("first").alias("component_id"), F.count("*").alias("n_sets"))
-    of_set = cut(by.join(heads, "comp").select(F.col("node").alias("set_id"), "comp", "component_id", "n_sets"))
+    of_set = by.join(heads, "comp").select(F.col("node").alias("set_id"), "comp", "component_id", "n_sets")
     return own.join(of_set, "set_id", "left")
 
 

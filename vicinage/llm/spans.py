@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinage.llm.common import cut
-from vicinage.llm.jaccard import FILTER_BITS, _mix, _power_tables, id_filter
+from vicinage.llm.jaccard import _mix, _power_tables
 
 SPAN = 3
 #: Words of a span at least; shorter runs ("Yes. No. Oh.") may repeat by chance.
@@ -39,6 +39,8 @@ NEAR = 2
 EDGE = MIN_WORDS - SPAN + 1
 #: Low bits of a place that number the run; those above are the text's hash. A text has fewer runs than bytes, so 2^31 at most.
 RUN_BITS = 31
+#: Bits of the filter over run hashes (a fixed 4 MB, whatever the corpus).
+FILTER_BITS = 25
 _WIDE_BLANK = re.compile(r"[^\S\x00-\x7f]")
 
 
@@ -195,6 +197,15 @@ def _rebuild(span: int, columns: list[str]):
     return run
 
 
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit for each remainder of an id that is among ids[column]: 2^FILTER_BITS bits, merged by Spark."""
+    place = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = ids.groupBy(F.shiftright(place, 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    out[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
 def repeated_places(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, place) of every repeated run but its first. Counts are summed before the shuffle, so a hot run is one row a task there."""
     at = F.struct("doc_id", "place")
