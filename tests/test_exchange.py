@@ -84,9 +84,25 @@ def test_describe_and_collect(spark):
     assert counts.first().asDict() == {"chosen": 3, "cached": 1, "pending": 2}
     whole, _ = jobs.describe_job(rec, cache, "deviation_exact")
     assert whole.count() == 5
-    new, table = jobs.collect_job(rec, cache, spark.createDataFrame([(answer(4, "new"),), (answer(6, "newer"),)], "value string"))
+    new, table, left = jobs.collect_job(rec, cache, spark.createDataFrame([(answer(4, "new"),), (answer(6, "newer"),)], "value string"))
     assert {r["id"]: r["summary"] for r in new.collect()} == {4: "new", 6: "newer"}
     assert table.columns == ["price", "summary"] and table.where("summary IS NOT NULL").count() == 2
+    assert left.first().asDict() == {"described": 2, "missing": 4}
+
+
+def test_retry(spark):
+    rec = spark.createDataFrame([(i, [("cafe", 0, i, 10 * i)], [("Old Mill", 5)] if i % 2 else [], 1.0) for i in range(1, 5)], RECORDS)
+    drafts = spark.createDataFrame([(1, "by the Old Mill"), (2, "by the Old Mill"), (3, "quiet")], CACHE)
+    kept, sent = jobs.retry_job(rec, drafts, jobs.flat_density(rec), "proximity")
+    assert sorted(r["id"] for r in kept.collect()) == [1, 3]
+    (again,) = sent.collect()
+    assert again["custom_id"] == "2" and "NOT in the list: ['Old Mill']" in again["request"] and "How close" in again["request"]
+
+
+def test_batches_are_full(spark):
+    got = {r["batch_no"]: r["count"] for r in exchange.batched(spark.range(103), 10, part_rows=7).groupBy("batch_no").count().collect()}
+    assert got == {k: 10 for k in range(10)} | {10: 3}
+    assert exchange.batched(spark.range(0), 10).count() == 0
 
 
 def test_stream_of_results(spark, tmp_path):

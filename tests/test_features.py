@@ -1,4 +1,7 @@
+import statistics
+
 import pytest
+from pyspark.sql import functions as F
 
 from vicinage.operators import features
 
@@ -20,6 +23,24 @@ def test_fill_and_codes(spark):
     assert features.structured(df.limit(0), "id", ("text",)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 101])
+def test_medians_are_exact(spark, n):
+    values = [(k * 37 % 11) / 4 for k in range(n)]
+    df = spark.createDataFrame([(v, -v if k % 3 else None) for k, v in enumerate(values)], "a double, b double")
+    rest = [-v for k, v in enumerate(values) if k % 3]
+    want = {"a": statistics.median(values), "b": statistics.median(rest) if rest else None}
+    assert features.medians(df, ["a", "b"]) == want
+
+
+def test_codes_over_ranges(spark):
+    """Codes follow the sorted order of all values, however many ranges they are dealt to."""
+    df = spark.range(500).select("id", F.concat(F.lit("v"), F.md5(F.col("id").cast("string"))).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("w"))
+    rows = features.encode(df, "v", "w").collect()
+    order = {v: k for k, v in enumerate(sorted(r["v"] for r in df.collect()))}
+    assert {r["id"]: r["v"] for r in rows} == {r["id"]: order[r["v"]] for r in df.collect()}
+    assert all(r["w"] == (r["id"] % 7 if r["id"] % 3 else -1) for r in rows)
+
+
 def test_conditions(spark):
     sets = features.condition_sets(spark.createDataFrame(ROWS, SCHEMA), "id", "num", "text", "mostly")
     assert set(sets) == {"structured", "unstructured_text", "joint_text", "unstructured_image", "joint_image"}

@@ -1,4 +1,5 @@
 import json
+import struct
 
 from vicinage.functions import geo
 from vicinage.plans import fixtures as fx
@@ -16,12 +17,12 @@ def test_scrape_csv_and_clean_job(spark, tmp_path):
 
 
 def test_places_parquet(spark, tmp_path):
-    schema = "names struct<primary:string>, categories struct<primary:string>, bbox struct<xmin:double,xmax:double,ymin:double,ymax:double>, confidence double, geometry string"
-    place = lambda n, c, x, y, f=0.9, g="POINT": ((n,), (c,), (x, x, y, y), f, g)
+    schema = "id string, names struct<primary:string>, categories struct<primary:string>, bbox struct<xmin:double,xmax:double,ymin:double,ymax:double>, confidence double, geometry string"
+    place = lambda n, c, x, y, f=0.9, g="POINT (-74 40.7)": (f"p{n}", (n,), (c,), (x, x, y, y), f, g)
     rows = [place("a", "bar", -74.0, 40.7), place("b", "dentist", -74.0, 40.7), place("c", "bar", -75.0, 40.7), place("d", "bar", -74.0, 40.7, 0.5), place("e", "bar", -74.0, 40.7, 0.9, None), place(None, "bus_stop", -74.0, 40.7)]
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/p")
     got = readers.places_parquet(spark, f"{tmp_path}/p", fx.taxonomy(spark), (-74.1, -73.9, 40.6, 40.8))
-    assert sorted(str(r["name"]) for r in got.collect()) == ["None", "a"]
+    assert sorted((r["poi_id"], str(r["name"])) for r in got.collect()) == [("pNone", "None"), ("pa", "a")]
     plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
     assert "GreaterThanOrEqual(bbox.xmin,-74.1)" in plan and "GreaterThanOrEqual(confidence,0.6)" in plan
 
@@ -59,3 +60,33 @@ def test_table_writer(spark, tmp_path):
     writers.write_variants(held, "id", f"{tmp_path}/v", f"{tmp_path}/e")
     assert spark.read.parquet(f"{tmp_path}/v").columns == ["price"] and spark.read.parquet(f"{tmp_path}/e").columns == ["id", "price", "surroundings"]
     assert writers.published(held, "id").columns == ["price", "lat"]
+
+
+def test_long_names_stay_whole(spark):
+    name = 'x "q"]' + "y" * 3_000_000 + "]"
+    df = spark.createDataFrame([([], [(name, 5)])], "cats array<struct<bucket:string,n_doorstep:int,n_radius:int,nearest_m:int>>, landmarks array<struct<name:string,dist_m:int>>")
+    assert json.loads(df.select(writers.record_json(geo.F.col("cats"), geo.F.col("landmarks")).alias("t")).first()["t"]) == {"cats": {}, "landmarks": [[name, 5]]}
+
+
+def test_wkb(spark):
+    le = lambda form, *v: struct.pack("<" + form, *v)
+    point, line = le("BIdd", 1, 1, 1.5, -2.0), le("BII4d", 1, 2, 2, 0.0, 0.0, 1.0, 1.0)
+    area = le("BIII6d", 1, 3, 1, 3, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0)
+    shapes = [point, line, area, le("BII", 1, 6, 1) + area, struct.pack(">BIIdd", 0, 0x20000001, 4326, 1.0, 2.0), le("BIddd", 1, 1001, 1.0, 2.0, 3.0), b"\x01", None]
+    got = [r["w"] for r in spark.createDataFrame([(k, b) for k, b in enumerate(shapes)], "k int, b binary").select("k", geo.wkb_text("b").alias("w")).orderBy("k").collect()]
+    assert got == ["POINT (1.5 -2.0)", "LINESTRING (0.0 0.0,1.0 1.0)", "POLYGON ((0.0 0.0,1.0 0.0,0.0 1.0))", "MULTIPOLYGON (((0.0 0.0,1.0 0.0,0.0 1.0)))", "POINT (1.0 2.0)", "POINT (1.0 2.0)", None, None]
+
+
+def test_enrich_from_files(spark, tmp_path):
+    """Places whose id is named like the listings' key, a park measured to its edge, and one far outside the extent."""
+    schema = "id string, names struct<primary:string>, categories struct<primary:string>, bbox struct<xmin:double,xmax:double,ymin:double,ymax:double>, confidence double, geometry binary"
+    point = lambda i, c, x, y: (i, (i,), (c,), (x, x, y, y), 0.9, struct.pack("<BIdd", 1, 1, x, y))
+    ring = [(-73.99, 40.75), (-73.95, 40.75), (-73.95, 40.79), (-73.99, 40.79), (-73.99, 40.75)]
+    park = ("park", ("park",), ("beach",), (-73.99, -73.95, 40.75, 40.79), 0.9, struct.pack("<BIII10d", 1, 3, 1, 5, *(v for p in ring for v in p)))
+    spark.createDataFrame([point("a", "bar", -73.9951, 40.76), point("b", "bar", -73.0, 40.76), park], schema).write.parquet(f"{tmp_path}/p")
+    listings = spark.createDataFrame([(7, "Entire", -73.995, 40.76), (8, "Private", -73.97, 40.77), (9, "Private", -73.9, 40.6)], "id long, room_type string, long double, lat double")
+    marks = spark.createDataFrame([(0, "Mill", "POINT (0 0)")], "ord int, name string, wkt string")
+    for salts in (1, 4):
+        rows = {r["id"]: {c["bucket"]: (c["n_doorstep"], c["n_radius"], c["nearest_m"]) for c in r["cats"]} for r in jobs.enrich_files_job(listings, f"{tmp_path}/p", fx.taxonomy(spark), marks, salts=salts).collect()}
+        assert set(rows) == {7, 8} and rows[8] == {"park_green": (1, 1, 0)}
+        assert rows[7]["nightlife"][1:] == (1, 8) and rows[7]["park_green"][1] == 1 and 415 < rows[7]["park_green"][2] < 430

@@ -80,9 +80,10 @@ def test_views(spark):
 def test_facts(spark):
     rows = [(1, 1, "A", "cafe", "", None, None), (1, 2, "A", None, "shop", None, None), (1, 3, None, "cafe", None, None, None), (1, 4, "", "cafe", None, None, None), (1, 5, "B", None, None, None, None), (2, 6, None, None, None, "zoo", "park")]
     df = spark.createDataFrame(rows, "id long, pos long, name string, amenity string, shop string, tourism string, leisure string")
-    counts, names = render.place_facts(df, ["pos"])
-    assert {(r["id"], r["kind"]): r["n"] for r in counts.collect()} == {(1, "cafe"): 3, (1, None): 1, (2, "zoo"): 1}
-    text = {r["id"]: r["text"] for r in render.facts_block(counts, names).collect()}
+    places = render.name_ids(df.drop("id"), "pos")
+    facts = render.place_facts(df.select("id", "pos").join(places.select("pos", "name_id"), "pos"), places, place="pos")
+    assert {(r["id"], k["kind"]): k["n"] for r in facts.collect() for k in r["kinds"]} == {(1, "cafe"): 3, (1, None): 1, (2, "zoo"): 1}
+    text = {r["id"]: r["text"] for r in render.facts_block(facts).collect()}
     assert text == {1: "Place types (count): {'cafe': 3, None: 1}\nPlaces: A, B", 2: "Place types (count): {'zoo': 1}\nPlaces: (none)"}
 
 

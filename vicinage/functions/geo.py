@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import struct
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: WGS 84: equatorial radius in metres and flattening; UTM scale and false easting.
 _A, _FLAT, _K0, _EAST = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0
@@ -77,5 +80,53 @@ def ring_segments(ring: Column) -> Column:
     return pairs
 
 
+@F.pandas_udf(StringType())
+def wkb_text(shapes: pd.Series) -> pd.Series:
+    """WKT of WKB points, lines, areas and MULTI* of these, as far as two dimensions go; null for other bytes."""
+    return shapes.map(lambda b: None if b is None else _wkt(bytes(b)), na_action="ignore")
+
+
+def _wkt(b: bytes) -> str | None:
+    kinds = {1: "POINT", 2: "LINESTRING", 3: "POLYGON", 4: "MULTIPOINT", 5: "MULTILINESTRING", 6: "MULTIPOLYGON"}
+
+    def take(form: str, at: int) -> tuple[tuple, int]:
+        return struct.unpack_from(form, b, at), at + struct.calcsize(form)
+
+    def points(end: str, at: int, width: int) -> tuple[str, int]:
+        (n,), at = take(f"{end}I", at)
+        v, at = take(f"{end}{n * width}d", at)
+        return "(" + ",".join(f"{v[k]!r} {v[k + 1]!r}" for k in range(0, len(v), width)) + ")", at
+
+    def body(at: int) -> tuple[int, str, int]:
+        (order,), at = take("B", at)
+        end = "<" if order else ">"
+        (code,), at = take(f"{end}I", at)
+        if code >> 16:  # the extended form: flags for height, measure and a reference system's number, which follows
+            kind, more, at = code & 0xFF, (code >> 31) + (code >> 30 & 1), at + 4 * (code >> 29 & 1)
+        else:
+            kind, more = code % 1000, (0, 1, 1, 2)[code // 1000 % 4]
+        if kind == 1:
+            v, at = take(f"{end}{2 + more}d", at)
+            return kind, f"({v[0]!r} {v[1]!r})", at
+        if kind == 2:
+            text, at = points(end, at, 2 + more)
+            return kind, text, at
+        (n,), at = take(f"{end}I", at)
+        parts = []
+        for _ in range(n):
+            if kind == 3:
+                text, at = points(end, at, 2 + more)
+            else:
+                _, text, at = body(at)
+            parts.append(text)
+        return kind, "(" + ",".join(parts) + ")", at
+
+    try:
+        kind, text, _ = body(0)
+        return f"{kinds[kind]} {text}"
+    except (struct.error, KeyError):
+        return None
+
+
 def is_area(wkt: Column) -> Column:
     return F.upper(wkt).contains("POLYGON")

@@ -64,7 +64,9 @@ def clean_listings(raw: DataFrame, key: str | None = None, cap: int | None = Non
     """Workload 1 after the read: aliases, types, rooms, prices, complete rows, cap."""
     df = derive_rooms(set_types(select_aliases(raw, (key,) if key else ())))
     df = complete_rows(valid_prices(df) if "price" in df.columns else df)
-    return capped(df, cap, key, seed) if cap is not None and key else df
+    if cap is None:
+        return df
+    return capped(df, cap, key, seed) if key else capped(stable_key(df, "_key"), cap, "_key", seed).drop("_key")
 
 
 def stable_key(df: DataFrame, name: str = "listing_key") -> DataFrame:

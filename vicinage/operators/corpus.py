@@ -10,20 +10,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def histogram(dense: DataFrame, n_listings: int) -> DataFrame:
+def histogram(dense: DataFrame, n_listings: int | None = None, key: str = "id") -> DataFrame:
     """AGG5, AGG6, WIN1: (bucket, cnt, n, n_lt, pct, present_frac).
 
     n listings have the count cnt, n_lt have fewer; a listing without the bucket has 0. pct is the
-    share strictly below. A row for 0 is there for every bucket, as absence is scored too.
+    share strictly below. A row for 0 is there for every bucket, as absence is scored too. Unless told, the
+    corpus has as many listings as keys in dense; that one number joins the histogram inside the plan.
     """
     seen = dense.groupBy("bucket", F.col("n_radius").alias("cnt")).agg(F.count("*").alias("n"))
     seen = seen.where("cnt > 0")
-    zero = seen.groupBy("bucket").agg(F.lit(0).alias("cnt"), (F.lit(n_listings) - F.sum("n")).cast("long").alias("n"))
+    size = dense.select(key).distinct().agg(F.count("*").alias("_all")) if n_listings is None else dense.sparkSession.range(1).select(F.lit(n_listings).alias("_all"))
+    zero = seen.groupBy("bucket").agg(F.lit(0).alias("cnt"), F.sum("n").alias("_n")).crossJoin(size).select("bucket", "cnt", (F.col("_all") - F.col("_n")).cast("long").alias("n"))
     below = Window.partitionBy("bucket").orderBy("cnt").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("bucket")
     out = seen.unionByName(zero).withColumn("n_lt", F.coalesce(F.sum("n").over(below), F.lit(0)).cast("long"))
-    present = F.sum(F.when(F.col("cnt") > 0, F.col("n")).otherwise(0)).over(whole)
-    return out.select("bucket", "cnt", "n", "n_lt", (F.col("n_lt") / F.lit(n_listings)).alias("pct"), (present / F.lit(n_listings)).alias("present_frac"))
+    # with the row for 0 a bucket's counts sum up to the corpus
+    present, everyone = F.sum(F.when(F.col("cnt") > 0, F.col("n")).otherwise(0)).over(whole), F.sum("n").over(whole)
+    return out.select("bucket", "cnt", "n", "n_lt", (F.col("n_lt") / everyone).alias("pct"), (present / everyone).alias("present_frac"))
 
 
 def all_buckets(dense: DataFrame, hist: DataFrame, key: str = "id") -> DataFrame:

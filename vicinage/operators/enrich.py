@@ -34,10 +34,11 @@ def places_within(listings: DataFrame, places: DataFrame, radius: float, key: st
 
     Both sides meet by grid cell of the radius' size. Listings go to the nine cells around them, so
     each pair meets in one cell, the place's own, and is found once. Dense cells are split by
-    Spark's skew join, or beforehand by dealing places to `salts` parts and listings to each.
+    Spark's skew join, or beforehand by dealing places to `salts` parts and listings to each. Of the places'
+    columns, one that is named like the listings' key is left out.
     """
     near = listings.select(key, "x_m", "y_m", F.explode(geo.cells_around(F.col("x_m"), F.col("y_m"), radius)).alias("_c")).select(F.col(key), F.col("x_m").alias("_lx"), F.col("y_m").alias("_ly"), "_c.cx", "_c.cy")
-    at = places.withColumns({"cx": geo.cell(F.col("x_m"), radius), "cy": geo.cell(F.col("y_m"), radius)})
+    at = places.drop(key).withColumns({"cx": geo.cell(F.col("x_m"), radius), "cy": geo.cell(F.col("y_m"), radius)})
     on = ["cx", "cy"]
     if salts > 1:
         near = near.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -58,7 +59,16 @@ def shapes_within(listings: DataFrame, shapes: DataFrame, radius: float, key: st
     cells = box.select(shape_key, span("bx0", "bx1").alias("cx"), "by0", "by1").select(shape_key, "cx", span("by0", "by1").alias("cy"))
     near = listings.select(key, "x_m", "y_m", F.explode(geo.cells_around(F.col("x_m"), F.col("y_m"), radius)).alias("_c")).select(key, "x_m", "y_m", "_c.cx", "_c.cy")
     pairs = near.join(cells, ["cx", "cy"]).select(key, "x_m", "y_m", shape_key).distinct()
-    return edge_distances(pairs, parts, key, shape_key).where(F.col("dist") <= radius).join(shapes.drop("wkt"), shape_key)
+    return edge_distances(pairs, parts, key, shape_key).where(F.col("dist") <= radius).join(shapes.drop("wkt", *([] if key == shape_key else [key])), shape_key)
+
+
+def surroundings(listings: DataFrame, places: DataFrame, radius: float, key: str = "id", salts: int = 1) -> DataFrame:
+    """JON1 for places of every shape: points by their coordinates, lines and areas (a wkt of another kind) to their edge."""
+    if "wkt" not in places.columns:
+        return places_within(listings, places, radius, key, salts)
+    shaped = F.coalesce(~F.upper(F.ltrim("wkt")).startswith("POINT"), F.lit(False))
+    near = places_within(listings, places.where(~shaped).drop("wkt"), radius, key, salts)
+    return near.unionByName(shapes_within(listings, places.where(shaped).drop("x_m", "y_m"), radius, key).select(near.columns))
 
 
 def segments(shapes: DataFrame, shape_key: str) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage import params as P
+from vicinage.store import once
 
+# What counts as a name in prose (with Unicode letters), and the note on names that are not in the data.
 _NAME = r"(?U)[A-Z][\w&'’]+(?:\s+[A-Z][\w&'’]+)*"
+_NOTE = ("\n\nYour previous draft named places NOT in the list: ", ". Rewrite naming ONLY the listed places.")
 
 
 def usable(cache: DataFrame, key: str = "id", summary: str = "summary") -> DataFrame:
@@ -31,11 +34,13 @@ def upsert(cache: DataFrame, new: DataFrame, key: str = "id", summary: str = "su
     return fresh.unionByName(usable(cache, key, summary).join(fresh, key, "left_anti").select(key, summary))
 
 
-def batched(rows: DataFrame, size: int, key: str = "id", parts: int = 64) -> DataFrame:
+def batched(rows: DataFrame, size: int, key: str = "id", part_rows: int = 100_000) -> DataFrame:
     """WIN4: rows with batch_no, `size` rows a batch in the order of (part, key).
 
-    Rows are numbered inside hash parts and moved up by the parts before, so no task numbers them all.
+    Rows are numbered inside hash parts of about part_rows rows and moved up by the parts before, so no task numbers them all.
     """
+    rows = once(rows)
+    parts = max(1, -(-rows.count() // part_rows))
     part = rows.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(parts)))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = part.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
@@ -78,4 +83,4 @@ def ungrounded(summary: Column, names: Column) -> Column:
 def retry_note(names: Column) -> Column:
     """TXT9: the note for a draft that names places that are not in the list."""
     listed = F.concat(F.lit("['"), F.array_join(names, "', '"), F.lit("']"))
-    return F.concat(F.lit("\n\nYour previous draft named places NOT in the list: "), listed, F.lit(". Rewrite naming ONLY the listed places."))
+    return F.concat(F.lit(_NOTE[0]), listed, F.lit(_NOTE[1]))

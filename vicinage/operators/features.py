@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinage import params as P
 from vicinage.operators.clean import number
+from vicinage.operators.ranking import cumulative
+from vicinage.store import once
 
 
 def _as_number(df: DataFrame, c: str) -> Column:
@@ -22,11 +24,22 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def medians(df: DataFrame, columns: list[str], accuracy: int | None = None) -> dict[str, float | None]:
-    """AGG12: exact medians of columns in one pass, or approximate ones of the given accuracy."""
+    """AGG12: exact medians of columns, or approximate ones of the given accuracy, all in one pass.
+
+    Exact ones come from the counts of distinct values in order, which no task holds all of.
+    """
     if not columns:
         return {}
-    of = (lambda c: F.percentile_approx(_as_number(df, c), 0.5, accuracy)) if accuracy else (lambda c: F.median(_as_number(df, c)))
-    return df.agg(*(of(c).alias(c) for c in columns)).first().asDict()
+    if accuracy:
+        return df.agg(*(F.percentile_approx(_as_number(df, c), 0.5, accuracy).alias(c) for c in columns)).first().asDict()
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), _as_number(df, c).alias("value")) for c in columns))).alias("_x")).select("_x.*").where("value IS NOT NULL")
+    counts = cumulative(long.groupBy("column", "value").agg(F.count("*").alias("n")), "value", "n", "upto", ("column",))
+    total = counts.groupBy("column").agg(F.sum("n").alias("total"))
+    # the middle value, or the two in the middle
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    holds = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)
+    middle = counts.join(total, "column").groupBy("column").agg(((F.min(F.when(holds(low), F.col("value"))) + F.min(F.when(holds(high), F.col("value")))) / 2).alias("m"))
+    return {c: None for c in columns} | {r["column"]: r["m"] for r in middle.collect()}
 
 
 def median_fill(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
@@ -36,13 +49,25 @@ def median_fill(df: DataFrame, columns: list[str], accuracy: int | None = None)
 
 def codes(df: DataFrame, column: str) -> DataFrame:
     """FEA2: (value, code): distinct values numbered from 0 in sorted order. Only the dictionary is ordered."""
-    return df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct().withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
+    return dictionary(df, [column]).select("value", "code")
+
+
+def dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """FEA2: (column, value, code) of all columns in one pass."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))).alias("_x")).select("_x.*")
+    each = long.where("value IS NOT NULL").distinct().withColumn("_one", F.lit(1))
+    return cumulative(each, "value", "_one", "_n", ("column",)).select("column", "value", (F.col("_n") - 1).cast("int").alias("code"))
 
 
-def encode(df: DataFrame, column: str) -> DataFrame:
-    """FEA2: column replaced by its code, -1 for null."""
-    found = codes(df, column).withColumnRenamed("value", "_v")
-    return df.join(found, F.col(column).cast("string") == F.col("_v"), "left").withColumn(column, F.coalesce("code", F.lit(-1))).drop("_v", "code")
+def encode(df: DataFrame, *columns: str) -> DataFrame:
+    """FEA2: columns replaced by their codes, -1 for null."""
+    if not columns:
+        return df
+    found = once(dictionary(df, list(columns)))
+    for c in columns:
+        of = found.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
+        df = df.join(of, F.col(c).cast("string") == F.col("_v"), "left").withColumn(c, F.coalesce("_code", F.lit(-1))).drop("_v", "_code")
+    return df
 
 
 def structured(df: DataFrame, key: str, exclude: tuple[str, ...] = (), accuracy: int | None = None) -> DataFrame:
@@ -50,10 +75,7 @@ def structured(df: DataFrame, key: str, exclude: tuple[str, ...] = (), accuracy:
     columns = [c for c in df.columns if c != key and c not in exclude]
     numeric = {r["column"] for r in column_profile(df, columns).where("numeric").collect()} if columns else set()
     out = median_fill(df.select(key, *columns), [c for c in columns if c in numeric], accuracy)
-    for c in columns:
-        if c not in numeric:
-            out = encode(out, c)
-    return out.select(key, *columns)
+    return encode(out, *(c for c in columns if c not in numeric)).select(key, *columns)
 
 
 def condition_sets(df: DataFrame, key: str, target: str, text: str, image: str | None = None) -> dict[str, DataFrame]:

@@ -89,21 +89,29 @@ def prompts(records: DataFrame, scored: DataFrame, view: str, note: Column | Non
 KINDS = ("amenity", "shop", "tourism", "leisure")
 
 
-def place_facts(places: DataFrame, order: list[str], key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """AGG10: (key, kind, n) and (key, names): a named place counts once a listing, an unnamed one each time."""
+def name_ids(places: DataFrame, place: str = "poi_id") -> DataFrame:
+    """places with name_id: the least id of those that share the name, or the place's own id if it has no name."""
     named = F.nullif(F.col("name"), F.lit(""))
-    first = Window.partitionBy(key, "name").orderBy(*order)
-    once = places.withColumn("name", named)
-    once = once.where("name IS NULL").unionByName(once.where("name IS NOT NULL").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
+    least = places.where(named.isNotNull()).groupBy(F.col("name").alias("_n")).agg(F.min(place).alias("_id"))
+    return places.join(least, named == F.col("_n"), "left").withColumn("name_id", F.coalesce("_id", place)).drop("_n", "_id")
+
+
+def place_facts(pairs: DataFrame, places: DataFrame, key: str = "id", place: str = "poi_id") -> DataFrame:
+    """AGG10: (key, kinds, names): kinds with counts and the names, of places(place, name, KINDS) around each listing.
+
+    A named place counts once a listing, with the kind of the one with the least id; an unnamed one counts each time.
+    pairs(key, place, name_id) holds ids alone, so its sums per task are narrow; names and kinds join the places that are left.
+    """
+    first = pairs.groupBy(key, "name_id").agg(F.min(place).alias(place))
     kind = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in KINDS))
-    counts = once.groupBy(key, kind.alias("kind")).agg(F.count("*").cast("int").alias("n"))
-    names = once.groupBy(key).agg(F.sort_array(F.collect_set("name")).alias("names"))
-    return counts, names
+    told = first.select(key, place).join(places.select(place, F.nullif(F.col("name"), F.lit("")).alias("name"), kind.alias("kind")), place)
+    each = told.groupBy(key, "kind").agg(F.count("*").cast("int").alias("n"), F.collect_list("name").alias("names"))
+    return each.groupBy(key).agg(F.collect_list(F.struct("kind", "n")).alias("kinds"), F.sort_array(F.flatten(F.collect_list("names"))).alias("names"))
 
 
-def facts_block(counts: DataFrame, names: DataFrame, example: str = "", key: str = "id") -> DataFrame:
+def facts_block(facts: DataFrame, example: str = "", key: str = "id") -> DataFrame:
     """TXT10: (key, text): place types with counts, most frequent first, and names."""
-    quoted = F.when(F.col("kind").isNull(), F.lit("None")).otherwise(F.concat(F.lit("'"), "kind", F.lit("'")))
-    types = counts.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.coalesce("kind", F.lit("")).alias("k"), F.concat(quoted, F.lit(": "), F.col("n").cast("string")).alias("t")))), lambda x: x["t"]).alias("_t"))
+    ordered = F.sort_array(F.transform("kinds", lambda x: F.struct((-x["n"]).alias("m"), F.coalesce(x["kind"], F.lit("")).alias("k"), x["kind"].isNull().alias("none"))))
+    types = F.transform(ordered, lambda x: F.concat(F.when(x["none"], F.lit("None")).otherwise(F.concat(F.lit("'"), x["k"], F.lit("'"))), F.lit(": "), (-x["m"]).cast("string")))
     listed = F.when(F.size("names") > 0, F.array_join("names", ", ")).otherwise(F.lit("(none)"))
-    return types.join(names, key).select(key, F.concat(F.lit(f"{example}Place types (count): {{"), F.array_join("_t", ", "), F.lit("}\nPlaces: "), listed).alias("text"))
+    return facts.select(key, F.concat(F.lit(f"{example}Place types (count): {{"), F.array_join(types, ", "), F.lit("}\nPlaces: "), listed).alias("text"))

@@ -19,7 +19,8 @@ def stratified(df: DataFrame, n: int, seed: int, strata: tuple[str, ...] = ("nei
     """WIN5: about n rows, each stratum giving its share rounded half to even; all rows if there are no more than n.
 
     The stratum is the first of `strata` that is a column. Rows are first thinned out by a hash
-    bound somewhat above the share, so that the ordering inside a large stratum sees few rows.
+    bound somewhat above the share, so that the ordering inside a large stratum sees few rows; in one of some
+    10^20 draws a stratum gives fewer rows than its share for that. Rows without a key are never drawn.
     """
     total = df.count() if total is None else total
     if n >= total:
@@ -28,7 +29,7 @@ def stratified(df: DataFrame, n: int, seed: int, strata: tuple[str, ...] = ("nei
     rows = df.withColumns({"_s": stratum.cast("string"), "_d": draw(key, seed)})
     sizes = rows.groupBy("_s").agg(F.count("*").alias("_c")).withColumn("_want", F.rint(F.lit(n / total) * F.col("_c")).cast("long"))
     rows = rows.join(sizes.withColumnRenamed("_s", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    # ten standard deviations above the share: fewer than wanted pass only in one of some 10^20 draws
+    # ten standard deviations above the share
     share = (F.col("_want") + 10 * F.sqrt(F.col("_want")) + 50) / F.col("_c")
     rows = rows.where(F.conv(F.substring("_d", 1, 8), 16, 10).cast("double") / float(1 << 32) < share)
     order = Window.partitionBy("_s").orderBy("_d", key)
@@ -36,8 +37,19 @@ def stratified(df: DataFrame, n: int, seed: int, strata: tuple[str, ...] = ("nei
 
 
 def prompt_variants(rows: DataFrame, prompts: DataFrame) -> DataFrame:
-    """JON9: every row with every prompt; prompts(prompt_id, system) is a handful of rows."""
-    return rows.crossJoin(prompts)
+    """JON9: every row with every prompt; prompts(prompt_id, system) has FEW rows at most."""
+    return rows.crossJoin(few(prompts))
+
+
+#: Rows of a table that every row is paired with.
+FEW = 10_000
+
+
+def few(dim: DataFrame) -> DataFrame:
+    """dim, after a check that it is as small as a table of prompts or models."""
+    if dim.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"a table of more than {FEW} variants")
+    return dim
 
 
 def model_dim(models: DataFrame) -> DataFrame:
@@ -50,7 +62,7 @@ def model_dim(models: DataFrame) -> DataFrame:
 
 def model_variants(rows: DataFrame, models: DataFrame) -> DataFrame:
     """JON10: every row with every model."""
-    return rows.crossJoin(model_dim(models))
+    return rows.crossJoin(model_dim(few(models)))
 
 
 def variant_dataset(described: DataFrame, columns: list[str], summary: str = "summary") -> DataFrame:

@@ -82,6 +82,22 @@ SELECT n_name AS name, n_nationkey AS ord, concat('POLYGON((', a, ' ', b, ',', c
     SELECT n_name, n_nationkey, (n_nationkey * 2377) % 12000 x, (n_nationkey * 5179) % 12000 y, 50 + 10 * (n_nationkey % 7) w FROM {nation}))
 """
 
+#: Listings and places around New York in degrees, a fifth and a quarter of them in a dense part.
+LISTINGS_DEGREES_SQL = """
+SELECT c_custkey AS id, c_mktsegment AS room_type,
+  CAST(-74.05 AS DOUBLE) + CAST(CASE WHEN c_custkey % 5 = 0 THEN 4000 + (c_custkey * 7919) % 1000 ELSE (c_custkey * 7919) % 10000 END AS DOUBLE) / 80000 AS longitude,
+  CAST(40.65 AS DOUBLE) + CAST(CASE WHEN c_custkey % 5 = 0 THEN 4000 + (c_custkey * 104729) % 1000 ELSE (c_custkey * 104729) % 10000 END AS DOUBLE) / 100000 AS latitude
+FROM {customer}
+"""
+
+PLACES_DEGREES_SQL = """
+SELECT o_orderkey AS poi_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE concat('Place ', CAST(o_orderkey % 977 AS STRING)) END AS name, leaf AS category,
+  CAST((o_orderkey * 37) % 101 AS DOUBLE) / 100 AS confidence,
+  CAST(-74.08 AS DOUBLE) + CAST(CASE WHEN o_orderkey % 4 = 0 THEN 6000 + (o_orderkey * 6101) % 1000 ELSE (o_orderkey * 6101) % 15000 END AS DOUBLE) / 80000 AS lon,
+  CAST(40.63 AS DOUBLE) + CAST(CASE WHEN o_orderkey % 4 = 0 THEN 6000 + (o_orderkey * 15485) % 1000 ELSE (o_orderkey * 15485 + o_custkey * 31) % 15000 END AS DOUBLE) / 100000 AS lat
+FROM (SELECT o.o_orderkey, o.o_custkey, t.leaf AS leaf FROM {orders} o JOIN {taxonomy} t ON t.ord = (o.o_orderkey * 7 + o.o_custkey) % 29)
+"""
+
 #: A text service's answers: some without body, some without cost, one id twice.
 RESULTS_SQL = """
 SELECT CASE WHEN event_id % 13 = 0 THEN concat('{{"results": [], "output": [', item, ']}}') ELSE concat('{{"results": [', item, ']}}') END AS value FROM (

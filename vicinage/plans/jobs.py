@@ -9,6 +9,7 @@ from vicinage import params as P
 from vicinage.functions import geo
 from vicinage.operators import clean, corpus, enrich, exchange, render, sample
 from vicinage.sources import readers, writers
+from vicinage.store import once
 
 
 def clean_job(spark: SparkSession, csv_path: str, out_path: str, key: str | None = None, p: P.Params = P.DEFAULT, seed: int = 0) -> None:
@@ -20,21 +21,33 @@ def clean_job(spark: SparkSession, csv_path: str, out_path: str, key: str | None
     writers.table(clean.capped(df, p.max_listings, key, seed), out_path)
 
 
-def enrich_job(listings: DataFrame, places: DataFrame, taxonomy: DataFrame, landmarks: DataFrame, key: str = "id", p: P.Params = P.DEFAULT) -> DataFrame:
+def enrich_job(listings: DataFrame, places: DataFrame, taxonomy: DataFrame, landmarks: DataFrame, key: str = "id", p: P.Params = P.DEFAULT, salts: int = 1) -> DataFrame:
     """Workload 2: listings with cats and landmarks; listings without a place in the radius go.
 
-    Coordinates are x_m, y_m, or lat and long, which are projected. Ids and leaks are dropped first.
+    Coordinates are x_m, y_m, or lat and long, which are projected. Ids and leaks are dropped first. Places with a
+    wkt that is no point are measured to their edge. Cells so dense that Spark's skew join is not enough
+    are dealt to `salts` parts.
     """
     own = clean.drop_leaks(listings, (key,))
     if "x_m" not in own.columns:
         x, y = geo.utm(F.col("long"), F.col("lat"), p.utm_zone)
         own = own.withColumns({"x_m": x, "y_m": y})
-    pairs = enrich.places_within(own, enrich.gated(places, taxonomy, p), p.radius, key)
+    pairs = enrich.surroundings(own, enrich.gated(places, taxonomy, p), p.radius, key, salts)
     dense = enrich.density(pairs, p, key)
     marks = enrich.landmarks_within(own, landmarks, p, key)
     return own.join(enrich.records(dense, marks, key), key).drop("x_m", "y_m", "lat", "long")
 
 
+def enrich_files_job(listings: DataFrame, places_path: str, taxonomy: DataFrame, landmarks: DataFrame, key: str = "id", p: P.Params = P.DEFAULT, salts: int = 1) -> DataFrame:
+    """Workload 2 from a places dataset: the listings' extent, with a pad, prunes its row groups. Listings have lat and long in degrees."""
+    own = clean.drop_leaks(listings, (key,))
+    box = enrich.extent(own, p.pad_degrees)
+    if box is None:
+        raise ValueError("no listing has coordinates")
+    places = readers.places_parquet(listings.sparkSession, places_path, taxonomy, box, p)
+    return enrich_job(own, places, taxonomy, landmarks, key, p, salts)
+
+
 def flat_density(records: DataFrame, key: str = "id") -> DataFrame:
     """(key, bucket, n_doorstep, n_radius, nearest_m, min_dist) from records; min_dist keeps their order."""
     return records.select(key, F.posexplode("cats").alias("_i", "_c")).select(key, "_c.*", F.col("_i").cast("double").alias("min_dist"))
@@ -47,7 +60,7 @@ def describe_job(records: DataFrame, cache: DataFrame, view: str, k: int | None
     a seed a random sample.
     """
     dense = flat_density(records, key)
-    hist = corpus.histogram(dense, records.count())
+    hist = once(corpus.histogram(dense, key=key))
     chosen = records
     if k is not None:
         picked = corpus.densest(dense, k, key).select(key) if seed is None else sample.seeded_sample(records.select(key), k, seed, key)
@@ -55,17 +68,45 @@ def describe_job(records: DataFrame, cache: DataFrame, view: str, k: int | None
     todo = exchange.pending(chosen, cache, key)
     texts = render.prompts(todo, corpus.scored(flat_density(todo, key), hist, key), view, p=p, key=key)
     counts = exchange.attach_cached(chosen.select(key), cache, key).agg(F.count("*").alias("chosen"), F.count("summary").alias("cached"), F.count_if(F.col("summary").isNull()).alias("pending"))
-    return exchange.requests(texts, f"Describe the block in one or two sentences from the facts given ({view}). {_RULES}", p, key), counts
+    return exchange.requests(texts, system_text(view), p, key), counts
+
+
+#: What each view's text asks for, in our own words.
+ASKS = {
+    "deviation": "Say in one or two sentences in which ways the block differs from a typical one, keeping the strength of each listed difference.",
+    "deviation_exact": "Say in one or two sentences where the block ranks among all blocks, and repeat the percentages as they are given.",
+    "proximity": "Say in one or two sentences what is close by, with the nearest kinds of place first and their distance words as given.",
+    "composition": "Say in one or two sentences what the block mostly consists of, in the order given.",
+    "landmarks": "Say in one or two sentences which well-known places are near and how near; if there are none, say so.",
+    "combined": "Describe the block in two or three sentences: how it differs, what is close by, what it consists of, and well-known places.",
+}
+_RULES = "Use only what is given, copy any listed name exactly, no price or rating, plain text."
 
 
-_RULES = "Use only what is given, copy any listed name exactly, no price or rating, plain text."
+def system_text(view: str) -> str:
+    return f"{ASKS[view]} {_RULES}"
 
 
-def collect_job(records: DataFrame, cache: DataFrame, batches: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """EXP2, the way back: (new cache, described table)."""
+def collect_job(records: DataFrame, cache: DataFrame, batches: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """EXP2, the way back: (new cache, described table, counts of listings with a summary and of those still missing one)."""
     new = exchange.merge_results(records.select(key), readers.result_rows(batches), key)
-    cache = exchange.upsert(cache, new, key)
-    return cache, writers.published(exchange.attach_cached(records, cache, key), key)
+    cache = once(exchange.upsert(cache, new, key))
+    described = exchange.attach_cached(records, cache, key)
+    counts = described.agg(F.count("summary").alias("described"), F.count_if(F.col("summary").isNull()).alias("missing"))
+    return cache, writers.published(described, key), counts
+
+
+def retry_job(records: DataFrame, drafts: DataFrame, scored: DataFrame, view: str, key: str = "id", p: P.Params = P.DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """EXP2, once more: (accepted drafts, requests with a note) for drafts(key, summary).
+
+    A draft that names a place which is not among the record's landmarks is asked for again, with the names in a note.
+    The caller sends the requests, and stops after as many rounds as it wants.
+    """
+    known = F.transform("landmarks", lambda x: x["name"])
+    read = once(drafts.join(records.select(key, "landmarks"), key).select(key, "summary", exchange.ungrounded(F.col("summary"), known).alias("_bad")))
+    again = read.where(F.size("_bad") > 0).select(key, exchange.retry_note(F.col("_bad")).alias("_note"))
+    texts = render.prompts(records.join(again, key), scored, view, F.col("_note"), p, key)
+    return read.where(F.size("_bad") == 0).select(key, "summary"), exchange.requests(texts, system_text(view), p, key)
 
 
 def variants_job(records: DataFrame, prompts: DataFrame, n: int, seed: int, path: str, columns: list[str], key: str = "id") -> None:

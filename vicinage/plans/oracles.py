@@ -29,6 +29,10 @@ _BUCKET = f"""
       ELSE g END
 """
 
+#: Letters, marks, digits and joining punctuation, as Unicode has them.
+_WORD = "[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}&''’]"
+_NAME = f"[A-Z]{_WORD}+(?:[\\s\\x0B\\x85\\p{{Z}}]+[A-Z]{_WORD}+)*"
+
 _BASE = f"""
     taxonomy AS ({fx.TAXONOMY_SQL}),
     dim AS (
@@ -130,8 +134,7 @@ _BASE = f"""
     ),
     fact_kind AS (SELECT id, category AS kind, CAST(count(*) AS INTEGER) AS n FROM fact WHERE k = 1 GROUP BY 1, 2),
     fact_name AS (SELECT id, count(DISTINCT name) AS n_names, string_agg(DISTINCT name, ', ' ORDER BY name) AS listed FROM fact GROUP BY id),
-    ascii_doc AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS t FROM documents),
-    candidate AS (SELECT doc_id, unnest(regexp_extract_all(t, '[A-Z][A-Za-z0-9_&''’]+(?:[ \\t\\n\\x0B\\f\\r]+[A-Z][A-Za-z0-9_&''’]+)*')) AS name FROM ascii_doc),
+    candidate AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_NAME}')) AS name FROM documents),
     stray AS (
         SELECT doc_id, name FROM candidate
         WHERE length(name) > 3 AND NOT list_has_any([true], list_transform(['the', 'place 1', 'thea' || CAST(doc_id AS VARCHAR)], lambda n: contains(n, lower(name)) OR contains(lower(name), n)))
@@ -162,6 +165,22 @@ _FILL = "coalesce({c}, (SELECT median({c}) FROM typed)) AS {c}"
 _COLUMNS = ("price", "review_scores_rating", "accommodates", "bedrooms", "bathrooms", "room_type", "bathrooms_text", "host_is_superhost")
 
 
+def _projected(name: str, rows: str) -> str:
+    """A table `name` of rows that have lon and lat, with x_m and y_m in UTM zone 18."""
+    return f"""
+        {name}_q AS (SELECT *, radians(lon + 75) AS away, radians(lat) AS phi FROM ({rows})),
+        {name}_f AS (SELECT 1 / 298.257223563::DOUBLE AS fl), {name}_n AS (SELECT fl / (2 - fl) AS n FROM {name}_f), {name}_c AS (SELECT n, 2 * sqrt(n) / (1 + n) AS e, 6378137.0::DOUBLE / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS r FROM {name}_n),
+        {name}_t AS (SELECT q.*, c.n AS un, c.r AS ur, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM {name}_q q, {name}_c c),
+        {name}_x AS (SELECT *, atan2(t, cos(away)) AS xi, atanh(sin(away) / sqrt(1 + t * t)) AS eta FROM {name}_t),
+        {name}_a AS (SELECT *, un / 2 - 2 * un * un / 3 + 5 * un * un * un / 16 + 41 * un * un * un * un / 180 AS a1, 13 * un * un / 48 - 3 * un * un * un / 5 + 557 * un * un * un * un / 1440 AS a2, 61 * un * un * un / 240 - 103 * un * un * un * un / 140 AS a3, 49561 * un * un * un * un / 161280 AS a4 FROM {name}_x),
+        {name} AS (
+            SELECT *, 500000.0::DOUBLE + 0.9996::DOUBLE * ur * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)) AS x_m,
+                0.9996::DOUBLE * ur * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)) AS y_m
+            FROM {name}_a
+        )
+    """
+
+
 def _oracles() -> dict[str, str]:
     dev, exact = _head(f"How this block compares with a typical {P.DEFAULT.city} block (only the ways it stands out are listed):", "d", _PLAIN), _head(f"How this block ranks among all {P.DEFAULT.city} blocks (citywide percentile; only standouts listed):", "e", _PLAIN)
     near, mix = _head("How close each kind of place is:", "n", "- (nothing nearby)"), _head("The mix of places nearby (share of everything around):", "x", "- (little of anything)")
@@ -173,22 +192,15 @@ def _oracles() -> dict[str, str]:
         JOIN (SELECT id, string_agg('"' || bucket || '": [' || n_doorstep || ', ' || n_radius || ', ' || nearest_m || ']', ', ' ORDER BY min_dist, bucket) AS t FROM dense GROUP BY id) c ON c.id = m.id
         LEFT JOIN (SELECT id, string_agg('["' || name || '", ' || dist_m || ']', ', ' ORDER BY dist_m, ord) AS t FROM mark GROUP BY id) k ON k.id = m.id"""
     note = "chr(10) || chr(10) || 'Your previous draft named places NOT in the list: [''' || string_agg(name, ''', ''' ORDER BY o) || ''']. Rewrite naming ONLY the listed places.'"
-    stray_in_order = "candidate_o AS (SELECT doc_id, unnest(names) AS name, generate_subscripts(names, 1) AS o FROM (SELECT doc_id, regexp_extract_all(t, '[A-Z][A-Za-z0-9_&''’]+(?:[ \\t\\n\\x0B\\f\\r]+[A-Z][A-Za-z0-9_&''’]+)*') AS names FROM ascii_doc))"
-    utm = """
-        WITH q AS (SELECT c_custkey AS id, radians(-74.25 + ((c_custkey * 37 % 1000) / 1000.0::DOUBLE) * 0.55::DOUBLE + 75) AS away, radians(40.5::DOUBLE + ((c_custkey * 61 % 1000) / 1000.0::DOUBLE) * 0.4::DOUBLE) AS phi FROM customer),
-        f AS (SELECT 1 / 298.257223563::DOUBLE AS fl), n AS (SELECT fl / (2 - fl) AS n FROM f), c AS (SELECT n, 2 * sqrt(n) / (1 + n) AS e, 6378137.0::DOUBLE / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS r FROM n),
-        t AS (SELECT id, away, n, r, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM q, c),
-        x AS (SELECT id, n, r, atan2(t, cos(away)) AS xi, atanh(sin(away) / sqrt(1 + t * t)) AS eta FROM t),
-        a AS (SELECT *, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 + 41 * n * n * n * n / 180 AS a1, 13 * n * n / 48 - 3 * n * n * n / 5 + 557 * n * n * n * n / 1440 AS a2, 61 * n * n * n / 240 - 103 * n * n * n * n / 140 AS a3, 49561 * n * n * n * n / 161280 AS a4 FROM x)
-        SELECT id, CAST(round_even((500000.0::DOUBLE + 0.9996::DOUBLE * r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta))) * 100, 0) AS BIGINT) AS east_cm,
-            CAST(round_even(0.9996::DOUBLE * r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)) * 100, 0) AS BIGINT) AS north_cm
-        FROM a
-    """
+    stray_in_order = "candidate_o AS (SELECT doc_id, unnest(names) AS name, generate_subscripts(names, 1) AS o FROM (SELECT doc_id, regexp_extract_all(text, '" + _NAME + "') AS names FROM documents))"
+    utm = "WITH " + _projected("q", "SELECT c_custkey AS id, -74.25 + ((c_custkey * 37 % 1000) / 1000.0::DOUBLE) * 0.55::DOUBLE AS lon, 40.5::DOUBLE + ((c_custkey * 61 % 1000) / 1000.0::DOUBLE) * 0.4::DOUBLE AS lat FROM customer") + "SELECT id, CAST(round_even(x_m * 100, 0) AS BIGINT) AS east_cm, CAST(round_even(y_m * 100, 0) AS BIGINT) AS north_cm FROM q"
+    degrees = ", " + _projected("home", f"SELECT id, room_type, longitude AS lon, latitude AS lat FROM ({fx.LISTINGS_DEGREES_SQL.format(customer='customer')})")
+    degrees += ", " + _projected("spot", f"SELECT * FROM ({fx.PLACES_DEGREES_SQL.format(orders='orders', taxonomy='taxonomy')}) WHERE confidence >= 0.6")
     return {
         "clean_listings": _with("SELECT * FROM complete"),
         "clean_cap": _with(f"SELECT id FROM complete ORDER BY {_DRAW.format(seed=0)}, id LIMIT 100"),
         "taxonomy_buckets": _with("SELECT leaf, bucket, count(*) AS n, allowed FROM place JOIN dim ON category = leaf GROUP BY leaf, bucket, allowed"),
-        "places_gated": _with("SELECT poi_id, bucket FROM gated WHERE x_m BETWEEN (SELECT min(x_m) + 2000 FROM listing) AND (SELECT max(x_m) - 2000 FROM listing) AND y_m BETWEEN (SELECT min(y_m) + 2000 FROM listing) AND (SELECT max(y_m) - 2000 FROM listing)"),
+        "places_gated": _with("SELECT poi_id, bucket FROM gated WHERE x_m BETWEEN (SELECT min(x_m) FROM listing) AND (SELECT max(x_m) FROM listing) AND y_m BETWEEN (SELECT min(y_m) FROM listing) AND (SELECT max(y_m) FROM listing)"),
         "listing_density": _with("SELECT id, bucket, n_doorstep, n_radius, nearest_m FROM dense"),
         "listing_shapes": _with("SELECT id, CAST(ord AS BIGINT) AS poi_id, CAST(round_even(dist, 0) AS INTEGER) AS dist_m FROM edge WHERE dist <= 450"),
         "listing_landmarks": _with("SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY dist_m, ord) AS INTEGER) AS rank, name, dist_m FROM mark"),
@@ -211,7 +223,7 @@ def _oracles() -> dict[str, str]:
         "facts_block": _with("SELECT id, 'Place types (count): {' || string_agg('''' || kind || ''': ' || n, ', ' ORDER BY n DESC, kind) || '}' || chr(10) || 'Places: ' || coalesce(any_value(listed), '(none)') AS text FROM fact_kind JOIN fact_name USING (id) GROUP BY id"),
         "batch_requests": _with(f"SELECT CAST(m.id AS VARCHAR) AS custom_id, 'system' AS first_role, {near} || chr(10) || k.t AS prompt, 400 AS max_tokens, true AS within {_FROM}"),
         "batch_results_merge": _with("SELECT * FROM merged"),
-        "cache_upsert": _with("SELECT id, summary FROM merged WHERE id % 3 = 0 UNION ALL SELECT id, summary FROM cached c WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.id = c.id AND m.id % 3 = 0)"),
+        "cache_upsert": _with("SELECT id, summary FROM merged UNION ALL SELECT id, summary FROM cached c WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.id = c.id)"),
         "pending_rows": _with("SELECT id FROM listing l WHERE NOT EXISTS (SELECT 1 FROM cached c WHERE c.id = l.id)"),
         "cached_summaries": _with("SELECT l.id, c.summary FROM listing l LEFT JOIN cached c ON c.id = l.id"),
         "usage_report": _with("""
@@ -228,7 +240,7 @@ def _oracles() -> dict[str, str]:
             ) WHERE k <= round_even(CAST((SELECT count(*) FROM listing) // 10 AS DOUBLE) / (SELECT count(*) FROM listing) * c, 0)
         """),
         "seeded_sample": _with(f"SELECT id, room_type AS stratum FROM listing ORDER BY {_DRAW.format(seed=7)}, id LIMIT 40"),
-        "prompt_variants": _with("SELECT 'p' || CAST(r_regionkey AS VARCHAR) AS prompt_id, id, room_type, r_name || ': ' || room_type AS summary FROM listing, region WHERE r_regionkey <= 2"),
+        "prompt_variants": _with("SELECT 'p' || CAST(r_regionkey AS VARCHAR) AS prompt_id, id, room_type, r_name || ': ' || room_type AS summary FROM listing, region"),
         "model_variants": _with("""
             , s AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN 'openai/gpt-5.6-luna' WHEN 1 THEN 'google/gemini-3.7-flash' WHEN 2 THEN 'google/gemini-3-flash-lite' ELSE 'google/gemini-2.5-flash-lite' END || CASE WHEN s_suppkey % 2 = 0 THEN ':batch' ELSE '' END AS slug FROM supplier)
             SELECT id, slug, regexp_replace(slug, ':batch$', '') AS base, CASE WHEN contains(slug, 'gpt-5') OR (contains(slug, 'gemini-3') AND NOT contains(slug, 'lite')) THEN 'thinking' ELSE 'plain' END AS kind FROM listing, s
@@ -237,7 +249,33 @@ def _oracles() -> dict[str, str]:
         "median_fill": _with(f"SELECT id, {', '.join(_FILL.format(c=c) for c in ('price', 'num_bedrooms', 'num_baths'))} FROM typed"),
         "category_codes": _with(f", r AS (SELECT id, CASE WHEN id % 9 <> 0 THEN room_type END AS room_type FROM raw), k AS ({_CODES.format(source='r')}) SELECT id, coalesce(code, -1) AS room_type FROM r LEFT JOIN k ON room_type = v"),
         "structured_features": _with(f", k AS ({_CODES.format(source='typed')}) SELECT id, {', '.join(_FILL.format(c=c) for c in ('ratings', 'guests', 'num_bedrooms', 'num_baths'))}, {{bathrooms}}, code AS room_type, coalesce(CAST(is_superhost AS DOUBLE), (SELECT median(CAST(is_superhost AS DOUBLE)) FROM typed)) AS is_superhost FROM typed LEFT JOIN k ON room_type = v"),
-        "condition_sets": _with(f", k AS ({_CODES.format(source='typed')}) SELECT id, guests, code AS room_type, 'Text ' || room_type AS summary FROM typed LEFT JOIN k ON room_type = v"),
+        "condition_sets": _with(f"""
+            , k AS ({_CODES.format(source='typed')}),
+            s AS (SELECT id, {', '.join(_FILL.format(c=c) for c in ('ratings', 'guests', 'num_bedrooms', 'num_baths'))}, {{bathrooms}}, code AS room_type, coalesce(CAST(is_superhost AS DOUBLE), (SELECT median(CAST(is_superhost AS DOUBLE)) FROM typed)) AS is_superhost FROM typed LEFT JOIN k ON room_type = v),
+            x AS (SELECT id, 'Text ' || room_type AS summary FROM typed)
+            SELECT 'structured' AS condition, *, NULL AS summary FROM s UNION ALL BY NAME SELECT 'unstructured_text' AS condition, * FROM x UNION ALL BY NAME SELECT 'joint_text' AS condition, * FROM s JOIN x USING (id)
+        """),
+        "batch_sizes": _with("SELECT CAST((k - 1) // 64 AS INTEGER) AS batch_no, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY id) AS k FROM listing) GROUP BY 1"),
+        "scrape_files": _with("SELECT CAST(id AS VARCHAR) AS id, price, review_scores_rating, accommodates, bedrooms, bathrooms, room_type, bathrooms_text || chr(10) || '\"as told\"' AS bathrooms_text, host_is_superhost FROM raw"),
+        "clean_files": _with("SELECT * EXCLUDE (id) FROM complete"),
+        "stable_keys": _with("SELECT n_rows, count(*) AS n_keys FROM (SELECT count(*) AS n_rows FROM complete GROUP BY price, ratings, guests, bathrooms, room_type, is_superhost, num_bedrooms, num_baths) GROUP BY n_rows"),
+        "leaks_dropped": _with("SELECT room_type, y_m AS y, x_m AS x FROM listing"),
+        "taxonomy_files": "SELECT 'part_' || p_partkey AS leaf, lower(replace(p_type, ' ', '_')) || '/' || lower(p_brand) || '/part_' || p_partkey AS path FROM part",
+        "landmark_files": "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS ord, s_name AS name, 'POINT (' || CAST(CAST(-74.3 + s_suppkey * 37 % 1000 / 2000.0::DOUBLE AS DECIMAL(9, 4)) AS VARCHAR) || ' ' || CAST(CAST(40.5 + s_suppkey * 61 % 1000 / 2500.0::DOUBLE AS DECIMAL(9, 4)) AS VARCHAR) || ')' AS wkt FROM supplier",
+        "places_files": _with(f"{degrees} SELECT poi_id, name, category, CAST(round_even(x_m * 10, 0) AS BIGINT) AS east_dm, CAST(round_even(y_m * 10, 0) AS BIGINT) AS north_dm FROM spot JOIN dim ON category = leaf AND allowed WHERE lon BETWEEN -74.1 AND -73.9 AND lat BETWEEN 40.6 AND 40.8"),
+        "enriched_files": _with(f"""{degrees},
+            far AS (SELECT id, room_type, bucket, sqrt((h.x_m - s.x_m) * (h.x_m - s.x_m) + (h.y_m - s.y_m) * (h.y_m - s.y_m)) AS dist FROM home h, spot s JOIN dim ON category = leaf AND allowed)
+            SELECT id, room_type, bucket, CAST(count(*) FILTER (dist <= 150) AS INTEGER) AS n_doorstep, CAST(count(*) AS INTEGER) AS n_radius, CAST(round_even(min(dist), 0) AS INTEGER) AS nearest_m FROM far WHERE dist <= 450 GROUP BY id, room_type, bucket
+        """),
+        "vanilla_table": _with("SELECT room_type, neighbourhood FROM listing JOIN matched USING (id)"),
+        "enriched_table": _with(f"SELECT id, room_type, neighbourhood, record AS surroundings FROM listing JOIN ({record}) USING (id)"),
+        "describe_requests": _with(f"SELECT CAST(m.id AS VARCHAR) AS custom_id, {together} AS prompt, true AS asked {_FROM} WHERE NOT EXISTS (SELECT 1 FROM cached c WHERE c.id = m.id)"),
+        "collected_counts": _with("SELECT count(*) FILTER (id IN (SELECT id FROM merged) OR id IN (SELECT id FROM cached)) AS described, count(*) FILTER (id NOT IN (SELECT id FROM merged) AND id NOT IN (SELECT id FROM cached)) AS missing FROM matched"),
+        "published_table": _with("SELECT room_type, neighbourhood, coalesce(r.summary, c.summary) AS summary FROM listing JOIN matched USING (id) LEFT JOIN merged r USING (id) LEFT JOIN cached c USING (id)"),
+        "retry_requests": _with("""
+            , said AS (SELECT m.id, r.name, EXISTS (SELECT 1 FROM mark k WHERE k.id = m.id AND (contains(lower(k.name), lower(r.name)) OR contains(lower(r.name), lower(k.name)))) AS known FROM matched m JOIN rectangle r ON r.ord = m.id % 25)
+            SELECT CAST(id AS VARCHAR) AS id, CASE WHEN known OR length(name) <= 3 THEN 'a block by ' || name ELSE 'Your previous draft named places NOT in the list: [' || chr(39) || name || chr(39) || ']. Rewrite naming ONLY the listed places.' END AS summary FROM said
+        """),
         "eligibility": _with("SELECT learner, joint_signal, tar_gain, joint_signal AND tar_gain AS passed FROM crit"),
         "eligibility_two": _with("""
             , e AS (SELECT 'text' AS modality, count(*) FILTER (joint_signal AND tar_gain) AS n_pass FROM crit UNION ALL SELECT 'image', count(*) FILTER (image_signal AND image_gain) FROM crit)

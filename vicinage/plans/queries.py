@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,9 @@ from vicinage.functions import geo, phrases
 from vicinage.operators import clean, corpus, enrich, exchange, features, histograms, render, sample
 from vicinage.operators.taxonomy import allowed_leaves, with_bucket
 from vicinage.plans import fixtures as fx
+from vicinage.plans import jobs
 from vicinage.sources import readers, writers
+from vicinage.store import once, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,17 +40,18 @@ def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.landmarks_within(fx.listings(spark, sf_dir), fx.landmarks(spark, sf_dir))
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.records(_dense(spark, sf_dir), _marks(spark, sf_dir))
+def _records(spark: SparkSession, sf_dir: str, dense: DataFrame | None = None) -> DataFrame:
+    return enrich.records(_dense(spark, sf_dir) if dense is None else dense, _marks(spark, sf_dir))
 
 
-def _hist(dense: DataFrame) -> DataFrame:
-    return corpus.histogram(dense, dense.select("id").distinct().count())
+def _fresh(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense = _dense(spark, sf_dir)
-    return corpus.scored(dense, _hist(dense))
+    dense = once(_dense(spark, sf_dir))
+    return corpus.scored(dense, corpus.histogram(dense))
 
 
 @query
@@ -71,7 +76,7 @@ def taxonomy_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def places_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = fx.places(spark, sf_dir)
-    box = enrich.extent(fx.listings(spark, sf_dir), -2000.0, "x_m", "y_m")
+    box = enrich.extent(fx.listings(spark, sf_dir), 0.0, "x_m", "y_m")
     return enrich.gated(places, fx.taxonomy(spark), box=box).select("poi_id", "bucket")
 
 
@@ -112,7 +117,7 @@ def total_places_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def corpus_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hist(_dense(spark, sf_dir)).select("bucket", "cnt", "n", "present_frac")
+    return corpus.histogram(once(_dense(spark, sf_dir))).select("bucket", "cnt", "n", "present_frac")
 
 
 @query
@@ -132,9 +137,10 @@ def deviations_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _view(view: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        dense = _dense(spark, sf_dir)
-        scored = corpus.scored(dense, _hist(dense)) if view in ("deviation", "deviation_exact", "combined") else dense
-        return render.prompts(_records(spark, sf_dir), scored, view)
+        relative = view in ("deviation", "deviation_exact", "combined")
+        dense = once(_dense(spark, sf_dir)) if relative else _dense(spark, sf_dir)
+        scored = corpus.scored(dense, corpus.histogram(dense)) if relative else dense
+        return render.prompts(_records(spark, sf_dir, dense), scored, view)
 
     return run
 
@@ -152,25 +158,27 @@ def proximity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histograms.proximity_bands(_dense(spark, sf_dir))
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.pmod("poi_id", F.lit(4))
     kinds = {c: F.when(kind == i, F.col("category")).when(kind == (i + 1) % 4, F.lit("")) for i, c in enumerate(render.KINDS)}
-    return render.place_facts(_pairs(spark, sf_dir).withColumns(kinds), ["poi_id"])
+    places = once(render.name_ids(enrich.gated(fx.places(spark, sf_dir), fx.taxonomy(spark)).withColumns(kinds)))
+    pairs = enrich.places_within(fx.listings(spark, sf_dir), places.select("poi_id", "name_id", "x_m", "y_m"), P.DEFAULT.radius)
+    return render.place_facts(pairs, places)
 
 
 @query
 def place_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts, names = _facts(spark, sf_dir)
-    return counts.join(names.select("id", F.size("names").alias("n_names")), "id")
+    return _facts(spark, sf_dir).select("id", F.size("names").alias("n_names"), F.explode("kinds").alias("_k")).select("id", "n_names", "_k.*")
 
 
 @query
 def facts_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.facts_block(*_facts(spark, sf_dir))
+    return render.facts_block(_facts(spark, sf_dir))
 
 
 def _sharded_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.prompts(_records(spark, sf_dir), _dense(spark, sf_dir), "proximity")
+    dense = _dense(spark, sf_dir)
+    return render.prompts(_records(spark, sf_dir, dense), dense, "proximity")
 
 
 @query
@@ -195,7 +203,7 @@ def batch_results_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = exchange.merge_results(fx.listings(spark, sf_dir), _results(spark, sf_dir).where("cast(custom_id as long) % 3 = 0"))
+    new = exchange.merge_results(fx.listings(spark, sf_dir), _results(spark, sf_dir))
     return exchange.upsert(fx.cache(spark, sf_dir), new)
 
 
@@ -218,11 +226,10 @@ def usage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The names in each document that are not on a short list of its own; other than ASCII letters end a name."""
+    """The names in each document that are not on a short list of its own."""
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
     allowed = F.array(F.lit("The"), F.lit("Place 1"), F.concat(F.lit("Thea"), F.col("doc_id").cast("string")))
-    ascii_text = F.regexp_replace("text", "[^\\x00-\\x7F]", "_")
-    return docs.select("doc_id", exchange.ungrounded(ascii_text, allowed).alias("names"))
+    return docs.select("doc_id", exchange.ungrounded(F.col("text"), allowed).alias("names"))
 
 
 @query
@@ -249,7 +256,7 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prompt_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = fx.table(spark, sf_dir, "region").select(F.concat(F.lit("p"), F.col("r_regionkey").cast("string")).alias("prompt_id"), F.col("r_name").alias("system")).where("prompt_id <= 'p2'")
+    prompts = fx.table(spark, sf_dir, "region").select(F.concat(F.lit("p"), F.col("r_regionkey").cast("string")).alias("prompt_id"), F.col("r_name").alias("system"))
     rows = sample.prompt_variants(fx.listings(spark, sf_dir), prompts).withColumn("summary", F.concat_ws(": ", "system", "room_type"))
     return sample.variant_dataset(rows, ["id", "room_type"])
 
@@ -289,7 +296,8 @@ def structured_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def condition_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _features(spark, sf_dir).withColumn("summary", F.concat(F.lit("Text "), F.col("room_type")))
-    return features.condition_sets(df, "id", "price", "summary")["joint_text"].select("id", "guests", "room_type", "summary")
+    sets = [s.withColumn("condition", F.lit(name)) for name, s in features.condition_sets(df, "id", "price", "summary").items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets)
 
 
 @query
@@ -314,3 +322,137 @@ def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bucket_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and proximity words of every listing's buckets."""
     return _dense(spark, sf_dir).select("id", phrases.label(F.col("bucket")).alias("label"), phrases.proximity(F.col("nearest_m")).alias("near"))
+
+
+@query
+def batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches are numbered without gaps and full, but for the last."""
+    return exchange.batched(fx.listings(spark, sf_dir), 64, part_rows=500).groupBy("batch_no").agg(F.count("*").alias("n"))
+
+
+@query
+def scrape_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw listings written as CSV with line ends and quotes in a field, and read as a scrape."""
+    path = _fresh(spark, "scrape")
+    text = F.concat("bathrooms_text", F.lit('\n"as told"'))
+    writers.table(fx.raw_listings(spark, sf_dir).withColumn("bathrooms_text", text), path, "csv")
+    return readers.scrape_csv(spark, path)
+
+
+@query
+def clean_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workload 1 from scrape files to the table."""
+    path = _fresh(spark, "clean")
+    writers.table(fx.raw_listings(spark, sf_dir).drop("id"), f"{path}/scrape", "csv")
+    jobs.clean_job(spark, f"{path}/scrape", f"{path}/table", p=P.Params(max_listings=1 << 30))
+    return spark.read.parquet(f"{path}/table").drop("listing_key")
+
+
+@query
+def stable_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many keys stand for so many equal rows."""
+    rows = clean.stable_key(clean.clean_listings(fx.raw_listings(spark, sf_dir)))
+    return rows.groupBy("listing_key").agg(F.count("*").alias("n_rows")).groupBy("n_rows").agg(F.count("*").alias("n_keys"))
+
+
+@query
+def leaks_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    who = [F.concat(F.lit("x"), F.col("id").cast("string")).alias(c) for c in ("name", "host_id", "host_name", "license", "last_review")]
+    rows = fx.listings(spark, sf_dir).select("id", *who, "room_type", F.col("y_m").alias("latitude"), F.col("x_m").alias("longitude"))
+    return clean.drop_leaks(rows).withColumnsRenamed({"lat": "y", "long": "x"})
+
+
+@query
+def taxonomy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A taxonomy of parts, written with a header, a byte order mark and a short line."""
+    path = _fresh(spark, "taxonomy")
+    leaf = F.concat(F.lit("part_"), F.col("p_partkey").cast("string"))
+    lines = fx.table(spark, sf_dir, "part").select(F.concat(leaf, F.lit(" ; ["), F.lower(F.replace("p_type", F.lit(" "), F.lit("_"))), F.lit(", "), F.lower("p_brand"), F.lit(","), leaf, F.lit("]")).alias("value"))
+    head = fx.table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.explode(F.array(F.lit("\ufeffCategory code; Taxonomy"), F.lit("short"))).alias("value"))
+    head.unionByName(lines).write.text(path)
+    return readers.taxonomy_csv(spark, path).select("leaf", F.array_join("path", "/").alias("path"))
+
+
+@query
+def landmark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as landmarks in one JSON object, in degrees."""
+    path = _fresh(spark, "landmarks")
+    lon, lat = (-74.3 + F.col("s_suppkey") * 37 % 1000 / 2000.0).cast("decimal(9,4)"), (40.5 + F.col("s_suppkey") * 61 % 1000 / 2500.0).cast("decimal(9,4)")
+    entry = F.struct(F.col("s_suppkey").alias("k"), F.col("s_name").alias("key"), F.struct(lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), F.lit("Point").alias("type"), F.concat(F.lit("POINT ("), lon.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")")).alias("wkt")).alias("value"))
+    marks = fx.table(spark, sf_dir, "supplier").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))).alias("e"))
+    marks.select(F.to_json(F.struct(F.map_from_entries("e").alias("landmarks"))).alias("value")).write.text(path)
+    return readers.landmarks_json(spark, path, None)
+
+
+def _places_files(spark: SparkSession, sf_dir: str) -> str:
+    """Places around New York in a nested dataset, as points in degrees."""
+    path = _fresh(spark, "places")
+    places = spark.sql(fx.PLACES_DEGREES_SQL, orders=fx.table(spark, sf_dir, "orders"), taxonomy=fx.taxonomy(spark))
+    at = F.struct(F.col("lon").alias("xmin"), F.col("lon").alias("xmax"), F.col("lat").alias("ymin"), F.col("lat").alias("ymax"))
+    point = F.concat(F.lit("POINT ("), F.col("lon").cast("string"), F.lit(" "), F.col("lat").cast("string"), F.lit(")"))
+    nested = places.select(F.col("poi_id").alias("id"), F.struct(F.col("name").alias("primary")).alias("names"), F.struct(F.col("category").alias("primary")).alias("categories"), at.alias("bbox"), "confidence", point.alias("geometry"))
+    nested.write.parquet(path)
+    return path
+
+
+@query
+def places_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a nested dataset in a box, with their place on the metric plane in decimetres."""
+    rows = readers.places_parquet(spark, _places_files(spark, sf_dir), fx.taxonomy(spark), (-74.1, -73.9, 40.6, 40.8))
+    return rows.select("poi_id", "name", "category", F.rint(F.col("x_m") * 10).cast("long").alias("east_dm"), F.rint(F.col("y_m") * 10).cast("long").alias("north_dm"))
+
+
+@query
+def enriched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workload 2 from listings in degrees and a places dataset: extent, pruned read, projection, distances, records."""
+    listings = spark.sql(fx.LISTINGS_DEGREES_SQL, customer=fx.table(spark, sf_dir, "customer"))
+    done = jobs.enrich_files_job(listings, _places_files(spark, sf_dir), fx.taxonomy(spark), fx.landmarks(spark, sf_dir))
+    return done.select("id", "room_type", F.explode("cats").alias("_c")).select("id", "room_type", "_c.*")
+
+
+def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.enrich_job(fx.listings(spark, sf_dir), fx.places(spark, sf_dir), fx.taxonomy(spark), fx.landmarks(spark, sf_dir))
+
+
+@query
+def vanilla_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fresh(spark, "variants")
+    writers.write_variants(_enriched(spark, sf_dir), "id", f"{path}/vanilla", f"{path}/enriched")
+    return spark.read.parquet(f"{path}/vanilla")
+
+
+@query
+def enriched_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fresh(spark, "variants")
+    writers.write_variants(_enriched(spark, sf_dir), "id", f"{path}/vanilla", f"{path}/enriched")
+    return spark.read.parquet(f"{path}/enriched")
+
+
+@query
+def describe_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for the listings that lack a summary: id and text."""
+    sent, _ = jobs.describe_job(_enriched(spark, sf_dir), fx.cache(spark, sf_dir), "combined")
+    told = F.from_json("request", "custom_id STRING, body STRUCT<messages:ARRAY<STRUCT<role:STRING,content:STRING>>>")["body"]["messages"]
+    return sent.select("custom_id", F.get(told, F.lit(1))["content"].alias("prompt"), (F.get(told, F.lit(0))["content"] == jobs.system_text("combined")).alias("asked"))
+
+
+@query
+def collected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many listings have a summary once the answers are in, and how many still lack one."""
+    return jobs.collect_job(_enriched(spark, sf_dir), fx.cache(spark, sf_dir), fx.result_batches(spark, sf_dir))[2]
+
+
+@query
+def published_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.collect_job(_enriched(spark, sf_dir), fx.cache(spark, sf_dir), fx.result_batches(spark, sf_dir))[1]
+
+
+@query
+def retry_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts that each name one landmark: those that name one out of reach are asked for again, with a note."""
+    records = _enriched(spark, sf_dir)
+    marks = fx.landmarks(spark, sf_dir).select("ord", F.col("name").alias("_name"))
+    drafts = records.select("id").join(marks, F.pmod("id", F.lit(25)) == F.col("ord")).select("id", F.concat(F.lit("a block by "), "_name").alias("summary"))
+    kept, sent = jobs.retry_job(records, drafts, jobs.flat_density(records), "proximity")
+    note = F.regexp_extract(F.from_json("request", "body STRUCT<messages:ARRAY<STRUCT<role:STRING,content:STRING>>>")["body"]["messages"][1]["content"], r"(?s)\n\n(Your previous draft.*)$", 1)
+    return kept.select(F.col("id").cast("string").alias("id"), "summary").unionByName(sent.select(F.col("custom_id").alias("id"), note.alias("summary")))

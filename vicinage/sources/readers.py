@@ -23,17 +23,20 @@ def scrape_csv(spark: SparkSession, path: str) -> DataFrame:
 def places_parquet(spark: SparkSession, path: str, taxonomy: DataFrame, box: tuple[float, float, float, float], p: P.Params = P.DEFAULT) -> DataFrame:
     """SRC2: places of a nested dataset in the box (lon0, lon1, lat0, lat1), of enough confidence and an allowed category.
 
-    The bounds are literals on nested fields, so they prune row groups. The point is the middle
-    of a place's own box; the geometry column stays for shapes.
+    The bounds are literals on nested fields, so they prune row groups. The point is the middle of a
+    place's own box. The geometry (WKB, or WKT as text) becomes wkt on the metric plane. The dataset's id
+    becomes poi_id; without one, a hash of the row stands for it.
     """
     rows = spark.read.parquet(path).where(
         (F.col("bbox.xmin") >= box[0]) & (F.col("bbox.xmax") <= box[1]) & (F.col("bbox.ymin") >= box[2]) & (F.col("bbox.ymax") <= box[3]) & (F.col("confidence") >= p.min_confidence) & F.col("geometry").isNotNull()
     )
     lon, lat = (F.col("bbox.xmin") + F.col("bbox.xmax")) / 2, (F.col("bbox.ymin") + F.col("bbox.ymax")) / 2
     x, y = geo.utm(lon, lat, p.utm_zone)
-    extra = ["id"] if "id" in rows.columns else []
-    out = rows.select(*extra, F.col("names.primary").alias("name"), F.col("categories.primary").alias("category"), "confidence", "geometry", x.alias("x_m"), y.alias("y_m"))
-    return out.join(allowed_leaves(taxonomy).withColumnRenamed("leaf", "category"), "category", "left_semi")
+    name, category = F.col("names.primary"), F.col("categories.primary")
+    own = F.col("id") if "id" in rows.columns else F.xxhash64(name, category, "bbox.xmin", "bbox.ymin", "bbox.xmax", "bbox.ymax", "geometry")
+    wkt = geo.wkb_text("geometry") if dict(rows.dtypes)["geometry"] == "binary" else F.col("geometry")
+    out = rows.select(own.alias("poi_id"), name.alias("name"), category.alias("category"), "confidence", wkt.alias("wkt"), x.alias("x_m"), y.alias("y_m"))
+    return project_wkt(out.join(allowed_leaves(taxonomy).withColumnRenamed("leaf", "category"), "category", "left_semi"), p.utm_zone)
 
 
 def path_array(text: Column) -> Column:

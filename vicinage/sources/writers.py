@@ -35,8 +35,7 @@ def write_variants(df: DataFrame, key: str, vanilla_path: str, enriched_path: st
 
 def record_json(cats: Column, landmarks: Column) -> Column:
     """SNK4: {"cats": {bucket: [doorstep, radius, nearest]}, "landmarks": [[name, metres], ...]}, in the record's order."""
-    quoted = lambda s: F.substring(F.to_json(F.array(s)), 2, 1 << 20)
-    text = lambda s: F.regexp_replace(quoted(s), r"\]$", "")
+    text = lambda s: F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]$", "")
     cat = F.transform(cats, lambda c: F.concat(text(c["bucket"]), F.lit(": ["), F.concat_ws(", ", c["n_doorstep"].cast("string"), c["n_radius"].cast("string"), c["nearest_m"].cast("string")), F.lit("]")))
     mark = F.transform(landmarks, lambda m: F.concat(F.lit("["), text(m["name"]), F.lit(", "), m["dist_m"].cast("string"), F.lit("]")))
     return F.concat(F.lit('{"cats": {'), F.array_join(cat, ", "), F.lit('}, "landmarks": ['), F.array_join(mark, ", "), F.lit("]}"))
