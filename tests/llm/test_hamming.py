@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vicinage.llm import hamming
@@ -20,9 +21,10 @@ def check(spark, rows, queries, k=10):
     assert sorted(map(tuple, got)) == brute(rows, queries, k)
 
 
-def test_random_and_near_codes(spark, monkeypatch):
-    monkeypatch.setattr(hamming, "INDEX_BLOCK", 200)  # several blocks
-    monkeypatch.setattr(hamming, "QUERY_BLOCK", 7)
+@pytest.mark.parametrize("m", [2, 4, 8])
+def test_random_and_near_codes(spark, monkeypatch, m):
+    monkeypatch.setattr(hamming, "SEGMENTS", ((None, m),))
+    monkeypatch.setattr(hamming, "BLOCK", 100)  # several blocks in the last resort
     rng = np.random.default_rng(2)
     base = rng.integers(-(2**63), 2**63 - 1, 40)
     codes = [int(b) for b in rng.integers(-(2**63), 2**63 - 1, 500)]
@@ -31,6 +33,21 @@ def test_random_and_near_codes(spark, monkeypatch):
     check(spark, rows, [r for r in rows if r[0] % 50 == 0])
 
 
+def test_near_codes_are_found_by_probes_alone(spark, monkeypatch):
+    """Families of 20 codes near each other: every query ends before the last resort."""
+    monkeypatch.setattr(hamming, "_compare", None)
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**63), 2**63 - 1, 300)
+    rows = list(enumerate(int(base[i % 300] ^ (1 << int(rng.integers(0, 63))) ^ (1 << int(rng.integers(0, 63)))) for i in range(6000)))
+    check(spark, rows, [r for r in rows if r[0] % 50 == 0])
+
+
+@pytest.mark.parametrize(("width", "radius"), [(8, 0), (8, 1), (8, 8), (16, 3)])
+def test_flips(spark, width, radius):
+    got = [r["flip"] for r in hamming.with_flips(spark.range(1), width, radius).collect()]
+    assert sorted(got) == [x for x in range(1 << width) if x.bit_count() == radius]
+
+
 def test_hot_code_and_few_rows(spark):
     rows = [(i, 7 if i % 3 else i) for i in range(300)]
     check(spark, rows, [r for r in rows if r[0] % 50 == 0])
@@ -38,12 +55,14 @@ def test_hot_code_and_few_rows(spark):
 
 
 def test_edge_cases(spark):
-    df = spark.createDataFrame([(1, [0.5, -0.5, 0.0, None] * 16), (2, None), (3, [1.0] * 64), (4, [-1.0] * 70), (5, [1.0]), (6, [])], "id long, embedding array<float>")
+    df = spark.createDataFrame([(1, [0.5, -0.5, 0.0, None] * 16), (2, None), (3, [1.0] * 64), (4, [-1.0] * 64), (5, [1.0]), (6, [])], "id long, embedding array<float>")
     rows = df.select("id", hamming.sign_code(F.col("embedding")).alias("code"))
     codes = {r["id"]: r["code"] for r in rows.collect()}
     assert codes[2] is None and codes[3] == -1 and codes[4] == 0 and codes[5] == 1 and codes[6] == 0
     assert codes[1] == sum(1 << (4 * k) for k in range(15)) + (1 << 60)
     got = hamming.top_k(rows, rows, 3).collect()
     assert {r["query_id"] for r in got} == {1, 3, 4, 5, 6} and len(got) == 15
+    with pytest.raises(Exception, match="more than 64"):
+        spark.createDataFrame([(1, [1.0] * 65)], "id long, e array<float>").select(hamming.sign_code(F.col("e"))).collect()
     none = spark.createDataFrame([], "id long, code long")
     assert hamming.top_k(none, none).count() == 0 and hamming.top_k(none, rows).count() == 0

@@ -1,42 +1,42 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into segments, and for each segment a table leads from its bits to the codes that
-have them. If a code differs from a query in at most m * (r + 1) - 1 bits, one of its m segments
-differs in at most r. So a query probes the tables with all values at segment radius 0, then 1, and
-so on, verifies new candidates on whole codes, and stops when the k-th verified neighbour lies
-within what the radius covers. No radius is assumed and no candidate is dropped.
-
-The index is dealt out in blocks of codes and the queries in blocks of queries; each pair of blocks
-is one task's work, which yields k codes a query at most, and the nearest over all blocks remain.
+A code is cut into segments, and the index has a row for each segment's bits of each code. If a code
+differs from a query in at most m * (r + 1) - 1 bits, one of its m segments differs in at most r. So
+queries probe the index by equi-joins with all values at segment radius 0, then 1, and so on; new
+candidates are verified on whole codes inside the join, where they must be as near as the k-th neighbour so far.
+A query leaves when its k-th verified neighbour lies within what the radius covers. No radius is
+assumed and no candidate is dropped. If a radius takes as many probes as there are codes, the queries still left
+are compared with all codes in blocks, which ends the search. The number of segments follows the number of codes.
 
 Rows of equal code are one index entry with their k smallest ids, so that a hot code costs no more
 than another; equal queries are searched once. Equal distances go by id. Null vectors have no code
-and are left out; a query finds itself when it is a row. With fewer than k rows, all are returned.
-Rows that repeat an id are rows of their own. An empty table gives an empty result.
+and are left out; null components count as 0; vectors of more than BITS components raise an error. A query finds itself when
+it is a row. With fewer than k rows, all are returned. Rows that repeat an id are rows of their own. Columns beside id and
+code are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from math import comb
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.llm.common import cut
 
 BITS = 64
-SEGMENTS = 4
 K = 10
-#: Codes and queries of a block.
-INDEX_BLOCK, QUERY_BLOCK = 1 << 17, 512
+#: Segments for up to so many codes: a segment's values are about as many as the codes.
+SEGMENTS = ((1 << 12, 8), (1 << 26, 4), (None, 2))
+#: Codes of a block in the last resort.
+BLOCK = 1 << 14
 
 
 def sign_code(vector: Column) -> Column:
-    """A 64-bit code: bit i is set where component i is above 0. Null for a null vector; further components are not used."""
-    first = F.slice(vector, 1, BITS)
-    return F.aggregate(F.reverse(first), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.coalesce((x > 0).cast("long"), F.lit(0).cast("long"))))
+    """A 64-bit code: bit i is set where component i is above 0. Null for a null vector."""
+    zero = F.lit(0).cast("long")
+    code = F.aggregate(F.reverse(vector), zero, lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.coalesce((x > 0).cast("long"), zero)))
+    return F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"a vector of more than {BITS} components"))).otherwise(code)
 
 
 def smallest_ids(rows: DataFrame, k: int, salts: int = 32) -> DataFrame:
@@ -49,81 +49,75 @@ def smallest_ids(rows: DataFrame, k: int, salts: int = 32) -> DataFrame:
     return part.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def masks(width: int, radius: int) -> np.ndarray:
-    """All values of `width` bits with exactly `radius` of them set."""
-    return np.array([sum(1 << b for b in bits) for bits in combinations(range(width), radius)], dtype=np.int64)
-
-
-class Index:
-    """Tables of one block: for each segment, codes in the order of their bits there."""
-
-    def __init__(self, codes: np.ndarray, first_id: np.ndarray, segments: int):
-        self.codes, self.first_id, self.segments, self.width = codes.astype(np.uint64), first_id, segments, BITS // segments
-        self.masks: list[np.ndarray] = []
-        self.order, self.starts = [], []
-        for s in range(segments):
-            bits = self._bits(self.codes, s)
-            self.order.append(np.argsort(bits, kind="stable"))
-            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(bits, minlength=1 << self.width))]))
-
-    def _bits(self, codes: np.ndarray, s: int) -> np.ndarray:
-        return ((codes >> np.uint64(s * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
-
-    def _probe(self, q: np.ndarray, radius: int) -> np.ndarray:
-        """Places of the codes that have a segment at exactly this radius; some come twice."""
-        if len(self.masks) == radius:
-            self.masks.append(masks(self.width, radius))
-        out = []
-        for s in range(self.segments):
-            at = self._bits(q, s) ^ self.masks[radius]
-            lo, n = self.starts[s][at], self.starts[s][at + 1] - self.starts[s][at]
-            lo, n = lo[n > 0], n[n > 0]
-            if len(n):
-                out.append(self.order[s][np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
-
-    def nearest(self, query: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and distances of the k nearest codes by (distance, first id)."""
-        q, k = np.array([query]).astype(np.uint64), min(k, len(self.codes))
-        seen = np.zeros(len(self.codes), dtype=bool)
-        places, dist = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        for radius in range(self.width + 1):
-            new = self._probe(q, radius)
-            new = np.unique(new[~seen[new]])
-            seen[new] = True
-            places, dist = np.concatenate([places, new]), np.concatenate([dist, np.bitwise_count(self.codes[new] ^ q).astype(np.int64)])
-            best = np.lexsort((self.first_id[places], dist))[:k]
-            places, dist = places[best], dist[best]
-            if len(dist) == k and dist[-1] <= self.segments * (radius + 1) - 1:
-                break
-        return places, dist
-
-
-def _search(k: int, segments: int):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        entries, asked = block[block["is_entry"]], block.loc[~block["is_entry"], "code"].to_numpy()
-        index = Index(entries["code"].to_numpy(), entries["first_id"].to_numpy(), segments)
-        found = [(q, *index.nearest(q, k)) for q in asked] if len(entries) else []
-        codes = entries["code"].to_numpy()
-        return pd.DataFrame({
-            "q": np.repeat(np.array([q for q, _, _ in found], dtype=np.int64), [len(p) for _, p, _ in found]),
-            "code": np.concatenate([codes[p] for _, p, _ in found]) if found else np.zeros(0, np.int64),
-            "d": np.concatenate([d for _, _, d in found]).astype(np.int32) if found else np.zeros(0, np.int32),
-        })
-
-    return run
-
-
-def top_k(rows: DataFrame, queries: DataFrame, k: int = K, segments: int = SEGMENTS) -> DataFrame:
+def with_flips(rows: DataFrame, width: int, radius: int) -> DataFrame:
+    """rows with flip: each value of `width` bits with exactly `radius` of them set."""
+    rows = rows.select("*", F.lit(0).cast("long").alias("flip"), F.lit(-1).alias("last"))
+    kept = [c for c in rows.columns if c not in ("flip", "last")]
+    for left in range(radius, 0, -1):  # the next higher bit, with room for those that follow
+        rows = rows.select(*kept, "flip", F.explode(F.sequence(F.col("last") + 1, F.lit(width - left))).alias("last"))
+        rows = rows.select(*kept, F.col("flip").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("last"))).alias("flip"), "last")
+    return rows.drop("last")
+
+
+def segments(code: str, m: int) -> Column:
+    """The bits of each of m segments, with the segment's number."""
+    width = BITS // m
+    return F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), F.shiftrightunsigned(code, s * width).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for s in range(m))))
+
+
+def _probe(active: DataFrame, index: DataFrame, m: int, radius: int) -> DataFrame:
+    """(q, code, first_id, n_ids, d) of codes with a segment at exactly this radius, no farther than the query's bound; some come twice."""
+    at = active.select("q", "bound", segments("q", m).alias("s")).select("q", "bound", "s.seg", F.col("s.bits").alias("at"))
+    keys = with_flips(at, BITS // m, radius).select("q", "bound", "seg", F.col("at").bitwiseXOR(F.col("flip")).alias("bits"))
+    distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+    return keys.join(index, ["seg", "bits"]).where(distance <= F.col("bound")).select("q", "code", "first_id", "n_ids", distance.alias("d"))
+
+
+def _compare(active: DataFrame, entries: DataFrame, n: int) -> DataFrame:
+    """The same of all codes, block by block."""
+    blocks = max(1, -(-n // BLOCK))
+    part = entries.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)))
+    asked = active.select("q", "bound", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+    return asked.join(part, "block").where(distance <= F.col("bound")).select("q", "code", "first_id", "n_ids", distance.alias("d"))
+
+
+def nearest_codes(entries: DataFrame, asked: DataFrame, k: int) -> DataFrame | None:
+    """(q, code, first_id, n_ids, d): the k nearest codes of each query by (distance, first id), which hold its k nearest ids. None without entries or queries."""
+    size = entries.agg(F.count("*").alias("n"), F.sum("n_ids").alias("ids")).first()
+    n, wanted = size["n"], min(k, size["ids"] or 0)
+    active = cut(asked.select("q", F.lit(BITS).alias("bound")))
+    if not n or active.isEmpty():
+        return None
+    m = next(m for most, m in SEGMENTS if most is None or n <= most)
+    index = cut(entries.select("code", "first_id", "n_ids", segments("code", m).alias("s")).select("code", "first_id", "n_ids", "s.seg", "s.bits"))
+    width, probes, best = BITS // m, 0, None
+    order = Window.partitionBy("q").orderBy("d", "first_id")
+    for radius in range(width + 1):
+        probes += m * comb(width, radius)
+        covered = BITS if probes >= n else m * (radius + 1) - 1
+        new = _compare(active, entries, n) if covered == BITS else _probe(active, index, m, radius)
+        found = (new if best is None else best.unionByName(new)).dropDuplicates(["q", "code"])
+        best = cut(found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n"))
+        if covered == BITS:
+            break
+        # the bound is the distance within which the best so far hold enough ids
+        upto = Window.partitionBy("q").orderBy("d", "first_id").rowsBetween(Window.unboundedPreceding, 0)
+        reached = best.withColumn("_ids", F.sum("n_ids").over(upto)).where(F.col("_ids") >= wanted).groupBy("q").agg(F.min("d").alias("kth"))
+        active = cut(active.join(reached, "q", "left").where(F.coalesce(F.col("kth") > covered, F.lit(True))).select("q", F.coalesce("kth", "bound").alias("bound")))
+        if active.isEmpty():
+            break
+    return best
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """rows(id, code) and queries(id, code) -> (query_id, rank, id, distance), rank from 1."""
     found = cut(smallest_ids(rows.where("code IS NOT NULL"), k))
-    asked = cut(queries.where("code IS NOT NULL").select("code").distinct())
-    n_index, n_query = max(1, -(-found.count() // INDEX_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("code"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    entries = found.select(block(n_index).alias("ib"), every(n_query).alias("qb"), "code", F.get("ids", F.lit(0)).alias("first_id"), F.lit(True).alias("is_entry"))
-    wanted = asked.select(every(n_index).alias("ib"), block(n_query).alias("qb"), "code", F.lit(0).cast("long").alias("first_id"), F.lit(False).alias("is_entry"))
-    near = entries.unionByName(wanted).groupBy("ib", "qb").applyInPandas(_search(k, segments), "q long, code long, d int")
+    entries = found.select("code", F.get("ids", F.lit(0)).alias("first_id"), F.size("ids").alias("n_ids"))
+    asked = queries.where("code IS NOT NULL").select(F.col("code").alias("q")).distinct()
+    best = nearest_codes(entries, asked, k)
+    if best is None:
+        best = entries.select(F.col("code").alias("q"), "code", F.lit(0).alias("d")).where("false")
     order = Window.partitionBy("q").orderBy("d", "id")
-    best = near.join(found, "code").select("q", "d", F.explode("ids").alias("id")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(best, "q").select("query_id", "rank", "id", F.col("d").alias("distance"))
+    near = best.join(found, "code").select("q", "d", F.explode("ids").alias("id")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(near, "q").select("query_id", "rank", "id", F.col("d").alias("distance"))
