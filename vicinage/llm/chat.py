@@ -8,13 +8,13 @@ The grammar, read from left to right after a leading `<s>`; each form ends at it
     any other   <<ROLE>>role<<TEXT>>text<</ROLE>>
 
 A conversation is first rendered as it is, parsed again and compared with its turns. If they
-differ, turns that hold a control string or a backslash are escaped, and if that is not enough, all
-turns are; the parser always unescapes. An escaped text has no `<` or `[` at all, so the second
-step can only fail where an unescaped neighbour is misread, and the third cannot fail.
+differ, the turns that do not come back from their own form alone are escaped: those that hold its end mark or
+an escape's code. If the whole still differs, all turns are escaped; as no escaped text holds a `<` or `[`, that
+cannot fail. The parser always unescapes.
 
 Null text and null role count as empty. Turns go by turn, then role, then text; repeated rows are
 turns of their own. An empty table gives an empty result. A conversation is one row of the output,
-so it is the one thing gathered in a task.
+so it is the one thing gathered in a task, very long texts too. Columns beside conv_id, turn, role and text are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 CODES = (("\\", "\\s"), ("<", "\\l"), ("[", "\\b"))
 START = "<s>"
 UNIT = r"(?s)<<SYS>>.*?<</SYS>>|\[INST\].*?\[/INST\]|<<A>>.*?</s>|<<ROLE>>.*?<<TEXT>>.*?<</ROLE>>"
-CONFLICT = r"<|\[|\\"
 
 
 def _between(s: Column, start: str, end: str) -> Column:
@@ -85,15 +84,18 @@ def loss_spans(formatted: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """One row a conversation: (conv_id, formatted, level, exact). level: 0 as it was, 1 conflicting turns escaped, 2 all."""
+    """One row a conversation: (conv_id, formatted, level, exact). level: 0 as it was, 1 turns escaped that conflict with their form, 2 all."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", role.alias("role"), text.alias("text")))).alias("_t"))
     turns = turns.select("conv_id", F.transform("_t", lambda t: _turn(t["role"], t["text"])).alias("_turns"))
 
     def rendered(level: int) -> Column:
         def one(t: Column) -> Column:
-            hard = F.lit(level == 2) | (F.lit(level == 1) & t["text"].rlike(CONFLICT))
-            return render_turn(t["role"], F.when(hard, escape(t["text"])).otherwise(t["text"]))
+            plain = render_turn(t["role"], t["text"])
+            if level == 0:
+                return plain
+            escaped = render_turn(t["role"], escape(t["text"]))
+            return escaped if level == 2 else F.when(parse(plain) == F.array(t), plain).otherwise(escaped)
 
         return F.concat(F.lit(START), F.array_join(F.transform("_turns", one), ""))
 

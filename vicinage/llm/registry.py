@@ -82,7 +82,7 @@ _MARKS = "(length(t) - length(regexp_replace(t, '[<\\[\\\\]', '', 'g')))"
 _ROLE_MARKS = _MARKS.replace("(t", "(r")
 
 ORACLES: dict[str, str] = {
-    # a raw conversation misleads the parser if a text holds its own form's end mark or a code of the escapes
+    # a raw text misleads the parser if it holds its own form's end mark or a code of the escapes
     "op7_chat_format": f"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
@@ -92,12 +92,11 @@ ORACLES: dict[str, str] = {
             SELECT *, {_MARKS} AS marks, {_ROLE_MARKS} AS role_marks,
                 contains(t, CASE r WHEN 'system' THEN '<</SYS>>' WHEN 'user' THEN '[/INST]' WHEN 'assistant' THEN '</s>' ELSE '<</ROLE>>' END) OR regexp_matches(t, '\\\\[slb]') AS misleads
             FROM turns
-        ),
-        escaped AS (SELECT conv_id, bool_or(misleads) AS e FROM marked GROUP BY conv_id)
+        )
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
             CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
-            CAST(3 + sum(length(t) + CASE r WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 25 + length(r) + role_marks END + CASE WHEN e THEN marks ELSE 0 END) AS BIGINT) AS formatted_chars
-        FROM marked JOIN escaped USING (conv_id) GROUP BY conv_id
+            CAST(3 + sum(length(t) + CASE r WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 25 + length(r) + role_marks END + CASE WHEN misleads THEN marks ELSE 0 END) AS BIGINT) AS formatted_chars
+        FROM marked GROUP BY conv_id
     """,
     "op9_hamming_top_k": """
         WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 50 = 0),
