@@ -1,6 +1,6 @@
 """Toxicity from a weighted lexicon, matched by Aho-Corasick in folded text.
 
-Folding lower-cases, strips accents' look-alikes from other scripts and turns digit and sign
+Folding lower-cases, strips accents, and turns look-alikes from other scripts and digit and sign
 substitutions into letters. Lexicon entries are words or word beginnings, each with a weight: the
 smoothed log odds of toxic against other documents, learned from labelled rows. Exception phrases
 are a lexicon word with the word before or after it where the pair is found in harmless documents
@@ -8,14 +8,17 @@ only; a hit inside one does not count. A document's hits are summed by weight an
 length; the probability for that value is calibrated on the same rows, never falling as it rises.
 
 Learning takes at most SAMPLE labelled rows, those with the smallest hashes of doc_id; everything
-else covers all rows. Null or empty text scores as a text without hits. Rows that repeat a doc_id
-are scored alike. Without labelled rows of both kinds the lexicon is empty and all scores are equal.
+else covers all rows. The lexicon and the exceptions are as large as that sample gives evidence for. Null or empty text
+scores as a text without hits; very long ones are scored whole, one at a time. Rows that repeat a doc_id
+are scored each by its text. Without labelled rows of both kinds the lexicon is empty and all scores are equal. Columns beside
+doc_id and text are not read, so their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled rows that learning reads, most entries of the lexicon, least evidence (G2) of an entry.
+from vicinage.llm.common import cut
+
+#: Most labelled rows that learning reads, least evidence (G2) of an entry.
 SAMPLE = 20_000
-ENTRIES = 2_000
 EVIDENCE = 30.0
 THRESHOLD = 0.7
 #: Beginnings of words that may become entries.
@@ -38,12 +42,14 @@ LOOK_ALIKES = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "€": "e", "£": "l",
     "​": "", "‌": "", "‍": "", "⁠": "", "­": "", "﻿": "",
 }
-_FOLD = {ord(a): b for a, b in LOOK_ALIKES.items()} | {0xFF41 + k: chr(97 + k) for k in range(26)}
+#: Combining accents go once NFKD has parted them from their letters.
+_FOLD = {ord(a): b for a, b in LOOK_ALIKES.items()} | {k: "" for k in range(0x300, 0x370)}
 _WORD = re.compile(r"[^\W_]+")
 
 
 def fold(text: str) -> str:
-    return text.lower().translate(_FOLD)
+    low = text.lower()
+    return (low if low.isascii() else unicodedata.normalize("NFKD", low)).translate(_FOLD)
 
 
 def training_part(doc_id: Column) -> Column:
@@ -79,22 +85,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").dropDuplicates(["text", "toxic"])
 
 
-def learn_lexicon(rows: DataFrame, entries: int = ENTRIES, evidence: float = EVIDENCE) -> dict[str, float]:
-    """Entries with weights; those that end in * are word beginnings. At most `entries` tokens reach the driver."""
+def learn_lexicon(rows: DataFrame, evidence: float = EVIDENCE) -> dict[str, float]:
+    """Entries with weights; those that end in * are word beginnings. What reaches the driver is bounded as rows are."""
     counts = rows.mapInArrow(_token_counts, "token string, toxic int, n long").groupBy("token").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("fine"))
-    counts = counts.cache()
-    try:
-        all_rows = counts.where("token = ''").first()
-        if all_rows is None or not all_rows["bad"] or not all_rows["fine"]:
-            return {}
-        nb, nf = all_rows["bad"], all_rows["fine"]
-        weight = F.log((F.col("bad") + 0.5) / (nb + 1)) - F.log((F.col("fine") + 0.5) / (nf + 1))
-        mean = (F.col("bad") + F.col("fine")) / (nb + nf)
-        part = lambda n, total: F.when(n > 0, n * F.log(n / (mean * total))).otherwise(0.0)
-        g2 = 2 * (part(F.col("bad"), nb) + part(F.col("fine"), nf))
-        found = counts.where("token <> ''").select("token", "bad", weight.alias("weight"), g2.alias("g2")).where((F.col("weight") > 2) & (F.col("g2") >= evidence)).orderBy(F.desc("g2"), "token").limit(entries).collect()
-    finally:
-        counts.unpersist()
+    counts = cut(counts)
+    all_rows = counts.where("token = ''").first()
+    if all_rows is None or not all_rows["bad"] or not all_rows["fine"]:
+        return {}
+    nb, nf = all_rows["bad"], all_rows["fine"]
+    weight = F.log((F.col("bad") + 0.5) / (nb + 1)) - F.log((F.col("fine") + 0.5) / (nf + 1))
+    mean = (F.col("bad") + F.col("fine")) / (nb + nf)
+    part = lambda n, total: F.when(n > 0, n * F.log(n / (mean * total))).otherwise(0.0)
+    g2 = 2 * (part(F.col("bad"), nb) + part(F.col("fine"), nf))
+    found = counts.where("token <> ''").select("token", "bad", weight.alias("weight"), g2.alias("g2")).where((F.col("weight") > 2) & (F.col("g2") >= evidence)).orderBy(F.desc("g2"), "token").collect()
     by = {r["token"]: (r["bad"], r["weight"]) for r in found}
     keep: dict[str, float] = {}
     for token, (bad, weight) in by.items():
@@ -141,10 +144,13 @@ class Matcher:
 
     def phrases(self, folded: str, start: int, end: int) -> tuple[str, str]:
         """The hit with the word before it, and with the word after it."""
-        before = _WORD.findall(folded[max(0, start - 40) : start])[-1:]
-        after = _WORD.findall(folded[end : end + 40])[:1]
-        word = folded[start:end]
-        return (f"{before[0]} {word}" if before else ""), (f"{word} {after[0]}" if after else "")
+        word, after, at = folded[start:end], _WORD.search(folded, end), start
+        while at and not folded[at - 1].isalnum():
+            at -= 1
+        stop = at
+        while at and folded[at - 1].isalnum():
+            at -= 1
+        return (f"{folded[at:stop]} {word}" if at < stop else ""), (f"{word} {after[0]}" if after else "")
 
     def value(self, text: str | None) -> float:
         """Summed weights, normalised by the square root of the length in words."""
@@ -156,8 +162,8 @@ class Matcher:
         return total / math.sqrt(1 + len(folded) / 6) if total else 0.0
 
 
-def learn_exceptions(rows: DataFrame, lexicon: dict[str, float], least: int = 8, most: int = ENTRIES) -> frozenset[str]:
-    """Phrases around hits that `least` harmless rows or more hold and no toxic one; at most `most` reach the driver."""
+def learn_exceptions(rows: DataFrame, lexicon: dict[str, float], least: int = 8) -> frozenset[str]:
+    """Phrases around hits that `least` harmless rows or more hold and no toxic one; bounded as rows are."""
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
@@ -171,7 +177,7 @@ def learn_exceptions(rows: DataFrame, lexicon: dict[str, float], least: int = 8,
     if not lexicon:
         return frozenset()
     found = rows.mapInArrow(phrases, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    return frozenset(r["phrase"] for r in found.where((F.col("bad") == 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "phrase").limit(most).collect())
+    return frozenset(r["phrase"] for r in found.where((F.col("bad") == 0) & (F.col("n") >= least)).select("phrase").collect())
 
 
 #: Values are put in so many bins a doubling.
@@ -217,15 +223,19 @@ def calibrate(rows: DataFrame, lexicon: dict[str, float], exceptions: frozenset[
     return out if first is None else [out[0]] + [out[first]] * (first - 1) + out[first:]
 
 
+def _scores(matcher: Matcher, curve: list[float], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Values and scores; the score rises a little with the value inside a bin."""
+    value = np.array([matcher.value(t) for t in texts], dtype=np.float64)
+    return value, 0.98 * np.array([curve[_bin(v)] for v in value], dtype=np.float64) + 0.02 * value / (1 + value)
+
+
 def score_documents(docs: DataFrame, lexicon: dict[str, float], exceptions: frozenset[str], curve: list[float]) -> DataFrame:
-    """(doc_id, value, score) of every row; the score rises a little with the value inside a bin."""
+    """(doc_id, value, score) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon, exceptions)
         for b in batches:
-            value = np.array([matcher.value(t) for t in b.column("text").to_pylist()])
-            score = np.array([curve[_bin(v)] for v in value])
-            score = 0.98 * score + 0.02 * value / (1 + value)
+            value, score = _scores(matcher, curve, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(value, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "value", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, value double, score double")
@@ -249,9 +259,9 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     """docs without the rows that score threshold or more; all columns are kept."""
     lexicon, exceptions, curve = learn(docs, labels)
 
-    @F.pandas_udf("double")
-    def score(text):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon, exceptions)
-        return text.map(lambda t: (lambda v: 0.98 * curve[_bin(v)] + 0.02 * v / (1 + v))(matcher.value(t)))
+        for b in batches:
+            yield b.filter(pa.array(_scores(matcher, curve, b.column("text").to_pylist())[1] < threshold))
 
-    return docs.where(score(F.coalesce("text", F.lit(""))) < threshold)
+    return docs.mapInArrow(run, docs.schema)
