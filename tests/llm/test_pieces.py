@@ -6,6 +6,7 @@ import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from vicinage.llm import pieces
 from vicinage.llm.pieces import LITERAL, N_BEST, SPACE, Coder, combine, encode_pieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,13 +33,23 @@ def all_paths(lattice, text, keep):
     return rest(0)
 
 
+def score_of(coder, ids):
+    """The score of a segmentation, from its ids: byte pieces come in runs, one for each character."""
+    by_id = {k: score for hit in coder.lattice.starts.values() if hit for (k,), score in [hit]}
+    raw = [k for k in ids if k not in by_id]
+    chars = b"".join(coder.bytes_of[k] for k in raw).decode()
+    return sum(by_id[k] for k in ids if k in by_id) + len(chars) * coder.lattice.unknown
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([*"aeinrst ,.\n éçħ漢▁😀", "the", "ing", "tion", " and"]), max_size=12).map("".join))
-def test_n_best_against_all_segmentations(text):
-    coder = Coder.of(PATH)
+@given(st.booleans(), st.lists(st.sampled_from([*"aeinrst ,.\n éçħ漢▁😀", "the", "ing", "tion", " and"]), max_size=12).map("".join))
+def test_n_best_against_all_segmentations(zipf, text):
+    coder = Coder.of(PATH, zipf)
     want = all_paths(coder.lattice, text, 8)
-    ids, scores = coder.encode(text)
-    assert np.allclose(scores, [s for s, _ in want[:N_BEST]]) and coder.decode(ids) == text
+    best = coder.encode(text)
+    assert np.allclose([s for s, _ in best], [s for s, _ in want[:N_BEST]])
+    assert all(coder.decode(ids) == text for _, ids in best) and len({ids for _, ids in best}) == len(best)
+    assert np.allclose([s for s, _ in best], [score_of(coder, np.frombuffer(ids, "<u4").tolist()) for _, ids in best])
     found = coder.encode_n_best(text, 5)
     assert np.allclose([s for s, _ in found], [s for s, _ in want[:5]])
     assert len({tuple(x) for _, x in found}) == len(found)
@@ -59,6 +70,9 @@ def test_corpus_round_trip(corpus, edge, empty):
         want = sorted(zlib.crc32((r["text"] or "").encode()) for r in docs.collect())
         got = encode_pieces(docs, PATH, keep_ids=True).collect()
         assert all(r["exact"] and len(r["ids"]) == r["n_pieces"] for r in got)
+        for r in got:
+            assert r["n_best_pieces"][0] == r["n_pieces"] and r["n_best_crc32"][0] == r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+            assert len(r["scores"]) == len(r["n_best_pieces"]) == len(r["n_best_crc32"]) and r["scores"] == sorted(r["scores"], reverse=True)
         assert sorted(r["text_crc32"] for r in got) == want
     assert encode_pieces(empty, PATH).count() == 0
 
@@ -71,3 +85,16 @@ def test_library_decodes_alike(corpus):
     for r in encode_pieces(corpus, PATH, keep_ids=True).collect():
         if r["doc_id"] in texts:
             assert model.decode(r["ids"]) == texts[r["doc_id"]]
+
+
+def test_long_chunks_and_other_models(monkeypatch):
+    """Text without spaces is solved whole and not remembered; without a safe cut a text is one chunk."""
+    coder = Coder(PATH)
+    long = "ab漢cd" * 400
+    once = coder.encode(f"one {long} two")
+    assert coder.decode(once[0][1]) == f"one {long} two" and not any(len(c) > 64 for c in coder.index)
+    assert coder.encode(f"one {long} two") == once
+    whole = Coder(PATH)
+    whole.chunk = pieces._WHOLE
+    for text in ("the cat, and the dog.\nThe end", "", " a  b "):
+        assert np.allclose([s for s, _ in whole.encode(text)], [s for s, _ in coder.encode(text)]) and whole.decode(whole.encode(text)[0][1]) == text

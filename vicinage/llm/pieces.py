@@ -3,18 +3,20 @@
 The lattice of a text has a node before and after each character and an edge for each piece that
 matches. Forward Viterbi gives each node its best score from the start; these scores are exact
 heuristics for an A* search that runs backward from the end, so complete paths leave its heap in
-order of their scores. No piece goes on into white space, so the lattice falls apart into short
+order of their scores. If no piece of the model goes on into white space, the lattice falls apart into short
 chunks at every space; each chunk is solved once and remembered, and the best combinations over
 a whole text come from the chunks with the smallest gaps to their next paths, by the same search.
+With other models a text is one chunk.
 
-The model file is of the BPE kind, whose scores are merge ranks, not log probabilities; their sums
-would favour many short pieces. A piece of rank r counts -ln(r + 2) (Zipf's law) instead. A
+A path's score is the sum of the model's own scores. Those of a model of the BPE kind are merge ranks (-r), whose
+sums need not give the model's own merges; on request a piece of rank r counts -ln(r + 2) (Zipf's law) instead. A
 character without a piece costs more than any piece and becomes its UTF-8 bytes' pieces, and so
 does a literal U+2581, so that decoding gives back every text exactly. Equal scores are decided by
 the order of the search, which is fixed.
 
-Null text counts as empty, which has no pieces. Repeated rows are encoded alike. An empty table
-gives an empty result.
+Null text counts as empty, which has one segmentation, of no pieces. Repeated rows are encoded alike. A very long text is held
+whole in one task, with some 50 bytes for each of its chunks; a chunk of n characters takes some 100 n bytes while it is
+solved. Of the columns only doc_id and text are read, so names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,18 +31,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Stands for a literal U+2581 inside the lattice; no valid text holds a lone surrogate.
 LITERAL = "\ud800"
 N_BEST = 3
-#: Solved chunks that a Python worker remembers.
-MEMO = 1_200_000
+#: Solved chunks that a Python worker remembers, and characters in one of them; longer ones are solved each time.
+MEMO, LONGEST = 1_000_000, 64
 _CHUNK = re.compile(r" *[^ \n]+|\n| +")
 #: Where no piece joins a letter with a mark behind it, a word's marks are chunks of their own.
 _MARKS = ",.!?;:"
+_WHOLE = re.compile("(?s).+")
 _FINE = re.compile(r" *[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ ,.!?;:\n]|$)| *[^ \n]+|\n| +")
-_coders: dict[str, Coder] = {}
+_coders: dict[tuple[str, bool], Coder] = {}
 
 
 class Lattice:
@@ -144,7 +148,7 @@ def combine(gaps: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...
 class Coder:
     """Encoder and decoder of one model, kept for the life of a Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, zipf: bool = False):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -156,56 +160,78 @@ class Coder:
                 self.byte_ids[int(p[3:5], 16)] = k
                 self.bytes_of[k] = bytes([int(p[3:5], 16)])
             elif not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k)):
-                pieces[p] = (k, -math.log(2 - model.get_score(k)))
+                pieces[p] = (k, -math.log(2 - model.get_score(k)) if zipf else model.get_score(k))
                 self.bytes_of[k] = p.replace(SPACE, " ").encode()
         joined = any(a.isalpha() and b in _MARKS for p in pieces for a, b in zip(p, p[1:], strict=False))
-        self.chunk = _CHUNK if joined else _FINE
+        apart = not any((a != SPACE and b == SPACE) or "\n" in a + b for p in pieces for a, b in zip(p, p[1:], strict=False))
+        self.chunk = _WHOLE if not apart else _CHUNK if joined else _FINE
         self.lattice = Lattice(pieces, self.byte_ids, min(s for _, s in pieces.values()) - 10)
         self.forget()
 
     @classmethod
-    def of(cls, path: str) -> Coder:
-        if path not in _coders:
-            _coders[path] = cls(path)
-        return _coders[path]
+    def of(cls, path: str, zipf: bool = False) -> Coder:
+        if (path, zipf) not in _coders:
+            _coders[path, zipf] = cls(path, zipf)
+        return _coders[path, zipf]
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
+        #: the ids of each chunk's best segmentation, and those of the next ones one after another
         self.best: list[bytes] = []
+        self.others: list[bytes] = []
         self.scores, self.gaps = np.zeros(1024), np.zeros((1024, N_BEST - 1))
+        #: where each of the next ones ends, in bytes
+        self.ends = np.zeros((1024, N_BEST), dtype=np.int64)
 
     def _solve(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         return self.lattice.n_best(chunk.replace(SPACE, LITERAL).replace(" ", SPACE), n)
 
-    def _remember(self, chunk: str) -> None:
+    def _remember(self, chunk: str) -> int:
         found = self._solve(chunk, N_BEST)
         k = self.index[chunk] = len(self.best)
         self.best.append(array("I", found[0][1]).tobytes())
+        self.others.append(b"".join(array("I", ids).tobytes() for _, ids in found[1:]))
         if k == len(self.scores):
-            self.scores, self.gaps = np.concatenate([self.scores, np.zeros(k)]), np.concatenate([self.gaps, np.zeros((k, N_BEST - 1))])
+            self.scores, self.gaps, self.ends = (np.concatenate([a, np.zeros_like(a)]) for a in (self.scores, self.gaps, self.ends))
         self.scores[k] = found[0][0]
         self.gaps[k] = [found[0][0] - found[r][0] if r < len(found) else np.inf for r in range(1, N_BEST)]
+        self.ends[k] = np.cumsum([0] + [4 * len(found[r][1]) if r < len(found) else 0 for r in range(1, N_BEST)])
+        return k
 
     def _split(self, text: str) -> list[str]:
         return self.chunk.findall(" " + text) if text else []
 
-    def encode(self, text: str) -> tuple[bytes, list[float]]:
-        """The best segmentation's ids (little-endian 32-bit) and the scores of the N_BEST best."""
+    def encode(self, text: str) -> list[tuple[float, bytes]]:
+        """The N_BEST best segmentations: score and ids (little-endian 32-bit), best first."""
         if len(self.index) > MEMO:
             self.forget()
         chunks, index = self._split(text), self.index
         try:
             at = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
         except KeyError:
-            for c in chunks:
-                if c not in index:
-                    self._remember(c)
-            at = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
+            at = np.fromiter((index[c] if c in index else self._remember(c) for c in chunks), np.int64, len(chunks))
         total, first = float(self.scores[at].sum()), self.gaps[at, 0]
-        near = _nearest(first, N_BEST - 1)
-        lists = [[0.0, *(g for g in self.gaps[k].tolist() if g < math.inf)] for k in at[near].tolist()]
-        best = self.best
-        return b"".join([best[k] for k in at.tolist()]), [total - cost for cost, _ in combine(lists, N_BEST)]
+        near = _nearest(first, N_BEST - 1).tolist()
+        lists = [[0.0, *(g for g in self.gaps[at[k]].tolist() if g < math.inf)] for k in near]
+        parts = [self.best[k] for k in at.tolist()]
+        out = []
+        for cost, taken in combine(lists, N_BEST):
+            own = parts
+            if any(taken):  # a few chunks take one of their next segmentations
+                own = parts.copy()
+                for k, r in zip(near, taken, strict=True):
+                    if r:
+                        a, b = self.ends[at[k], r - 1 : r + 1].tolist()
+                        own[k] = self.others[at[k]][a:b]
+            out.append((total - cost, b"".join(own)))
+        if len(chunks) and max(map(len, chunks)) > LONGEST:
+            self._forget_long(chunks)
+        return out
+
+    def _forget_long(self, chunks: list[str]) -> None:
+        for c in chunks:
+            if len(c) > LONGEST and (k := self.index.pop(c, None)) is not None:
+                self.best[k] = self.others[k] = b""
 
     def encode_n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text, best first."""
@@ -222,17 +248,17 @@ class Coder:
         return b"".join([table[k] for k in np.frombuffer(ids, dtype="<u4").tolist()])[1:].decode()
 
 
-def _encode_batches(path: str, keep_ids: bool):
+def _encode_batches(path: str, keep_ids: bool, zipf: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from vicinage.llm.tokenfile import _id_lists
 
-        coder = Coder.of(path)
+        coder = Coder.of(path, zipf)
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 b = whole.slice(first, 512)
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 coded = [coder.encode(t) for t in texts]
-                ids = [c for c, _ in coded]
+                ids = [c[0][1] for c in coded]
                 back = [coder.decode(c) for c in ids]
                 columns = {
                     "doc_id": b.column("doc_id"),
@@ -240,7 +266,9 @@ def _encode_batches(path: str, keep_ids: bool):
                     "ids_crc32": pa.array([zlib.crc32(c) for c in ids], pa.int64()),
                     "text_crc32": pa.array([zlib.crc32(t.encode()) for t in back], pa.int64()),
                     "exact": pa.array([t == u for t, u in zip(texts, back, strict=True)]),
-                    "scores": pa.array([s for _, s in coded], pa.list_(pa.float64())),
+                    "scores": pa.array([[s for s, _ in c] for c in coded], pa.list_(pa.float64())),
+                    "n_best_pieces": pa.array([[len(x) // 4 for _, x in c] for c in coded], pa.list_(pa.int64())),
+                    "n_best_crc32": pa.array([[zlib.crc32(x) for _, x in c] for c in coded], pa.list_(pa.int64())),
                 }
                 if keep_ids:
                     columns["ids"] = _id_lists(ids)
@@ -249,7 +277,11 @@ def _encode_batches(path: str, keep_ids: bool):
     return run
 
 
-def encode_pieces(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
-    """One row a document: n_pieces and crc32 of the best ids, crc32 of the text decoded from them, whether it is the text, the N_BEST best scores, and the ids on request."""
-    schema = "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, exact boolean, scores array<double>" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(_encode_batches(model, keep_ids), schema)
+def encode_pieces(docs: DataFrame, model: str, keep_ids: bool = False, zipf: bool = False) -> DataFrame:
+    """One row a document.
+
+    n_pieces and crc32 of the best ids, crc32 of the text decoded from them, whether it is the text; scores, pieces and
+    crc32 of the N_BEST best segmentations, best first; and the best ids on request.
+    """
+    schema = "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, exact boolean, scores array<double>, n_best_pieces array<long>, n_best_crc32 array<long>" + ", ids array<int>" * keep_ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode_batches(model, keep_ids, zipf), schema)
