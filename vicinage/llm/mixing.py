@@ -6,7 +6,7 @@ are taken in the global order of finish times until the next one would pass the
 
 Null or blank text has size 0 and is never taken. A null source is a source of its own, after all
 others. Rows that repeat a doc_id are rows of their own. An empty table gives an empty result.
-Columns of the input whose names clash with the result's are replaced.
+Very long texts are only counted. Columns of the input whose names clash with the result's are replaced.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ move for that only when no unlinked document is left.
 
 A group that is larger than a shard fills one shard after another. Links are kept as group ids, so
 that no pair of members is ever formed. Null text counts as empty text, of size 1. Rows that repeat
-a doc_id are rows of their own. An empty table gives an empty result.
+a doc_id are rows of their own. Very long texts are only measured and hashed; one that is larger than a shard's share makes
+its shard larger by as much. Columns beside doc_id and text are not read. An empty table gives an empty result. Texts count as
+equal if their 64-bit hashes are: among 10^10 different texts a few pairs may be linked so.
 """
 
 from __future__ import annotations
@@ -72,7 +74,7 @@ def even_out(rows: DataFrame, n_shards: int, n: int, passes: int) -> DataFrame:
         if max(over, default=0) <= 16:
             break
         giving = rows.where(F.col("size") <= _at(over, F.col("shard")))
-        giving = running_total(giving.withColumn("_bucket", F.col("cost") * nb + F.pmod("_r", F.lit(nb))), ["shard"], "_bucket", [F.col("_r"), F.col("doc_id"), F.col("size")], "size", "_upto").drop("_bucket")
+        giving = running_total(giving.withColumn("_bucket", F.col("cost") * nb + F.pmod("_r", F.lit(nb))), ["shard"], "_bucket", [F.col("_r"), F.col("doc_id"), F.col("size"), F.col("_g")], "size", "_upto").drop("_bucket")
         # surpluses and deficits lie on one axis; a document goes where its middle falls
         base = [sum(over[:s]) for s in range(n_shards)]
         ends = [sum(under[: t + 1]) for t in range(n_shards)]
@@ -108,5 +110,5 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = 4, passes:
     # moving an unlinked document costs nothing, one of a split group little, one of a whole group most
     rows = cut(single.withColumn("cost", F.lit(0)).unionByName(linked.withColumn("cost", F.when(F.col("_split"), 1).otherwise(2)).drop("_split")))
     rows = even_out(rows, n_shards, total["n"], passes)
-    rows = running_total(rows.withColumn("_bucket", F.pmod("_r", F.lit(buckets_for(total["n"])))).withColumn("_one", F.lit(1)), ["shard"], "_bucket", [F.col("_r"), F.col("doc_id"), F.col("size")], "_one", "slot")
+    rows = running_total(rows.withColumn("_bucket", F.pmod("_r", F.lit(buckets_for(total["n"])))).withColumn("_one", F.lit(1)), ["shard"], "_bucket", [F.col("_r"), F.col("doc_id"), F.col("size"), F.col("_g")], "_one", "slot")
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("slot") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_size", (F.col("cost") == 1).alias("cut"))
