@@ -16,8 +16,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(PATH)  # as the library gives it
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -58,3 +57,31 @@ def test_edge_cases(spark, library, edge, empty, tmp_path):
 @given(st.lists(st.sampled_from([*" \n\t\r,.!?'\"()abZéß漢²3-_\x0b\x1c\x85\xa0\u2003\u3000ªµ", "'s", "don't", "<|endoftext|>"]), max_size=30).map("".join))
 def test_pieces_are_encoded_as_the_whole(library, text):
     assert np.frombuffer(tokenfile.Encoder.of(PATH).encode([text])[0], "<u4").tolist() == library(text)
+
+
+def test_control_strings_as_the_library_has_them(library):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    for text in ("x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c"):
+        ids = lambda special: np.frombuffer(tokenfile.Encoder.of(PATH, special).encode([text])[0], "<u4").tolist()
+        assert ids(False) == library(text) and 50256 in library(text)
+        assert ids(True) == plain.encode(text, add_special_tokens=False).ids and 50256 not in ids(True)
+
+
+def test_other_tokenizers_are_not_cut(frame):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    coder, library = tokenfile.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Words,  and More\nWords", "", "don't  stop"]
+    assert not coder.in_pieces
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_pieces_are_not_remembered(library):
+    coder = tokenfile.Encoder(PATH)
+    text = "one " + "x7" * 500 + " two"
+    assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == library(text)
+    assert max(map(len, coder.memo)) <= tokenfile.LONGEST

@@ -6,11 +6,13 @@ are dictionary encoded. Row groups and pages are of set sizes and carry page ind
 a doc_id range, the lengths alone or single documents are read without the rest.
 
 Null text counts as empty: such a document has the end id alone. Rows that repeat a doc_id follow
-each other in the order of their texts' hashes. An empty table gives no rows.
+each other in the order of their texts' hashes; a null doc_id comes first. A very long text is encoded whole in one task, which
+holds its pieces and ids. Of the columns only doc_id and text are read, so names cannot clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -35,53 +37,66 @@ LAYOUT = {
     "compression": "zstd",
 }
 SCHEMA = "doc_id long, part int, at long, n_tokens int, ids array<int>"
-#: Encoded pieces of text that a Python worker remembers.
-MEMO = 900_000
-#: White space and the text up to the next; a word's own punctuation stands alone. Byte-level BPE never joins
-#: what stands before a white-space character with it, unless that is white space too, nor letters with
-#: a comma, stop or mark behind them; so pieces cut there are encoded alike alone.
-_CHUNK = re.compile(r"[ \n\t\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ ,.!?\n]|$)|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+#: Encoded pieces of text that a Python worker remembers, and characters in one of them; longer ones are encoded each time.
+MEMO, LONGEST = 900_000, 64
+#: White space and the text up to the next; a word's own punctuation stands alone, and so does a lone line end. Byte-level BPE with
+#: its usual pattern never joins what stands before a white-space character with it, unless that is white space too,
+#: nor letters with what is no letter behind them, nor a line end with other characters; so pieces cut there are encoded alike alone.
+_CHUNK = re.compile(r"(?<![ \n\t\r])\n(?=[^ \n\t\r])|[ \n\t\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?!\w)|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Other white space can join a run; texts that hold any are encoded whole.
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
-    """The tokenizer with a memory of pieces, kept for the life of a Python worker."""
+    """The tokenizer with a memory of pieces, kept for the life of a Python worker.
 
-    def __init__(self, path: str):
+    Pieces are told apart only where the tokenizer's file says that it is byte-level BPE with its usual pattern; with
+    others, texts are encoded whole, and so are texts that hold an added token. special: whether the strings of control tokens
+    in a text are ordinary text; by the library's default they are not.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special
+        form = json.loads(self.tokenizer.to_str())
+        usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        before = form["pre_tokenizer"] or {}
+        self.in_pieces = form["normalizer"] is None and form["model"].get("type", "BPE") == "BPE" and not form["model"].get("dropout") and all(before.get(k) == v for k, v in usual.items())
+        added = [re.escape(t["content"]) for t in form["added_tokens"] if not (special and t["special"])]
+        self.whole = re.compile("|".join([_OTHER_SPACE.pattern, *added]))
         self.memo: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in _encoders:
+    def of(cls, path: str, special: bool = False) -> Encoder:
+        if (path, special) not in _encoders:
             import os
 
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-            _encoders[path] = cls(path)
-        return _encoders[path]
+            _encoders[path, special] = cls(path, special)
+        return _encoders[path, special]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
+        if not self.in_pieces:
+            return self._encode(texts)
         if len(self.memo) > MEMO:
             self.memo.clear()
-        get = self.memo.get
-        chunks = [[] if _OTHER_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
-        known = [list(map(get, c)) for c in chunks]
-        new = list({c for cs, ids in zip(chunks, known, strict=True) if None in ids for c, i in zip(cs, ids, strict=True) if i is None})
-        self.memo.update(zip(new, self._encode(new), strict=True))
-        return [
-            (b"".join(ids if None not in ids else [get(c) if i is None else i for c, i in zip(cs, ids, strict=True)]) if cs else b"".join(self._encode([t])))
-            for t, cs, ids in zip(texts, chunks, known, strict=True)
-        ]
+        memo, whole = self.memo, self.whole.search
+        chunks = [None if whole(t) else _CHUNK.findall(t) for t in texts]
+        new = list(set().union(*(c for c in chunks if c)).difference(memo))
+        memo.update(zip(new, self._encode(new), strict=True))
+        out = [b"".join(map(memo.__getitem__, c)) if c is not None else self._encode([t])[0] for t, c in zip(texts, chunks, strict=True)]
+        for c in new:
+            if len(c) > LONGEST:
+                del memo[c]
+        return out
 
 
 def _id_lists(ids: list[bytes]) -> pa.Array:
