@@ -84,36 +84,30 @@ class Lattice:
     def n_best(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids) of s, best first.
 
-        A heap entry is a path from the end, as good as its best completion. When it is taken, the
-        next best edge beside its last one enters the heap, and the best edge into its start.
+        A heap entry is a path from the end with the edge it takes next, as good as its best completion. From the
+        entry that is taken, best edges lead on to the start without a loss, so these need not pass through the heap;
+        the next best edge beside each of them enters it.
         """
         _, into = self.forward(s)
-        ordered: dict[int, list] = {}
+        for edges in into:
+            if len(edges) > 1:
+                edges.sort(reverse=True)
         heap: list[tuple] = []
         out: list[tuple[float, tuple[int, ...]]] = []
-        count = 0
-
-        def push(at: int, k: int, behind: float, path: tuple) -> None:
-            nonlocal count
-            edges = ordered.get(at)
-            if edges is None:
-                edges = ordered[at] = sorted(into[at], reverse=True)
-            if k < len(edges):
-                total, i, score, ids = edges[k]
-                count += 1
-                heapq.heappush(heap, (-(total + behind), count, i, behind + score, (ids, path), at, k, behind, path))
-
-        push(len(s), 0, 0.0, ())
-        while heap:
-            _, _, i, score, path, at, k, behind, rest = heapq.heappop(heap)
-            if i == 0:
-                out.append((score, tuple(x for ids in _unwind(path) for x in ids)))
-                if len(out) == n:
-                    break
-            push(at, k + 1, behind, rest)
-            if i:
-                push(i, 0, score, path)
-        return out
+        count, at, k, behind, path = 0, len(s), 0, 0.0, ()
+        while True:
+            last = len(out) == n - 1
+            while at:
+                edges = into[at]
+                _, i, score, ids = edges[k]
+                if not last and k + 1 < len(edges):
+                    count += 1
+                    heapq.heappush(heap, (-(edges[k + 1][0] + behind), count, at, k + 1, behind, path))
+                behind, path, at, k = behind + score, (ids, path), i, 0
+            out.append((behind, tuple(x for ids in _unwind(path) for x in ids)))
+            if last or not heap:
+                return out
+            _, _, at, k, behind, path = heapq.heappop(heap)
 
 
 def _unwind(path: tuple) -> Iterator[tuple[int, ...]]:
