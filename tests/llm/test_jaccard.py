@@ -135,6 +135,26 @@ def test_prefix_of_linked_sets_meets():
         assert shared >= -(-min(len(x), len(y)) // jaccard.EXTRA)
 
 
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_first_screen_counts_shared_tokens(size):
+    """Rows of several tasks, summed up in each and then by token, in batches of any size."""
+    rng = np.random.default_rng(size)
+    nodes = {i: np.unique(rng.integers(-30, 30, int(rng.integers(1, 12)))) for i in rng.integers(-(2**62), 2**62, 12).tolist()}
+    tasks = [list(nodes)[k::3] + [next(iter(nodes))] * (k > 0) for k in range(3)]
+    rows = [np.concatenate(c) for c in zip(*(jaccard.combined(np.concatenate([nodes[i] for i in t]), np.repeat(t, [len(nodes[i]) for i in t]), np.repeat([len(nodes[i]) for i in t], [len(nodes[i]) for i in t])) for t in tasks), strict=True)]
+    order = np.argsort(rows[0], kind="stable")
+    batches = [jaccard._row_batch([c[order][k : k + size] for c in rows]) for k in range(0, len(order), size)]
+    got = {}
+    for b in jaccard.credits(iter(batches)):
+        for node, n, k in zip(*(b.column(c).to_pylist() for c in ("node", "n", "k")), strict=True):
+            assert n == len(nodes[node]) and k > 0
+            got[node] = got.get(node, 0) + k
+    first = next(iter(nodes))
+    want = {i: sum(any(h in y for j, y in nodes.items() if j != i) for h in x.tolist()) for i, x in nodes.items()}
+    assert {i: k for i, k in got.items() if i != first} == {i: k for i, k in want.items() if i != first and k}
+    assert got.get(first, 0) == 3 * want[first] or want[first] <= got.get(first, 0)  # a copy in each of three tasks counts each time
+
+
 def test_bit_maps_bound_what_differs():
     ones = lambda words: int(np.bitwise_count(words.view(np.uint64)).sum())
     for x, y in linked_sets(6):

@@ -150,22 +150,99 @@ def least_shared(n: Column) -> Column:
     return F.ceil(F.ceil(PERCENT * n / 100) / EXTRA)
 
 
+#: Rows that a task looks through for tokens of several nodes before it sends them on.
+COMBINE = 1 << 20
+#: Kinds of rows of the first screen: a node's token; a token that several nodes of one task have; how many such tokens a node has.
+TOKEN, PROOF = 0, -1
+
+
+def combined(h: np.ndarray, node: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """(h, node, n, k) rows of a task's prefix tokens, summed up before the shuffle.
+
+    Of a token that several of the nodes have, one row goes on (k = PROOF), however many they are, and each node gets
+    a row with the number of its such tokens (k > 0, under the node's own number). The other tokens go on as they are (k = TOKEN).
+    """
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    shared = np.zeros(len(h), dtype=bool)
+    shared[order[1:]] = same
+    shared[order[:-1]] |= same
+    proofs = np.unique(h[shared])
+    nodes, at, counts = np.unique(node[shared], return_index=True, return_counts=True)
+    left = ~shared
+    zeros = lambda x: np.zeros(len(x), dtype=np.int64)
+    return [
+        np.concatenate([h[left], proofs, nodes]),
+        np.concatenate([node[left], zeros(proofs), nodes]),
+        np.concatenate([n[left], zeros(proofs), n[shared][at]]),
+        np.concatenate([np.full(left.sum(), TOKEN), zeros(proofs) + PROOF, counts]),
+    ]
+
+
+_ROW = ("h", "node", "n", "k")
+_ROW_SCHEMA = "h long, node long, n int, k int"
+
+
+def _row_batch(columns: list[np.ndarray]) -> pa.RecordBatch:
+    kinds = (np.int64, np.int64, np.int32, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(t, copy=False)) for c, t in zip(columns, kinds, strict=True)], names=list(_ROW))
+
+
 def prefix_rows(docs: DataFrame) -> DataFrame:
-    """(h, node, n) for each token of each node's prefix; a task gives each node once."""
+    """Rows of combined() for the tokens of each node's prefix; a task gives each node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
+        held: list[tuple[np.ndarray, int, int]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            lengths = [len(h) for h, _, _ in held]
+            return _row_batch(combined(np.concatenate([h for h, _, _ in held]), *(np.repeat(np.array([x[k] for x in held], dtype=np.int64), lengths) for k in (1, 2))))
+
         for _, sets in _batches(batches):
             new = {i: s for s in sets if len(s) and (i := _set_id(s)) not in done}
             done.update(new)
-            heads = [prefix(s) for s in new.values()]
-            n = [len(h) for h in heads]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(list(new), dtype=np.int64), n)), pa.array(np.repeat(np.array([len(s) for s in new.values()], dtype=np.int32), n))],
-                names=["h", "node", "n"],
-            )
-
-    return docs.select("text").mapInArrow(run, "h long, node long, n int")
+            held += [(prefix(s), i, len(s)) for i, s in new.items()]
+            size += sum(len(s) for s in new.values())
+            if size >= 2 * COMBINE:  # prefixes are less than half of the tokens
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return docs.select("text").mapInArrow(run, _ROW_SCHEMA)
+
+
+def credits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, node, n, k) with k > 0: how many tokens of a node others have too, from rows in the order of h. Several rows a node."""
+    rest: list[np.ndarray] | None = None
+
+    def told(columns: list[np.ndarray]) -> pa.RecordBatch:
+        h, node, n, k = columns
+        ready, token = k > 0, k <= 0
+        gh, gn, gk = h[token], node[token], k[token]
+        if not len(gh):
+            return _row_batch([c[ready] for c in columns])
+        start = np.flatnonzero(np.concatenate([[True], gh[1:] != gh[:-1]]))
+        # tokens of several nodes, or of several in one task
+        nodes = np.where(gk == TOKEN, gn, np.repeat(np.maximum.reduceat(np.where(gk == TOKEN, gn, np.iinfo(np.int64).min), start), np.diff(np.append(start, len(gh)))))
+        many = (np.minimum.reduceat(nodes, start) != np.maximum.reduceat(nodes, start)) | (np.minimum.reduceat(gk, start) == PROOF)
+        hit = np.repeat(many, np.diff(np.append(start, len(gh)))) & (gk == TOKEN)
+        ids, at, counts = np.unique(gn[hit], return_index=True, return_counts=True)
+        return _row_batch([np.concatenate([c[ready], x]) for c, x in zip(columns, (ids, ids, n[token][hit][at], counts), strict=True)])
+
+    for b in batches:
+        columns = [b.column(c).to_numpy() for c in _ROW]
+        if rest is not None:
+            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+        # the last token's rows may go on in the next batch
+        cut_at = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
+        rest = [c[cut_at:] for c in columns]
+        if cut_at:
+            yield told([c[:cut_at] for c in columns])
+    if rest is not None and len(rest[0]):
+        yield told(rest)
 
 
 def _several(rows: DataFrame, what: str = "node") -> DataFrame:
@@ -174,10 +251,12 @@ def _several(rows: DataFrame, what: str = "node") -> DataFrame:
 
 
 def screened(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node) of nodes that share enough tokens of their prefixes with others. Copies of a node in other tasks may let more through."""
-    rows = prefix_rows(docs)
-    shared = scratch.table("shared", _several(rows))
-    counts = rows.join(shared, "h", "left_semi").groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    """(node) of nodes that share enough tokens of their prefixes with others. A token has some rows a task at most in the shuffle.
+
+    Copies of a node in other tasks may let more through.
+    """
+    rows = prefix_rows(docs).repartition("h").sortWithinPartitions("h").mapInArrow(credits, _ROW_SCHEMA)
+    counts = rows.groupBy("node").agg(F.sum("k").alias("k"), F.first("n").alias("n"))
     return scratch.table("screened", counts.where(F.col("k") >= least_shared(F.col("n"))).select("node"))
 
 
