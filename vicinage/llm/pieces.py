@@ -28,6 +28,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,9 +56,35 @@ class Lattice:
         #: Every beginning of a piece; those that are pieces have their id and score.
         self.starts: dict[str, tuple] = {p[:k]: () for p in pieces for k in range(1, len(p))}
         self.starts |= {p: ((k,), score) for p, (k, score) in pieces.items()}
+        #: the same pieces as an automaton, for text of which every character is one
+        self.single = {p for p in pieces if len(p) == 1}
+        self.matches = ahocorasick.Automaton()
+        for p, (k, score) in pieces.items():
+            self.matches.add_word(p, (len(p) - 1, score, (k,)))
+        self.matches.make_automaton()
 
     def forward(self, s: str) -> tuple[list[float], list[list[tuple[float, int, float, tuple[int, ...]]]]]:
         """Viterbi: each node's best score from the start, and its incoming edges (best score over the edge, start, score, ids)."""
+        return self._with_bytes(s) if not self.single.issuperset(s) else self._by_matches(s)
+
+    def _by_matches(self, s: str) -> tuple[list[float], list[list[tuple[float, int, float, tuple[int, ...]]]]]:
+        """Matches come by their end, so all edges into a node are known before one leaves it."""
+        best, into = [0.0], [[]]
+        last, edges, top = -1, into[0], 0.0
+        for end, (back, score, ids) in self.matches.iter(s):
+            if end != last:
+                last, edges, top = end, [], -math.inf
+                into.append(edges)
+                best.append(top)
+            i = end - back
+            total = best[i] + score
+            edges.append((total, i, score, ids))
+            if total > top:
+                top = best[-1] = total
+        return best, into
+
+    def _with_bytes(self, s: str) -> tuple[list[float], list[list[tuple[float, int, float, tuple[int, ...]]]]]:
+        """By the beginnings of pieces at each node; a character without a piece becomes bytes."""
         n, find = len(s), self.starts.get
         best = [0.0] + [-math.inf] * n
         into: list[list] = [[] for _ in range(n + 1)]
@@ -81,7 +108,7 @@ class Lattice:
                 best[i + 1] = max(best[i + 1], total)
         return best, into
 
-    def n_best(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def n_best(self, s: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of s, best first.
 
         A heap entry is a path from the end with the edge it takes next, as good as its best completion. From the
@@ -93,7 +120,7 @@ class Lattice:
             if len(edges) > 1:
                 edges.sort(reverse=True)
         heap: list[tuple] = []
-        out: list[tuple[float, tuple[int, ...]]] = []
+        out: list[tuple[float, list[int]]] = []
         count, at, k, behind, path = 0, len(s), 0, 0.0, ()
         while True:
             last = len(out) == n - 1
@@ -104,18 +131,16 @@ class Lattice:
                     count += 1
                     heapq.heappush(heap, (-(edges[k + 1][0] + behind), count, at, k + 1, behind, path))
                 behind, path, at, k = behind + score, (ids, path), i, 0
-            out.append((behind, tuple(x for ids in _unwind(path) for x in ids)))
+            ids = []
+            while path:
+                own, path = path
+                ids += own
+            out.append((behind, ids))
             if last or not heap:
                 return out
             _, _, at, k, behind, path = heapq.heappop(heap)
 
 
-def _unwind(path: tuple) -> Iterator[tuple[int, ...]]:
-    while path:
-        yield path[0]
-        path = path[1]
-
-
 def _nearest(gaps: np.ndarray, n: int) -> np.ndarray:
     """Places of the n smallest gaps: only these chunks can differ from their best in one of the n + 1 best paths."""
     if len(gaps) <= n:
@@ -177,20 +202,29 @@ class Coder:
         #: where each of the next ones ends, in bytes
         self.ends = np.zeros((1024, N_BEST), dtype=np.int64)
 
-    def _solve(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def _solve(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
         return self.lattice.n_best(chunk.replace(SPACE, LITERAL).replace(" ", SPACE), n)
 
-    def _remember(self, chunk: str) -> int:
-        found = self._solve(chunk, N_BEST)
-        k = self.index[chunk] = len(self.best)
-        self.best.append(array("I", found[0][1]).tobytes())
-        self.others.append(b"".join(array("I", ids).tobytes() for _, ids in found[1:]))
-        if k == len(self.scores):
+    def _remember(self, chunks: list[str]) -> None:
+        """Solve chunks that are not known yet, each once."""
+        first, scores, gaps, ends = len(self.best), [], [], []
+        for c in chunks:
+            found = self._solve(c, N_BEST)
+            self.index[c] = len(self.best)
+            top, ids = found[0]
+            self.best.append(array("I", ids).tobytes())
+            rest = found[1:]
+            self.others.append(array("I", [x for _, ids in rest for x in ids]).tobytes())
+            scores.append(top)
+            gaps.append([top - s for s, _ in rest] + [math.inf] * (N_BEST - len(found)))
+            upto = [0]
+            for _, ids in rest:
+                upto.append(upto[-1] + 4 * len(ids))
+            ends.append(upto + upto[-1:] * (N_BEST - len(found)))
+        while len(self.best) > len(self.scores):
             self.scores, self.gaps, self.ends = (np.concatenate([a, np.zeros_like(a)]) for a in (self.scores, self.gaps, self.ends))
-        self.scores[k] = found[0][0]
-        self.gaps[k] = [found[0][0] - found[r][0] if r < len(found) else np.inf for r in range(1, N_BEST)]
-        self.ends[k] = np.cumsum([0] + [4 * len(found[r][1]) if r < len(found) else 0 for r in range(1, N_BEST)])
-        return k
+        new = slice(first, len(self.best))
+        self.scores[new], self.gaps[new], self.ends[new] = scores, gaps, ends
 
     def _split(self, text: str) -> list[str]:
         return self.chunk.findall(" " + text) if text else []
@@ -203,7 +237,8 @@ class Coder:
         try:
             at = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
         except KeyError:
-            at = np.fromiter((index[c] if c in index else self._remember(c) for c in chunks), np.int64, len(chunks))
+            self._remember([c for c in dict.fromkeys(chunks) if c not in index])
+            at = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
         total, first = float(self.scores[at].sum()), self.gaps[at, 0]
         near = _nearest(first, N_BEST - 1).tolist()
         lists = [[0.0, *(g for g in self.gaps[at[k]].tolist() if g < math.inf)] for k in near]
