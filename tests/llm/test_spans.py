@@ -13,11 +13,14 @@ def brute(pairs, span=spans.SPAN):
         full = [k for k, s in enumerate(parts) if s.strip()]
         gone[i] = set()
         for a in range(len(full) - span + 1):
-            key = tuple(parts[full[a + k]].strip() for k in range(span))
-            if sum(x.count(" ") + 1 for x in key) < spans.MIN_WORDS:
+            n = span
+            while a + n <= len(full) and sum(parts[full[a + k]].strip().count(" ") + 1 for k in range(n)) < spans.MIN_WORDS:
+                n += 1
+            if a + n > len(full):
                 continue
+            key = tuple(parts[full[a + k]].strip() for k in range(n))
             if first.setdefault(key, (i, a)) != (i, a):
-                gone[i] |= set(full[a : a + span])
+                gone[i] |= set(full[a : a + n])
     out = {}
     for i, text in pairs:
         kept = "".join(s for k, s in enumerate(spans.sentences(text or "")) if k not in gone[i])
@@ -53,6 +56,15 @@ def test_repeats_inside_a_text(frame):
     check(frame(*((i, t, "s") for i, t in pairs)), pairs)
 
 
+def test_short_sentences_are_taken_together(frame):
+    """Runs of short lines go on until they have enough words; a repeat of fewer stays."""
+    short = "One. Two. Three. Four. Five. Six. Seven. Eight. Nine. "
+    pairs = [(1, "Start of one here now. " + short), (2, short + "End of two is here."), (3, "One. Two. Three. Own words end this text."), (4, "No. No. No. No. No. No. No. No. No. No. No.")]
+    check(frame(*((i, t, "s") for i, t in pairs)), pairs)
+    rows = {r["doc_id"]: r["text"] for r in spans.dedup_spans(frame(*((i, t, "s") for i, t in pairs))).collect()}
+    assert rows[2] == "End of two is here." and rows[3] == pairs[2][1]
+
+
 def test_corpus(corpus):
     check(corpus, [(r["doc_id"], r["text"]) for r in corpus.collect()])
 

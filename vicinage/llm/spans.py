@@ -4,14 +4,16 @@ A text is cut into sentences at full stops, question and exclamation marks and l
 are cut further, into pieces of about five words, before each word whose hash is the least among its
 NEAR neighbours on both sides. As only near words decide, and sentence ends fewer than EDGE words
 away, a passage is cut alike wherever it stands, but for its first and last few words. (A stretch of
-one or two words over and over has no least word and is one piece.) Every run of SPAN consecutive
-pieces of MIN_WORDS words or more together is hashed and joined globally; a run that holds a piece of
-a cut sentence always has so many. The first place of a run (the smallest doc_id, then the text's
+one or two words over and over has no least word and is one piece.) From every piece, the run of SPAN
+consecutive pieces is hashed and joined globally, or, if they have fewer than MIN_WORDS words together, the
+shortest longer run that has as many; one that holds a piece of a cut sentence never needs more. The first place of a run (the smallest doc_id, then the text's
 hash, then the place in it) stays; the pieces that any later one covers are removed.
 
-Null text stays null; a text of fewer pieces than a span is left as it is. A document is known by its
+Null text stays null; a text of fewer pieces than a span, or fewer words than MIN_WORDS, is left as it is. A very long text is
+taken whole: a task holds one with some 60 bytes for each of its own. A document is known by its
 doc_id, which may be null, and a hash of its text: rows that share both are one document to this
-operator, and all stay as the first one does; rows that share only one are different documents. A text
+operator, and all stay as the first one does; rows that share only one are different documents. Columns of the input that are
+named like the two that are added are replaced. A text
 of which all is covered becomes empty. All columns of the input are kept. An empty table gives an
 empty result.
 """
@@ -31,7 +33,7 @@ from vicinage.llm.common import cut
 from vicinage.llm.jaccard import _mix, _power_tables
 
 SPAN = 3
-#: Words of a span at least; shorter runs ("Yes. No. Oh.") may repeat by chance.
+#: Words of a span at least; shorter runs ("Yes. No. Oh.") may repeat by chance, so they go on until they have as many.
 MIN_WORDS = 8
 #: A word starts a piece if its hash is the least of NEAR words on either side, so pieces have more than NEAR words.
 NEAR = 2
@@ -102,13 +104,14 @@ class Pieces:
         self.bounds = np.searchsorted(self.at, self.base)
         self.full_bounds = np.searchsorted(self.full, self.bounds)
 
-    def runs(self, span: int) -> tuple[np.ndarray, np.ndarray]:
-        """(start in `full`, text) of every run of `span` pieces and MIN_WORDS words or more."""
+    def runs(self, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start in `full`, end, text) of the run from every piece: `span` pieces, or as many more as make MIN_WORDS words."""
         total = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.words)])
-        start = np.arange(max(0, len(self.full) + 1 - span))
-        text = np.repeat(np.arange(len(self.full_bounds) - 1), np.diff(self.full_bounds))[: len(start)]
-        ok = (start + span <= self.full_bounds[1:][text]) & (total[span:] - total[: len(start)] >= MIN_WORDS if len(start) else True)
-        return start[ok], text[ok]
+        start = np.arange(len(self.full))
+        end = np.maximum(start + span, np.searchsorted(total, total[:-1] + MIN_WORDS))
+        text = np.repeat(np.arange(len(self.full_bounds) - 1), np.diff(self.full_bounds))
+        ok = end <= self.full_bounds[1:][text]
+        return start[ok], end[ok], text[ok]
 
 
 def sentences(text: str) -> list[str]:
@@ -121,10 +124,11 @@ def sentences(text: str) -> list[str]:
 def span_hashes(texts: list[str | None], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the runs of all texts: hash, text, and place of the first piece among those of its text that are not blank."""
     p = Pieces(texts)
-    start, text = p.runs(span)
+    start, end, text = p.runs(span)
     h = np.zeros(len(start), dtype=np.uint64)
-    for k in range(span):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + p.hash[start + k])
+    for k in range(int((end - start).max(initial=0))):
+        more = slice(None) if k < span else np.flatnonzero(start + k < end)
+        h[more] = _mix(h[more] * np.uint64(0x9E3779B97F4A7C15) + p.hash[start[more] + k])
     return h.view(np.int64), text, start - p.full_bounds[text]
 
 
@@ -166,6 +170,9 @@ def spans(docs: DataFrame, span: int = SPAN, repeated: Broadcast | None = None)
 def remove(texts: list[str | None], places: list[list[int] | None], span: int = SPAN) -> list[tuple[str | None, int, int]]:
     """Each text without the runs that start at the given places, its pieces, and those removed."""
     p = Pieces(texts)
+    start, end, _ = p.runs(span)
+    until = np.zeros(len(p.full), dtype=np.int64)
+    until[start] = end
     out = []
     for k, (t, some) in enumerate(zip(texts, places, strict=True)):
         if t is None:
@@ -177,8 +184,11 @@ def remove(texts: list[str | None], places: list[list[int] | None], span: int =
         if not some:
             out.append((t, len(at), 0))
             continue
-        full = p.full[p.full_bounds[k] : p.full_bounds[k + 1]] - p.bounds[k]
-        gone = full[np.unique(np.add.outer(np.asarray(some, dtype=np.int64), np.arange(span)))]
+        lo, hi = p.full_bounds[k : k + 2]
+        # +1 where a run starts, -1 where it ends: pieces inside any run are covered
+        runs = np.asarray(some, dtype=np.int64)
+        steps = np.bincount(runs, minlength=hi - lo + 1) - np.bincount(until[lo + runs] - lo, minlength=hi - lo + 1)
+        gone = p.full[lo:hi][np.cumsum(steps)[:-1] > 0] - p.bounds[k]
         stay = np.ones(len(at), dtype=bool)
         stay[gone] = False
         stops = np.append(at, len(raw))[1:]
