@@ -33,12 +33,14 @@ class Scratch:
         df.write.partitionBy(*partition_by).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}") if not partition_by else self.spark.read.parquet(f"{self.path}/{name}")
 
-    def drop(self, name: str = "") -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
     def __exit__(self, *_: object) -> None:
-        self.drop()
+        remove(self.spark, self.path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can reach it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @contextmanager
