@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from vicinage.llm.mixing import mix, mixed_rows
 
 
@@ -62,3 +64,29 @@ def test_mixed_rows_repeat_as_taken(frame, edge):
     assert rows.columns == docs.columns
     assert sum(len(r["text"].split()) for r in rows.collect()) == sum(r["taken"] for r in plan)
     assert mixed_rows(edge).count() > 0
+
+
+def test_order_of_finish_times(frame):
+    """Every copy by its finish time, in one sorted list, until the next one would pass the budget."""
+    sizes = {i: 1 + i * 7919 % 23 for i in range(400)}
+    source = lambda i: None if i % 11 == 0 else f"s{i % 5}"
+    docs = frame(*((i, "w " * n, source(i)) for i, n in sizes.items()))
+    got = {r["doc_id"]: r for r in mix(docs).collect()}
+    target = {source(i): got[i]["target"] for i in sizes}
+    total = Counter()
+    for i, n in sizes.items():
+        total[source(i)] += n
+    hashes = docs.select("doc_id", F.xxhash64("doc_id", "text", F.lit(17)).alias("h"), F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(64)).alias("b")).collect()
+    ends, copies = Counter(), []
+    names = sorted(s for s in total if s is not None) + [None]
+    for r in sorted(hashes, key=lambda r: (r["b"], r["h"], r["doc_id"])):
+        s = source(r["doc_id"])
+        ends[s] += sizes[r["doc_id"]]
+        copies += [((ends[s] + k * total[s]) / target[s], names.index(s), ends[s] + k * total[s], r["doc_id"]) for k in range(2)]
+    want, spent = Counter(), 0
+    for _, _, _, i in sorted(copies):
+        spent += sizes[i]
+        if spent > 1.5 * sum(sizes.values()):
+            break
+        want[i] += sizes[i]
+    assert {i: r["taken"] for i, r in got.items()} == {i: want[i] for i in sizes}

@@ -25,3 +25,20 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, d).count() == 0
+
+
+def test_stages_take_odd_rows(spark, edge):
+    """Null ids, texts and sources, repeated rows, a very long text and clashing names through all stages."""
+    docs, d = edge, "/root/testdata/sf0.001"
+    seen = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, d)
+        if k < 4:
+            assert out.columns == edge.columns
+            docs = spark.createDataFrame(out.collect(), edge.schema)
+            seen.append(sorted(str(r["doc_id"]) for r in docs.collect()))
+    ids = sorted(["1", "2", "3", "None", "5", "6", "6", "7", "8", "9", "10"])
+    one_each = sorted(["1", "2", "3", "None", "5", "7", "9", "10"])
+    assert seen[0] == ids and seen[1] == one_each and seen[2] == one_each
+    assert not {"1", "2", "3"} & set(seen[3])
+    assert out.where("NOT exact").count() == 0 and out.count() == len(seen[3])

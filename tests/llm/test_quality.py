@@ -1,6 +1,8 @@
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+from vicinage.llm import quality
 from vicinage.llm.quality import judge
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -47,3 +49,32 @@ def test_edge_cases(edge, empty):
     got = same(judge(edge), edge)
     assert got[1]["base_failed"] and got[2]["base_failed"]
     assert judge(empty).count() == 0
+
+
+def expectation_maximisation(votes, rounds=12):
+    """Posteriors of vote rows (lists of 1, 0, -1), row by row and without patterns."""
+    p = [0.95 if v.count(0) == 0 else 0.35 if v.count(0) == 1 else 0.05 for v in votes]
+    prior = 0.0
+    for _ in range(rounds):
+        good, bad = sum(p) + 1, sum(1 - x for x in p) + 1
+        was, prior = prior, math.log(good / bad)
+        ratio = []
+        for k in range(len(votes[0])):
+            g, b = Counter(), Counter()
+            for v, x in zip(votes, p, strict=True):
+                g[v[k]] += x
+                b[v[k]] += 1 - x
+            ratio.append({c: math.log((g[c] + 1) / (good + 3) / ((b[c] + 1) / (bad + 3))) for c in (1, 0, -1)})
+        p = [1 / (1 + math.exp(-(prior + sum(r[c] for r, c in zip(ratio, v, strict=True))))) for v in votes]
+        if abs(was - prior) < 1e-6:
+            break
+    return p
+
+
+def test_posteriors_match_plain_expectation_maximisation(corpus):
+    """All votes of all documents, by a loop over rows."""
+    rules = list(quality.rule_votes())
+    votes = {r["doc_id"]: [r[x] for x in rules] for r in quality.base_counts(corpus).withColumns(quality.rule_votes()).collect()}
+    want = dict(zip(votes, expectation_maximisation(list(votes.values())), strict=True))
+    for r in judge(corpus).collect():
+        assert abs(r["posterior"] - want[r["doc_id"]]) < 1e-9 and r["kept"] == (not r["base_failed"] and want[r["doc_id"]] >= 0.5)

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -40,3 +41,24 @@ def test_hot_group_is_split_but_fills_whole_shards(frame):
 def test_edge_cases(edge, empty):
     check(shard_documents(edge), edge)
     assert shard_documents(empty).count() == 0
+
+
+def test_many_groups_are_cut_seldom(frame):
+    """Groups of all sizes under quotas: a plain count of split groups, against one for each shard at most."""
+    rng = random.Random(7)
+    texts = [f"group {g} " + "x" * rng.randrange(200) for g in range(150) for _ in range(rng.choice([2, 3, 5, 40]))] + [f"alone {k} " + "y" * rng.randrange(300) for k in range(1500)]
+    docs = frame(*((i, t, "s") for i, t in enumerate(texts)))
+    got = check(shard_documents(docs), docs)
+    load, where = Counter(), defaultdict(set)
+    for r in got:
+        load[r["shard"]] += r["size"]
+        where[texts[r["doc_id"]]].add(r["shard"])
+    mean = sum(load.values()) / 8
+    assert all(abs(b - mean) <= 20 for b in load.values())
+    assert sum(len(s) > 1 for s in where.values()) <= 8
+    assert {t for t, s in where.items() if len(s) > 1} == {texts[r["doc_id"]] for r in got if r["cut"]}
+
+
+def test_repeated_ids_get_the_same_slots_at_every_run(frame):
+    docs = frame(*((i % 40, f"text {i % 97:03d}", "s") for i in range(600)))
+    assert sorted(map(tuple, shard_documents(docs).collect()), key=str) == sorted(map(tuple, shard_documents(docs.repartition(7)).collect()), key=str)

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 from vicinage.llm import toxicity as T
 
@@ -67,3 +69,39 @@ def test_edge_cases(spark, edge, empty):
     assert T.toxicity(empty, none).count() == 0
     kept = T.reject_toxic(edge, odd)
     assert kept.columns == edge.columns
+
+
+def plain_value(lexicon, exceptions, text):
+    """The value of a text by one regular expression for each entry."""
+    folded, total = T.fold(text or ""), 0.0
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", folded)]
+    for token, weight in lexicon.items():
+        tail = r"[^\W_]*" if token.endswith("*") else r"(?![^\W_])"
+        for m in re.finditer(rf"(?<![^\W_]){re.escape(token.rstrip('*'))}{tail}", folded):
+            before = [folded[a:b] for a, b in words if b <= m.start()][-1:]
+            after = [folded[a:b] for a, b in words if a >= m.end()][:1]
+            if exceptions & {*(f"{x} {m[0]}" for x in before), *(f"{m[0]} {x}" for x in after)}:
+                continue
+            total += weight
+    return total / math.sqrt(1 + len(folded) / 6) if total else 0.0
+
+
+def test_matcher_against_regular_expressions(spark, corpus):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    texts = [r["text"] for r in corpus.collect()]
+    rng = random.Random(8)
+    words = [w for t in texts[:60] for w in (t or "").split()]
+    learned = {w.lower(): 1.0 + k % 3 for k, w in enumerate(rng.sample(words, 60)) if w.isalpha()} | {f"{w.lower()[:4]}*": 2.0 for w in rng.sample(words, 30) if len(w) > 5 and w.isalpha()}
+    pairs = frozenset(f"{T.fold(a)} {T.fold(b)}" for a, b in zip(words, words[1:], strict=False) if T.fold(a) in learned or T.fold(b) in learned)
+    for lexicon, exceptions in ((learned, frozenset()), (learned, frozenset(rng.sample(sorted(pairs), len(pairs) // 2))), T.learn(corpus, labels)[:2]):
+        lexicon = {T.fold(t): w for t, w in lexicon.items()}
+        m = T.Matcher(lexicon, exceptions)
+        for t in texts:
+            assert abs(m.value(t) - plain_value(lexicon, exceptions, t)) < 1e-9
+
+
+def test_long_neighbours_are_whole_words():
+    long = "n" * 200
+    assert T.Matcher({"scum": 1.0}, frozenset({f"{long} scum"})).value(f"{long} , scum") == 0
+    assert T.Matcher({"scum": 1.0}, frozenset({f"scum {long}"})).value(f"scum - {long}x scum") > 0
+    assert T.fold("Éclair Ｓcüm") == "eclair scum"
