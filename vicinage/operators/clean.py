@@ -40,7 +40,7 @@ def derive_rooms(df: DataFrame) -> DataFrame:
         said = number(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")))
         return F.coalesce(F.col(source), said) if source in df.columns else said
 
-    out = df.withColumns({"num_bedrooms": count("bedrooms", r"(?i)\b(\d+\.?\d*)\s+bedrooms?\b"), "num_baths": count("bathrooms", r"(?i)\b(\d+\.?\d*)\s+bath(?:s|rooms?)?\b")})
+    out = df.withColumns({"num_bedrooms": count("bedrooms", P.BEDROOMS_TOLD), "num_baths": count("bathrooms", P.BATHS_TOLD)})
     return out.drop("bedrooms", "details")
 
 

@@ -55,21 +55,21 @@ def view_text(view: str, p: P.Params = P.DEFAULT) -> Column:
     """TXT7: the text of a view over columns cats, landmarks, dev_lines and exact_lines."""
     dev, exact = (F.coalesce(c, F.array().cast("array<string>")) for c in ("dev_lines", "exact_lines"))
     near, mix, marks = proximity_lines(F.col("cats")), composition_lines(F.col("cats")), landmark_text(F.col("landmarks"))
-    plain = "- (unremarkable — typical across the board)"
+    head = lambda name: P.HEADERS[name].format(city=p.city)
     if view == "landmarks":
         return marks
     if view == "combined":
         parts = [
-            phrases.section(f"How this block compares with a typical {p.city} block:", dev, "- (typical across the board)"),
-            phrases.section("How close each kind of place is:", near, "- (nothing nearby)"),
-            phrases.section("The mix of places nearby:", mix, "- (little of anything)"),
+            phrases.section(head("deviation_short"), dev, P.EMPTY["deviation_short"]),
+            phrases.section(head("proximity"), near, P.EMPTY["proximity"]),
+            phrases.section(head("composition_short"), mix, P.EMPTY["composition"]),
         ]
         return F.concat_ws("\n\n", *parts, marks)
     first = {
-        "deviation": lambda: phrases.section(f"How this block compares with a typical {p.city} block (only the ways it stands out are listed):", dev, plain),
-        "deviation_exact": lambda: phrases.section(f"How this block ranks among all {p.city} blocks (citywide percentile; only standouts listed):", exact, plain),
-        "proximity": lambda: phrases.section("How close each kind of place is:", near, "- (nothing nearby)"),
-        "composition": lambda: phrases.section("The mix of places nearby (share of everything around):", mix, "- (little of anything)"),
+        "deviation": lambda: phrases.section(head("deviation"), dev, P.EMPTY["deviation"]),
+        "deviation_exact": lambda: phrases.section(head("deviation_exact"), exact, P.EMPTY["deviation"]),
+        "proximity": lambda: phrases.section(head("proximity"), near, P.EMPTY["proximity"]),
+        "composition": lambda: phrases.section(head("composition"), mix, P.EMPTY["composition"]),
     }
     if view not in first:
         raise ValueError(f"unknown view {view!r}; known: {', '.join(P.VIEWS)}")

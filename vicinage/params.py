@@ -51,6 +51,10 @@ NUMBERS = ("ratings", "lat", "long", "guests", "bedrooms", "bathrooms", "host_ra
 FLAGS = ("is_superhost",)
 LEAKS = ("id", "name", "host_id", "host_name", "license", "last_review")
 
+# How a details text tells room counts.
+BEDROOMS_TOLD = r"(?i)\b(\d+\.?\d*)\s+bedrooms?\b"
+BATHS_TOLD = r"(?i)\b(\d+\.?\d*)\s+bath(?:s|rooms?)?\b"
+
 # Category groups that are kept, and single categories of other groups.
 KEPT_GROUPS = ("eat_and_drink", "retail", "arts_and_entertainment", "attractions_and_activities", "active_life", "accommodation")
 TRANSIT = (
@@ -91,6 +95,21 @@ LANDMARK_BANDS = ((100, "right by"), (250, "a couple minutes from"), (500, "a sh
 SHARES = ((0.30, "mostly"), (0.18, "lots of"), (0.10, "plenty of"), (0.05, "some"), (0.02, "a little"))
 NO_LANDMARKS = "There are no well-known landmarks nearby."
 LANDMARK_HEADER = "Well-known places nearby (copy names exactly, do not add any):"
+# Headers of a text's sections ({city} is a parameter), and the line of one that has nothing to tell.
+HEADERS = {
+    "deviation": "How this block compares with a typical {city} block (only the ways it stands out are listed):",
+    "deviation_exact": "How this block ranks among all {city} blocks (citywide percentile; only standouts listed):",
+    "deviation_short": "How this block compares with a typical {city} block:",
+    "proximity": "How close each kind of place is:",
+    "composition": "The mix of places nearby (share of everything around):",
+    "composition_short": "The mix of places nearby:",
+}
+EMPTY = {
+    "deviation": "- (unremarkable — typical across the board)",
+    "deviation_short": "- (typical across the board)",
+    "proximity": "- (nothing nearby)",
+    "composition": "- (little of anything)",
+}
 BANDS = ("none", "almost none", "well below", "below", "typical", "above", "well above", "far more")
 BAND_AT_LEAST = ((0.95, "far more"), (0.80, "well above"), (0.65, "above"))
 BAND_AT_MOST = ((0.05, "almost none"), (0.20, "well below"), (0.35, "below"))
