@@ -37,13 +37,14 @@ LAYOUT = {
     "compression": "zstd",
 }
 SCHEMA = "doc_id long, part int, at long, n_tokens int, ids array<int>"
-#: Encoded pieces of text that a Python worker remembers, and characters in one of them; longer ones are encoded each time.
+#: Encoded pieces of text that a Python worker remembers at most, half of them since the other half was last full, and characters
+#: in one of them; longer ones are encoded each time.
 MEMO, LONGEST = 900_000, 64
 #: White space and the text up to the next; a word's own punctuation stands alone, and so does a lone line end. Byte-level BPE with
 #: its usual pattern never joins what stands before a white-space character with it, unless that is white space too,
 #: nor letters with what is no letter behind them, nor a line end with other characters; so pieces cut there are encoded alike alone.
 _CHUNK = re.compile(r"(?<![ \n\t\r])\n(?=[^ \n\t\r])|[ \n\t\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?!\w)|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-#: Other white space can join a run; texts that hold any are encoded whole.
+#: Other white space can join a run; texts with a piece that holds any are encoded whole.
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -53,7 +54,7 @@ class Encoder:
     """The tokenizer with a memory of pieces, kept for the life of a Python worker.
 
     Pieces are told apart only where the tokenizer's file says that it is byte-level BPE with its usual pattern; with
-    others, texts are encoded whole, and so are texts that hold an added token. special: whether the strings of control tokens
+    others, texts are encoded whole, and so are texts with a piece that holds an added token. special: whether the strings of control tokens
     in a text are ordinary text; by the library's default they are not.
     """
 
@@ -66,9 +67,12 @@ class Encoder:
         usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         before = form["pre_tokenizer"] or {}
         self.in_pieces = form["normalizer"] is None and form["model"].get("type", "BPE") == "BPE" and not form["model"].get("dropout") and all(before.get(k) == v for k, v in usual.items())
-        added = [re.escape(t["content"]) for t in form["added_tokens"] if not (special and t["special"])]
-        self.whole = re.compile("|".join([_OTHER_SPACE.pattern, *added]))
-        self.memo: dict[str, bytes] = {}
+        added = [t["content"] for t in form["added_tokens"] if not (special and t["special"])]
+        self.in_pieces &= all(re.fullmatch(r"[^\w\s]\S*", t) for t in added)  # so that one lies within a piece
+        self.odd = re.compile("|".join([_OTHER_SPACE.pattern, *map(re.escape, added)]))
+        #: ids of each piece, None for one that does not stand for itself
+        self.memo: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
 
     @classmethod
     def of(cls, path: str, special: bool = False) -> Encoder:
@@ -86,13 +90,21 @@ class Encoder:
         """The ids of each text as little-endian 32-bit integers."""
         if not self.in_pieces:
             return self._encode(texts)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, whole = self.memo, self.whole.search
-        chunks = [None if whole(t) else _CHUNK.findall(t) for t in texts]
-        new = list(set().union(*(c for c in chunks if c)).difference(memo))
+        if 2 * len(self.memo) > MEMO:
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
+        chunks = [_CHUNK.findall(t) for t in texts]
+        missing = set().union(*chunks).difference(memo)
+        memo.update((c, old[c]) for c in missing.intersection(old))
+        new = list(missing.difference(old))
         memo.update(zip(new, self._encode(new), strict=True))
-        out = [b"".join(map(memo.__getitem__, c)) if c is not None else self._encode([t])[0] for t, c in zip(texts, chunks, strict=True)]
+        memo.update((c, None) for c in new if self.odd.search(c))
+        out = []
+        for t, c in zip(texts, chunks, strict=True):
+            try:
+                out.append(b"".join(map(memo.__getitem__, c)))
+            except TypeError:
+                out += self._encode([t])
         for c in new:
             if len(c) > LONGEST:
                 del memo[c]
