@@ -39,7 +39,7 @@ SPACE = "▁"
 LITERAL = "\ud800"
 N_BEST = 3
 #: Solved chunks that a Python worker remembers, and characters in one of them; longer ones are solved each time.
-MEMO, LONGEST = 1_000_000, 64
+MEMO, LONGEST = 600_000, 64
 _CHUNK = re.compile(r" *[^ \n]+|\n| +")
 #: Where no piece joins a letter with a mark behind it, a word's marks are chunks of their own.
 _MARKS = ",.!?;:"
@@ -195,36 +195,27 @@ class Coder:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        #: the ids of each chunk's best segmentation, and those of the next ones one after another
+        #: the ids of each chunk's best segmentation; the next ones are solved again where a text takes them
         self.best: list[bytes] = []
-        self.others: list[bytes] = []
         self.scores, self.gaps = np.zeros(1024), np.zeros((1024, N_BEST - 1))
-        #: where each of the next ones ends, in bytes
-        self.ends = np.zeros((1024, N_BEST), dtype=np.int64)
 
     def _solve(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
         return self.lattice.n_best(chunk.replace(SPACE, LITERAL).replace(" ", SPACE), n)
 
     def _remember(self, chunks: list[str]) -> None:
         """Solve chunks that are not known yet, each once."""
-        first, scores, gaps, ends = len(self.best), [], [], []
+        first, scores, gaps = len(self.best), [], []
         for c in chunks:
             found = self._solve(c, N_BEST)
             self.index[c] = len(self.best)
             top, ids = found[0]
             self.best.append(array("I", ids).tobytes())
-            rest = found[1:]
-            self.others.append(array("I", [x for _, ids in rest for x in ids]).tobytes())
             scores.append(top)
-            gaps.append([top - s for s, _ in rest] + [math.inf] * (N_BEST - len(found)))
-            upto = [0]
-            for _, ids in rest:
-                upto.append(upto[-1] + 4 * len(ids))
-            ends.append(upto + upto[-1:] * (N_BEST - len(found)))
+            gaps.append([top - s for s, _ in found[1:]] + [math.inf] * (N_BEST - len(found)))
         while len(self.best) > len(self.scores):
-            self.scores, self.gaps, self.ends = (np.concatenate([a, np.zeros_like(a)]) for a in (self.scores, self.gaps, self.ends))
+            self.scores, self.gaps = (np.concatenate([a, np.zeros_like(a)]) for a in (self.scores, self.gaps))
         new = slice(first, len(self.best))
-        self.scores[new], self.gaps[new], self.ends[new] = scores, gaps, ends
+        self.scores[new], self.gaps[new] = scores, gaps
 
     def _split(self, text: str) -> list[str]:
         return self.chunk.findall(" " + text) if text else []
@@ -243,6 +234,7 @@ class Coder:
         near = _nearest(first, N_BEST - 1).tolist()
         lists = [[0.0, *(g for g in self.gaps[at[k]].tolist() if g < math.inf)] for k in near]
         parts = [self.best[k] for k in at.tolist()]
+        solved: dict[int, list] = {}
         out = []
         for cost, taken in combine(lists, N_BEST):
             own = parts
@@ -250,8 +242,8 @@ class Coder:
                 own = parts.copy()
                 for k, r in zip(near, taken, strict=True):
                     if r:
-                        a, b = self.ends[at[k], r - 1 : r + 1].tolist()
-                        own[k] = self.others[at[k]][a:b]
+                        solved[k] = solved.get(k) or self._solve(chunks[k], N_BEST)
+                        own[k] = array("I", solved[k][r][1]).tobytes()
             out.append((total - cost, b"".join(own)))
         if len(chunks) and max(map(len, chunks)) > LONGEST:
             self._forget_long(chunks)
@@ -260,7 +252,7 @@ class Coder:
     def _forget_long(self, chunks: list[str]) -> None:
         for c in chunks:
             if len(c) > LONGEST and (k := self.index.pop(c, None)) is not None:
-                self.best[k] = self.others[k] = b""
+                self.best[k] = b""
 
     def encode_n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text, best first."""
