@@ -90,3 +90,17 @@ def test_order_of_finish_times(frame):
             break
         want[i] += sizes[i]
     assert {i: r["taken"] for i, r in got.items()} == {i: want[i] for i in sizes}
+
+
+def test_rows_come_in_the_order_of_finish_times(frame):
+    """Two sources of equal weight share and words of equal size alternate; a source that is gone through twice repeats its order."""
+    docs = frame(*((i, "w w", "a" if i < 40 else "b" if i < 140 else "c") for i in range(300)))
+    order = [r["doc_id"] for r in mixed_rows(docs).collect()]
+    plan = {r["doc_id"]: r for r in mix(docs).collect()}
+    assert Counter(order) == Counter({i: r["taken"] // 2 for i, r in plan.items() if r["taken"]})
+    first = [i for i in order if i < 40]
+    assert first[:40] == first[40:80] and len(set(first[:40])) == 40
+    # the share of each source is near its weight all along
+    half = Counter("abc"[(i >= 40) + (i >= 140)] for i in order[: len(order) // 2])
+    whole = Counter("abc"[(i >= 40) + (i >= 140)] for i in order)
+    assert all(abs(2 * half[s] - whole[s]) <= 4 for s in "abc")

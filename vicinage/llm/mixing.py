@@ -2,7 +2,8 @@
 
 Every shuffled document gets a virtual finish time: its source's cumulative words divided by the
 source's target. A source may be gone through twice, the second pass following the first. Copies
-are taken in the global order of finish times until the next one would pass the total budget.
+are taken in the global order of finish times until the next one would pass the total budget: whole slots of finish times
+from the sums of each, and the copies of the slot at the edge in order. mixed_rows() then range-sorts what is taken.
 
 Null or blank text has size 0 and is never taken. A null source is a source of its own, after all
 others. Rows that repeat a doc_id are rows of their own. An empty table gives an empty result.
@@ -48,7 +49,13 @@ def fill_targets(sources: DataFrame, share: float = SHARE, most: int = MAX_PASSE
 
 def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, seed: int = 17, extra: list[str] | None = None) -> DataFrame:
     """Rows (doc_id, *extra, size, source_size, target, taken): taken counts the words of every copy that the mix takes."""
-    extra = extra or []
+    rows, taken = _copies(docs, size, weights, share, seed, extra or [])
+    words = sum((F.when(c.isNotNull(), 1).otherwise(0) for c in taken), F.lit(0))
+    return rows.select("doc_id", *(extra or []), "size", "source_size", "target", (F.col("size") * words).cast("long").alias("taken"))
+
+
+def _copies(docs: DataFrame, size: Column | None, weights: tuple[int, ...], share: float, seed: int, extra: list[str]) -> tuple[DataFrame, list[Column]]:
+    """Rows with what places them, and for each pass the copy's place (finish, rank, end), null if the mix does not take it."""
     slim = cut(docs.select("doc_id", "source", *extra, (n_words(F.col("text")) if size is None else size).alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("_h")).select("*", F.coalesce("source", F.lit("")).alias("_name"), F.col("source").isNull().alias("_none")))
     n = slim.count()
     # one row a source; sources, not documents, are numbered in one window
@@ -82,19 +89,24 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
         last = copies.where(F.col("slot") == edge["slot"]).select("at", F.sum("size").over(inside).alias("total")).where(F.col("total") <= left).agg(F.max("at").alias("at")).first()["at"]
         within = (lambda p: F.lit(False)) if last is None else (lambda p: p <= F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["rank"]).cast("int").alias("rank"), F.lit(last["end"]).cast("long").alias("end")))
         taken_at = lambda p: (slot(p) < edge["slot"]) | ((slot(p) == edge["slot"]) & within(p))
-    copies_taken = sum((F.coalesce(taken_at(place(k)), F.lit(False)).cast("long") for k in range(MAX_PASSES)), F.lit(0).cast("long"))
-    return rows.select("doc_id", *extra, "size", "source_size", "target", (F.col("size") * copies_taken).alias("taken"))
+    # a copy of size 0 takes no words and is never taken
+    return rows, [F.when((F.col("size") > 0) & F.coalesce(taken_at(place(k)), F.lit(False)), place(k)) for k in range(MAX_PASSES)]
 
 
-def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
-    """docs with each row as often as the mix takes it (not at all, once or twice), all columns kept.
+def mixed_rows(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, seed: int = 17) -> DataFrame:
+    """docs with each row as often as the mix takes it (not at all, once or twice), in the order of finish times, all columns kept.
 
-    Rows are found again by doc_id and text; rows that repeat both share their group's copies.
+    Partitions are ranges of finish times, each sorted. Rows are found again by doc_id and text; rows that repeat both
+    share their group's copies.
     """
     rows = docs.withColumn("_key", F.xxhash64("text"))
-    plan = mix(rows, extra=["_key"], **options).groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_text")).agg(F.sum((F.col("taken") / F.greatest("size", F.lit(1))).cast("int")).alias("_c"), F.count("*").alias("_m"))
-    found = rows.join(plan, rows["doc_id"].eqNullSafe(plan["_doc"]) & (F.col("_key") == F.col("_text")))
-    alike = Window.partitionBy("doc_id", "_key").orderBy("_c")
-    one = found.where("_m = 1").withColumn("_k", F.col("_c"))
-    many = found.where("_m > 1").withColumn("_n", F.row_number().over(alike)).withColumn("_k", (F.floor(F.col("_c") / F.col("_m")) + (F.col("_n") <= F.col("_c") % F.col("_m")).cast("int")).cast("long")).drop("_n")
-    return one.unionByName(many).where("_k > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k")))).select(*docs.columns)
+    found, taken = _copies(rows, size, weights, share, seed, ["_key"])
+    own = found.select("doc_id", "_key", F.array_compact(F.array(*taken)).alias("_p"))
+    plan = own.groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_text")).agg(F.sort_array(F.flatten(F.collect_list("_p"))).alias("_p"), F.count("*").alias("_m"))
+    met = rows.join(plan.where(F.size("_p") > 0), rows["doc_id"].eqNullSafe(plan["_doc"]) & (F.col("_key") == F.col("_text")))
+    # of rows that are alike, each takes every m-th copy
+    alike = Window.partitionBy("doc_id", "_key").orderBy("_m")
+    numbered = met.where("_m = 1").withColumn("_n", F.lit(0)).unionByName(met.where("_m > 1").withColumn("_n", F.row_number().over(alike) - 1))
+    each = numbered.select("*", F.posexplode("_p").alias("_i", "_at")).where(F.col("_i") % F.col("_m") == F.col("_n"))
+    place = [F.col(f"_at.{c}") for c in ("finish", "rank", "end")]
+    return each.repartitionByRange(*place).sortWithinPartitions(*place).select(*docs.columns)
