@@ -58,8 +58,8 @@ def test_repeats_inside_a_text(frame):
 
 def test_short_sentences_are_taken_together(frame):
     """Runs of short lines go on until they have enough words; a repeat of fewer stays."""
-    short = "One. Two. Three. Four. Five. Six. Seven. Eight. Nine. "
-    pairs = [(1, "Start of one here now. " + short), (2, short + "End of two is here."), (3, "One. Two. Three. Own words end this text."), (4, "No. No. No. No. No. No. No. No. No. No. No.")]
+    short = "One. Two. Three. Four. Five. Six. Seven. Eight. Nine. Ten. " * 2 + "Last. "
+    pairs = [(1, "Start of one here now. " + short), (2, short + "End of two is here."), (3, "One. Two. Three. Own words end this text."), (4, "No. " * 24)]
     check(frame(*((i, t, "s") for i, t in pairs)), pairs)
     rows = {r["doc_id"]: r["text"] for r in spans.dedup_spans(frame(*((i, t, "s") for i, t in pairs))).collect()}
     assert rows[2] == "End of two is here." and rows[3] == pairs[2][1]

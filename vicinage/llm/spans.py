@@ -6,7 +6,7 @@ NEAR neighbours on both sides. As only near words decide, and sentence ends fewe
 away, a passage is cut alike wherever it stands, but for its first and last few words. (A stretch of
 one or two words over and over has no least word and is one piece.) From every piece, the run of SPAN
 consecutive pieces is hashed and joined globally, or, if they have fewer than MIN_WORDS words together, the
-shortest longer run that has as many; one that holds a piece of a cut sentence never needs more. The first place of a run (the smallest doc_id, then the text's
+shortest longer run that has as many. The first place of a run (the smallest doc_id, then the text's
 hash, then the place in it) stays; the pieces that any later one covers are removed.
 
 Null text stays null; a text of fewer pieces than a span, or fewer words than MIN_WORDS, is left as it is. A very long text is
@@ -33,12 +33,12 @@ from vicinage.llm.common import cut
 from vicinage.llm.jaccard import _mix, _power_tables
 
 SPAN = 3
-#: Words of a span at least; shorter runs ("Yes. No. Oh.") may repeat by chance, so they go on until they have as many.
-MIN_WORDS = 8
+#: Words of a span at least: shorter runs go on until they have as many, so that common phrases and lone lines stay.
+MIN_WORDS = 20
 #: A word starts a piece if its hash is the least of NEAR words on either side, so pieces have more than NEAR words.
 NEAR = 2
-#: Words at least in the first and in the last piece of a cut sentence, so that no run that holds one is short.
-EDGE = MIN_WORDS - SPAN + 1
+#: Words at least in the first and in the last piece of a cut sentence.
+EDGE = 6
 #: Low bits of a place that number the run; those above are the text's hash. A text has fewer runs than bytes, so 2^31 at most.
 RUN_BITS = 31
 #: Bits of the filter over run hashes (a fixed 4 MB, whatever the corpus).
