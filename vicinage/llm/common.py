@@ -3,20 +3,48 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinage.store import once as cut
 from vicinage.store import shared_dir
 
+T = TypeVar("T")
+
 #: A word is a run of characters that are neither a space nor one of U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+#: What a Python worker remembers for its operator; one entry at most, as workers go on to other operators' tasks.
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], T]) -> T:
+    """make()'s result, kept for the worker's next tasks until another operator asks for its own."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]  # type: ignore[return-value]
+
+
+def make_room() -> None:
+    """Forget what another operator has kept in this worker."""
+    _kept.clear()
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python objects at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 class Scratch:
     """Parquet tables in the shared folder that go when the block ends.
 

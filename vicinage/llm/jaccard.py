@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vicinage.llm.common import WORD, Scratch, cut, shuffles_end_with_their_query
+from vicinage.llm.common import WORD, Scratch, cut, in_slices, make_room, shuffles_end_with_their_query
 
 WORDS = 5
 #: Two sets link when 100 * common >= PERCENT * together.
@@ -114,7 +114,8 @@ def _set_id(tokens: np.ndarray) -> int:
 
 def _batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of about `most` characters with their sets."""
-    for whole in batches:
+    make_room()
+    for whole in in_slices(batches, 1024):
         texts, first, size = whole.column("text").to_pylist(), 0, 0
         for k, t in enumerate(texts):
             size += len(t or "")

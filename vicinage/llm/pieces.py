@@ -34,18 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinage.llm.common import kept
+
 SPACE = "▁"
 #: Stands for a literal U+2581 inside the lattice; no valid text holds a lone surrogate.
 LITERAL = "\ud800"
 N_BEST = 3
 #: Solved chunks that a Python worker remembers, and characters in one of them; longer ones are solved each time.
-MEMO, LONGEST = 600_000, 64
+MEMO, LONGEST = 500_000, 64
 _CHUNK = re.compile(r" *[^ \n]+|\n| +")
 #: Where no piece joins a letter with a mark behind it, a word's marks are chunks of their own.
 _MARKS = ",.!?;:"
 _WHOLE = re.compile("(?s).+")
 _FINE = re.compile(r" *[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ ,.!?;:\n]|$)| *[^ \n]+|\n| +")
-_coders: dict[tuple[str, bool], Coder] = {}
 
 
 class Lattice:
@@ -189,9 +190,7 @@ class Coder:
 
     @classmethod
     def of(cls, path: str, zipf: bool = False) -> Coder:
-        if (path, zipf) not in _coders:
-            _coders[path, zipf] = cls(path, zipf)
-        return _coders[path, zipf]
+        return kept(("pieces", path, zipf), lambda: cls(path, zipf))
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}

@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinage.llm.common import cut
+from vicinage.llm.common import cut, in_slices, make_room
 from vicinage.llm.jaccard import _mix, _power_tables
 
 SPAN = 3
@@ -134,7 +134,8 @@ def span_hashes(texts: list[str | None], span: int) -> tuple[np.ndarray, np.ndar
 
 def _slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of about `most` characters with their texts."""
-    for whole in batches:
+    make_room()
+    for whole in in_slices(batches, 1024):
         texts, first, size = whole.column("text").to_pylist(), 0, 0
         for k, t in enumerate(texts):
             size += len(t or "") + 1

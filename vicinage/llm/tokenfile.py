@@ -13,6 +13,7 @@ holds its pieces and ids. Of the columns only doc_id and text are read, so names
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
@@ -24,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vicinage.llm.common import kept
+
 END_ID = 2
 #: Encodings, row groups and pages of the files.
 LAYOUT = {
@@ -47,8 +50,6 @@ _CHUNK = re.compile(r"(?<![ \n\t\r])\n(?=[^ \n\t\r])|[ \n\t\r]*[A-Za-zÀ-ÖØ-ö
 #: Other white space can join a run; texts with a piece that holds any are encoded whole.
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
 
 class Encoder:
     """The tokenizer with a memory of pieces, kept for the life of a Python worker.
@@ -76,12 +77,8 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str, special: bool = False) -> Encoder:
-        if (path, special) not in _encoders:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-            _encoders[path, special] = cls(path, special)
-        return _encoders[path, special]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        return kept(("tokens", path, special), lambda: cls(path, special))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

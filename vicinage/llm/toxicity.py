@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinage.llm.common import cut
+from vicinage.llm.common import cut, in_slices, make_room
 
 #: Most labelled rows that learning reads, least evidence (G2) of an entry.
 SAMPLE = 20_000
@@ -64,14 +64,15 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         keys = [(t, x, n) for x, ts in c.items() for t, n in ts.items()]
         return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["token", "toxic", "n"])
 
+    make_room()
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for b in batches:
+    for b in in_slices(batches):
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             words = set(_WORD.findall(fold(text or "")))
             counts[toxic].update(words)
             counts[toxic].update({w[:k] + "*" for w in words for k in PREFIX if k <= len(w)})
             counts[toxic][""] += 1
-        if sum(map(len, counts.values())) > 400_000:
+        if sum(map(len, counts.values())) > 150_000:
             yield out(counts)
             counts = {0: Counter(), 1: Counter()}
     yield out(counts)
@@ -166,8 +167,9 @@ def learn_exceptions(rows: DataFrame, lexicon: dict[str, float], least: int = 8)
     """Phrases around hits that `least` harmless rows or more hold and no toxic one; bounded as rows are."""
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         matcher = Matcher(lexicon)
-        for b in batches:
+        for b in in_slices(batches):
             found: list[tuple[str, int]] = []
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 folded = fold(text or "")
@@ -190,8 +192,9 @@ def _bin(value: float) -> int:
 
 def _values(matcher_args: tuple, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         matcher = Matcher(*matcher_args)
-        for b in batches:
+        for b in in_slices(batches):
             value = [matcher.value(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(column), pa.array(value, pa.float64())], names=[column, "value"])
 
@@ -233,8 +236,9 @@ def score_documents(docs: DataFrame, lexicon: dict[str, float], exceptions: froz
     """(doc_id, value, score) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         matcher = Matcher(lexicon, exceptions)
-        for b in batches:
+        for b in in_slices(batches):
             value, score = _scores(matcher, curve, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(value, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "value", "score"])
 
@@ -260,8 +264,9 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     lexicon, exceptions, curve = learn(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         matcher = Matcher(lexicon, exceptions)
-        for b in batches:
+        for b in in_slices(batches):
             yield b.filter(pa.array(_scores(matcher, curve, b.column("text").to_pylist())[1] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
