@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinage.llm import chat, hamming, jaccard, mixing, pieces, quality, sharding, spans, tokenfile, toxicity
+from vicinage.llm import chat, hamming, jaccard, mixing, pieces, quality, runs, sharding, spans, tokencount, tokenfile, toxicity, variants
 from vicinage.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"), variants.MISSPELT)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), planted=True)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -76,6 +88,9 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_hamming_top_k": op9_hamming_top_k,
     "op10_mixing": op10_mixing,
+    "op11_token_counts": op11_token_counts,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _MARKS = "(length(t) - length(regexp_replace(t, '[<\\[\\\\]', '', 'g')))"
