@@ -86,7 +86,6 @@ def test_enrich_from_files(spark, tmp_path):
     spark.createDataFrame([point("a", "bar", -73.9951, 40.76), point("b", "bar", -73.0, 40.76), park], schema).write.parquet(f"{tmp_path}/p")
     listings = spark.createDataFrame([(7, "Entire", -73.995, 40.76), (8, "Private", -73.97, 40.77), (9, "Private", -73.9, 40.6)], "id long, room_type string, long double, lat double")
     marks = spark.createDataFrame([(0, "Mill", "POINT (0 0)")], "ord int, name string, wkt string")
-    for salts in (1, 4):
-        rows = {r["id"]: {c["bucket"]: (c["n_doorstep"], c["n_radius"], c["nearest_m"]) for c in r["cats"]} for r in jobs.enrich_files_job(listings, f"{tmp_path}/p", fx.taxonomy(spark), marks, salts=salts).collect()}
-        assert set(rows) == {7, 8} and rows[8] == {"park_green": (1, 1, 0)}
-        assert rows[7]["nightlife"][1:] == (1, 8) and rows[7]["park_green"][1] == 1 and 415 < rows[7]["park_green"][2] < 430
+    rows = {r["id"]: {c["bucket"]: (c["n_doorstep"], c["n_radius"], c["nearest_m"]) for c in r["cats"]} for r in jobs.enrich_files_job(listings, f"{tmp_path}/p", fx.taxonomy(spark), marks).collect()}
+    assert set(rows) == {7, 8} and rows[8] == {"park_green": (1, 1, 0)}
+    assert rows[7]["nightlife"][1:] == (1, 8) and rows[7]["park_green"][1] == 1 and 415 < rows[7]["park_green"][2] < 430

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vicinage import params as P
 from vicinage.functions import geo
+from vicinage.operators import cells
 from vicinage.operators.taxonomy import allowed_leaves, with_bucket
 
 
@@ -51,24 +52,30 @@ def places_within(listings: DataFrame, places: DataFrame, radius: float, key: st
 def shapes_within(listings: DataFrame, shapes: DataFrame, radius: float, key: str = "id", shape_key: str = "poi_id") -> DataFrame:
     """JON1 for places that are lines or areas: distance to the edge, 0 inside. shapes(shape_key, wkt, ...).
 
-    A shape goes to every cell that its box touches; a pair that meets in several cells counts once.
+    A listing meets the segments in the grid cells around it, not all of a shape's.
     """
-    parts = segments(shapes, shape_key)
-    box = parts.groupBy(shape_key).agg(F.min(F.least("x1", "x2")).alias("bx0"), F.max(F.greatest("x1", "x2")).alias("bx1"), F.min(F.least("y1", "y2")).alias("by0"), F.max(F.greatest("y1", "y2")).alias("by1"))
-    span = lambda lo, hi: F.explode(F.sequence(geo.cell(F.col(lo), radius), geo.cell(F.col(hi), radius)))
-    cells = box.select(shape_key, span("bx0", "bx1").alias("cx"), "by0", "by1").select(shape_key, "cx", span("by0", "by1").alias("cy"))
-    near = listings.select(key, "x_m", "y_m", F.explode(geo.cells_around(F.col("x_m"), F.col("y_m"), radius)).alias("_c")).select(key, "x_m", "y_m", "_c.cx", "_c.cy")
-    pairs = near.join(cells, ["cx", "cy"]).select(key, "x_m", "y_m", shape_key).distinct()
-    return edge_distances(pairs, parts, key, shape_key).where(F.col("dist") <= radius).join(shapes.drop("wkt", *([] if key == shape_key else [key])), shape_key)
+    found = cells.edge_distances(listings, segments(shapes, shape_key), radius, key, shape_key)
+    return found.join(shapes.drop("wkt", *([] if key == shape_key else [key])), shape_key)
 
 
-def surroundings(listings: DataFrame, places: DataFrame, radius: float, key: str = "id", salts: int = 1) -> DataFrame:
-    """JON1 for places of every shape: points by their coordinates, lines and areas (a wkt of another kind) to their edge."""
+def density_around(listings: DataFrame, places: DataFrame, p: P.Params = P.DEFAULT, key: str = "id") -> DataFrame:
+    """JON1 and AGG2 for places of every shape: points counted by cells, lines and areas (a wkt of another kind) measured to their edge.
+
+    (key, bucket, n_doorstep, n_radius, nearest_m, min_dist). Parts of the sums are dealt by the key once; the sums, and whatever is
+    gathered by the key behind them, stay where they are.
+    """
     if "wkt" not in places.columns:
-        return places_within(listings, places, radius, key, salts)
+        return _summed(cells.sums_around(listings, places, p, key), key)
     shaped = F.coalesce(~F.upper(F.ltrim("wkt")).startswith("POINT"), F.lit(False))
-    near = places_within(listings, places.where(~shaped).drop("wkt"), radius, key, salts)
-    return near.unionByName(shapes_within(listings, places.where(shaped).drop("x_m", "y_m"), radius, key).select(near.columns))
+    points = cells.sums_around(listings, places.where(~shaped), p, key)
+    pairs = shapes_within(listings, places.where(shaped).drop("x_m", "y_m"), p.radius, key)
+    return _summed(points.unionByName(density(pairs, p, key).select(points.columns)), key)
+
+
+def _summed(parts: DataFrame, key: str) -> DataFrame:
+    total = lambda c: F.sum(c).cast("int").alias(c)
+    sums = parts.repartition(key).groupBy(key, "bucket").agg(total("n_doorstep"), total("n_radius"), F.min("min_dist").alias("min_dist")).where("n_radius > 0")
+    return sums.select(key, "bucket", "n_doorstep", "n_radius", F.rint("min_dist").cast("int").alias("nearest_m"), "min_dist")
 
 
 def segments(shapes: DataFrame, shape_key: str) -> DataFrame:
@@ -77,14 +84,6 @@ def segments(shapes: DataFrame, shape_key: str) -> DataFrame:
     return rings.select(shape_key, "area", F.explode(geo.ring_segments(F.col("_r"))).alias("_s")).select(shape_key, "area", "_s.*").where("x1 IS NOT NULL AND y1 IS NOT NULL")
 
 
-def edge_distances(pairs: DataFrame, parts: DataFrame, key: str, shape_key: str) -> DataFrame:
-    """Least distance of each pair to the shape's segments, 0 where the point lies inside an area."""
-    x, y, ends = F.col("x_m"), F.col("y_m"), [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    each = pairs.join(parts, shape_key).select(key, shape_key, "area", geo.segment_distance(x, y, *ends).alias("_d"), geo.crosses(x, y, *ends).cast("int").alias("_x"))
-    inside = F.first("area") & (F.sum("_x") % 2 == 1)
-    return each.groupBy(key, shape_key).agg(F.when(inside, 0.0).otherwise(F.min("_d")).alias("dist"))
-
-
 def landmarks_within(listings: DataFrame, landmarks: DataFrame, p: P.Params = P.DEFAULT, key: str = "id") -> DataFrame:
     """JON2: (key, ord, name, dist, dist_m) of landmarks at most landmark_radius away; distance to the edge, 0 inside."""
     names = landmarks.select("ord", "name")

@@ -21,31 +21,29 @@ def clean_job(spark: SparkSession, csv_path: str, out_path: str, key: str | None
     writers.table(clean.capped(df, p.max_listings, key, seed), out_path)
 
 
-def enrich_job(listings: DataFrame, places: DataFrame, taxonomy: DataFrame, landmarks: DataFrame, key: str = "id", p: P.Params = P.DEFAULT, salts: int = 1) -> DataFrame:
+def enrich_job(listings: DataFrame, places: DataFrame, taxonomy: DataFrame, landmarks: DataFrame, key: str = "id", p: P.Params = P.DEFAULT) -> DataFrame:
     """Workload 2: listings with cats and landmarks; listings without a place in the radius go.
 
     Coordinates are x_m, y_m, or lat and long, which are projected. Ids and leaks are dropped first. Places with a
-    wkt that is no point are measured to their edge. Cells so dense that Spark's skew join is not enough
-    are dealt to `salts` parts.
+    wkt that is no point are measured to their edge.
     """
     own = clean.drop_leaks(listings, (key,))
     if "x_m" not in own.columns:
         x, y = geo.utm(F.col("long"), F.col("lat"), p.utm_zone)
         own = own.withColumns({"x_m": x, "y_m": y})
-    pairs = enrich.surroundings(own, enrich.gated(places, taxonomy, p), p.radius, key, salts)
-    dense = enrich.density(pairs, p, key)
+    dense = enrich.density_around(own, enrich.gated(places, taxonomy, p), p, key)
     marks = enrich.landmarks_within(own, landmarks, p, key)
     return own.join(enrich.records(dense, marks, key), key).drop("x_m", "y_m", "lat", "long")
 
 
-def enrich_files_job(listings: DataFrame, places_path: str, taxonomy: DataFrame, landmarks: DataFrame, key: str = "id", p: P.Params = P.DEFAULT, salts: int = 1) -> DataFrame:
+def enrich_files_job(listings: DataFrame, places_path: str, taxonomy: DataFrame, landmarks: DataFrame, key: str = "id", p: P.Params = P.DEFAULT) -> DataFrame:
     """Workload 2 from a places dataset: the listings' extent, with a pad, prunes its row groups. Listings have lat and long in degrees."""
     own = clean.drop_leaks(listings, (key,))
     box = enrich.extent(own, p.pad_degrees)
     if box is None:
         raise ValueError("no listing has coordinates")
     places = readers.places_parquet(listings.sparkSession, places_path, taxonomy, box, p)
-    return enrich_job(own, places, taxonomy, landmarks, key, p, salts)
+    return enrich_job(own, places, taxonomy, landmarks, key, p)
 
 
 def flat_density(records: DataFrame, key: str = "id") -> DataFrame:

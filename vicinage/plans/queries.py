@@ -27,13 +27,8 @@ def query(f: Query) -> Query:
     return f
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = enrich.gated(fx.places(spark, sf_dir), fx.taxonomy(spark))
-    return enrich.places_within(fx.listings(spark, sf_dir), places, P.DEFAULT.radius)
-
-
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.density(_pairs(spark, sf_dir))
+    return enrich.density_around(fx.listings(spark, sf_dir), enrich.gated(fx.places(spark, sf_dir), fx.taxonomy(spark)))
 
 
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
