@@ -45,6 +45,22 @@ def test_cap_is_the_same_at_every_run(spark):
     assert clean.capped(df, 5000, "id").count() == 1000
 
 
+def test_cap_by_a_bound(spark, monkeypatch):
+    """As many rows as asked for, in the order of the draw, whatever part of them is on the bound; repeated and null keys too."""
+    df = spark.createDataFrame([(i % 300 if i % 7 else None, f"v{i % 450}") for i in range(900)], "id long, v string")
+    full = sorted((r["d"], r["id"], r["v"]) for r in clean.stable_key(df, "h").withColumn("d", F.concat(F.coalesce(F.md5(F.concat(F.lit("0|"), F.col("id").cast("string")).cast("binary")), F.lit("")), F.lpad(F.lower(F.hex("h")), 16, "0"))).collect())
+    for edge in (0, 1, 40):
+        monkeypatch.setattr(clean, "EDGE", edge)
+        for n in (0, 1, 13, 450, 899):
+            got = clean.capped(df, n, "id")
+            assert sorted((r["id"] or -1, r["v"]) for r in got.collect()) == sorted((i or -1, v) for _, i, v in full[:n]) and got.columns == df.columns
+    same = spark.range(500).select(F.lit(1).alias("id"))
+    assert clean.capped(same, 333, "id").count() == 333
+    monkeypatch.setattr(clean, "EDGE", 100)
+    plan = clean.capped(spark.range(3000), 2000, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "limit=2000" not in plan and "TakeOrderedAndProject(limit=2000" not in plan
+
+
 def test_keys_and_leaks(spark):
     df = spark.createDataFrame([(1, "x", 2.0, 3.0), (2, "x", 2.0, 3.0)], "host_id long, name string, latitude double, longitude double")
     assert clean.drop_leaks(df).columns == ["lat", "long"]

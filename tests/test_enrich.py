@@ -77,6 +77,15 @@ def test_records_drop_listings_without_places(spark):
     assert writers.vanilla(got, "id").columns == ["price"]
 
 
+def test_stored_records_keep_their_order(spark):
+    text = '{"cats": {"park": [0, 1, 10], "bar": [0, 1, 10], "zoo": [0, 1, 3], "cafe": [0, 2, 10]}, "landmarks": []}'
+    df = spark.createDataFrame([(1, text), (2, None)], "id long, surroundings string")
+    assert [c["bucket"] for c in readers.stored_records(df).where("id = 1").first()["cats"]] == ["park", "bar", "zoo", "cafe"]
+    assert readers.stored_records(df).where("id = 2").first()["cats"] == []
+    near = df.select(readers.parse_record(F.col("surroundings"), by_distance=True).alias("r")).first()["r"]["cats"]
+    assert [c["bucket"] for c in near] == ["zoo", "park", "bar", "cafe"]
+
+
 def test_record_json_round_trip(spark):
     names = ['A "quoted" one', "back\\slash", "Zürich 漢", "comma, ] bracket"]
     schema = "cats array<struct<bucket:string,n_doorstep:int,n_radius:int,nearest_m:int>>, landmarks array<struct<name:string,dist_m:int>>"

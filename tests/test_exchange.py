@@ -7,6 +7,7 @@ from vicinage import params as P
 from vicinage.operators import exchange, sample
 from vicinage.plans import jobs
 from vicinage.sources import readers, writers
+from vicinage.sources.summaries import Summaries
 from vicinage.streaming import landing
 
 CACHE = "id long, summary string"
@@ -93,7 +94,7 @@ def test_describe_and_collect(spark):
 def test_retry(spark):
     rec = spark.createDataFrame([(i, [("cafe", 0, i, 10 * i)], [("Old Mill", 5)] if i % 2 else [], 1.0) for i in range(1, 5)], RECORDS)
     drafts = spark.createDataFrame([(1, "by the Old Mill"), (2, "by the Old Mill"), (3, "quiet")], CACHE)
-    kept, sent = jobs.retry_job(rec, drafts, jobs.flat_density(rec), "proximity")
+    kept, sent = jobs.retry_job(rec, drafts, "proximity")
     assert sorted(r["id"] for r in kept.collect()) == [1, 3]
     (again,) = sent.collect()
     assert again["custom_id"] == "2" and "NOT in the list: ['Old Mill']" in again["request"] and "How close" in again["request"]
@@ -118,6 +119,45 @@ def test_stream_of_results(spark, tmp_path):
     assert {r["id"]: r["summary"] for r in landing.read_cache(spark, f"{tmp_path}/cache").collect()} == {1: "two", 3: "three"}
 
 
+def test_the_last_answer_stays(spark):
+    rows = spark.createDataFrame([(3, answer(1, "z")), (9, answer(1, "a")), (5, answer(2, None)), (4, answer(2, "b"))], "seq long, value string")
+    merged = exchange.merge_results(spark.range(3), readers.result_rows(rows))
+    assert {r["id"]: r["summary"] for r in merged.collect()} == {1: "a", 2: "b"}
+    both = json.dumps({"results": [json.loads(answer(1, t))["results"][0] for t in ("z", "m", "a", "k")]})
+    assert exchange.merge_results(spark.range(3), readers.result_rows(spark.createDataFrame([(1, both)], "seq long, value string"))).first()["summary"] == "k"
+
+
+def test_lines_of_result_files_are_in_order(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    for name in ("b", "a"):
+        (tmp_path / "r" / f"{name}.jsonl").write_text("".join(answer(i % 3, f"{name}{i}") + "\n" for i in range(30)))
+    got = exchange.merge_results(spark.range(3), readers.result_rows(readers.result_files(spark, f"{tmp_path}/r")))
+    assert {r["id"]: r["summary"] for r in got.collect()} == {0: "b27", 1: "b28", 2: "b29"}
+
+
+def stamps(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_an_upsert_rewrites_touched_buckets_alone(spark, tmp_path):
+    held = Summaries(spark, f"{tmp_path}/s", buckets=8)
+    rows = lambda *r: spark.createDataFrame(r, "id long, summary string, seq long")
+    with pytest.raises(ValueError):
+        held.read()
+    held.upsert(rows(*((i, f"old {i}", 0) for i in range(100)), (5, None, 1)), 1)
+    before = stamps(tmp_path / "s")
+    held.upsert(rows((3, "new", 1), (3, "newer", 2), (3, "first", 0), (200, "more", 0), (4, None, 9)), 2)
+    after = stamps(tmp_path / "s")
+    touched = {k.split("/")[0] for k in after.keys() ^ before.keys()} | {k.split("/")[0] for k in after.keys() & before.keys() if after[k] != before[k]}
+    assert 1 <= len(touched) <= 2 and len({k.split("/")[0] for k in after}) == 8
+    want = {i: f"old {i}" for i in range(100)} | {3: "newer", 200: "more"}
+    assert {r["id"]: r["summary"] for r in held.read().collect()} == want
+    held.upsert(rows((3, "late", 9), (7, "late", 9)), 1)  # an earlier batch once more: 3 has a later one, 7 has not
+    assert {r["id"]: r["summary"] for r in held.read().collect()} == want | {7: "late"}
+    held.upsert(rows((1, None, 0)), 3)
+    assert held.read(order=True).columns == ["id", "summary", "batch", "seq"] and held.read().count() == 101
+
+
 def test_variants_job(spark, tmp_path):
     rec = spark.range(40).withColumns({"room_type": F.concat(F.lit("r"), (F.col("id") % 2).cast("string"))})
     prompts = spark.createDataFrame([("a", "sa"), ("b", "sb")], "prompt_id string, system string")

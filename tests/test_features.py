@@ -41,6 +41,20 @@ def test_codes_over_ranges(spark):
     assert all(r["w"] == (r["id"] % 7 if r["id"] % 3 else -1) for r in rows)
 
 
+@pytest.mark.parametrize(("few", "sent"), [(50_000, 4 << 20), (0, 4 << 20), (50_000, 0), (0, 0)])
+def test_codes_sent_or_joined(spark, monkeypatch, few, sent):
+    monkeypatch.setattr(features, "FEW_VALUES", few)
+    monkeypatch.setattr(features, "SENT", sent)
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    assert [(r["cat"], r["text"]) for r in features.encode(df, "cat", "text").orderBy("id").collect()] == [(2, 0), (1, 1), (-1, 2), (0, -1)]
+
+
+def test_few_codes_do_not_shuffle_the_table(spark, tmp_path):
+    spark.createDataFrame(ROWS, SCHEMA).write.parquet(f"{tmp_path}/t")
+    plan = features.encode(spark.read.parquet(f"{tmp_path}/t"), "cat", "num", "mostly", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 4 and "SortMergeJoin" not in plan
+
+
 def test_conditions(spark):
     sets = features.condition_sets(spark.createDataFrame(ROWS, SCHEMA), "id", "num", "text", "mostly")
     assert set(sets) == {"structured", "unstructured_text", "joint_text", "unstructured_image", "joint_image"}

@@ -1,6 +1,9 @@
 import json
+import random
 import struct
 
+from pyspark.sql import functions as F
+
 from vicinage.functions import geo
 from vicinage.plans import fixtures as fx
 from vicinage.plans import jobs
@@ -49,7 +52,7 @@ def test_record_parse_of_odd_text(spark):
     texts = ['{"cats": {}, "landmarks": []}', '{"cats": {"b": [1, 2, 30], "a": [0, 1, 30]}, "landmarks": [["X, \\"Y\\"", 5]]}', "{}", "broken", None]
     rows = [r["r"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(readers.parse_record(geo.F.col("t")).alias("r")).collect()]
     assert [len(r["cats"]) for r in rows] == [0, 2, 0, 0, 0]
-    assert [tuple(c) for c in rows[1]["cats"]] == [("a", 0, 1, 30), ("b", 1, 2, 30)] and tuple(rows[1]["landmarks"][0]) == ('X, "Y"', 5)
+    assert [tuple(c) for c in rows[1]["cats"]] == [("b", 1, 2, 30), ("a", 0, 1, 30)] and tuple(rows[1]["landmarks"][0]) == ('X, "Y"', 5)
 
 
 def test_table_writer(spark, tmp_path):
@@ -89,3 +92,46 @@ def test_enrich_from_files(spark, tmp_path):
     rows = {r["id"]: {c["bucket"]: (c["n_doorstep"], c["n_radius"], c["nearest_m"]) for c in r["cats"]} for r in jobs.enrich_files_job(listings, f"{tmp_path}/p", fx.taxonomy(spark), marks).collect()}
     assert set(rows) == {7, 8} and rows[8] == {"park_green": (1, 1, 0)}
     assert rows[7]["nightlife"][1:] == (1, 8) and rows[7]["park_green"][1] == 1 and 415 < rows[7]["park_green"][2] < 430
+
+
+def scanned_files(df):
+    """Files that the plan's scans have opened."""
+    df.collect()
+    plan, todo, n = df._jdf.queryExecution().executedPlan(), [], 0
+    todo.append(plan)
+    while todo:
+        p = todo.pop()
+        if p.nodeName().startswith("Scan"):
+            n += p.metrics().apply("numFiles").value()
+        todo += [p.children().apply(k) for k in range(p.children().size())]
+    return n
+
+
+def test_places_along_a_curve(spark, tmp_path):
+    """An extent opens the files of its zones; a zone with many places has several."""
+    draw = random.Random(5)
+    at = lambda k: (-73.98 + draw.random() / 50, 40.75 + draw.random() / 50) if k % 3 == 0 else (draw.uniform(-179, 179), draw.uniform(-89, 89))
+    rows = [(k, (x, x, y, y)) for k in range(3000) for x, y in [at(k)]] + [(-1, (180.0, 180.0, 90.0, 90.0)), (-2, (-180.0, -180.0, -90.0, -90.0))]
+    df = spark.createDataFrame(rows, "id long, bbox struct<xmin:double,xmax:double,ymin:double,ymax:double>")
+    writers.places(df, f"{tmp_path}/p", levels=6, files=24)
+    everything = spark.read.parquet(f"{tmp_path}/p")
+    assert everything.count() == 3002 and "zone_6" in everything.columns
+    total = sum(1 for _ in (tmp_path / "p").rglob("*.parquet"))
+    assert everything.where(F.col("bbox.xmin").between(-74, -73.9)).select(F.input_file_name()).distinct().count() >= 3
+    for box in ((-73.975, -73.965, 40.755, 40.765), (-74.0, -60.0, 30.0, 50.0), (-180.0, 180.0, -90.0, 90.0), (170.0, 200.0, 80.0, 95.0), (10.0, 10.0, 10.0, 10.0)):
+        found = readers.places_in(spark, f"{tmp_path}/p", box)
+        assert sorted(r["id"] for r in found.collect()) == sorted(i for i, (x, _, y, _) in rows if box[0] <= x <= box[1] and box[2] <= y <= box[3])
+        assert found.columns == ["id", "bbox"]
+    assert 0 < scanned_files(readers.places_in(spark, f"{tmp_path}/p", (-73.975, -73.965, 40.755, 40.765))) < total / 4
+
+
+def test_ranges_cover_the_codes_of_a_box(spark):
+    draw = random.Random(7)
+    points = [(draw.uniform(-180, 180), draw.uniform(-90, 90)) for _ in range(400)]
+    codes = [r["z"] for r in spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "k long, x double, y double").select("k", geo.morton(F.col("x"), F.col("y"), 8).alias("z")).orderBy("k").collect()]
+    for _ in range(40):
+        (x0, x1), (y0, y1) = sorted(draw.uniform(-180, 180) for _ in range(2)), sorted(draw.uniform(-90, 90) for _ in range(2))
+        ranges = geo.morton_ranges((x0, x1, y0, y1), 8)
+        assert len(ranges) <= 70
+        inside = [any(a <= z <= b for a, b in ranges) for z in codes]
+        assert all(i for i, (x, y) in zip(inside, points, strict=True) if x0 <= x <= x1 and y0 <= y <= y1)

@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 
 from vicinage import params as P
 from vicinage.functions import phrases
-from vicinage.operators import corpus, histograms, render
+from vicinage.operators import corpus, enrich, histograms, render
 
 DENSE = "id long, bucket string, n_doorstep int, n_radius int, nearest_m int, min_dist double"
 
 
+def lists(df):
+    return enrich.cat_lists(df)
+
+
 def dense(spark, *rows):
     return spark.createDataFrame([(i, b, 0, n, m, float(m)) for i, b, n, m in rows], DENSE)
 
@@ -19,11 +23,57 @@ def test_percentile_is_a_bisect(spark):
     rng = random.Random(1)
     counts = {i: rng.randrange(0, 6) for i in range(60)}
     df = dense(spark, *((i, "bar", n, 10) for i, n in counts.items() if n), *((i, "x", 1, 10) for i in counts))
-    got = {r["id"]: r["pct"] for r in corpus.scored(df, corpus.histogram(df, 60)).where("bucket = 'bar'").collect()}
+    got = {r["id"]: r["pct"] for r in corpus.scored(lists(df), corpus.histogram(df, 60)).where("bucket = 'bar'").collect()}
     ordered = sorted(counts.values())
     assert got == {i: bisect.bisect_left(ordered, n) / 60 for i, n in counts.items()}
 
 
+def test_a_long_reference_is_joined(spark, monkeypatch):
+    rng = random.Random(3)
+    df = dense(spark, *((i, b, rng.randrange(1, 9), 10) for i in range(50) for b in ("bar", "cafe", "gym") if rng.random() < 0.7))
+    hist, rows = corpus.histogram(df), lambda: sorted(map(tuple, corpus.scored(lists(df), corpus.histogram(df)).collect()))
+    sent = rows()
+    assert len(sent) == 3 * df.select("id").distinct().count()
+    monkeypatch.setattr(corpus, "REFERENCE", 3)
+    assert rows() == sent
+    plan = corpus.scored(lists(df), hist)._jdf.queryExecution().executedPlan().toString()
+    assert "n_radius" in plan
+
+
+def test_scores_need_no_shuffle(spark, tmp_path):
+    """Once records and the histogram are there, a relative text is made inside the row."""
+    df = dense(spark, *((i, b, 1 + i % 5, 10) for i in range(30) for b in ("bar", "cafe")))
+    for name, frame in (("hist", corpus.histogram(df)), ("rec", lists(df).withColumn("landmarks", F.array().cast("array<struct<name:string,dist_m:int>>")))):
+        frame.write.parquet(f"{tmp_path}/{name}")
+    rec, hist = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("rec", "hist"))
+    plan = render.prompts(rec, "combined", hist)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "Window" not in plan and "SortMergeJoin" not in plan
+    probe = plan[: plan.index("BroadcastExchange")]
+    assert "Exchange hashpartitioning" not in probe
+    with pytest.raises(ValueError):
+        render.prompts(rec, "combined")
+
+
+def test_unseen_counts_have_the_share_below_them(spark):
+    df = dense(spark, (1, "bar", 2, 1), (2, "bar", 5, 1), (3, "bar", 5, 1), (4, "gym", 1, 1))
+    odd = dense(spark, *((n, "bar", n, 1) for n in range(1, 8)))
+    got = {r["id"]: r["pct"] for r in corpus.scored(lists(odd), corpus.histogram(df)).where("bucket = 'bar'").collect()}
+    assert got == {1: 0.25, 2: 0.25, 3: 0.5, 4: 0.5, 5: 0.5, 6: 1.0, 7: 1.0}
+
+
+def test_counts_kept_up_to_date(spark):
+    rng = random.Random(8)
+    draw = lambda ids: dense(spark, *((i, b, rng.randrange(1, 4), 10) for i in ids for b in ("bar", "gym") if rng.random() < 0.8 or b == "bar"))
+    old, new = draw(range(40)), draw(range(20, 60))
+    part = lambda df, lo, hi: df.where(F.col("id").between(lo, hi))
+    held = corpus.changed(corpus.counts(old), part(old, 0, 29), part(new, 20, 29))
+    held = corpus.changed(held, part(old, 30, 39), part(new, 30, 59))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(corpus.from_counts(held)) == rows(corpus.histogram(new))
+    gone = corpus.changed(held, new, new.limit(0))
+    assert rows(corpus.from_counts(gone)) == [] and rows(gone) == [(None, 0, 0)]
+
+
 def test_histogram_has_zero_rows(spark):
     df = dense(spark, (1, "bar", 2, 1), (2, "bar", 2, 1), (3, "gym", 1, 1))
     got = {(r["bucket"], r["cnt"]): (r["n"], r["n_lt"], round(r["present_frac"], 3)) for r in corpus.histogram(df, 3).collect()}
@@ -54,7 +104,7 @@ def test_words(spark):
 def test_top_deviations_and_ties(spark):
     rows = [(i, b, 1 + i, 10) for i in range(20) for b in ("cafe", "dining", "gym_x", "grocery", "shopping", "culture", "transit")]
     df = dense(spark, *rows)
-    top = [r["label"] for r in render.deviations(corpus.scored(df, corpus.histogram(df, 20))).where("id = 19").orderBy("rank").collect()]
+    top = [r["label"] for r in render.deviations(corpus.scored_lists(lists(df), corpus.histogram(df, 20))).where("id = 19").orderBy("rank").collect()]
     assert top == sorted(["cafes", "dining", "gym x", "grocery stores", "shops", "museums & galleries", "subway & transit"])[:5]
 
 
@@ -63,7 +113,7 @@ CATS = "id long, cats array<struct<bucket:string,n_doorstep:int,n_radius:int,nea
 
 def test_views(spark):
     rec = spark.createDataFrame([(1, [("cafe", 1, 30, 20), ("gym_x", 0, 60, 20), ("culture", 0, 1, 300)], [("A", 100), ("B", 101), ("C", 100), ("D", 501)]), (2, [("cafe", 0, 1, 400)], [])], CATS)
-    text = {v: {r["id"]: r["text"] for r in render.prompts(rec, corpus.scored(dense(spark, (1, "cafe", 30, 20), (2, "cafe", 1, 400)), corpus.histogram(dense(spark, (1, "cafe", 30, 20), (2, "cafe", 1, 400)), 2)), v).collect()} for v in P.VIEWS}
+    text = {v: {r["id"]: r["text"] for r in render.prompts(rec, v, corpus.histogram(dense(spark, (1, "cafe", 30, 20), (2, "cafe", 1, 400)), 2)).collect()} for v in P.VIEWS}
     assert text["landmarks"] == {1: P.LANDMARK_HEADER + "\n- right by: A, C\n- a couple minutes from: B\n- about 10 minutes from: D", 2: P.NO_LANDMARKS}
     assert text["proximity"][1].startswith("How close each kind of place is:\n- cafes: on the doorstep\n- gym x: on the doorstep\n- museums & galleries: a short walk\n" + P.LANDMARK_HEADER)
     assert text["composition"][1].split("\n")[1:3] == ["- mostly gym x", "- mostly cafes"]
@@ -71,7 +121,7 @@ def test_views(spark):
     assert text["deviation"][1].split("\n")[1] == "- (unremarkable — typical across the board)"
     assert text["deviation_exact"][2].split("\n")[1] == "- cafes: bottom 0% of NYC blocks"
     assert text["combined"][2].count("\n\n") == 3 and text["combined"][2].endswith(P.NO_LANDMARKS)
-    noted = render.prompts(rec, dense(spark), "landmarks", F.lit("\nnote")).where("id = 2").first()["text"]
+    noted = render.prompts(rec, "landmarks", note=F.lit("\nnote")).where("id = 2").first()["text"]
     assert noted == P.NO_LANDMARKS + "\nnote"
     with pytest.raises(ValueError):
         render.view_text("no such view")
@@ -89,7 +139,7 @@ def test_facts(spark):
 
 def test_band_shares_sum_up(spark):
     df = dense(spark, *((i, "bar", i % 5, 40 * i) for i in range(1, 21) if i % 5))
-    scored = corpus.scored(df, corpus.histogram(df, 16))
+    scored = corpus.scored(lists(df), corpus.histogram(df, 16))
     shares = histograms.deviation_bands(scored).groupBy("bucket").agg(F.sum("n").alias("n"), F.round(F.sum("share"), 6).alias("s")).first()
     assert (shares["n"], shares["s"]) == (16, 100.0)
     near = {r["band"]: r["n"] for r in histograms.proximity_bands(df).collect()}

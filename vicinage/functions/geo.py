@@ -39,6 +39,44 @@ def cell(v: Column, size: float) -> Column:
     return F.floor(v / F.lit(float(size))).cast("long")
 
 
+def morton(lon: Column, lat: Column, bits: int = 16) -> Column:
+    """The place of a point in degrees on a space-filling (Z) curve over the whole globe: `bits` (16 at most) of each coordinate, interleaved."""
+
+    def spread(v: Column) -> Column:
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return v
+
+    step = lambda v, low, width: F.least(F.greatest(F.floor((v - low) / width * float(1 << bits)).cast("long"), F.lit(0).cast("long")), F.lit((1 << bits) - 1).cast("long"))
+    return spread(step(lon, -180.0, 360.0)).bitwiseOR(F.shiftleft(spread(step(lat, -90.0, 180.0)), 1))
+
+
+def morton_ranges(box: tuple[float, float, float, float], bits: int, most: int = 64) -> list[tuple[int, int]]:
+    """Ranges of morton() codes that cover the box (lon0, lon1, lat0, lat1): quarters are split while they are only partly inside and there are fewer than `most`."""
+    x0, x1, y0, y1 = (box[0] + 180) / 360, (box[1] + 180) / 360, (box[2] + 90) / 180, (box[3] + 90) / 180
+    todo, found = [(0, 0, 0)], []
+    while todo:
+        x, y, level = todo.pop(0)
+        side = 1 / (1 << level)
+        # as codes are clamped, what lies beyond the globe's edge is in the cells at the edge
+        low = lambda a: -1e9 if a == 0 else a * side
+        high = lambda a: 1e9 if a + 1 == 1 << level else (a + 1) * side
+        if low(x) > x1 or high(x) < x0 or low(y) > y1 or high(y) < y0:
+            continue
+        inside = low(x) >= x0 and high(x) <= x1 and low(y) >= y0 and high(y) <= y1
+        if inside or level == bits or len(todo) + len(found) >= most:
+            code = sum((x >> k & 1) << 2 * k | (y >> k & 1) << 2 * k + 1 for k in range(level)) << 2 * (bits - level)
+            found.append((code, code + (1 << 2 * (bits - level)) - 1))
+        else:
+            todo += [(2 * x + i, 2 * y + j, level + 1) for j in (0, 1) for i in (0, 1)]
+    joined: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if joined and joined[-1][1] + 1 == a:
+            a = joined.pop()[0]
+        joined.append((a, b))
+    return joined
+
+
 def cells_around(x: Column, y: Column, size: float, reach: int = 1) -> Column:
     """The cells within `reach` of the point's own: with reach * size >= radius they hold all that lies within the radius."""
     steps = range(-reach, reach + 1)

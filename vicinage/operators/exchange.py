@@ -13,9 +13,17 @@ _NAME = r"(?U)[A-Z][\w&'’]+(?:\s+[A-Z][\w&'’]+)*"
 _NOTE = ("\n\nYour previous draft named places NOT in the list: ", ". Rewrite naming ONLY the listed places.")
 
 
+def last_of(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, and seq if there is one): of each key's values that are not null the one with the greatest seq; of equal or no seq the greatest value, so that reruns agree."""
+    rows = rows.where(F.col(value).isNotNull())
+    if "seq" not in rows.columns:
+        return rows.groupBy(key).agg(F.max(value).alias(value))
+    return rows.groupBy(key).agg(F.max(F.struct("seq", value)).alias("_m")).select(key, f"_m.{value}", "_m.seq")
+
+
 def usable(cache: DataFrame, key: str = "id", summary: str = "summary") -> DataFrame:
-    """One non-null summary a key (the greatest, so that reruns agree)."""
-    return cache.where(F.col(summary).isNotNull()).groupBy(key).agg(F.max(summary).alias(summary))
+    """(key, summary): one summary a key, the last one."""
+    return last_of(cache, key, summary).select(key, summary)
 
 
 def attach_cached(listings: DataFrame, cache: DataFrame, key: str = "id", summary: str = "summary") -> DataFrame:
@@ -29,7 +37,7 @@ def pending(listings: DataFrame, cache: DataFrame, key: str = "id", summary: str
 
 
 def upsert(cache: DataFrame, new: DataFrame, key: str = "id", summary: str = "summary") -> DataFrame:
-    """SET2: the cache with the new summaries, which win; it never loses a key."""
+    """SET2: the cache with the new summaries, which win; it never loses a key. For a cache that is stored, see summaries.Summaries, which rewrites only what changes."""
     fresh = usable(new, key, summary)
     return fresh.unionByName(usable(cache, key, summary).join(fresh, key, "left_anti").select(key, summary))
 
@@ -58,10 +66,10 @@ def requests(prompts: DataFrame, system: Column | str, p: P.Params = P.DEFAULT,
 
 
 def merge_results(listings: DataFrame, results: DataFrame, key: str = "id") -> DataFrame:
-    """JON8: (key, summary) of results whose id is a listing's; of several the greatest text stays."""
+    """JON8: (key, summary, and seq if results have one) of results whose id is a listing's; of several the last answer stays."""
     known = listings.select(F.col(key), F.col(key).cast("string").alias("custom_id"))
-    found = results.where("content IS NOT NULL").groupBy("custom_id").agg(F.max("content").alias("summary"))
-    return known.join(found, "custom_id").select(key, "summary")
+    found = last_of(results, "custom_id", "content").withColumnRenamed("content", "summary")
+    return known.join(found, "custom_id").select(key, *(c for c in ("summary", "seq") if c in found.columns))
 
 
 def usage(results: DataFrame, by: tuple[str, ...] = (), done: int | None = None, p: P.Params = P.DEFAULT) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage import params as P
@@ -47,25 +47,45 @@ def median_fill(df: DataFrame, columns: list[str], accuracy: int | None = None)
     return df.withColumns({c: F.coalesce(_as_number(df, c), F.lit(m).cast("double")) for c, m in medians(df, columns, accuracy).items()})
 
 
+#: Values of all columns together that are numbered as one small table, and characters of a column's values that are sent to every task at most.
+FEW_VALUES, SENT = 50_000, 4 << 20
+
+
 def codes(df: DataFrame, column: str) -> DataFrame:
     """FEA2: (value, code): distinct values numbered from 0 in sorted order. Only the dictionary is ordered."""
-    return dictionary(df, [column]).select("value", "code")
+    return dictionary(distinct_values(df, [column])).select("value", "code")
 
 
-def dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """FEA2: (column, value, code) of all columns in one pass."""
+def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value) of all columns in one pass, computed once."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))).alias("_x")).select("_x.*")
-    each = long.where("value IS NOT NULL").distinct().withColumn("_one", F.lit(1))
-    return cumulative(each, "value", "_one", "_n", ("column",)).select("column", "value", (F.col("_n") - 1).cast("int").alias("code"))
+    return once(long.where("value IS NOT NULL").distinct())
+
+
+def dictionary(values: DataFrame, few: bool = False) -> DataFrame:
+    """FEA2: (column, value, code) from distinct_values(). Few of them are numbered by a window; many in ranges, of which no task sees all."""
+    if few:
+        return values.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1)
+    ranked = cumulative(values.withColumn("_one", F.lit(1)), "value", "_one", "_n", ("column",))
+    return ranked.select("column", "value", (F.col("_n") - 1).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, *columns: str) -> DataFrame:
-    """FEA2: columns replaced by their codes, -1 for null."""
+    """FEA2: columns replaced by their codes, -1 for null.
+
+    The values of all columns are found in one pass. A column's codes go to every task if they are short enough, so that the table is
+    not shuffled; others are joined.
+    """
     if not columns:
         return df
-    found = once(dictionary(df, list(columns)))
+    values = distinct_values(df, list(columns))
+    sizes = {r["column"]: (r["n"], r["chars"]) for r in values.groupBy("column").agg(F.count("*").alias("n"), F.sum(F.length("value") + 24).alias("chars")).collect()}
+    few = sum(n for n, _ in sizes.values()) <= FEW_VALUES
+    found = dictionary(values, few)
+    found = found if few else once(found)
     for c in columns:
         of = found.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
+        of = F.broadcast(of) if sizes.get(c, (0, 0))[1] <= SENT else of
         df = df.join(of, F.col(c).cast("string") == F.col("_v"), "left").withColumn(c, F.coalesce("_code", F.lit(-1))).drop("_v", "_code")
     return df
 

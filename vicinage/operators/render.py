@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinage import params as P
 from vicinage.functions import phrases
+from vicinage.operators import corpus
 
 
-def deviations(scored: DataFrame, exact: bool = False, p: P.Params = P.DEFAULT, key: str = "id") -> DataFrame:
-    """TXT1 or TXT2 with WIN2: (key, rank, label, phrase) of the sharpest deviations of each listing."""
-    phrase, ext = (phrases.exact if exact else phrases.banded)(F.col("n_radius"), F.col("pct"), F.col("present_frac"), p)
-    told = scored.select(key, phrases.label(F.col("bucket")).alias("label"), phrase.alias("phrase"), ext.alias("ext")).where("phrase IS NOT NULL")
-    order = Window.partitionBy(key).orderBy(F.desc("ext"), "label")
-    return told.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.top_deviations).select(key, "rank", "label", "phrase")
+def top_deviations(scored: Column, exact: bool = False, p: P.Params = P.DEFAULT) -> Column:
+    """TXT1 or TXT2 with WIN2: the sharpest deviations among a listing's scored buckets, as (label, phrase) in order."""
 
+    def told(c: Column) -> Column:
+        phrase, ext = (phrases.exact if exact else phrases.banded)(c["n_radius"], c["pct"], c["present_frac"], p)
+        return F.struct((-ext).alias("e"), phrases.label(c["bucket"]).alias("label"), phrase.alias("phrase"))
 
-def _lines(rows: DataFrame, order: list[str], line: Column, name: str, key: str) -> DataFrame:
-    """(key, name): the lines of each listing in order."""
-    return rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("_line")))), lambda x: x["_line"]).alias(name))
+    found = F.filter(F.transform(scored, told), lambda c: c["phrase"].isNotNull())
+    return F.transform(F.slice(F.sort_array(found), 1, p.top_deviations), lambda c: F.struct(c["label"].alias("label"), c["phrase"].alias("phrase")))
 
 
-def deviation_lines(found: DataFrame, name: str, key: str = "id") -> DataFrame:
-    return _lines(found, ["rank"], F.concat(F.lit("- "), "label", F.lit(": "), "phrase"), name, key)
+def deviations(lists: DataFrame, exact: bool = False, p: P.Params = P.DEFAULT, key: str = "id") -> DataFrame:
+    """top_deviations() of corpus.scored_lists() as rows (key, rank, label, phrase)."""
+    rows = lists.select(key, F.posexplode(top_deviations(F.col("scored"), exact, p)).alias("_i", "_d"))
+    return rows.select(key, (F.col("_i") + 1).alias("rank"), "_d.*")
+
+
+def deviation_lines(scored: Column, exact: bool = False, p: P.Params = P.DEFAULT) -> Column:
+    return F.transform(top_deviations(scored, exact, p), lambda c: F.concat(F.lit("- "), c["label"], F.lit(": "), c["phrase"]))
 
 
 def proximity_lines(cats: Column) -> Column:
@@ -52,8 +57,8 @@ def landmark_text(landmarks: Column) -> Column:
 
 
 def view_text(view: str, p: P.Params = P.DEFAULT) -> Column:
-    """TXT7: the text of a view over columns cats, landmarks, dev_lines and exact_lines."""
-    dev, exact = (F.coalesce(c, F.array().cast("array<string>")) for c in ("dev_lines", "exact_lines"))
+    """TXT7: the text of a view over columns cats and landmarks, and scored if the view is relative."""
+    dev, exact = deviation_lines(F.col("scored"), False, p), deviation_lines(F.col("scored"), True, p)
     near, mix, marks = proximity_lines(F.col("cats")), composition_lines(F.col("cats")), landmark_text(F.col("landmarks"))
     head = lambda name: P.HEADERS[name].format(city=p.city)
     if view == "landmarks":
@@ -76,14 +81,18 @@ def view_text(view: str, p: P.Params = P.DEFAULT) -> Column:
     return F.concat_ws("\n", first[view](), marks)
 
 
-def prompts(records: DataFrame, scored: DataFrame, view: str, note: Column | None = None, p: P.Params = P.DEFAULT, key: str = "id") -> DataFrame:
-    """TXT8: (key, text) of every record: the view's text and a note. Only what the view shows is computed."""
-    out = records
-    for name, exact, views in (("dev_lines", False, ("deviation", "combined")), ("exact_lines", True, ("deviation_exact",))):
-        lines = deviation_lines(deviations(scored, exact, p, key), name, key) if view in views else None
-        out = out.withColumn(name, F.lit(None).cast("array<string>")) if lines is None else out.join(lines, key, "left")
+#: Views that compare a listing with the corpus.
+RELATIVE = ("deviation", "deviation_exact", "combined")
+
+
+def prompts(records: DataFrame, view: str, hist: DataFrame | None = None, note: Column | None = None, p: P.Params = P.DEFAULT, key: str = "id") -> DataFrame:
+    """TXT8: (key, text) of every record: the view's text and a note. A relative view needs the corpus' histogram; all of it is done inside the row."""
     text = view_text(view, p)
-    return out.select(key, (text if note is None else F.concat(text, F.coalesce(note, F.lit("")))).alias("text"))
+    if view in RELATIVE:
+        if hist is None:
+            raise ValueError(f"view {view!r} compares with the corpus: its histogram is needed")
+        records = corpus.scored_lists(records, hist, key)
+    return records.select(key, (text if note is None else F.concat(text, F.coalesce(note, F.lit("")))).alias("text"))
 
 
 KINDS = ("amenity", "shop", "tourism", "leisure")

@@ -15,7 +15,7 @@ class Params:
     min_confidence: float = 0.6
     utm_zone: int = 18
     pad_degrees: float = 0.02
-    max_listings: int = 10_000
+    max_listings: int | None = 10_000
     usually_present: float = 0.6
     top_deviations: int = 5
     typical: float = 0.15

@@ -107,6 +107,13 @@ SELECT CASE WHEN event_id % 13 = 0 THEN concat('{{"results": [], "output": [', i
     END AS item FROM {events})
 """
 
+#: Answers by listing in two batches, many to a listing: the last of them counts.
+ANSWERS_SQL = """
+SELECT event_id AS seq, CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS batch,
+  concat('{{"results": [{{"custom_id": "', CAST(user_id AS STRING), '", "response": {{"body": {{"choices": [{{"message": {{"content": "', event_type, ' ', CAST(event_id AS STRING), '"}}}}]}}}}}}]}}') AS value
+FROM {events}
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -136,6 +143,10 @@ def result_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RESULTS_SQL, events=table(spark, sf_dir, "events"))
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ANSWERS_SQL, events=table(spark, sf_dir, "events"))
+
+
 def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of some listings; some are null, and some ids come twice."""
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, F.concat(F.lit("Cached "), F.col("doc_id").cast("string"))).alias("summary"))

@@ -18,7 +18,7 @@ def clean_job(spark: SparkSession, csv_path: str, out_path: str, key: str | None
     df = clean.clean_listings(raw, key)
     if key is None:
         key, df = "listing_key", clean.stable_key(df)
-    writers.table(clean.capped(df, p.max_listings, key, seed), out_path)
+    writers.table(df if p.max_listings is None else clean.capped(df, p.max_listings, key, seed), out_path)
 
 
 def enrich_job(listings: DataFrame, places: DataFrame, taxonomy: DataFrame, landmarks: DataFrame, key: str = "id", p: P.Params = P.DEFAULT) -> DataFrame:
@@ -64,7 +64,7 @@ def describe_job(records: DataFrame, cache: DataFrame, view: str, k: int | None
         picked = corpus.densest(dense, k, key).select(key) if seed is None else sample.seeded_sample(records.select(key), k, seed, key)
         chosen = records.join(picked, key, "left_semi")
     todo = exchange.pending(chosen, cache, key)
-    texts = render.prompts(todo, corpus.scored(flat_density(todo, key), hist, key), view, p=p, key=key)
+    texts = render.prompts(todo, view, hist, p=p, key=key)
     counts = exchange.attach_cached(chosen.select(key), cache, key).agg(F.count("*").alias("chosen"), F.count("summary").alias("cached"), F.count_if(F.col("summary").isNull()).alias("pending"))
     return exchange.requests(texts, system_text(view), p, key), counts
 
@@ -94,7 +94,7 @@ def collect_job(records: DataFrame, cache: DataFrame, batches: DataFrame, key: s
     return cache, writers.published(described, key), counts
 
 
-def retry_job(records: DataFrame, drafts: DataFrame, scored: DataFrame, view: str, key: str = "id", p: P.Params = P.DEFAULT) -> tuple[DataFrame, DataFrame]:
+def retry_job(records: DataFrame, drafts: DataFrame, view: str, hist: DataFrame | None = None, key: str = "id", p: P.Params = P.DEFAULT) -> tuple[DataFrame, DataFrame]:
     """EXP2, once more: (accepted drafts, requests with a note) for drafts(key, summary).
 
     A draft that names a place which is not among the record's landmarks is asked for again, with the names in a note.
@@ -103,7 +103,7 @@ def retry_job(records: DataFrame, drafts: DataFrame, scored: DataFrame, view: st
     known = F.transform("landmarks", lambda x: x["name"])
     read = once(drafts.join(records.select(key, "landmarks"), key).select(key, "summary", exchange.ungrounded(F.col("summary"), known).alias("_bad")))
     again = read.where(F.size("_bad") > 0).select(key, exchange.retry_note(F.col("_bad")).alias("_note"))
-    texts = render.prompts(records.join(again, key), scored, view, F.col("_note"), p, key)
+    texts = render.prompts(records.join(again, key), view, hist, F.col("_note"), p, key)
     return read.where(F.size("_bad") == 0).select(key, "summary"), exchange.requests(texts, system_text(view), p, key)
 
 

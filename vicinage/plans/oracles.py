@@ -205,9 +205,10 @@ def _oracles() -> dict[str, str]:
         "listing_shapes": _with("SELECT id, CAST(ord AS BIGINT) AS poi_id, CAST(round_even(dist, 0) AS INTEGER) AS dist_m FROM edge WHERE dist <= 450"),
         "listing_landmarks": _with("SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY dist_m, ord) AS INTEGER) AS rank, name, dist_m FROM mark"),
         "density_record_text": _with(record),
-        "density_record_parse": _with("SELECT d.id, CAST(coalesce(k.n, 0) AS INTEGER) AS n_landmarks, bucket, n_doorstep, n_radius, nearest_m FROM dense d LEFT JOIN (SELECT id, count(*) AS n FROM mark GROUP BY id) k ON k.id = d.id"),
+        "density_record_parse": _with("SELECT d.id, CAST(coalesce(k.n, 0) AS INTEGER) AS n_landmarks, CAST(row_number() OVER (PARTITION BY d.id ORDER BY min_dist, bucket) - 1 AS INTEGER) AS place, bucket, n_doorstep, n_radius, nearest_m FROM dense d LEFT JOIN (SELECT id, count(*) AS n FROM mark GROUP BY id) k ON k.id = d.id"),
         "total_places_topk": _with("SELECT id, CAST(sum(n_radius) AS BIGINT) AS total FROM dense GROUP BY id ORDER BY total DESC, id LIMIT 50"),
         "corpus_histogram": _with("SELECT bucket, cnt, CAST(n AS BIGINT) AS n, present_frac FROM ranked"),
+        "histogram_changes": _with("SELECT bucket, cnt, CAST(n AS BIGINT) AS n, present_frac FROM ranked"),
         "strict_percentile": _with("SELECT id, bucket, pct FROM scored"),
         "deviations_banded": _with("SELECT * FROM dev"),
         "deviations_exact": _with("SELECT * FROM dev_exact"),
@@ -222,8 +223,13 @@ def _oracles() -> dict[str, str]:
         "place_facts": _with("SELECT id, kind, n, CAST(n_names AS INTEGER) AS n_names FROM fact_kind JOIN fact_name USING (id)"),
         "facts_block": _with("SELECT id, 'Place types (count): {' || string_agg('''' || kind || ''': ' || n, ', ' ORDER BY n DESC, kind) || '}' || chr(10) || 'Places: ' || coalesce(any_value(listed), '(none)') AS text FROM fact_kind JOIN fact_name USING (id) GROUP BY id"),
         "batch_requests": _with(f"SELECT CAST(m.id AS VARCHAR) AS custom_id, 'system' AS first_role, {near} || chr(10) || k.t AS prompt, 400 AS max_tokens, true AS within {_FROM}"),
+        "request_files": _with(f"SELECT CAST(m.id AS VARCHAR) AS custom_id, k.t AS prompt, true AS within {_FROM}"),
         "batch_results_merge": _with("SELECT * FROM merged"),
         "cache_upsert": _with("SELECT id, summary FROM merged UNION ALL SELECT id, summary FROM cached c WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.id = c.id)"),
+        "summary_batches": _with("""
+            , told AS (SELECT user_id AS id, arg_max(event_type || ' ' || event_id, (CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END, event_id)) AS summary FROM events WHERE user_id IN (SELECT id FROM listing) GROUP BY user_id)
+            SELECT * FROM told UNION ALL SELECT id, summary FROM cached c WHERE NOT EXISTS (SELECT 1 FROM told t WHERE t.id = c.id)
+        """),
         "pending_rows": _with("SELECT id FROM listing l WHERE NOT EXISTS (SELECT 1 FROM cached c WHERE c.id = l.id)"),
         "cached_summaries": _with("SELECT l.id, c.summary FROM listing l LEFT JOIN cached c ON c.id = l.id"),
         "usage_report": _with("""
@@ -241,6 +247,11 @@ def _oracles() -> dict[str, str]:
         """),
         "seeded_sample": _with(f"SELECT id, room_type AS stratum FROM listing ORDER BY {_DRAW.format(seed=7)}, id LIMIT 40"),
         "prompt_variants": _with("SELECT 'p' || CAST(r_regionkey AS VARCHAR) AS prompt_id, id, room_type, r_name || ': ' || room_type AS summary FROM listing, region"),
+        "variant_files": _with(f"""
+            SELECT 'p' || CAST(r_regionkey AS VARCHAR) AS prompt_id, id, room_type, r_name AS summary FROM region, (
+                SELECT id, room_type, row_number() OVER (PARTITION BY neighbourhood ORDER BY {_DRAW.format(seed=7)}, id) AS k, count(*) OVER (PARTITION BY neighbourhood) AS c FROM listing
+            ) WHERE k <= round_even(CAST((SELECT count(*) FROM listing) // 10 AS DOUBLE) / (SELECT count(*) FROM listing) * c, 0)
+        """),
         "model_variants": _with("""
             , s AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN 'openai/gpt-5.6-luna' WHEN 1 THEN 'google/gemini-3.7-flash' WHEN 2 THEN 'google/gemini-3-flash-lite' ELSE 'google/gemini-2.5-flash-lite' END || CASE WHEN s_suppkey % 2 = 0 THEN ':batch' ELSE '' END AS slug FROM supplier)
             SELECT id, slug, regexp_replace(slug, ':batch$', '') AS base, CASE WHEN contains(slug, 'gpt-5') OR (contains(slug, 'gemini-3') AND NOT contains(slug, 'lite')) THEN 'thinking' ELSE 'plain' END AS kind FROM listing, s
@@ -255,18 +266,26 @@ def _oracles() -> dict[str, str]:
             x AS (SELECT id, 'Text ' || room_type AS summary FROM typed)
             SELECT 'structured' AS condition, *, NULL AS summary FROM s UNION ALL BY NAME SELECT 'unstructured_text' AS condition, * FROM x UNION ALL BY NAME SELECT 'joint_text' AS condition, * FROM s JOIN x USING (id)
         """),
+        "condition_sets_image": _with(f"""
+            , k AS ({_CODES.format(source='typed')}),
+            s AS (SELECT id, {', '.join(_FILL.format(c=c) for c in ('ratings', 'guests', 'num_bedrooms', 'num_baths'))}, {{bathrooms}}, code AS room_type, coalesce(CAST(is_superhost AS DOUBLE), (SELECT median(CAST(is_superhost AS DOUBLE)) FROM typed)) AS is_superhost FROM typed LEFT JOIN k ON room_type = v),
+            x AS (SELECT id, 'Text ' || room_type AS summary FROM typed), i AS (SELECT id, id || '.jpg' AS image FROM typed)
+            SELECT 'structured' AS condition, *, NULL AS summary, NULL AS image FROM s UNION ALL BY NAME SELECT 'unstructured_text' AS condition, * FROM x UNION ALL BY NAME SELECT 'joint_text' AS condition, * FROM s JOIN x USING (id)
+            UNION ALL BY NAME SELECT 'unstructured_image' AS condition, * FROM i UNION ALL BY NAME SELECT 'joint_image' AS condition, * FROM s JOIN i USING (id)
+        """),
         "batch_sizes": _with("SELECT CAST((k - 1) // 64 AS INTEGER) AS batch_no, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY id) AS k FROM listing) GROUP BY 1"),
         "scrape_files": _with("SELECT CAST(id AS VARCHAR) AS id, price, review_scores_rating, accommodates, bedrooms, bathrooms, room_type, bathrooms_text || chr(10) || '\"as told\"' AS bathrooms_text, host_is_superhost FROM raw"),
         "clean_files": _with("SELECT * EXCLUDE (id) FROM complete"),
         "stable_keys": _with("SELECT n_rows, count(*) AS n_keys FROM (SELECT count(*) AS n_rows FROM complete GROUP BY price, ratings, guests, bathrooms, room_type, is_superhost, num_bedrooms, num_baths) GROUP BY n_rows"),
         "leaks_dropped": _with("SELECT room_type, y_m AS y, x_m AS x FROM listing"),
         "taxonomy_files": "SELECT 'part_' || p_partkey AS leaf, lower(replace(p_type, ' ', '_')) || '/' || lower(p_brand) || '/part_' || p_partkey AS path FROM part",
-        "landmark_files": "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS ord, s_name AS name, 'POINT (' || CAST(CAST(-74.3 + s_suppkey * 37 % 1000 / 2000.0::DOUBLE AS DECIMAL(9, 4)) AS VARCHAR) || ' ' || CAST(CAST(40.5 + s_suppkey * 61 % 1000 / 2500.0::DOUBLE AS DECIMAL(9, 4)) AS VARCHAR) || ')' AS wkt FROM supplier",
+        "landmark_files": _with("SELECT id, ord, name, dist_m FROM mark"),
         "places_files": _with(f"{degrees} SELECT poi_id, name, category, CAST(round_even(x_m * 10, 0) AS BIGINT) AS east_dm, CAST(round_even(y_m * 10, 0) AS BIGINT) AS north_dm FROM spot JOIN dim ON category = leaf AND allowed WHERE lon BETWEEN -74.1 AND -73.9 AND lat BETWEEN 40.6 AND 40.8"),
         "enriched_files": _with(f"""{degrees},
             far AS (SELECT id, room_type, bucket, sqrt((h.x_m - s.x_m) * (h.x_m - s.x_m) + (h.y_m - s.y_m) * (h.y_m - s.y_m)) AS dist FROM home h, spot s JOIN dim ON category = leaf AND allowed)
             SELECT id, room_type, bucket, CAST(count(*) FILTER (dist <= 150) AS INTEGER) AS n_doorstep, CAST(count(*) AS INTEGER) AS n_radius, CAST(round_even(min(dist), 0) AS INTEGER) AS nearest_m FROM far WHERE dist <= 450 GROUP BY id, room_type, bucket
         """),
+        "stored_views": _with(f"SELECT m.id, {together} AS text {_FROM}"),
         "vanilla_table": _with("SELECT room_type, neighbourhood FROM listing JOIN matched USING (id)"),
         "enriched_table": _with(f"SELECT id, room_type, neighbourhood, record AS surroundings FROM listing JOIN ({record}) USING (id)"),
         "describe_requests": _with(f"SELECT CAST(m.id AS VARCHAR) AS custom_id, {together} AS prompt, true AS asked {_FROM} WHERE NOT EXISTS (SELECT 1 FROM cached c WHERE c.id = m.id)"),

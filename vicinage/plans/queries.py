@@ -16,6 +16,7 @@ from vicinage.operators.taxonomy import allowed_leaves, with_bucket
 from vicinage.plans import fixtures as fx
 from vicinage.plans import jobs
 from vicinage.sources import readers, writers
+from vicinage.sources.summaries import Summaries
 from vicinage.store import once, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,9 +45,20 @@ def _fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Density, and the corpus' histogram, both computed once."""
     dense = once(_dense(spark, sf_dir))
-    return corpus.scored(dense, corpus.histogram(dense))
+    return dense, once(corpus.histogram(dense))
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense, hist = _corpus(spark, sf_dir)
+    return corpus.scored_lists(enrich.cat_lists(dense), hist)
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense, hist = _corpus(spark, sf_dir)
+    return corpus.scored(enrich.cat_lists(dense), hist)
 
 
 @query
@@ -101,8 +113,9 @@ def density_record_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def density_record_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read back from their text, with the place of each bucket in it."""
     text = _records(spark, sf_dir).select("id", readers.parse_record(writers.record_json(F.col("cats"), F.col("landmarks"))).alias("r"))
-    return text.select("id", F.size("r.landmarks").alias("n_landmarks"), F.explode("r.cats").alias("_c")).select("id", "n_landmarks", "_c.*")
+    return text.select("id", F.size("r.landmarks").alias("n_landmarks"), F.posexplode("r.cats").alias("place", "_c")).select("id", "n_landmarks", "place", "_c.*")
 
 
 @query
@@ -115,6 +128,19 @@ def corpus_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.histogram(once(_dense(spark, sf_dir))).select("bucket", "cnt", "n", "present_frac")
 
 
+@query
+def histogram_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus whose gate was stricter once and which lacked a neighbourhood, brought up to date in two steps without reading it again."""
+    rows, places = fx.listings(spark, sf_dir), enrich.gated(fx.places(spark, sf_dir), fx.taxonomy(spark))
+    new, old = once(enrich.density_around(rows, places)), once(enrich.density_around(rows, places.where("confidence >= 0.8")))
+    late = rows.where("neighbourhood = 7").select("id")
+    held = corpus.counts(old.join(late, "id", "left_anti"))
+    here = rows.where("neighbourhood < 7").select("id")
+    held = corpus.changed(held, old.join(here, "id", "left_semi"), new.join(here, "id", "left_semi"))
+    held = corpus.changed(held, old.join(rows.where("neighbourhood > 7").select("id"), "id", "left_semi"), new.join(here, "id", "left_anti"))
+    return corpus.from_counts(held).select("bucket", "cnt", "n", "present_frac")
+
+
 @query
 def strict_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("id", "bucket", "pct")
@@ -122,20 +148,18 @@ def strict_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def deviations_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.deviations(_scored(spark, sf_dir))
+    return render.deviations(_lists(spark, sf_dir))
 
 
 @query
 def deviations_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.deviations(_scored(spark, sf_dir), exact=True)
+    return render.deviations(_lists(spark, sf_dir), exact=True)
 
 
 def _view(view: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        relative = view in ("deviation", "deviation_exact", "combined")
-        dense = once(_dense(spark, sf_dir)) if relative else _dense(spark, sf_dir)
-        scored = corpus.scored(dense, corpus.histogram(dense)) if relative else dense
-        return render.prompts(_records(spark, sf_dir, dense), scored, view)
+        dense, hist = _corpus(spark, sf_dir) if view in render.RELATIVE else (None, None)
+        return render.prompts(_records(spark, sf_dir, dense), view, hist)
 
     return run
 
@@ -172,8 +196,7 @@ def facts_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sharded_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense = _dense(spark, sf_dir)
-    return render.prompts(_records(spark, sf_dir, dense), dense, "proximity")
+    return render.prompts(_records(spark, sf_dir), "proximity")
 
 
 @query
@@ -187,6 +210,18 @@ def batch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.select("custom_id", F.col("r.body.messages")[0]["role"].alias("first_role"), F.col("r.body.messages")[1]["content"].alias("prompt"), F.col("r.body.max_tokens").alias("max_tokens"), (F.col("batch_rows") <= 100).alias("within"))
 
 
+@query
+def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as JSON lines in a folder a batch, and what a service reads there."""
+    path = _fresh(spark, "requests")
+    sent = exchange.requests(render.prompts(_records(spark, sf_dir), "landmarks"), "Describe the block.", P.Params(batch_size=100))
+    writers.request_lines(sent, path)
+    line = F.from_json("value", "custom_id STRING, body STRUCT<messages:ARRAY<STRUCT<role:STRING,content:STRING>>>")
+    rows = spark.read.text(path).select("batch_no", line.alias("r"))
+    sizes = rows.groupBy("batch_no").agg(F.count("*").alias("_n"))
+    return rows.join(sizes, "batch_no").select("r.custom_id", F.col("r.body.messages")[1]["content"].alias("prompt"), (F.col("_n") <= 100).alias("within"))
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.result_rows(fx.result_batches(spark, sf_dir))
 
@@ -202,6 +237,17 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.upsert(fx.cache(spark, sf_dir), new)
 
 
+@query
+def summary_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table of summaries that two batches of answers are added to, many answers to a listing; the first batch comes twice."""
+    held = Summaries(spark, _fresh(spark, "summaries"), buckets=16)
+    held.upsert(fx.cache(spark, sf_dir), 0)
+    answers = fx.answers(spark, sf_dir)
+    for batch in (1, 1, 2):
+        held.upsert(exchange.merge_results(fx.listings(spark, sf_dir), readers.result_rows(answers.where(F.col("batch") == batch))).withColumn("seq", F.lpad(F.col("seq.seq").cast("string"), 20, "0")), batch)
+    return held.read()
+
+
 @query
 def pending_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.pending(fx.listings(spark, sf_dir), fx.cache(spark, sf_dir)).select("id")
@@ -256,6 +302,15 @@ def prompt_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.variant_dataset(rows, ["id", "room_type"])
 
 
+@query
+def variant_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets on disk, one a prompt, over one sample."""
+    path, rows = _fresh(spark, "variants"), fx.listings(spark, sf_dir)
+    prompts = fx.table(spark, sf_dir, "region").select(F.concat(F.lit("p"), F.col("r_regionkey").cast("string")).alias("prompt_id"), F.col("r_name").alias("system"))
+    jobs.variants_job(rows, prompts, rows.count() // 10, 7, path, ["id", "room_type"])
+    return spark.read.parquet(path)
+
+
 @query
 def model_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     slug = F.concat(F.element_at(F.array(F.lit("openai/gpt-5.6-luna"), F.lit("google/gemini-3.7-flash"), F.lit("google/gemini-3-flash-lite"), F.lit("google/gemini-2.5-flash-lite")), (F.pmod("s_suppkey", F.lit(4)) + 1).cast("int")), F.when(F.col("s_suppkey") % 2 == 0, ":batch").otherwise(""))
@@ -295,6 +350,14 @@ def condition_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets)
 
 
+@query
+def condition_sets_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a picture's name as a modality."""
+    df = _features(spark, sf_dir).withColumns({"summary": F.concat(F.lit("Text "), F.col("room_type")), "image": F.concat(F.col("id").cast("string"), F.lit(".jpg"))})
+    sets = [s.withColumn("condition", F.lit(name)) for name, s in features.condition_sets(df, "id", "price", "summary", "image").items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets)
+
+
 @query
 def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.criteria(fx.eval_report(spark, sf_dir))
@@ -339,7 +402,7 @@ def clean_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workload 1 from scrape files to the table."""
     path = _fresh(spark, "clean")
     writers.table(fx.raw_listings(spark, sf_dir).drop("id"), f"{path}/scrape", "csv")
-    jobs.clean_job(spark, f"{path}/scrape", f"{path}/table", p=P.Params(max_listings=1 << 30))
+    jobs.clean_job(spark, f"{path}/scrape", f"{path}/table", p=P.Params(max_listings=None))
     return spark.read.parquet(f"{path}/table").drop("listing_key")
 
 
@@ -370,13 +433,13 @@ def taxonomy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def landmark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as landmarks in one JSON object, in degrees."""
+    """Landmarks in one JSON object, read back and joined with all listings. Such a file is a curated list, so one task reads it."""
     path = _fresh(spark, "landmarks")
-    lon, lat = (-74.3 + F.col("s_suppkey") * 37 % 1000 / 2000.0).cast("decimal(9,4)"), (40.5 + F.col("s_suppkey") * 61 % 1000 / 2500.0).cast("decimal(9,4)")
-    entry = F.struct(F.col("s_suppkey").alias("k"), F.col("s_name").alias("key"), F.struct(lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), F.lit("Point").alias("type"), F.concat(F.lit("POINT ("), lon.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")")).alias("wkt")).alias("value"))
-    marks = fx.table(spark, sf_dir, "supplier").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))).alias("e"))
-    marks.select(F.to_json(F.struct(F.map_from_entries("e").alias("landmarks"))).alias("value")).write.text(path)
-    return readers.landmarks_json(spark, path, None)
+    one = F.concat(F.regexp_replace(F.to_json(F.array("name")), r"^\[|\]$", ""), F.lit(': {"type": "Polygon", "wkt": "'), F.col("wkt"), F.lit('"}'))
+    lines = fx.landmarks(spark, sf_dir).select("ord", one.alias("_e")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "_e"))), lambda x: x["_e"]).alias("_l"))
+    lines.select(F.concat(F.lit('{"landmarks": {'), F.array_join("_l", ", "), F.lit("}}")).alias("value")).write.text(path)
+    found = enrich.landmarks_within(fx.listings(spark, sf_dir), readers.landmarks_json(spark, path, None))
+    return found.select("id", "ord", "name", "dist_m")
 
 
 def _places_files(spark: SparkSession, sf_dir: str) -> str:
@@ -386,7 +449,7 @@ def _places_files(spark: SparkSession, sf_dir: str) -> str:
     at = F.struct(F.col("lon").alias("xmin"), F.col("lon").alias("xmax"), F.col("lat").alias("ymin"), F.col("lat").alias("ymax"))
     point = F.concat(F.lit("POINT ("), F.col("lon").cast("string"), F.lit(" "), F.col("lat").cast("string"), F.lit(")"))
     nested = places.select(F.col("poi_id").alias("id"), F.struct(F.col("name").alias("primary")).alias("names"), F.struct(F.col("category").alias("primary")).alias("categories"), at.alias("bbox"), "confidence", point.alias("geometry"))
-    nested.write.parquet(path)
+    writers.places(nested, path)
     return path
 
 
@@ -409,6 +472,15 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.enrich_job(fx.listings(spark, sf_dir), fx.places(spark, sf_dir), fx.taxonomy(spark), fx.landmarks(spark, sf_dir))
 
 
+@query
+def stored_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of records that were stored as JSON and read again; ties in distance keep the stored order."""
+    path = _fresh(spark, "variants")
+    writers.write_variants(_enriched(spark, sf_dir), "id", f"{path}/vanilla", f"{path}/enriched")
+    records = readers.stored_records(spark.read.parquet(f"{path}/enriched"))
+    return render.prompts(records, "combined", once(corpus.histogram(jobs.flat_density(records))))
+
+
 @query
 def vanilla_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _fresh(spark, "variants")
@@ -448,6 +520,6 @@ def retry_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _enriched(spark, sf_dir)
     marks = fx.landmarks(spark, sf_dir).select("ord", F.col("name").alias("_name"))
     drafts = records.select("id").join(marks, F.pmod("id", F.lit(25)) == F.col("ord")).select("id", F.concat(F.lit("a block by "), "_name").alias("summary"))
-    kept, sent = jobs.retry_job(records, drafts, jobs.flat_density(records), "proximity")
+    kept, sent = jobs.retry_job(records, drafts, "proximity")
     note = F.regexp_extract(F.from_json("request", "body STRUCT<messages:ARRAY<STRUCT<role:STRING,content:STRING>>>")["body"]["messages"][1]["content"], r"(?s)\n\n(Your previous draft.*)$", 1)
     return kept.select(F.col("id").cast("string").alias("id"), "summary").unionByName(sent.select(F.col("custom_id").alias("id"), note.alias("summary")))

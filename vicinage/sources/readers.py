@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,15 @@ def scrape_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def places_in(spark: SparkSession, path: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """The rows of a nested dataset whose own box lies in the box; a dataset of writers.places() opens the files of the box' zones alone."""
+    rows = spark.read.parquet(path)
+    for zone in (c for c in rows.columns if re.fullmatch(r"zone_\d+", c)):
+        spans = [F.col(zone).between(a, b) for a, b in geo.morton_ranges(box, int(zone[5:]))]
+        rows = rows.where(reduce(lambda a, b: a | b, spans, F.lit(False))).drop(zone)
+    return rows.where((F.col("bbox.xmin") >= box[0]) & (F.col("bbox.xmax") <= box[1]) & (F.col("bbox.ymin") >= box[2]) & (F.col("bbox.ymax") <= box[3]))
+
+
 def places_parquet(spark: SparkSession, path: str, taxonomy: DataFrame, box: tuple[float, float, float, float], p: P.Params = P.DEFAULT) -> DataFrame:
     """SRC2: places of a nested dataset in the box (lon0, lon1, lat0, lat1), of enough confidence and an allowed category.
 
@@ -27,9 +39,7 @@ def places_parquet(spark: SparkSession, path: str, taxonomy: DataFrame, box: tup
     place's own box. The geometry (WKB, or WKT as text) becomes wkt on the metric plane. The dataset's id
     becomes poi_id; without one, a hash of the row stands for it.
     """
-    rows = spark.read.parquet(path).where(
-        (F.col("bbox.xmin") >= box[0]) & (F.col("bbox.xmax") <= box[1]) & (F.col("bbox.ymin") >= box[2]) & (F.col("bbox.ymax") <= box[3]) & (F.col("confidence") >= p.min_confidence) & F.col("geometry").isNotNull()
-    )
+    rows = places_in(spark, path, box).where((F.col("confidence") >= p.min_confidence) & F.col("geometry").isNotNull())
     lon, lat = (F.col("bbox.xmin") + F.col("bbox.xmax")) / 2, (F.col("bbox.ymin") + F.col("bbox.ymax")) / 2
     x, y = geo.utm(lon, lat, p.utm_zone)
     name, category = F.col("names.primary"), F.col("categories.primary")
@@ -74,15 +84,28 @@ def project_wkt(rows: DataFrame, zone: int) -> DataFrame:
     return rows.withColumn("wkt", F.concat(kind, F.when(kind.isin("POINT", "LINESTRING"), moved).otherwise(F.concat(F.lit("("), moved, F.lit(")")))))
 
 
-def parse_record(text: Column) -> Column:
-    """SRC5: density JSON as struct(cats, landmarks) of typed entries; cats in the order of nearest_m, then name."""
+def parse_record(text: Column, by_distance: bool = False) -> Column:
+    """SRC5: density JSON as struct(cats, landmarks) of typed entries; cats in the text's order, or by nearest_m with ties in the text's order."""
     r = F.from_json(text, _RECORD)
-    cats = F.transform(F.map_entries(r["cats"]), lambda e: F.struct(F.get(e["value"], F.lit(2)).alias("nearest_m"), e["key"].alias("bucket"), F.get(e["value"], F.lit(0)).alias("n_doorstep"), F.get(e["value"], F.lit(1)).alias("n_radius")))
-    cats = F.transform(F.sort_array(cats), lambda c: F.struct(*(c[f].alias(f) for f in ("bucket", "n_doorstep", "n_radius", "nearest_m"))))
+    fields = ("bucket", "n_doorstep", "n_radius", "nearest_m")
+    cats = F.transform(F.map_entries(r["cats"]), lambda e, i: F.struct(F.get(e["value"], F.lit(2)).alias("nearest_m"), i.alias("i"), e["key"].alias("bucket"), F.get(e["value"], F.lit(0)).alias("n_doorstep"), F.get(e["value"], F.lit(1)).alias("n_radius")))
+    cats = F.transform(F.sort_array(cats) if by_distance else cats, lambda c: F.struct(*(c[f].alias(f) for f in fields)))
     marks = F.transform(r["landmarks"], lambda m: F.struct(F.get(m, F.lit(0)).alias("name"), F.get(m, F.lit(1)).cast("int").alias("dist_m")))
     return F.struct(F.coalesce(cats, F.array().cast("array<struct<bucket:string,n_doorstep:int,n_radius:int,nearest_m:int>>")).alias("cats"), F.coalesce(marks, F.array().cast("array<struct<name:string,dist_m:int>>")).alias("landmarks"))
 
 
+def stored_records(df: DataFrame, column: str = "surroundings") -> DataFrame:
+    """SRC5: a stored table with cats and landmarks in place of the JSON column."""
+    return df.withColumn("_r", parse_record(F.col(column))).withColumns({"cats": F.col("_r.cats"), "landmarks": F.col("_r.landmarks")}).drop("_r", column)
+
+
+def result_files(spark: SparkSession, path: str) -> DataFrame:
+    """SRC6: (value, seq): the lines of result files with their place, in the order of file names and of lines; for one object a file give whole lines."""
+    lines = spark.read.text(path)
+    seq = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return lines.select("value", seq.alias("seq"))
+
+
 def parse_results(text: Column) -> Column:
     """SRC6: the items of a batch result: the first list that is not empty, without items that have no body."""
     r = F.from_json(text, ", ".join(f"{k} {_ITEMS}" for k in _RESULT_KEYS))
@@ -91,7 +114,8 @@ def parse_results(text: Column) -> Column:
 
 
 def result_rows(batches: DataFrame, column: str = "value") -> DataFrame:
-    """SRC6: (custom_id, content, prompt_tokens, completion_tokens, cost) of every item."""
-    item = batches.select(F.explode(parse_results(F.col(column))).alias("_i"))
+    """SRC6: (custom_id, content, prompt_tokens, completion_tokens, cost) of every item, and seq, its place, if the batches have one."""
+    placed = "seq" in batches.columns
+    item = batches.select(*(["seq"] if placed else []), F.posexplode(parse_results(F.col(column))).alias("_at", "_i"))
     body = F.col("_i.response.body")
-    return item.select("_i.custom_id", F.get(body["choices"], F.lit(0))["message"]["content"].alias("content"), body["usage"]["prompt_tokens"].alias("prompt_tokens"), body["usage"]["completion_tokens"].alias("completion_tokens"), body["usage"]["cost"].alias("cost"))
+    return item.select(*([F.struct("seq", "_at").alias("seq")] if placed else []), "_i.custom_id", F.get(body["choices"], F.lit(0))["message"]["content"].alias("content"), body["usage"]["prompt_tokens"].alias("prompt_tokens"), body["usage"]["completion_tokens"].alias("completion_tokens"), body["usage"]["cost"].alias("cost"))

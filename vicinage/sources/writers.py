@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vicinage.functions import geo
+
 
 def table(df: DataFrame, path: str, kind: str = "parquet", one_file: bool = False, mode: str = "overwrite") -> None:
     """SNK1: a table as Parquet or CSV; one file only on request, as that makes one task of it."""
@@ -12,6 +14,19 @@ def table(df: DataFrame, path: str, kind: str = "parquet", one_file: bool = Fals
     out.option("header", True).option("quote", '"').option("escape", '"').csv(path) if kind == "csv" else out.format(kind).save(path)
 
 
+def places(df: DataFrame, path: str, levels: int = 12, files: int | None = None) -> None:
+    """SRC2's dataset along a space-filling curve: folders by zone (the first `levels` bits of each coordinate of a place's middle), files and row groups by ranges of the curve.
+
+    readers.places_parquet() turns an extent into zones, so other files are not opened; inside a file the bounds of row groups are narrow. A
+    dense zone has several files, as the ranges hold about as many places each. A zone of 12 bits is some 7 km wide at 40 degrees.
+    """
+    x, y = (F.col("bbox.xmin") + F.col("bbox.xmax")) / 2, (F.col("bbox.ymin") + F.col("bbox.ymax")) / 2
+    zone = f"zone_{levels}"
+    rows = df.withColumn("_z", geo.morton(x, y)).withColumn(zone, F.shiftright("_z", 2 * (16 - levels)).cast("int"))
+    rows = rows.repartitionByRange(files, "_z") if files else rows.repartitionByRange("_z")
+    rows.sortWithinPartitions(zone, "_z").drop("_z").write.mode("overwrite").partitionBy(zone).parquet(path)
+
+
 def vanilla(df: DataFrame, key: str) -> DataFrame:
     """SNK2: the tabular columns alone, without key, coordinates and density record."""
     return df.drop("surroundings", "cats", "landmarks", "lat", "long", "x_m", "y_m", key)
