@@ -1,12 +1,12 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, h string, node string, _g string, part int, grp string, kept string, score string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, h string, node string, _g string, part int, grp string, kept string, score string, _key long, _n string, _m int, _p string, _doc string, _text string, _i int, _at string, _head string, _starts string, row string, rest string, id long"
 LONG = " ".join(f"w{k % 977} x{k % 13}." for k in range(30_000))
 
 
 def rows(*pairs):
     """Documents of (doc_id, text, source), with extra columns whose names operators use themselves."""
-    return [(i, t, "en", s, len(t or ""), 1, "h", "n", "g", 2, "p", "k", "s") for i, t, s in pairs]
+    return [(i, t, "en", s, len(t or ""), 1, "h", "n", "g", 2, "p", "k", "s", 11, "n", 12, "p", "d", "t", 13, "at", "head", "starts", "row", "rest", 14) for i, t, s in pairs]
 
 
 EDGE = rows(

@@ -24,7 +24,7 @@ def check(spark, rows, queries, k=10):
 @pytest.mark.parametrize("m", [2, 4, 8])
 def test_random_and_near_codes(spark, monkeypatch, m):
     monkeypatch.setattr(hamming, "SEGMENTS", ((None, m),))
-    monkeypatch.setattr(hamming, "BLOCK", 100)  # several blocks in the last resort
+    monkeypatch.setattr(hamming, "PARTS", 5)
     rng = np.random.default_rng(2)
     base = rng.integers(-(2**63), 2**63 - 1, 40)
     codes = [int(b) for b in rng.integers(-(2**63), 2**63 - 1, 500)]
@@ -34,12 +34,38 @@ def test_random_and_near_codes(spark, monkeypatch, m):
 
 
 def test_near_codes_are_found_by_probes_alone(spark, monkeypatch):
-    """Families of 20 codes near each other: every query ends before the last resort."""
-    monkeypatch.setattr(hamming, "_compare", None)
+    """Families of 20 codes near each other: every query ends at small radii."""
+    most = []
+    real = hamming._probe
+    monkeypatch.setattr(hamming, "_probe", lambda *a: most.append(a[5]) or real(*a))
     rng = np.random.default_rng(3)
     base = rng.integers(-(2**63), 2**63 - 1, 300)
     rows = list(enumerate(int(base[i % 300] ^ (1 << int(rng.integers(0, 63))) ^ (1 << int(rng.integers(0, 63)))) for i in range(6000)))
     check(spark, rows, [r for r in rows if r[0] % 50 == 0])
+    assert max(most) <= 2
+
+
+@pytest.mark.parametrize("m", [2, 4, 8])
+def test_steps_cover_what_they_say(m):
+    """A code that is in no step's reach yet differs in more bits than are covered: the least such number of bits, segment by segment."""
+    reach = [-1] * m
+    for radius, segs, covered in hamming.steps(m):
+        for s in segs:
+            assert reach[s] == radius - 1
+            reach[s] = radius
+        assert covered == sum(r + 1 for r in reach) - 1
+    assert reach == [hamming.BITS // m] * m
+
+
+@pytest.mark.parametrize("lot", [0, 1024])
+def test_far_neighbours(spark, monkeypatch, lot):
+    """Few codes, all far from the queries: the search goes on to large radii, by flips or by the values that there are."""
+    monkeypatch.setattr(hamming, "LOT", lot)
+    monkeypatch.setattr(hamming, "SEGMENTS", ((None, 4),))
+    rng = np.random.default_rng(5)
+    codes = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 30)]
+    queries = [(1000, ~codes[0]), (1001, codes[1] ^ 0x0F0F0F0F0F0F0F0F)]
+    check(spark, list(enumerate(codes)), queries, k=3)
 
 
 @pytest.mark.parametrize(("width", "radius"), [(8, 0), (8, 1), (8, 8), (16, 3)])

@@ -1,4 +1,5 @@
 import random
+import re
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -6,21 +7,26 @@ from hypothesis import strategies as st
 from vicinage.llm import spans
 
 
-def brute(pairs, span=spans.SPAN):
+def brute(pairs, span=spans.SPAN, least=1):
     first, gone = {}, {}
     for i, text in sorted(pairs, key=lambda p: (p[0] is not None, p[0])):
         parts = spans.sentences(text or "")
         full = [k for k, s in enumerate(parts) if s.strip()]
+        before = ["".join(parts[:k]) for k in full]
+        # a sentence starts the text, or stands behind an end mark and a blank, or a line end
+        whole = [not t or bool(re.search(r"[.!?\n]\s+\Z|\n\Z", t)) for t in before]
+        words = [len(re.findall(r"\S+", parts[k])) for k in full]
         gone[i] = set()
-        for a in range(len(full) - span + 1):
-            n = span
-            while a + n <= len(full) and sum(parts[full[a + k]].strip().count(" ") + 1 for k in range(n)) < spans.MIN_WORDS:
-                n += 1
-            if a + n > len(full):
+        for a in range(len(full)):
+            stops = [e for e in range(a + span, len(full) + 1) if sum(words[a:e]) >= spans.MIN_WORDS][:1]
+            if whole[a]:
+                opens = [e for e in range(a + 1, len(full)) if whole[e]] + [len(full)]
+                stops += [e for e in opens[span - 1 : span] if sum(words[a:e]) >= least]
+            if not stops:
                 continue
-            key = tuple(parts[full[a + k]].strip() for k in range(n))
+            key = tuple(parts[k].strip() for k in full[a : min(stops)])
             if first.setdefault(key, (i, a)) != (i, a):
-                gone[i] |= set(full[a : a + n])
+                gone[i] |= set(full[a : min(stops)])
     out = {}
     for i, text in pairs:
         kept = "".join(s for k, s in enumerate(spans.sentences(text or "")) if k not in gone[i])
@@ -28,6 +34,20 @@ def brute(pairs, span=spans.SPAN):
     return out
 
 
+def every_run(pairs, span=3):
+    """All runs of `span` sentences by a cutter of its own, for sentences too short to be cut further: the texts that stay."""
+    first, out = {}, {}
+    for i, text in pairs:
+        parts = re.findall(r"[^.!?]+[.!?]+\s*", text)
+        gone = set()
+        for a in range(len(parts) - span + 1):
+            key = tuple(p.strip() for p in parts[a : a + span])
+            if first.setdefault(key, (i, a)) != (i, a):
+                gone |= set(range(a, a + span))
+        out[i] = "".join(p for k, p in enumerate(parts) if k not in gone)
+    return out
+
+
 def check(df, pairs):
     want = brute(pairs)
     rows = spans.dedup_spans(df).collect()
@@ -56,13 +76,32 @@ def test_repeats_inside_a_text(frame):
     check(frame(*((i, t, "s") for i, t in pairs)), pairs)
 
 
-def test_short_sentences_are_taken_together(frame):
-    """Runs of short lines go on until they have enough words; a repeat of fewer stays."""
-    short = "One. Two. Three. Four. Five. Six. Seven. Eight. Nine. Ten. " * 2 + "Last. "
-    pairs = [(1, "Start of one here now. " + short), (2, short + "End of two is here."), (3, "One. Two. Three. Own words end this text."), (4, "No. " * 24)]
-    check(frame(*((i, t, "s") for i, t in pairs)), pairs)
+def test_runs_of_short_sentences_are_spans(frame):
+    """Three sentences of fifteen words in six texts, and six texts that are these sentences."""
+    passage = "The tide went out early. Nobody saw the boats leave. All was quiet again."
+    pairs = [(k, f"Own start of text {k} here. {passage} Own end number {k} follows.") for k in range(6)] + [(k, passage) for k in range(6, 12)]
+    rows = {r["doc_id"]: r for r in spans.dedup_spans(frame(*((i, t, "s") for i, t in pairs))).collect()}
+    assert rows[0]["text"] == pairs[0][1]
+    assert all(rows[k]["text"] == f"Own start of text {k} here. Own end number {k} follows." for k in range(1, 6))
+    assert all(rows[k]["text"] == "" and rows[k]["n_removed"] == 3 for k in range(6, 12))
+    longer = {r["doc_id"]: r["n_removed"] for r in spans.dedup_spans(frame(*((i, t, "s") for i, t in pairs)), least=16).collect()}
+    assert not any(longer[k] for k in range(6))
+
+
+def test_every_run_by_another_cutter(frame):
+    rng = random.Random(11)
+    lines = [f"{' '.join(rng.choice('abcdefgh') * rng.randint(1, 3) for _ in range(rng.randint(1, 9)))}{rng.choice('.!?')} " for _ in range(25)]
+    pairs = [(k, "".join(rng.choice(lines) for _ in range(rng.randrange(12)))) for k in range(300)]
+    want = every_run(pairs)
     rows = {r["doc_id"]: r["text"] for r in spans.dedup_spans(frame(*((i, t, "s") for i, t in pairs))).collect()}
-    assert rows[2] == "End of two is here." and rows[3] == pairs[2][1]
+    assert rows == {i: t if t.strip() else "" for i, t in want.items()}
+    assert sum(rows[i] != t for i, t in pairs) > 20
+
+
+def test_dots_inside_words_are_no_sentences(frame):
+    """Parts of a number, a name or an address are pieces, but no span of whole sentences."""
+    pairs = [(k, f"See www.example.com and 1.2.3 for item {k}") for k in range(5)]
+    assert all(r["n_removed"] == 0 for r in spans.dedup_spans(frame(*((i, t, "s") for i, t in pairs))).collect())
 
 
 def test_corpus(corpus):
@@ -123,3 +162,15 @@ def test_one_id_with_a_short_and_a_long_text(frame):
     pairs = [(1, passage), (2, passage + "A tail of its own."), (2, "One line here. Two lines here.")]
     rows = spans.dedup_spans(frame(*((i, t, "s") for i, t in pairs))).collect()
     assert sorted((r["doc_id"], r["text"]) for r in rows) == [(1, passage), (2, "A tail of its own."), (2, pairs[2][1])]
+
+
+def test_columns_of_any_name(spark):
+    names = ["_doc", "_text", "_starts", "rest", "starts", "high", "n_removed", "a.b"]
+    passage = "It was the first of many days by the sea. Nobody spoke of what had been lost there. The boats came in late, as they did. "
+    rows = [(k, *(f"{n}{k}" for n in names), passage + f"End of {k}.") for k in range(4)]
+    df = spark.createDataFrame(rows, ["doc_id", *names, "text"])
+    got = spans.dedup_spans(df)
+    assert got.columns == ["doc_id", *(n for n in names if n != "n_removed"), "text", "n_sentences", "n_removed"]
+    for r in got.collect():
+        assert all(r[n] == f"{n}{r['doc_id']}" for n in names if n != "n_removed")
+        assert r["text"] == (passage if r["doc_id"] == 0 else "") + f"End of {r['doc_id']}."

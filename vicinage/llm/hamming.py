@@ -5,8 +5,8 @@ differs from a query in at most m * (r + 1) - 1 bits, one of its m segments diff
 queries probe the index by equi-joins with all values at segment radius 0, then 1, and so on; new
 candidates are verified on whole codes inside the join, where they must be as near as the k-th neighbour so far.
 A query leaves when its k-th verified neighbour lies within what the radius covers. No radius is
-assumed and no candidate is dropped. If a radius takes as many probes as there are codes, the queries still left
-are compared with all codes in blocks, which ends the search. The number of segments follows the number of codes.
+assumed and no candidate is dropped. Large radii grow by one segment at a time; where a segment has fewer different values in the index than the radius
+has flips, the query's segment meets these values instead. The number of segments follows the number of codes.
 
 Rows of equal code are one index entry with their k smallest ids, so that a hot code costs no more
 than another; equal queries are searched once. Equal distances go by id. Null vectors have no code
@@ -28,8 +28,8 @@ BITS = 64
 K = 10
 #: Segments for up to so many codes: a segment's values are about as many as the codes.
 SEGMENTS = ((1 << 12, 8), (1 << 26, 4), (None, 2))
-#: Codes of a block in the last resort.
-BLOCK = 1 << 14
+#: Probes of a query that one step may take over all segments, and parts that a segment's different values are dealt to.
+LOT, PARTS = 1024, 64
 
 
 def sign_code(vector: Column) -> Column:
@@ -65,21 +65,34 @@ def segments(code: str, m: int) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), F.shiftrightunsigned(code, s * width).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for s in range(m))))
 
 
-def _probe(active: DataFrame, index: DataFrame, m: int, radius: int) -> DataFrame:
-    """(q, code, first_id, n_ids, d) of codes with a segment at exactly this radius, no farther than the query's bound; some come twice."""
-    at = active.select("q", "bound", segments("q", m).alias("s")).select("q", "bound", "s.seg", F.col("s.bits").alias("at"))
-    keys = with_flips(at, BITS // m, radius).select("q", "bound", "seg", F.col("at").bitwiseXOR(F.col("flip")).alias("bits"))
+def _probe(active: DataFrame, index: DataFrame, values: DataFrame, most: int, m: int, radius: int, segs: list[int]) -> DataFrame:
+    """(q, code, first_id, n_ids, d) of codes with one of the segments at exactly this radius, no farther than the query's bound; some come twice.
+
+    A query's segment becomes all values at the radius; where the index has fewer different values than these, it is compared with those instead.
+    """
+    width = BITS // m
+    at = active.select("q", "bound", segments("q", m).alias("s")).select("q", "bound", "s.seg", F.col("s.bits").alias("at")).where(F.col("seg").isin(segs))
+    if comb(width, radius) <= most:
+        keys = with_flips(at, width, radius).select("q", "bound", "seg", F.col("at").bitwiseXOR(F.col("flip")).alias("bits"))
+    else:
+        parts = at.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        keys = parts.join(values, ["seg", "part"]).where(F.bit_count(F.col("at").bitwiseXOR(F.col("bits"))) == radius).select("q", "bound", "seg", "bits")
     distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
     return keys.join(index, ["seg", "bits"]).where(distance <= F.col("bound")).select("q", "code", "first_id", "n_ids", distance.alias("d"))
 
 
-def _compare(active: DataFrame, entries: DataFrame, n: int) -> DataFrame:
-    """The same of all codes, block by block."""
-    blocks = max(1, -(-n // BLOCK))
-    part = entries.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)))
-    asked = active.select("q", "bound", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-    return asked.join(part, "block").where(distance <= F.col("bound")).select("q", "code", "first_id", "n_ids", distance.alias("d"))
+def steps(m: int) -> list[tuple[int, list[int], int]]:
+    """(radius, segments, distance that is covered then): all segments at once while that is LOT probes a query at most, then one at a time.
+
+    With radius r in the first a + 1 segments and r - 1 in the others, a code that differs in m * r + a bits is found: else it would differ in (a + 1) (r + 1) + (m - a - 1) r bits, one more.
+    """
+    width, out = BITS // m, []
+    for r in range(width + 1):
+        if m * comb(width, r) <= LOT:
+            out.append((r, list(range(m)), m * r + m - 1))
+        else:
+            out += [(r, [a], m * r + a) for a in range(m)]
+    return out
 
 
 def nearest_codes(entries: DataFrame, asked: DataFrame, k: int) -> DataFrame | None:
@@ -91,16 +104,16 @@ def nearest_codes(entries: DataFrame, asked: DataFrame, k: int) -> DataFrame | N
         return None
     m = next(m for most, m in SEGMENTS if most is None or n <= most)
     index = cut(entries.select("code", "first_id", "n_ids", segments("code", m).alias("s")).select("code", "first_id", "n_ids", "s.seg", "s.bits"))
-    width, probes, best = BITS // m, 0, None
+    values, most = None, n
     order = Window.partitionBy("q").orderBy("d", "first_id")
-    for radius in range(width + 1):
-        probes += m * comb(width, radius)
-        covered = BITS if probes >= n else m * (radius + 1) - 1
-        new = _compare(active, entries, n) if covered == BITS else _probe(active, index, m, radius)
+    best = None
+    for radius, segs, covered in steps(m):
+        if values is None and radius > 2:  # by then it pays to know how many values there are
+            values = cut(index.select("seg", "bits").distinct().withColumn("part", F.pmod(F.xxhash64("bits"), F.lit(PARTS)).cast("int")))
+            most = values.groupBy("seg").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        new = _probe(active, index, values, most if values is not None else 1 << BITS, m, radius, segs)
         found = (new if best is None else best.unionByName(new)).dropDuplicates(["q", "code"])
         best = cut(found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n"))
-        if covered == BITS:
-            break
         # the bound is the distance within which the best so far hold enough ids
         upto = Window.partitionBy("q").orderBy("d", "first_id").rowsBetween(Window.unboundedPreceding, 0)
         reached = best.withColumn("_ids", F.sum("n_ids").over(upto)).where(F.col("_ids") >= wanted).groupBy("q").agg(F.min("d").alias("kth"))

@@ -455,9 +455,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the least by doc_id (null last), set and text. Rows without tokens all stay, as do all columns."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id", "text_id")
-    heads = _labelled(docs).where("set_id IS NOT NULL").groupBy("comp").agg(F.min(order).alias("head")).select(F.col("head.doc_id").alias("_head"), F.col("head.text_id").alias("_text"))
-    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    full = docs.where(has_words)
-    kept = full.join(heads, full["doc_id"].cast("long").eqNullSafe(heads["_head"]) & (F.xxhash64(full["text"]) == heads["_text"]))
+    heads = _labelled(docs).where("set_id IS NOT NULL").groupBy("comp").agg(F.min(order).alias("head")).select(F.col("head.doc_id").alias("id"), F.col("head.text_id").alias("text_id"))
+    # the input's columns travel as one, so that none of their names can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    has_words = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
+    full = rows.where(has_words)
+    kept = full.join(heads, F.col("row.doc_id").cast("long").eqNullSafe(heads["id"]) & (F.xxhash64("row.text") == heads["text_id"]))
     # rows that repeat a doc_id and its text
-    return kept.dropDuplicates(["_head", "_text"]).select(*docs.columns).unionByName(docs.where(~has_words))
+    return kept.dropDuplicates(["id", "text_id"]).select("row").unionByName(rows.where(~has_words)).select("row.*")

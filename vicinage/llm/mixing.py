@@ -99,14 +99,16 @@ def mixed_rows(docs: DataFrame, size: Column | None = None, weights: tuple[int,
     Partitions are ranges of finish times, each sorted. Rows are found again by doc_id and text; rows that repeat both
     share their group's copies.
     """
-    rows = docs.withColumn("_key", F.xxhash64("text"))
-    found, taken = _copies(rows, size, weights, share, seed, ["_key"])
-    own = found.select("doc_id", "_key", F.array_compact(F.array(*taken)).alias("_p"))
-    plan = own.groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_text")).agg(F.sort_array(F.flatten(F.collect_list("_p"))).alias("_p"), F.count("*").alias("_m"))
-    met = rows.join(plan.where(F.size("_p") > 0), rows["doc_id"].eqNullSafe(plan["_doc"]) & (F.col("_key") == F.col("_text")))
+    # the input's columns travel as one, so that none of their names can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("key", F.xxhash64("row.text"))
+    slim = docs.select("doc_id", "source", "text", (n_words(F.col("text")) if size is None else size).alias("own_size"), F.xxhash64("text").alias("key"))
+    found, taken = _copies(slim, F.col("own_size"), weights, share, seed, ["key"])
+    own = found.select("doc_id", "key", F.array_compact(F.array(*taken)).alias("p"))
+    plan = own.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("text_key")).agg(F.sort_array(F.flatten(F.collect_list("p"))).alias("p"), F.count("*").alias("m"))
+    met = rows.join(plan.where(F.size("p") > 0), F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text_key")))
     # of rows that are alike, each takes every m-th copy
-    alike = Window.partitionBy("doc_id", "_key").orderBy("_m")
-    numbered = met.where("_m = 1").withColumn("_n", F.lit(0)).unionByName(met.where("_m > 1").withColumn("_n", F.row_number().over(alike) - 1))
-    each = numbered.select("*", F.posexplode("_p").alias("_i", "_at")).where(F.col("_i") % F.col("_m") == F.col("_n"))
-    place = [F.col(f"_at.{c}") for c in ("finish", "rank", "end")]
-    return each.repartitionByRange(*place).sortWithinPartitions(*place).select(*docs.columns)
+    alike = Window.partitionBy("id", "text_key").orderBy("m")
+    numbered = met.where("m = 1").withColumn("n", F.lit(0)).unionByName(met.where("m > 1").withColumn("n", F.row_number().over(alike) - 1))
+    each = numbered.select("*", F.posexplode("p").alias("i", "at")).where(F.col("i") % F.col("m") == F.col("n"))
+    place = [F.col(f"at.{c}") for c in ("finish", "rank", "end")]
+    return each.repartitionByRange(*place).sortWithinPartitions(*place).select("row.*")

@@ -4,17 +4,20 @@ A text is cut into sentences at full stops, question and exclamation marks and l
 are cut further, into pieces of about five words, before each word whose hash is the least among its
 NEAR neighbours on both sides. As only near words decide, and sentence ends fewer than EDGE words
 away, a passage is cut alike wherever it stands, but for its first and last few words. (A stretch of
-one or two words over and over has no least word and is one piece.) From every piece, the run of SPAN
-consecutive pieces is hashed and joined globally, or, if they have fewer than MIN_WORDS words together, the
-shortest longer run that has as many. The first place of a run (the smallest doc_id, then the text's
+one or two words over and over has no least word and is one piece.) Hashed and joined globally are the run of SPAN
+consecutive sentences from the start of each, however short they are, and from every piece the run of SPAN pieces
+or more that has MIN_WORDS words; of two runs from one place the shorter one serves, as runs from the next
+places go on. A dot counts as a sentence's end here only before a blank. The first place of a run (the smallest doc_id, then the text's
 hash, then the place in it) stays; the pieces that any later one covers are removed.
 
-Null text stays null; a text of fewer pieces than a span, or fewer words than MIN_WORDS, is left as it is. A very long text is
+So three short lines that many texts share go from all but one. Who wants such lines to stay asks for spans of `least` words or more.
+
+Null text stays null; a text shorter than a span is left as it is. A very long text is
 taken whole: a task holds one with some 60 bytes for each of its own. A document is known by its
 doc_id, which may be null, and a hash of its text: rows that share both are one document to this
 operator, and all stay as the first one does; rows that share only one are different documents. Columns of the input that are
 named like the two that are added are replaced. A text
-of which all is covered becomes empty. All columns of the input are kept. An empty table gives an
+of which all is covered becomes empty. All columns of the input are kept, whatever their names. An empty table gives an
 empty result.
 """
 
@@ -28,12 +31,13 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from vicinage.llm.common import cut, in_slices, make_room
 from vicinage.llm.jaccard import _mix, _power_tables
 
 SPAN = 3
-#: Words of a span at least: shorter runs go on until they have as many, so that common phrases and lone lines stay.
+#: Words of a run of pieces at least, if it is not one of whole sentences: a lone sentence of fewer words is no span though it may have three pieces.
 MIN_WORDS = 20
 #: A word starts a piece if its hash is the least of NEAR words on either side, so pieces have more than NEAR words.
 NEAR = 2
@@ -71,6 +75,8 @@ class Pieces:
         starts[1:] = after_end & ~space[1:] & ~(ends[1:] & (last[:-1] == np.arange(n - 1)))
         starts[self.base[:-1]] = True
         sentence = np.cumsum(starts)
+        fresh = starts.copy()
+        fresh[1:] &= blank[:-1]
         # words: stretches without blanks, parted where a sentence starts
         word_at = ~blank
         word_at[1:] &= blank[:-1] | starts[1:]
@@ -100,16 +106,27 @@ class Pieces:
         self.hash = _mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
         gaps = np.concatenate([np.zeros(1, np.int64), np.cumsum(data == 32)])
         self.words = gaps[b] - gaps[a] + 1
+        #: whether a sentence starts with the piece: behind a blank, so that dots inside numbers, names and addresses count for nothing
+        self.whole = np.zeros(len(self.full), dtype=bool)
+        begins = self.at[self.full]
+        self.whole[:] = fresh[begins]
         #: bounds of each text in `at` and in `full`
         self.bounds = np.searchsorted(self.at, self.base)
         self.full_bounds = np.searchsorted(self.full, self.bounds)
 
-    def runs(self, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start in `full`, end, text) of the run from every piece: `span` pieces, or as many more as make MIN_WORDS words."""
+    def runs(self, span: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start in `full`, end, text) of the run from every piece: `span` whole sentences of at least `least` words, or `span` pieces or more of MIN_WORDS words, whatever ends first."""
         total = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.words)])
-        start = np.arange(len(self.full))
+        n = len(self.full)
+        start = np.arange(n)
         end = np.maximum(start + span, np.searchsorted(total, total[:-1] + MIN_WORDS))
         text = np.repeat(np.arange(len(self.full_bounds) - 1), np.diff(self.full_bounds))
+        # a text's end ends a sentence, as does the start of the next one
+        opens = np.unique(np.concatenate([np.flatnonzero(self.whole), self.full_bounds]))
+        own = np.searchsorted(opens, start)
+        sentences = np.append(opens, np.full(span + 1, n + 1))[own + span]
+        said = total[np.minimum(sentences, n)] - total[:-1]
+        end = np.where(self.whole & (said >= least), np.minimum(end, sentences), end)
         ok = end <= self.full_bounds[1:][text]
         return start[ok], end[ok], text[ok]
 
@@ -121,10 +138,10 @@ def sentences(text: str) -> list[str]:
     return [raw[a:b].decode() for a, b in zip(at, [*at, len(raw)][1:], strict=True)]
 
 
-def span_hashes(texts: list[str | None], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def span_hashes(texts: list[str | None], span: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the runs of all texts: hash, text, and place of the first piece among those of its text that are not blank."""
     p = Pieces(texts)
-    start, end, text = p.runs(span)
+    start, end, text = p.runs(span, least)
     h = np.zeros(len(start), dtype=np.uint64)
     for k in range(int((end - start).max(initial=0))):
         more = slice(None) if k < span else np.flatnonzero(start + k < end)
@@ -144,10 +161,10 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[
                 first, size = k + 1, 0
 
 
-def _spans(span: int, repeated: Broadcast | None):
+def _spans(span: int, least: int, repeated: Broadcast | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _slices(batches):
-            h, row, pos = span_hashes(texts, span)
+            h, row, pos = span_hashes(texts, span, least)
             if repeated is not None:
                 at = h & ((1 << FILTER_BITS) - 1)
                 some = np.flatnonzero((repeated.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
@@ -162,16 +179,16 @@ def _text_id(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def spans(docs: DataFrame, span: int = SPAN, repeated: Broadcast | None = None) -> DataFrame:
-    """(h, doc_id, place): every run of `span` pieces, or those that the filter lets through; place is the text's hash and the run's number."""
+def spans(docs: DataFrame, span: int = SPAN, least: int = 1, repeated: Broadcast | None = None) -> DataFrame:
+    """(h, doc_id, place): every run, or those that the filter lets through; place is the text's hash and the run's number."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_id(F.col("text")).alias("text_id"), "text")
-    return rows.mapInArrow(_spans(span, repeated), "h long, doc_id long, place long")
+    return rows.mapInArrow(_spans(span, least, repeated), "h long, doc_id long, place long")
 
 
-def remove(texts: list[str | None], places: list[list[int] | None], span: int = SPAN) -> list[tuple[str | None, int, int]]:
+def remove(texts: list[str | None], places: list[list[int] | None], span: int = SPAN, least: int = 1) -> list[tuple[str | None, int, int]]:
     """Each text without the runs that start at the given places, its pieces, and those removed."""
     p = Pieces(texts)
-    start, end, _ = p.runs(span)
+    start, end, _ = p.runs(span, least)
     until = np.zeros(len(p.full), dtype=np.int64)
     until[start] = end
     out = []
@@ -198,12 +215,11 @@ def remove(texts: list[str | None], places: list[list[int] | None], span: int =
     return out
 
 
-def _rebuild(span: int, columns: list[str]):
+def _rebuild(span: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _slices(batches):
-            done = remove(texts, b.column("_starts").to_pylist(), span)
-            new = {"text": pa.array([t for t, _, _ in done], pa.string()), "n_sentences": pa.array([n for _, n, _ in done], pa.int64()), "n_removed": pa.array([n for _, _, n in done], pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in columns], names=columns)
+            done = remove(texts, b.column("starts").to_pylist(), span, least)
+            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array([t for t, _, _ in done], pa.string()), pa.array([n for _, n, _ in done], pa.int64()), pa.array([n for _, _, n in done], pa.int64())], names=["rest", "text", "n_sentences", "n_removed"])
 
     return run
 
@@ -217,25 +233,26 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def repeated_places(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def repeated_places(docs: DataFrame, span: int = SPAN, least: int = 1) -> DataFrame:
     """(doc_id, place) of every repeated run but its first. Counts are summed before the shuffle, so a hot run is one row a task there."""
     at = F.struct("doc_id", "place")
-    firsts = spans(docs, span).groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("NOT (first <=> last)").select("h", "first")
+    firsts = spans(docs, span, least).groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("NOT (first <=> last)").select("h", "first")
     # a filter of fixed size saves most of the second shuffle, until repeated runs are as many as its bits
     firsts = cut(firsts)
     repeated = docs.sparkSession.sparkContext.broadcast(id_filter(firsts, "h"))
     # many spans of one hash split over tasks (adaptive skew join), as the other side has one row a hash
-    return spans(docs, span, repeated).join(firsts, "h").where(~at.eqNullSafe(F.col("first"))).select("doc_id", "place")
+    return spans(docs, span, least, repeated).join(firsts, "h").where(~at.eqNullSafe(F.col("first"))).select("doc_id", "place")
 
 
-def dedup_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """docs with repeated pieces removed from text, and n_sentences and n_removed."""
+def dedup_spans(docs: DataFrame, span: int = SPAN, least: int = 1) -> DataFrame:
+    """docs with repeated pieces removed from text, and n_sentences and n_removed. least: words of `span` whole sentences that count as a span."""
     number, high = F.col("place").bitwiseAND(F.lit((1 << RUN_BITS) - 1)), lambda c: F.shiftright(c, RUN_BITS)
-    starts = repeated_places(docs, span).groupBy(F.col("doc_id").alias("_doc"), high(F.col("place")).alias("_text")).agg(F.collect_set(number).alias("_starts"))
-    kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "_starts", "_doc", "_text")]
-    same = docs["doc_id"].cast("long").eqNullSafe(starts["_doc"]) & (high(_text_id(docs["text"])) == starts["_text"])
-    joined = docs.select(*kept).join(starts, same, "left").drop("_doc", "_text")
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    out = [*kept, "n_sentences", "n_removed"]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", n_sentences long, n_removed long"
-    return joined.mapInArrow(_rebuild(span, out), schema)
+    found = repeated_places(docs, span, least).groupBy("doc_id", high(F.col("place")).alias("high")).agg(F.collect_set(number).alias("starts"))
+    # the input's other columns travel as one, so that none of their names can clash
+    rest = [c for c in docs.columns if c not in ("text", "n_sentences", "n_removed")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), "text")
+    same = rows["rest"]["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (high(_text_id(rows["text"])) == found["high"])
+    schema = StructType([rows.schema["rest"], StructField("text", StringType()), StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
+    done = rows.join(found, same, "left").select("rest", "text", "starts").mapInArrow(_rebuild(span, least), schema)
+    kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
+    return done.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in kept), "n_sentences", "n_removed")
