@@ -1,4 +1,5 @@
 import math
+from unittest import mock
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -49,9 +50,10 @@ POINTS = st.lists(st.tuples(st.integers(-30, 30), st.integers(-30, 30)), min_siz
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(POINTS, POINTS, st.sampled_from([1.0, 5.0, 7.5]), st.sampled_from([1, 3]))
-def test_grid_join_is_the_plain_join(spark, a, b, radius, salts):
+@given(POINTS, POINTS, st.sampled_from([1.0, 5.0, 7.5]), st.sampled_from([1, 3, 2000]))
+def test_grid_join_is_the_plain_join(spark, a, b, radius, block):
     listings = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)], "id long, x_m double, y_m double")
     places = spark.createDataFrame([(i, float(x), float(y), "c") for i, (x, y) in enumerate(b)], "poi_id long, x_m double, y_m double, bucket string")
-    got = sorted((r["id"], r["poi_id"]) for r in enrich.places_within(listings, places, radius, salts=salts).collect())
+    with mock.patch.object(enrich, "BLOCK", block):
+        got = sorted((r["id"], r["poi_id"]) for r in enrich.places_within(listings, places, radius).collect())
     assert got == sorted((i, j) for i, p in enumerate(a) for j, q in enumerate(b) if math.dist(p, q) <= radius)

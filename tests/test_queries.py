@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from vicinage import store
 from vicinage.plans.oracles import ORACLES
 from vicinage.plans.queries import QUERIES
 
@@ -45,6 +46,23 @@ def test_distance_join_is_an_equi_join(spark):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and text.count("Exchange hashpartitioning(id#") == 1 and "REPARTITION_BY_COL" in text
 
 
+def test_records_share_one_exchange_by_listing(spark):
+    """Sums of density, lists of buckets and the join with landmarks follow one exchange by id; the landmarks' side has its own."""
+    text = plan(QUERIES["density_record_text"](spark, DATA))
+    density = [line for line in text.splitlines() if "Exchange hashpartitioning(id#" in line and "REPARTITION_BY_COL" in line]
+    others = [line for line in text.splitlines() if "Exchange hashpartitioning(id#" in line and "REPARTITION_BY_COL" not in line and "x_m" not in line]
+    assert len(density) == 1 and len(others) <= 3
+
+
+def test_folders_of_queries_can_be_cleaned(spark):
+    store.clean(spark)
+    rows = QUERIES["vanilla_table"](spark, DATA)
+    n = rows.count()
+    assert n and store.clean(spark) == 1
+    with pytest.raises(Exception, match="(?s)FILE_NOT_EXIST|FileNotFound|does not exist"):
+        rows.count()
+
+
 def test_corpus_windows_see_the_histogram_only(spark):
     """One task gets partial counts of the corpus, and nothing else."""
     lines = plan(QUERIES["corpus_histogram"](spark, DATA)).splitlines()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,7 +16,7 @@ from vicinage.plans import fixtures as fx
 from vicinage.plans import jobs
 from vicinage.sources import readers, writers
 from vicinage.sources.summaries import Summaries
-from vicinage.store import once, shared_dir
+from vicinage.store import fresh, once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,11 +39,6 @@ def _records(spark: SparkSession, sf_dir: str, dense: DataFrame | None = None) -
     return enrich.records(_dense(spark, sf_dir) if dense is None else dense, _marks(spark, sf_dir))
 
 
-def _fresh(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Density, and the corpus' histogram, both computed once."""
     dense = once(_dense(spark, sf_dir))
@@ -213,7 +207,7 @@ def batch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests as JSON lines in a folder a batch, and what a service reads there."""
-    path = _fresh(spark, "requests")
+    path = fresh(spark, "requests")
     sent = exchange.requests(render.prompts(_records(spark, sf_dir), "landmarks"), "Describe the block.", P.Params(batch_size=100))
     writers.request_lines(sent, path)
     line = F.from_json("value", "custom_id STRING, body STRUCT<messages:ARRAY<STRUCT<role:STRING,content:STRING>>>")
@@ -240,7 +234,7 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def summary_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored table of summaries that two batches of answers are added to, many answers to a listing; the first batch comes twice."""
-    held = Summaries(spark, _fresh(spark, "summaries"), buckets=16)
+    held = Summaries(spark, fresh(spark, "summaries"), buckets=16)
     held.upsert(fx.cache(spark, sf_dir), 0)
     answers = fx.answers(spark, sf_dir)
     for batch in (1, 1, 2):
@@ -305,7 +299,7 @@ def prompt_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def variant_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Datasets on disk, one a prompt, over one sample."""
-    path, rows = _fresh(spark, "variants"), fx.listings(spark, sf_dir)
+    path, rows = fresh(spark, "variants"), fx.listings(spark, sf_dir)
     prompts = fx.table(spark, sf_dir, "region").select(F.concat(F.lit("p"), F.col("r_regionkey").cast("string")).alias("prompt_id"), F.col("r_name").alias("system"))
     jobs.variants_job(rows, prompts, rows.count() // 10, 7, path, ["id", "room_type"])
     return spark.read.parquet(path)
@@ -391,7 +385,7 @@ def batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scrape_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw listings written as CSV with line ends and quotes in a field, and read as a scrape."""
-    path = _fresh(spark, "scrape")
+    path = fresh(spark, "scrape")
     text = F.concat("bathrooms_text", F.lit('\n"as told"'))
     writers.table(fx.raw_listings(spark, sf_dir).withColumn("bathrooms_text", text), path, "csv")
     return readers.scrape_csv(spark, path)
@@ -400,7 +394,7 @@ def scrape_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def clean_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workload 1 from scrape files to the table."""
-    path = _fresh(spark, "clean")
+    path = fresh(spark, "clean")
     writers.table(fx.raw_listings(spark, sf_dir).drop("id"), f"{path}/scrape", "csv")
     jobs.clean_job(spark, f"{path}/scrape", f"{path}/table", p=P.Params(max_listings=None))
     return spark.read.parquet(f"{path}/table").drop("listing_key")
@@ -423,7 +417,7 @@ def leaks_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def taxonomy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A taxonomy of parts, written with a header, a byte order mark and a short line."""
-    path = _fresh(spark, "taxonomy")
+    path = fresh(spark, "taxonomy")
     leaf = F.concat(F.lit("part_"), F.col("p_partkey").cast("string"))
     lines = fx.table(spark, sf_dir, "part").select(F.concat(leaf, F.lit(" ; ["), F.lower(F.replace("p_type", F.lit(" "), F.lit("_"))), F.lit(", "), F.lower("p_brand"), F.lit(","), leaf, F.lit("]")).alias("value"))
     head = fx.table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.explode(F.array(F.lit("\ufeffCategory code; Taxonomy"), F.lit("short"))).alias("value"))
@@ -434,7 +428,7 @@ def taxonomy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def landmark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landmarks in one JSON object, read back and joined with all listings. Such a file is a curated list, so one task reads it."""
-    path = _fresh(spark, "landmarks")
+    path = fresh(spark, "landmarks")
     one = F.concat(F.regexp_replace(F.to_json(F.array("name")), r"^\[|\]$", ""), F.lit(': {"type": "Polygon", "wkt": "'), F.col("wkt"), F.lit('"}'))
     lines = fx.landmarks(spark, sf_dir).select("ord", one.alias("_e")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "_e"))), lambda x: x["_e"]).alias("_l"))
     lines.select(F.concat(F.lit('{"landmarks": {'), F.array_join("_l", ", "), F.lit("}}")).alias("value")).write.text(path)
@@ -444,7 +438,7 @@ def landmark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _places_files(spark: SparkSession, sf_dir: str) -> str:
     """Places around New York in a nested dataset, as points in degrees."""
-    path = _fresh(spark, "places")
+    path = fresh(spark, "places")
     places = spark.sql(fx.PLACES_DEGREES_SQL, orders=fx.table(spark, sf_dir, "orders"), taxonomy=fx.taxonomy(spark))
     at = F.struct(F.col("lon").alias("xmin"), F.col("lon").alias("xmax"), F.col("lat").alias("ymin"), F.col("lat").alias("ymax"))
     point = F.concat(F.lit("POINT ("), F.col("lon").cast("string"), F.lit(" "), F.col("lat").cast("string"), F.lit(")"))
@@ -475,7 +469,7 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stored_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of records that were stored as JSON and read again; ties in distance keep the stored order."""
-    path = _fresh(spark, "variants")
+    path = fresh(spark, "variants")
     writers.write_variants(_enriched(spark, sf_dir), "id", f"{path}/vanilla", f"{path}/enriched")
     records = readers.stored_records(spark.read.parquet(f"{path}/enriched"))
     return render.prompts(records, "combined", once(corpus.histogram(jobs.flat_density(records))))
@@ -483,14 +477,14 @@ def stored_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vanilla_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _fresh(spark, "variants")
+    path = fresh(spark, "variants")
     writers.write_variants(_enriched(spark, sf_dir), "id", f"{path}/vanilla", f"{path}/enriched")
     return spark.read.parquet(f"{path}/vanilla")
 
 
 @query
 def enriched_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _fresh(spark, "variants")
+    path = fresh(spark, "variants")
     writers.write_variants(_enriched(spark, sf_dir), "id", f"{path}/vanilla", f"{path}/enriched")
     return spark.read.parquet(f"{path}/enriched")
 
