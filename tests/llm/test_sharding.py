@@ -1,7 +1,10 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from vicinage.llm.sharding import shard_documents
 
 
@@ -62,3 +65,34 @@ def test_many_groups_are_cut_seldom(frame):
 def test_repeated_ids_get_the_same_slots_at_every_run(frame):
     docs = frame(*((i % 40, f"text {i % 97:03d}", "s") for i in range(600)))
     assert sorted(map(tuple, shard_documents(docs).collect()), key=str) == sorted(map(tuple, shard_documents(docs.repartition(7)).collect()), key=str)
+
+
+def fewest_cuts(sizes, room, n_shards):
+    """By trying all of it: the least number of groups to split so that the others fit whole into shards of that room."""
+    for k in range(len(sizes) + 1):
+        for split in itertools.combinations(range(len(sizes)), k):
+            rest = [s for i, s in enumerate(sizes) if i not in split]
+            for places in itertools.product(range(n_shards), repeat=len(rest)):
+                load = [0] * n_shards
+                for s, p in zip(rest, places, strict=True):
+                    load[p] += s
+                if max(load) <= room:
+                    return k
+    raise AssertionError
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cuts_against_all_placements(frame, seed):
+    """Few groups and three shards: beside the groups that the best placement cuts, one more a shard but the last is cut at most, and shards are even."""
+    rng = random.Random(seed)
+    counts = [rng.choice([2, 5, 9, 14]) for _ in range(6)] + ([60] if seed % 2 else [])
+    texts = [f"group {g} " + "x" * 40 for g, n in enumerate(counts) for _ in range(n)] + [f"alone {k:03d}" + "y" * rng.randrange(40) for k in range(60)]
+    got = shard_documents(frame(*((i, t, "s") for i, t in enumerate(texts))), n_shards=3).collect()
+    load, where = Counter(), defaultdict(set)
+    for r in got:
+        load[r["shard"]] += r["size"]
+        where[texts[r["doc_id"]]].add(r["shard"])
+    mean = sum(load.values()) / 3
+    assert all(abs(b - mean) <= max(r["size"] for r in got) for b in load.values())
+    best = fewest_cuts([n * len(f"group {g} " + "x" * 41) for g, n in enumerate(counts)], mean, 3)
+    assert sum(len(s) > 1 for s in where.values()) <= best + 2
