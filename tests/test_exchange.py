@@ -91,6 +91,16 @@ def test_describe_and_collect(spark):
     assert left.first().asDict() == {"described": 2, "missing": 4}
 
 
+def test_collect_into_a_stored_table(spark, tmp_path):
+    rec = spark.createDataFrame([(i, [("cafe", 0, i, 10 * i)], [], 1.0) for i in range(1, 7)], RECORDS)
+    held = Summaries(spark, f"{tmp_path}/s", buckets=4)
+    lines = lambda *t: spark.createDataFrame([(k, x) for k, x in enumerate(t)], "seq long, value string")
+    jobs.collect_job(rec, held, lines(answer(4, "z"), answer(6, "old"), answer(99, "no listing")), batch=1)
+    new, table, left = jobs.collect_job(rec, held, lines(answer(4, "first"), answer(4, "a")), batch=2)
+    assert {r["id"]: r["summary"] for r in new.collect()} == {4: "a", 6: "old"}
+    assert table.where("summary IS NOT NULL").count() == 2 and left.first().asDict() == {"described": 2, "missing": 4}
+
+
 def test_retry(spark):
     rec = spark.createDataFrame([(i, [("cafe", 0, i, 10 * i)], [("Old Mill", 5)] if i % 2 else [], 1.0) for i in range(1, 5)], RECORDS)
     drafts = spark.createDataFrame([(1, "by the Old Mill"), (2, "by the Old Mill"), (3, "quiet")], CACHE)

@@ -9,6 +9,7 @@ from vicinage import params as P
 from vicinage.functions import geo
 from vicinage.operators import clean, corpus, enrich, exchange, render, sample
 from vicinage.sources import readers, writers
+from vicinage.sources.summaries import Summaries
 from vicinage.store import once
 
 
@@ -85,13 +86,20 @@ def system_text(view: str) -> str:
     return f"{ASKS[view]} {_RULES}"
 
 
-def collect_job(records: DataFrame, cache: DataFrame, batches: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """EXP2, the way back: (new cache, described table, counts of listings with a summary and of those still missing one)."""
+def collect_job(records: DataFrame, cache: DataFrame | Summaries, batches: DataFrame, key: str = "id", batch: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """EXP2, the way back: (new cache, described table, counts of listings with a summary and of those still missing one).
+
+    A stored cache gets the answers as a batch of that number, and only the buckets that they touch are rewritten.
+    """
     new = exchange.merge_results(records.select(key), readers.result_rows(batches), key)
-    cache = once(exchange.upsert(cache, new, key))
-    described = exchange.attach_cached(records, cache, key)
+    if isinstance(cache, Summaries):
+        cache.upsert(new, batch)
+        held = cache.read()
+    else:
+        held = once(exchange.upsert(cache, new, key))
+    described = exchange.attach_cached(records, held, key)
     counts = described.agg(F.count("summary").alias("described"), F.count_if(F.col("summary").isNull()).alias("missing"))
-    return cache, writers.published(described, key), counts
+    return held, writers.published(described, key), counts
 
 
 def retry_job(records: DataFrame, drafts: DataFrame, view: str, hist: DataFrame | None = None, key: str = "id", p: P.Params = P.DEFAULT) -> tuple[DataFrame, DataFrame]:
