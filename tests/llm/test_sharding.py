@@ -86,7 +86,7 @@ def test_cuts_against_all_placements(frame, seed):
     """Few groups and three shards: beside the groups that the best placement cuts, one more a shard but the last is cut at most, and shards are even."""
     rng = random.Random(seed)
     counts = [rng.choice([2, 5, 9, 14]) for _ in range(6)] + ([60] if seed % 2 else [])
-    texts = [f"group {g} " + "x" * 40 for g, n in enumerate(counts) for _ in range(n)] + [f"alone {k:03d}" + "y" * rng.randrange(40) for k in range(60)]
+    texts = [f"group {g} " + "x" * 40 for g, n in enumerate(counts) for _ in range(n)] + [f"alone {k:03d}" + "y" * rng.randrange(40) for k in range(150)]
     got = shard_documents(frame(*((i, t, "s") for i, t in enumerate(texts))), n_shards=3).collect()
     load, where = Counter(), defaultdict(set)
     for r in got:
