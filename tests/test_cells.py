@@ -29,7 +29,7 @@ def summed(df):
 
 @pytest.mark.parametrize(("radius", "doorstep", "span", "grid"), [(450.0, 150.0, 1500, 1), (450.0, 150.0, 1200, 75), (100.0, 100.0, 250, 12.5), (33.3, 0.0, 90, 0.1)])
 def test_counts_and_nearest_are_those_of_all_pairs(spark, monkeypatch, radius, doorstep, span, grid):
-    monkeypatch.setattr(cells, "CROWD", 7)
+    monkeypatch.setattr(cells, "BLOCK", 7)
     draw = random.Random(radius)
     at = lambda: grid * draw.randrange(-int(span / grid), int(span / grid))
     rows = [(i, float(at()), float(at())) for i in range(60)]
@@ -41,20 +41,18 @@ def test_counts_and_nearest_are_those_of_all_pairs(spark, monkeypatch, radius, d
 
 
 def test_a_crowd_in_few_cells_is_dealt_out(spark, monkeypatch):
-    """Most listings and places share a few cells: few pairs are measured, and no task gets the crowd."""
-    monkeypatch.setattr(cells, "CROWD", 50)
+    """Most listings and places share a few cells: no block of pairs gets the crowd."""
+    monkeypatch.setattr(cells, "BLOCK", 50)
     draw = random.Random(2)
-    at = lambda k: (draw.uniform(1000, 2200), draw.uniform(1000, 2200)) if k % 4 else (draw.uniform(0, 9000), draw.uniform(0, 9000))
+    at = lambda k: (draw.uniform(1000, 1300), draw.uniform(1000, 1300)) if k % 4 else (draw.uniform(0, 9000), draw.uniform(0, 9000))
     rows = [(i, *at(i)) for i in range(400)]
-    places = [(k, "a", *at(k)) for k in range(8000)]
+    places = [(k, draw.choice("ab"), *at(k)) for k in range(1600)]
     left, right = spark.createDataFrame(rows, LISTINGS), spark.createDataFrame(places, PLACES)
-    want = counted(rows, places, P.DEFAULT)
-    assert summed(enrich.density_around(left, right)) == want
-    everything = sum(m for _, m, _ in want.values())
-    assert cells.opened_pairs(left, right).count() < everything / 3  # of what lies within the radius, a third of what the coarse cells bring together
-    own, _ = cells._dealt(left, cells._places(right, 37.5), P.DEFAULT, "id", 12)
-    sizes = [r["count"] for r in own.groupBy("cx", "cy", "deal").count().collect()]
-    assert max(sizes) < 140 and sum(sizes) == 400
+    assert summed(enrich.density_around(left, right)) == counted(rows, places, P.DEFAULT)
+    cell = lambda df: df.withColumns({"cx": F.floor(F.col("x_m") / 450), "cy": F.floor(F.col("y_m") / 450)})
+    near, found = cells.dealt(cells.around(left, 450.0, "id"), cell(right), ["cx", "cy"], ["id"], ["poi_id"])
+    met = [r["count"] for r in near.join(found, ["cx", "cy", "_lb", "_pb"]).groupBy("cx", "cy", "_lb", "_pb").count().collect()]
+    assert max(met) < 3 * 50 * 50 and sum(met) > 50 * max(met)
 
 
 def test_equal_places_and_an_address_that_holds_a_third_of_them(spark):

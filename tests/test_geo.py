@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vicinage.functions import geo
-from vicinage.operators import enrich
+from vicinage.operators import cells, enrich
 
 #: Longitude, latitude, zone, easting, northing of points on the central meridian and off it.
 UTM = [(-75.0, 0.0, 18, 500000.0, 0.0), (-79.387139, 43.642567, 17, 630084.0, 4833438.0), (9.0, 45.0, 32, 500000.0, 4982950.4)]
@@ -54,6 +54,6 @@ POINTS = st.lists(st.tuples(st.integers(-30, 30), st.integers(-30, 30)), min_siz
 def test_grid_join_is_the_plain_join(spark, a, b, radius, block):
     listings = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)], "id long, x_m double, y_m double")
     places = spark.createDataFrame([(i, float(x), float(y), "c") for i, (x, y) in enumerate(b)], "poi_id long, x_m double, y_m double, bucket string")
-    with mock.patch.object(enrich, "BLOCK", block):
+    with mock.patch.object(cells, "BLOCK", block):
         got = sorted((r["id"], r["poi_id"]) for r in enrich.places_within(listings, places, radius).collect())
     assert got == sorted((i, j) for i, p in enumerate(a) for j, q in enumerate(b) if math.dist(p, q) <= radius)

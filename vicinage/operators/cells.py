@@ -1,10 +1,7 @@
-"""Counts around listings by grid cells of two sizes, and distances to shapes by the segments in near cells.
+"""Counts around listings by grid cells, and distances to shapes by the segments in near cells.
 
-Coarse cells of the radius' size bring listings and places together, fine ones (grain of them to the radius) hold the counts. A fine
-cell that lies wholly inside a listing's circle adds its count, one with a single point is measured at once, and of the others only
-those that the circle cuts, or that may hold the nearest place, are opened. Equal points are one row with a count. So the work for a listing
-is bound by the fine cells in its radius, however many places they hold. A coarse cell with many listings is dealt to several
-tasks, by a count that is taken first.
+Pairs are tested inside generated code and summed up in the task that has joined them, so what is shuffled are listings (nine times),
+distinct points and sums. Crowded cells are dealt to blocks by counts that are taken first.
 """
 
 from __future__ import annotations
@@ -15,95 +12,35 @@ from pyspark.sql import functions as F
 from vicinage import params as P
 from vicinage.functions import geo
 
-GRAIN = 12
-#: Listings of a coarse cell that one task gets at most, on average.
-CROWD = 500
-#: Metres by which a cell must clear the circle to count unopened: more than a coordinate's rounding, and opened cells are exact.
-CLEAR = 1e-6
+#: Rows of either side of a cell that one block of pairs takes on average at most.
+BLOCK = 2_000
 
 
-def _to_cell(size: float) -> tuple[Column, Column]:
-    """Least and greatest distance of the point (x_m, y_m) to the points of the cell (gx, gy)."""
-    sides = [(F.col(v), F.col(g) * F.lit(size)) for v, g in (("x_m", "gx"), ("y_m", "gy"))]
-    near, far = ([F.greatest(a - v, v - a - size, F.lit(0.0)) for v, a in sides], [F.greatest(v - a, a + size - v) for v, a in sides])
-    length = lambda s: F.sqrt(s[0] * s[0] + s[1] * s[1])
-    return length(near), length(far)
+def dealt(left: DataFrame, right: DataFrame, on: list[str], left_key: list[str], right_key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _lb and _pb, such that rows of equal `on` meet in exactly one (_lb, _pb); where a side has many rows of one cell, it is parted by its key."""
+    blocks = lambda side, name: side.groupBy(*on).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    deals = blocks(left, "_ln").join(blocks(right, "_pn"), on)
+    own = lambda columns, n: F.pmod(F.xxhash64(*columns), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(deals, on).withColumn("_lb", own(left_key, "_ln")).withColumn("_pb", every("_pn")).drop("_ln", "_pn")
+    return left, right.join(deals, on).withColumn("_pb", own(right_key, "_pn")).withColumn("_lb", every("_ln")).drop("_ln", "_pn")
 
 
-def _places(places: DataFrame, size: float) -> DataFrame:
-    """(gx, gy, bucket, px, py, n): distinct points."""
-    at = places.select("bucket", F.col("x_m").alias("px"), F.col("y_m").alias("py"), geo.cell(F.col("x_m"), size).alias("gx"), geo.cell(F.col("y_m"), size).alias("gy"))
-    return at.groupBy("gx", "gy", "bucket", "px", "py").agg(F.count("*").alias("n"))
+def around(listings: DataFrame, radius: float, key: str) -> DataFrame:
+    """(key, _lx, _ly, cx, cy): each listing in the nine cells around it."""
+    cells = F.explode(geo.cells_around(F.col("x_m"), F.col("y_m"), radius))
+    return listings.select(key, F.col("x_m").alias("_lx"), F.col("y_m").alias("_ly"), cells.alias("_c")).select(key, "_lx", "_ly", "_c.*")
 
 
-def _dealt(listings: DataFrame, points: DataFrame, p: P.Params, key: str, grain: int) -> tuple[DataFrame, DataFrame]:
-    """Listings and cells (with their points k and, of the first one, px and py) by (cx, cy, deal), which all cells in a listing's radius share with it."""
-    own = listings.select(key, "x_m", "y_m", geo.cell(F.col("x_m"), p.radius).alias("cx"), geo.cell(F.col("y_m"), p.radius).alias("cy"))
-    deals = own.groupBy("cx", "cy").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("deals"))
-    own = own.join(deals, ["cx", "cy"]).withColumn("deal", F.pmod(F.xxhash64(key, "x_m", "y_m"), F.col("deals")).cast("int")).drop("deals")
-    counts = points.groupBy("gx", "gy", "bucket").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.min("px").alias("px"), F.min("py").alias("py"))
-    coarse = lambda c: F.floor(F.col(c) / grain)
-    steps = F.array(*(F.struct((coarse("gx") + i).alias("cx"), (coarse("gy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    counts = counts.withColumn("_c", F.explode(steps)).select("*", "_c.*").drop("_c").join(deals, ["cx", "cy"])
-    return own, counts.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
-
-
-_DEAL = ("cx", "cy", "deal")
-
-
-def _alone(own: DataFrame, counts: DataFrame, p: P.Params, key: str) -> DataFrame:
-    """(key, bucket, n_doorstep, n_radius, min_dist) from cells of one point."""
-    at = geo.distance(F.col("x_m"), F.col("y_m"), F.col("px"), F.col("py"))
-    pairs = own.join(counts.where("k = 1"), [*_DEAL]).select(*_DEAL, key, "bucket", "n", at.alias("dist")).where(F.col("dist") <= p.radius)
-    sums = pairs.groupBy(*_DEAL, key, "bucket").agg(F.sum(F.when(F.col("dist") <= p.doorstep, F.col("n")).otherwise(0)).alias("n_doorstep"), F.sum("n").alias("n_radius"), F.min("dist").alias("min_dist"))
-    return sums.drop(*_DEAL)
-
-
-def _around(own: DataFrame, counts: DataFrame, p: P.Params, key: str, grain: int) -> DataFrame:
-    """(key, x_m, y_m, bucket, gx, gy, must, cut_r, cut_d, own_d, own_r) from cells of several points: those that must be opened, and a row with the counts of the others.
-
-    That row stands in the listing's own cell, so that such rows are dealt like the rest. The list of a listing and
-    bucket holds at most the fine cells in the radius, (2 grain + 2) squared.
-    """
-    size = p.radius / grain
-    near, far = _to_cell(size)
-    pairs = own.join(counts.where("k > 1").drop("px", "py"), [*_DEAL]).withColumns({"near": near, "far": far}).where(F.col("near") <= p.radius + CLEAR)
-    inside = lambda r: F.col("far") <= r - CLEAR
-    cut = lambda r: ~inside(r) & (F.col("near") <= r + CLEAR)
-    total = lambda r: F.sum(F.when(inside(r), F.col("n")).otherwise(0))
-    cell = F.struct("gx", "gy", cut(p.radius).alias("cut_r"), cut(p.doorstep).alias("cut_d"), "near")
-    # joined and summed by the same coarse cell, so one exchange serves both
-    found = pairs.groupBy(*_DEAL, key, "x_m", "y_m", "bucket").agg(total(p.doorstep).alias("own_d"), total(p.radius).alias("own_r"), F.min("far").alias("reach"), F.collect_list(cell).alias("cells"))
-    row = lambda gx, gy, must, r, d: F.struct(gx.alias("gx"), gy.alias("gy"), must.alias("must"), r.alias("cut_r"), d.alias("cut_d"))
-    opened = F.filter("cells", lambda c: c["cut_r"] | c["cut_d"] | (c["near"] <= F.least(F.col("reach"), F.lit(p.radius)) + CLEAR))
-    opened = F.transform(opened, lambda c: row(c["gx"], c["gy"], F.lit(True), c["cut_r"], c["cut_d"]))
-    whole = F.array(row(geo.cell(F.col("x_m"), size), geo.cell(F.col("y_m"), size), *([F.lit(False)] * 3)))
-    each = found.select(key, "x_m", "y_m", "bucket", "own_d", "own_r", F.explode(F.concat(whole, opened)).alias("_o")).select("*", "_o.*").drop("_o")
-    return each.withColumns({c: F.when(~F.col("must"), F.col(c)) for c in ("own_d", "own_r")})
-
-
-def _opened(around: DataFrame, points: DataFrame) -> DataFrame:
-    """around with (n, dist) of the points of the cells that must be opened; the other rows have nulls there."""
-    at = points.select(*(F.col(c).alias(f"_{c}") for c in ("gx", "gy", "bucket")), "px", "py", "n")
-    same = (F.col("gx") == F.col("_gx")) & (F.col("gy") == F.col("_gy")) & (F.col("bucket") == F.col("_bucket")) & F.col("must")
-    return around.join(at, same, "left").withColumn("dist", geo.distance(F.col("x_m"), F.col("y_m"), F.col("px"), F.col("py")))
-
-
-def opened_pairs(listings: DataFrame, places: DataFrame, p: P.Params = P.DEFAULT, key: str = "id", grain: int = GRAIN) -> DataFrame:
-    """The pairs that sums_around() measures one by one inside cells of several points, for a look at how few they are."""
-    points = _places(places, p.radius / grain)
-    return _opened(_around(*_dealt(listings, points, p, key, grain), p, key, grain), points).where("must")
-
-
-def sums_around(listings: DataFrame, places: DataFrame, p: P.Params = P.DEFAULT, key: str = "id", grain: int = GRAIN) -> DataFrame:
-    """JON1 with AGG2 for places that are points: (key, bucket, n_doorstep, n_radius, min_dist), parts that sum up to a listing's counts."""
-    points = _places(places, p.radius / grain)
-    own, counts = _dealt(listings, points, p, key, grain)
-    both = _opened(_around(own, counts, p, key, grain), points)
-    within = lambda cut, far, own: F.sum(F.coalesce(F.col(own), F.when(F.col(cut) & (F.col("dist") <= far), F.col("n")), F.lit(0)))
-    # summed by the cells that the join has brought together, so without an exchange
-    parts = both.groupBy("gx", "gy", "bucket", key).agg(within("cut_d", p.doorstep, "own_d").alias("n_doorstep"), within("cut_r", p.radius, "own_r").alias("n_radius"), F.min("dist").alias("min_dist"))
-    return parts.drop("gx", "gy").unionByName(_alone(own, counts, p, key))
+def sums_around(listings: DataFrame, places: DataFrame, p: P.Params = P.DEFAULT, key: str = "id") -> DataFrame:
+    """JON1 with AGG2 for places that are points: (key, bucket, n_doorstep, n_radius, min_dist), parts that sum up to a listing's counts. Equal points of a bucket are measured once."""
+    points = places.groupBy("bucket", "x_m", "y_m").agg(F.count("*").alias("n")).withColumns({"cx": geo.cell(F.col("x_m"), p.radius), "cy": geo.cell(F.col("y_m"), p.radius)})
+    left, right = dealt(around(listings, p.radius, key), points, ["cx", "cy"], [key, "_lx", "_ly"], ["x_m", "y_m"])
+    on = ["cx", "cy", "_lb", "_pb"]
+    pairs = left.join(right, on).withColumn("dist", geo.distance(F.col("_lx"), F.col("_ly"), F.col("x_m"), F.col("y_m"))).where(F.col("dist") <= p.radius)
+    # summed by the blocks that the join has brought together, so without an exchange
+    sums = pairs.groupBy(*on, key, "bucket").agg(F.sum(F.when(F.col("dist") <= p.doorstep, F.col("n")).otherwise(0)).alias("n_doorstep"), F.sum("n").alias("n_radius"), F.min("dist").alias("min_dist"))
+    return sums.drop(*on)
 
 
 #: Where grid lines lie, as a share of a cell from 0: no round coordinate is on one.

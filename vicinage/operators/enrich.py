@@ -30,27 +30,18 @@ def gated(places: DataFrame, taxonomy: DataFrame, p: P.Params = P.DEFAULT, box:
     return with_bucket(kept, taxonomy)
 
 
-#: Listings, and places, of a cell that one block of pairs takes on average at most.
-BLOCK = 2_000
-
-
 def places_within(listings: DataFrame, places: DataFrame, radius: float, key: str = "id") -> DataFrame:
-    """JON1: pairs of a listing and a place at most `radius` apart, with the distance. Where counts are enough, density_around() needs far fewer of them.
+    """JON1: pairs of a listing and a place at most `radius` apart, with the distance. Where counts are enough, density_around() sums them up in place.
 
     Both sides meet by grid cell of the radius' size. Listings go to the nine cells around them, so
     each pair meets in one cell, the place's own, and is found once. A cell with many listings or places is dealt to blocks, each
     of which pairs some of its listings with some of its places, by counts that are taken first. Of the places'
     columns, one that is named like the listings' key is left out.
     """
-    near = listings.select(key, "x_m", "y_m", F.explode(geo.cells_around(F.col("x_m"), F.col("y_m"), radius)).alias("_c")).select(F.col(key), F.col("x_m").alias("_lx"), F.col("y_m").alias("_ly"), "_c.cx", "_c.cy")
+    near = cells.around(listings, radius, key)
     at = places.drop(key).withColumns({"cx": geo.cell(F.col("x_m"), radius), "cy": geo.cell(F.col("y_m"), radius)})
     on = ["cx", "cy"]
-    blocks = lambda side, name: side.groupBy(*on).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    deals = blocks(near, "_ln").join(blocks(at, "_pn"), on)
-    own = lambda columns, n: F.pmod(F.xxhash64(*columns), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    near = near.join(deals, on).withColumn("_lb", own([key, "_lx", "_ly"], "_ln")).withColumn("_pb", every("_pn")).drop("_ln", "_pn")
-    at = at.join(deals, on).withColumn("_pb", own(["poi_id"] if "poi_id" in at.columns else ["x_m", "y_m"], "_pn")).withColumn("_lb", every("_ln")).drop("_ln", "_pn")
+    near, at = cells.dealt(near, at, on, [key, "_lx", "_ly"], ["poi_id"] if "poi_id" in at.columns else ["x_m", "y_m"])
     pairs = near.join(at, [*on, "_lb", "_pb"]).withColumn("dist", geo.distance(F.col("_lx"), F.col("_ly"), F.col("x_m"), F.col("y_m")))
     return pairs.where(F.col("dist") <= radius).drop("cx", "cy", "_lb", "_pb", "_lx", "_ly", "x_m", "y_m")
 
