@@ -29,12 +29,16 @@ def brute(docs, misspelt):
                 w = w[: h % len(w)] + w[h % len(w) + 1 :]
             counts[w] += 1
     n = {w: k for w, k in counts.items() if len(w) >= 6 and k >= 5}
-    by_length = {}
+    # words that are near share a word with one place left open, or one with a place cut out
+    open_at = {}
     for w in n:
-        by_length.setdefault(len(w), []).append(w)
+        for i in range(len(w)):
+            open_at.setdefault((w[:i], w[i + 1 :]), set()).add(w)
+            open_at.setdefault(w[:i] + w[i + 1 :], set()).add(w)
     form, n_near = {}, {}
     for w in n:
-        around = [v for k in (-1, 0, 1) for v in by_length.get(len(w) + k, ()) if near(w, v)]
+        maybe = {v for i in range(len(w)) for k in ((w[:i], w[i + 1 :]),) for v in open_at[k]} | open_at.get(w, set()) | {v for i in range(len(w)) if (v := w[:i] + w[i + 1 :]) in n}
+        around = [v for v in maybe if near(w, v)]
         n_near[w] = len(around)
         best = min(around, key=lambda v: (-n[v], v), default=None)
         form[w] = best if best and n[best] >= 5 * n[w] else None
