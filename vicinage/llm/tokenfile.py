@@ -92,8 +92,8 @@ class Encoder:
         memo, old = self.memo, self.old
         chunks = [_CHUNK.findall(t) for t in texts]
         missing = set().union(*chunks).difference(memo)
-        memo.update((c, old[c]) for c in missing.intersection(old))
-        new = list(missing.difference(old))
+        memo.update([(c, old[c]) for c in missing if c in old])
+        new = [c for c in missing if c not in old]
         memo.update(zip(new, self._encode(new), strict=True))
         memo.update((c, None) for c in new if self.odd.search(c))
         out = []
@@ -134,8 +134,8 @@ def _encode_part(path: str, end_id: int):
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
-    """Encode every document and write the files: part k's doc_ids all lie before part k+1's."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    """Encode every document and write the files: part k's documents all lie before part k+1's, by doc_id and then by the text's hash, so that a null or repeated id is not one part's."""
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(_encode_part(tokenizer, end_id), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
