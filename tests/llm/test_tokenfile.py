@@ -85,3 +85,11 @@ def test_long_pieces_are_not_remembered(library):
     text = "one " + "x7" * 500 + " two"
     assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == library(text)
     assert max(map(len, coder.memo)) <= tokenfile.LONGEST
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x17F, categories=["L"]), min_size=1, max_size=12), st.sampled_from(["", " ", "  ", "\n"]))
+def test_lone_words_by_the_model(library, word, before):
+    coder = tokenfile.Encoder.of(PATH)
+    ((piece, ids),) = coder._encode_pieces([before + word])
+    assert piece == before + word and np.frombuffer(ids, "<u4").tolist() == library(piece)

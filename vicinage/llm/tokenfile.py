@@ -50,6 +50,15 @@ _CHUNK = re.compile(r"(?<![ \n\t\r])\n(?=[^ \n\t\r])|[ \n\t\r]*[A-Za-zÀ-ÖØ-ö
 #: Other white space can join a run; texts with a piece that holds any are encoded whole.
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
+#: A piece that is one unit of the usual pattern: letters, with at most one space before them.
+_LONE_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_alphabet() -> dict[int, int]:
+    """Byte-level BPE writes printable bytes as themselves, and the others, in order, as the characters from U+0100 on."""
+    others = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
+    return {b: 256 + k for k, b in enumerate(others)}
+
 
 class Encoder:
     """The tokenizer with a memory of pieces, kept for the life of a Python worker.
@@ -70,6 +79,8 @@ class Encoder:
         self.in_pieces = form["normalizer"] is None and form["model"].get("type", "BPE") == "BPE" and not form["model"].get("dropout") and all(before.get(k) == v for k, v in usual.items())
         added = [t["content"] for t in form["added_tokens"] if not (special and t["special"])]
         self.in_pieces &= all(re.fullmatch(r"[^\w\s]\S*", t) for t in added)  # so that one lies within a piece
+        self.in_pieces &= not form["truncation"] and not form["padding"]
+        self.model_tokens, self.alphabet = self.tokenizer.model.tokenize, _byte_alphabet()
         self.odd = re.compile("|".join([_OTHER_SPACE.pattern, *map(re.escape, added)]))
         #: ids of each piece, None for one that does not stand for itself
         self.memo: dict[str, bytes | None] = {}
@@ -83,6 +94,16 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each piece with its ids. A lone word is not cut further, so the library's model takes it without the steps before; other pieces go through all steps."""
+        others, tokens, alphabet = [], self.model_tokens, self.alphabet
+        for c in pieces:
+            if _LONE_WORD.fullmatch(c):
+                yield c, array("I", [t.id for t in tokens(c.encode().decode("latin-1").translate(alphabet))]).tobytes()
+            else:
+                others.append(c)
+        yield from zip(others, self._encode(others), strict=True)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         if not self.in_pieces:
@@ -94,7 +115,7 @@ class Encoder:
         missing = set().union(*chunks).difference(memo)
         memo.update([(c, old[c]) for c in missing if c in old])
         new = [c for c in missing if c not in old]
-        memo.update(zip(new, self._encode(new), strict=True))
+        memo.update(self._encode_pieces(new))
         memo.update((c, None) for c in new if self.odd.search(c))
         out = []
         for t, c in zip(texts, chunks, strict=True):
