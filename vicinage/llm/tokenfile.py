@@ -50,8 +50,8 @@ _CHUNK = re.compile(r"(?<![ \n\t\r])\n(?=[^ \n\t\r])|[ \n\t\r]*[A-Za-zÀ-ÖØ-ö
 #: Other white space can join a run; texts with a piece that holds any are encoded whole.
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
-#: A piece that is one unit of the usual pattern: letters, with at most one space before them.
-_LONE_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: With at most one space before them, letters are one unit of the usual pattern: a lone word.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -94,15 +94,21 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each piece with its ids. A lone word is not cut further, so the library's model takes it without the steps before; other pieces go through all steps."""
+    def _encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes | None]]:
+        """Each piece with its ids, or None if it does not stand for itself. A lone word is not cut further, so the library's model takes it without the steps before; other pieces go through all steps."""
         others, tokens, alphabet = [], self.model_tokens, self.alphabet
         for c in pieces:
-            if _LONE_WORD.fullmatch(c):
-                yield c, array("I", [t.id for t in tokens(c.encode().decode("latin-1").translate(alphabet))]).tobytes()
+            word = c.removeprefix(" ")
+            if word.isascii() and word.isalpha():
+                form = c.replace(" ", "Ġ")  # as the alphabet has it
+            elif _LETTERS.fullmatch(word):
+                form = c.encode().decode("latin-1").translate(alphabet)
             else:
                 others.append(c)
-        yield from zip(others, self._encode(others), strict=True)
+                continue
+            yield c, array("I", [t.id for t in tokens(form)]).tobytes()
+        for c, ids in zip(others, self._encode(others), strict=True):
+            yield c, None if self.odd.search(c) else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -116,7 +122,6 @@ class Encoder:
         memo.update([(c, old[c]) for c in missing if c in old])
         new = [c for c in missing if c not in old]
         memo.update(self._encode_pieces(new))
-        memo.update((c, None) for c in new if self.odd.search(c))
         out = []
         for t, c in zip(texts, chunks, strict=True):
             try:
