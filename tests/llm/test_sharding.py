@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from vicinage.llm import sharding
 from vicinage.llm.sharding import shard_documents
 
 
@@ -96,3 +97,13 @@ def test_cuts_against_all_placements(frame, seed):
     assert all(abs(b - mean) <= max(r["size"] for r in got) for b in load.values())
     best = fewest_cuts([n * len(f"group {g} " + "x" * 41) for g, n in enumerate(counts)], mean, 3)
     assert sum(len(s) > 1 for s in where.values()) <= best + 2
+
+
+def test_sent_and_shuffled_groups_give_the_same(frame, monkeypatch):
+    """HEAVY decides how a group's facts reach its rows: all by shuffle, large ones alone sent, all sent."""
+    docs = frame(*((i, "the very same text" if i % 3 == 0 else f"text number {i // 4:06d}", "s") for i in range(900)))
+    found = []
+    for heavy in (0, 10, sharding.HEAVY):
+        monkeypatch.setattr(sharding, "HEAVY", heavy)
+        found.append(sorted(tuple(r) for r in check(shard_documents(docs), docs)))
+    assert found[0] == found[1] == found[2]

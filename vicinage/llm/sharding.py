@@ -22,6 +22,8 @@ from vicinage.llm.common import buckets_for, cut, running_total
 
 #: Linked bytes a shard takes at most, as a share of the mean shard size.
 FILL = 0.98
+#: Fewer than so many groups are sent to every task, those of over a HEAVY-th of all rows.
+HEAVY = 10_000
 
 
 def _unit(*cols: Column) -> Column:
@@ -38,15 +40,26 @@ def _loads(df: DataFrame, n_shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(n_shards)]
 
 
-def propagate(linked: DataFrame, n_shards: int, mean: float, rounds: int) -> DataFrame:
-    """Rounds of label propagation over rows (_g, _r, size, shard, ...)."""
+def _attach(rows: DataFrame, facts: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """rows left-joined with facts, one row a key, whose column many (dropped) counts the key's rows among n.
+
+    Keys of over n / HEAVY rows are fewer than HEAVY, so these are sent to every task; no other key is large enough to hold up its task.
+    """
+    heavy = F.col("many") * HEAVY > n
+    sent = F.broadcast(facts.where(heavy))
+    others = rows.join(sent.select(*keys), keys, "left_anti").join(facts.where(~heavy), keys, "left")
+    return rows.join(sent, keys).unionByName(others).drop("many")
+
+
+def propagate(linked: DataFrame, n_shards: int, mean: float, rounds: int, n: int) -> DataFrame:
+    """Rounds of label propagation over rows (_g, _r, size, shard, ...), of n rows in all."""
     for k in range(rounds):
-        tally = cut(linked.groupBy("_g", "shard").agg(F.sum("size").alias("here")))
+        tally = cut(linked.groupBy("_g", "shard").agg(F.sum("size").alias("here"), F.count("*").alias("many")))
         free = [max(0.0, FILL * mean - b) for b in _loads(tally.withColumnRenamed("here", "size"), n_shards)]
         # a full shard draws nobody; among the others the one with most bytes, then the lowest
         is_open = _at(free, F.col("shard")) > 0
         best = tally.where(is_open).groupBy("_g").agg(F.max(F.struct("here", (-F.col("shard")).alias("s"))).alias("best"))
-        moves = tally.join(best, "_g").select("_g", "shard", "here", (-F.col("best.s")).alias("to"), F.col("best.here").alias("there"))
+        moves = tally.join(best, "_g").select("_g", "shard", "here", "many", (-F.col("best.s")).alias("to"), F.col("best.here").alias("there"))
         # out of a full shard nobody moves, as the group is at its best there
         moves = cut(moves.where((F.col("to") != F.col("shard")) & (_at(free, F.col("shard")) > 0)))
         demand = _loads(moves.select(F.col("to").alias("shard"), F.col("here").alias("size")), n_shards)
@@ -57,7 +70,7 @@ def propagate(linked: DataFrame, n_shards: int, mean: float, rounds: int) -> Dat
         whole = F.col("here") * 10 <= _at(free, F.col("to"))
         draw = F.when(whole, _unit(F.col("_g"), F.col("shard"), F.lit(k))).otherwise(_unit(F.col("_r"), F.lit(k)))
         linked = cut(
-            linked.join(moves.drop("there"), ["_g", "shard"], "left")
+            _attach(linked, moves.drop("there"), ["_g", "shard"], n)
             .withColumn("shard", F.when(F.col("to").isNotNull() & (draw < _at(share, F.col("to"))), F.col("to")).otherwise(F.col("shard")))
             .drop("here", "to")
         )
@@ -101,12 +114,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = 4, passes:
         .withColumn("shard", F.pmod(F.shiftright("_r", 20), F.lit(n_shards)).cast("int"))
     )
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
-    groups = rows.groupBy("_g").agg(F.count("*").alias("group_size")).where("group_size > 1")
-    rows = cut(rows.join(groups, "_g", "left").fillna(1, ["group_size"]))
+    groups = cut(rows.groupBy("_g").agg(F.count("*").alias("group_size")).where("group_size > 1").withColumn("many", F.col("group_size")))
+    rows = cut(_attach(rows, groups, ["_g"], total["n"]).fillna(1, ["group_size"]))
     single, linked = rows.where("group_size = 1"), rows.where("group_size > 1")
-    linked = propagate(linked, n_shards, (total["b"] or 0) / n_shards, rounds)
-    spread = linked.groupBy("_g").agg((F.min("shard") != F.max("shard")).alias("_split"))
-    linked = linked.join(spread, "_g")
+    linked = propagate(linked, n_shards, (total["b"] or 0) / n_shards, rounds, total["n"])
+    spread = cut(linked.groupBy("_g").agg((F.min("shard") != F.max("shard")).alias("_split"), F.count("*").alias("many")))
+    linked = _attach(linked, spread, ["_g"], total["n"])
     # moving an unlinked document costs nothing, one of a split group little, one of a whole group most
     rows = cut(single.withColumn("cost", F.lit(0)).unionByName(linked.withColumn("cost", F.when(F.col("_split"), 1).otherwise(2)).drop("_split")))
     rows = even_out(rows, n_shards, total["n"], passes)
