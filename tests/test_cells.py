@@ -114,3 +114,36 @@ def test_an_area_of_many_corners(spark):
     filed = cells.filed(enrich.segments(shape, "poi_id"), "poi_id", 100.0)
     assert filed.where("x1 IS NOT NULL").count() < 2 * n
     assert filed.where("x1 IS NOT NULL").groupBy("cx", "cy").count().agg(F.max("count")).first()[0] < n / 50
+
+
+def test_few_listings_meet_wide_blocks_of_places(spark, monkeypatch):
+    """Parts of a listing's facts follow the cells it meets, not the number of places there."""
+    monkeypatch.setattr(cells, "BLOCK", 50)
+    draw = random.Random(4)
+    rows, places = [(1, 100.0, 100.0), (2, -449.0, 3.0)], [(k, draw.choice("abc"), draw.uniform(-600, 600), draw.uniform(-600, 600)) for k in range(1500)]
+    left, right = spark.createDataFrame(rows, LISTINGS), spark.createDataFrame(places, PLACES)
+    parts = cells.folded_around(left, right, 450.0, ["bucket"], [F.min("poi_id").alias("least"), F.count("*").alias("n")]).collect()
+    assert len(parts) <= 2 * 4 * 3
+    got = {}
+    for r in parts:
+        least, n = got.get((r["id"], r["bucket"]), (math.inf, 0))
+        got[r["id"], r["bucket"]] = (min(least, r["least"]), n + r["n"])
+    want = {}
+    for i, x, y in rows:
+        for k, b, u, v in places:
+            if math.sqrt((x - u) * (x - u) + (y - v) * (y - v)) <= 450.0:
+                least, n = want.get((i, b), (math.inf, 0))
+                want[i, b] = (min(least, k), n + 1)
+    assert got == want
+
+
+def test_listings_at_one_address_are_measured_once(spark):
+    rows = [(i, float(i % 3), 0.0) for i in range(90)] + [(100, None, 0.0)]
+    left = spark.createDataFrame(rows, LISTINGS)
+    sites = enrich.sites(left)
+    assert sorted((r["x_m"], r["n_rows"]) for r in sites.collect()) == [(0.0, 30), (1.0, 30), (2.0, 30)]
+    right = spark.createDataFrame([(1, "a", 450.0, 0.0), (2, "a", 451.5, 0.0), (3, "b", 2.0, 0.0)], PLACES)
+    found = enrich.density_around(sites, right)
+    assert found.count() == 6
+    assert summed(enrich.spread(found, sites, left)) == counted([r for r in rows if r[1] is not None], [(1, "a", 450.0, 0.0), (2, "a", 451.5, 0.0), (3, "b", 2.0, 0.0)], P.DEFAULT)
+    assert enrich.spread(found, sites, left).columns == found.columns

@@ -144,3 +144,28 @@ def test_band_shares_sum_up(spark):
     assert (shares["n"], shares["s"]) == (16, 100.0)
     near = {r["band"]: r["n"] for r in histograms.proximity_bands(df).collect()}
     assert near == {"doorstep": 1, "steps": 2, "short walk": 13}
+
+
+def test_facts_without_pairs_are_those_of_pairs(spark):
+    """Names that recur at one point or around it, unnamed places, places without a kind; a hundred listings share two positions."""
+    rng = random.Random(8)
+    own = lambda k: (k, rng.choice([None, "", "Ann", "Bob", "Cy", "Dee"]), rng.choice([None, "", "cafe"]), None, rng.choice([None, "inn"]), None, float(rng.randrange(0, 900, 90)), float(rng.randrange(0, 900, 90)))
+    places = render.name_ids(spark.createDataFrame([own(k) for k in range(400)], "poi_id long, name string, amenity string, shop string, tourism string, leisure string, x_m double, y_m double"))
+    rows = spark.createDataFrame([(i, 450.0 * (i % 2), 90.0) for i in range(100)], "id long, x_m double, y_m double")
+    sites = enrich.sites(rows)
+    told = lambda facts: sorted((r["id"], sorted((str(k["kind"]), k["n"]) for k in r["kinds"]), r["names"]) for r in facts.collect())
+    want = told(render.place_facts(enrich.places_within(rows, places.select("poi_id", "name_id", "x_m", "y_m"), 450.0), places))
+    facts = render.facts_around(sites, places, 450.0)
+    assert facts.count() == 2 and len(want) == 100
+    assert told(enrich.spread(facts, sites, rows)) == want
+
+
+def test_a_weight_counts_as_so_many_listings(spark):
+    rows = [(i, b, 1 + i % 4, 10) for i in range(12) for b in ("bar", "cafe") if (i + len(b)) % 5]
+    many = dense(spark, *((i + 100 * k, b, n, m) for i, b, n, m in rows for k in range(1 + i % 3)))
+    few = dense(spark, *rows).withColumn("w", 1 + F.pmod("id", F.lit(3)))
+    all_of = lambda df: sorted(map(tuple, df.collect()))
+    assert all_of(corpus.histogram(few, weight="w")) == all_of(corpus.histogram(many))
+    assert corpus.size(few, weight="w") == corpus.size(many)
+    assert [r for r in all_of(corpus.counts(few, weight="w").where("bucket IS NOT NULL"))] == all_of(corpus.counts(many).where("bucket IS NOT NULL"))
+    assert all_of(histograms.proximity_bands(few, "w")) == all_of(histograms.proximity_bands(many))

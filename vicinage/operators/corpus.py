@@ -15,19 +15,36 @@ from vicinage.store import once
 REFERENCE = 200_000
 
 
-def histogram(dense: DataFrame, n_listings: int | None = None, key: str = "id") -> DataFrame:
+def histogram(dense: DataFrame, n_listings: int | None = None, key: str = "id", weight: str | None = None) -> DataFrame:
     """AGG5, AGG6, WIN1: (bucket, cnt, n, n_lt, pct, present_frac).
 
     n listings have the count cnt, n_lt have fewer; a listing without the bucket has 0. pct is the
     share strictly below. A row for 0 is there for every bucket, as absence is scored too. Unless told, the
-    corpus has as many listings as keys in dense; that one number joins the histogram inside the plan.
+    corpus has as many listings as keys in dense; that one number joins the histogram inside the plan. With a weight, a column of whole
+    numbers that is the same in all rows of a key, a key stands for so many listings.
     """
-    seen = dense.groupBy("bucket", F.col("n_radius").alias("cnt")).agg(F.count("*").alias("n"))
+    seen = dense.groupBy("bucket", F.col("n_radius").alias("cnt")).agg(_rows(weight).alias("n"))
     seen = seen.where("cnt > 0")
-    size = dense.select(key).distinct().agg(F.count("*").alias("_all")) if n_listings is None else dense.sparkSession.range(1).select(F.lit(n_listings).alias("_all"))
+    size = _size(dense, key, weight, "_all") if n_listings is None else dense.sparkSession.range(1).select(F.lit(n_listings).alias("_all"))
     return _placed(seen, size)
 
 
+def _rows(weight: str | None) -> Column:
+    return F.count("*") if weight is None else F.sum(weight)
+
+
+def _size(dense: DataFrame, key: str, weight: str | None, name: str) -> DataFrame:
+    """One row: how many listings dense has."""
+    if weight is None:
+        return dense.select(key).distinct().agg(F.count("*").alias(name))
+    return dense.select(key, weight).distinct().agg(F.coalesce(F.sum(weight), F.lit(0)).cast("long").alias(name))
+
+
+def size(dense: DataFrame, key: str = "id", weight: str | None = None) -> int:
+    """How many listings dense has."""
+    return _size(dense, key, weight, "n").first()["n"]
+
+
 def _placed(seen: DataFrame, size: DataFrame) -> DataFrame:
     """histogram() from (bucket, cnt, n) of counts above 0 and the one number _all of listings."""
     zero = seen.groupBy("bucket").agg(F.lit(0).alias("cnt"), F.sum("n").alias("_n")).crossJoin(size).select("bucket", "cnt", (F.col("_all") - F.col("_n")).cast("long").alias("n"))
@@ -95,19 +112,19 @@ def scored(records: DataFrame, hist: DataFrame, key: str = "id") -> DataFrame:
     return scored_lists(records.select(key, "cats"), hist, key).select(key, F.explode("scored").alias("_s")).select(key, "_s.*")
 
 
-def counts(dense: DataFrame, key: str = "id") -> DataFrame:
-    """AGG5 as a table that can be kept up to date: (bucket, cnt, n), and the number of listings as n where bucket is null."""
-    seen = dense.where("n_radius > 0").groupBy("bucket", F.col("n_radius").alias("cnt")).agg(F.count("*").alias("n"))
-    size = dense.select(key).distinct().agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("bucket"), F.lit(0).alias("cnt"), "n")
+def counts(dense: DataFrame, key: str = "id", weight: str | None = None) -> DataFrame:
+    """AGG5 as a table that can be kept up to date: (bucket, cnt, n), and the number of listings as n where bucket is null. A weight as in histogram()."""
+    seen = dense.where("n_radius > 0").groupBy("bucket", F.col("n_radius").alias("cnt")).agg(_rows(weight).alias("n"))
+    size = _size(dense, key, weight, "n").select(F.lit(None).cast("string").alias("bucket"), F.lit(0).alias("cnt"), "n")
     return seen.unionByName(size)
 
 
-def changed(held: DataFrame, gone: DataFrame, come: DataFrame, key: str = "id") -> DataFrame:
+def changed(held: DataFrame, gone: DataFrame, come: DataFrame, key: str = "id", weight: str | None = None) -> DataFrame:
     """AGG5, AGG6 after a change: counts() with the densities of gone records taken out and those of new ones put in; a changed record is in both.
 
     Signed counts are summed up, so changes can come in any order and only the changed records are read.
     """
-    signed = [held, counts(gone, key).withColumn("n", -F.col("n")), counts(come, key)]
+    signed = [held, counts(gone, key, weight).withColumn("n", -F.col("n")), counts(come, key, weight)]
     rows = signed[0].unionByName(signed[1]).unionByName(signed[2])
     return once(rows.groupBy("bucket", "cnt").agg(F.sum("n").alias("n")).where("n <> 0 OR bucket IS NULL"))
 
@@ -124,4 +141,8 @@ def totals(dense: DataFrame, key: str = "id") -> DataFrame:
 
 def densest(dense: DataFrame, k: int, key: str = "id") -> DataFrame:
     """TOP1: the k listings with most places; Spark keeps k rows a task, so k stays small."""
-    return totals(dense, key).orderBy(F.desc("total"), key).limit(k)
+    return top(totals(dense, key), k, key)
+
+
+def top(totals: DataFrame, k: int, key: str = "id") -> DataFrame:
+    return totals.orderBy(F.desc("total"), key).limit(k)

@@ -13,6 +13,11 @@ from vicinage import params as P
 from vicinage.functions import geo
 from vicinage.operators import cells
 from vicinage.operators.taxonomy import allowed_leaves, with_bucket
+from vicinage.store import once
+
+
+#: Listings of one task that spread() leaves to what comes behind it.
+TASK = 5_000
 
 
 def extent(listings: DataFrame, pad: float, x: str = "long", y: str = "lat") -> tuple[float, float, float, float] | None:
@@ -30,6 +35,31 @@ def gated(places: DataFrame, taxonomy: DataFrame, p: P.Params = P.DEFAULT, box:
     return with_bucket(kept, taxonomy)
 
 
+def sites(listings: DataFrame, key: str = "id") -> DataFrame:
+    """(key, x_m, y_m, n_rows): the distinct positions of listings, computed once and numbered, with how many rows each has.
+
+    Such a table stands in for the listings, so that what depends on the position alone is worked out once for all of those at one address;
+    spread() gives it back to them.
+    """
+    at = listings.where("x_m IS NOT NULL AND y_m IS NOT NULL").groupBy("x_m", "y_m").agg(F.count("*").alias("n_rows"))
+    return once(at.select(F.monotonically_increasing_id().alias(key), "x_m", "y_m", "n_rows"))
+
+
+def weighted(found: DataFrame, sites: DataFrame, key: str = "id") -> DataFrame:
+    """found(key, ...) of sites with n_rows."""
+    return found.join(sites.select(key, "n_rows"), key)
+
+
+def spread(found: DataFrame, sites: DataFrame, listings: DataFrame, key: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns to keep, ...): what was found for a site, for each listing there. Listings are dealt by their number first, as a few narrow files of them are the work of many tasks behind."""
+    at = sites.select(F.col(key).alias("_site"), "x_m", "y_m")
+    kept = [F.col(f"`{c}`") for c in (key, *keep)]
+    tasks = 1 + (sites.agg(F.sum("n_rows")).first()[0] or 0) // TASK
+    members = listings.join(at, ["x_m", "y_m"]).select(*kept, "_site").repartition(tasks, "_site", key)
+    own = found.withColumnRenamed(key, "_site")
+    return members.join(own, "_site").select(*kept, *(F.col(f"`{c}`") for c in own.columns if c != "_site"))
+
+
 def places_within(listings: DataFrame, places: DataFrame, radius: float, key: str = "id") -> DataFrame:
     """JON1: pairs of a listing and a place at most `radius` apart, with the distance. Where counts are enough, density_around() sums them up in place.
 

@@ -27,31 +27,46 @@ def query(f: Query) -> Query:
     return f
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.density_around(fx.listings(spark, sf_dir), enrich.gated(fx.places(spark, sf_dir), fx.taxonomy(spark)))
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings' positions. Up to _spread(), id is a position's number."""
+    return enrich.sites(fx.listings(spark, sf_dir))
 
 
-def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.landmarks_within(fx.listings(spark, sf_dir), fx.landmarks(spark, sf_dir))
+def _spread(found: DataFrame, sites: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.spread(found, sites, fx.listings(spark, sf_dir))
 
 
-def _records(spark: SparkSession, sf_dir: str, dense: DataFrame | None = None) -> DataFrame:
-    return enrich.records(_dense(spark, sf_dir) if dense is None else dense, _marks(spark, sf_dir))
+def _dense(sites: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.density_around(sites, enrich.gated(fx.places(spark, sf_dir), fx.taxonomy(spark)))
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _marks(sites: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.landmarks_within(sites, fx.landmarks(spark, sf_dir))
+
+
+def _records(sites: DataFrame, spark: SparkSession, sf_dir: str, dense: DataFrame | None = None) -> DataFrame:
+    return enrich.records(_dense(sites, spark, sf_dir) if dense is None else dense, _marks(sites, spark, sf_dir))
+
+
+def _corpus(sites: DataFrame, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Density, and the corpus' histogram, both computed once."""
-    dense = once(_dense(spark, sf_dir))
-    return dense, once(corpus.histogram(dense))
+    dense = once(_dense(sites, spark, sf_dir))
+    return dense, once(_histogram(dense, sites))
+
+
+def _histogram(dense: DataFrame, sites: DataFrame) -> DataFrame:
+    """The histogram of all listings from the density of their positions."""
+    rows = enrich.weighted(dense, sites)
+    return corpus.histogram(rows, corpus.size(rows, weight="n_rows"), weight="n_rows")
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense, hist = _corpus(spark, sf_dir)
+def _lists(sites: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense, hist = _corpus(sites, spark, sf_dir)
     return corpus.scored_lists(enrich.cat_lists(dense), hist)
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense, hist = _corpus(spark, sf_dir)
+def _scored(sites: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense, hist = _corpus(sites, spark, sf_dir)
     return corpus.scored(enrich.cat_lists(dense), hist)
 
 
@@ -84,7 +99,8 @@ def places_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def listing_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship."""
-    return _dense(spark, sf_dir).drop("min_dist")
+    sites = _sites(spark, sf_dir)
+    return _spread(_dense(sites, spark, sf_dir).drop("min_dist"), sites, spark, sf_dir)
 
 
 @query
@@ -96,64 +112,78 @@ def listing_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def listing_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = enrich.landmark_lists(_marks(spark, sf_dir))
-    return lists.select("id", F.posexplode("landmarks").alias("rank", "_l")).select("id", (F.col("rank") + 1).alias("rank"), "_l.name", "_l.dist_m")
+    sites = _sites(spark, sf_dir)
+    lists = enrich.landmark_lists(_marks(sites, spark, sf_dir))
+    rows = lists.select("id", F.posexplode("landmarks").alias("rank", "_l")).select("id", (F.col("rank") + 1).alias("rank"), "_l.name", "_l.dist_m")
+    return _spread(rows, sites, spark, sf_dir)
 
 
 @query
 def density_record_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _records(spark, sf_dir).select("id", writers.record_json(F.col("cats"), F.col("landmarks")).alias("record"))
+    sites = _sites(spark, sf_dir)
+    text = _records(sites, spark, sf_dir).select("id", writers.record_json(F.col("cats"), F.col("landmarks")).alias("record"))
+    return _spread(text, sites, spark, sf_dir)
 
 
 @query
 def density_record_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records read back from their text, with the place of each bucket in it."""
-    text = _records(spark, sf_dir).select("id", readers.parse_record(writers.record_json(F.col("cats"), F.col("landmarks"))).alias("r"))
-    return text.select("id", F.size("r.landmarks").alias("n_landmarks"), F.posexplode("r.cats").alias("place", "_c")).select("id", "n_landmarks", "place", "_c.*")
+    sites = _sites(spark, sf_dir)
+    text = _records(sites, spark, sf_dir).select("id", readers.parse_record(writers.record_json(F.col("cats"), F.col("landmarks"))).alias("r"))
+    rows = text.select("id", F.size("r.landmarks").alias("n_landmarks"), F.posexplode("r.cats").alias("place", "_c")).select("id", "n_landmarks", "place", "_c.*")
+    return _spread(rows, sites, spark, sf_dir)
 
 
 @query
 def total_places_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.densest(_dense(spark, sf_dir), 50)
+    sites = _sites(spark, sf_dir)
+    return corpus.top(_spread(corpus.totals(_dense(sites, spark, sf_dir)), sites, spark, sf_dir), 50)
 
 
 @query
 def corpus_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.histogram(once(_dense(spark, sf_dir))).select("bucket", "cnt", "n", "present_frac")
+    sites = _sites(spark, sf_dir)
+    return _histogram(once(_dense(sites, spark, sf_dir)), sites).select("bucket", "cnt", "n", "present_frac")
 
 
 @query
 def histogram_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corpus whose gate was stricter once and which lacked a neighbourhood, brought up to date in two steps without reading it again."""
     rows, places = fx.listings(spark, sf_dir), enrich.gated(fx.places(spark, sf_dir), fx.taxonomy(spark))
-    new, old = once(enrich.density_around(rows, places)), once(enrich.density_around(rows, places.where("confidence >= 0.8")))
-    late = rows.where("neighbourhood = 7").select("id")
-    held = corpus.counts(old.join(late, "id", "left_anti"))
-    here = rows.where("neighbourhood < 7").select("id")
-    held = corpus.changed(held, old.join(here, "id", "left_semi"), new.join(here, "id", "left_semi"))
-    held = corpus.changed(held, old.join(rows.where("neighbourhood > 7").select("id"), "id", "left_semi"), new.join(here, "id", "left_anti"))
+    sites = enrich.sites(rows)
+    new, old = once(enrich.density_around(sites, places)), once(enrich.density_around(sites, places.where("confidence >= 0.8")))
+    # a position has as many rows as listings of the kind that a step is about
+    part = lambda dense, kind: enrich.weighted(dense, once(rows.where(kind).join(sites.select(F.col("id").alias("_s"), "x_m", "y_m"), ["x_m", "y_m"]).groupBy(F.col("_s").alias("id")).agg(F.count("*").alias("n_rows"))))
+    at = {"weight": "n_rows"}
+    held = corpus.counts(part(old, "neighbourhood IS NULL OR neighbourhood <> 7"), **at)
+    held = corpus.changed(held, part(old, "neighbourhood < 7"), part(new, "neighbourhood < 7"), **at)
+    held = corpus.changed(held, part(old, "neighbourhood > 7"), part(new, "neighbourhood IS NULL OR neighbourhood >= 7"), **at)
     return corpus.from_counts(held).select("bucket", "cnt", "n", "present_frac")
 
 
 @query
 def strict_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("id", "bucket", "pct")
+    sites = _sites(spark, sf_dir)
+    return _spread(_scored(sites, spark, sf_dir).select("id", "bucket", "pct"), sites, spark, sf_dir)
 
 
 @query
 def deviations_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.deviations(_lists(spark, sf_dir))
+    sites = _sites(spark, sf_dir)
+    return _spread(render.deviations(_lists(sites, spark, sf_dir)), sites, spark, sf_dir)
 
 
 @query
 def deviations_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.deviations(_lists(spark, sf_dir), exact=True)
+    sites = _sites(spark, sf_dir)
+    return _spread(render.deviations(_lists(sites, spark, sf_dir), exact=True), sites, spark, sf_dir)
 
 
 def _view(view: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        dense, hist = _corpus(spark, sf_dir) if view in render.RELATIVE else (None, None)
-        return render.prompts(_records(spark, sf_dir, dense), view, hist)
+        sites = _sites(spark, sf_dir)
+        dense, hist = _corpus(sites, spark, sf_dir) if view in render.RELATIVE else (None, None)
+        return _spread(render.prompts(_records(sites, spark, sf_dir, dense), view, hist), sites, spark, sf_dir)
 
     return run
 
@@ -163,41 +193,46 @@ QUERIES |= {f"view_{v}": _view(v) for v in P.VIEWS}
 
 @query
 def band_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histograms.deviation_bands(_scored(spark, sf_dir))
+    sites = _sites(spark, sf_dir)
+    return histograms.deviation_bands(enrich.weighted(_scored(sites, spark, sf_dir), sites), "n_rows")
 
 
 @query
 def proximity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histograms.proximity_bands(_dense(spark, sf_dir))
+    sites = _sites(spark, sf_dir)
+    return histograms.proximity_bands(enrich.weighted(_dense(sites, spark, sf_dir), sites), "n_rows")
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _facts(sites: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.pmod("poi_id", F.lit(4))
     kinds = {c: F.when(kind == i, F.col("category")).when(kind == (i + 1) % 4, F.lit("")) for i, c in enumerate(render.KINDS)}
-    places = once(render.name_ids(enrich.gated(fx.places(spark, sf_dir), fx.taxonomy(spark)).withColumns(kinds)))
-    pairs = enrich.places_within(fx.listings(spark, sf_dir), places.select("poi_id", "name_id", "x_m", "y_m"), P.DEFAULT.radius)
-    return render.place_facts(pairs, places)
+    told = enrich.gated(fx.places(spark, sf_dir), fx.taxonomy(spark)).withColumns(kinds).select("poi_id", "name", *render.KINDS, "x_m", "y_m")
+    return render.facts_around(sites, once(render.name_ids(told)), P.DEFAULT.radius)
 
 
 @query
 def place_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark, sf_dir).select("id", F.size("names").alias("n_names"), F.explode("kinds").alias("_k")).select("id", "n_names", "_k.*")
+    sites = _sites(spark, sf_dir)
+    rows = _facts(sites, spark, sf_dir).select("id", F.size("names").alias("n_names"), F.explode("kinds").alias("_k")).select("id", "n_names", "_k.*")
+    return _spread(rows, sites, spark, sf_dir)
 
 
 @query
 def facts_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.facts_block(_facts(spark, sf_dir))
+    sites = _sites(spark, sf_dir)
+    return _spread(render.facts_block(_facts(sites, spark, sf_dir)), sites, spark, sf_dir)
 
 
-def _sharded_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.prompts(_records(spark, sf_dir), "proximity")
+def _prompts(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    sites = _sites(spark, sf_dir)
+    return _spread(render.prompts(_records(sites, spark, sf_dir), view), sites, spark, sf_dir)
 
 
 @query
 def batch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which part of a batch a listing gets follows a hash; the sizes and the request texts are fixed."""
     p = P.Params(batch_size=100)
-    sent = exchange.requests(_sharded_prompts(spark, sf_dir), "Describe the block.", p)
+    sent = exchange.requests(_prompts(spark, sf_dir, "proximity"), "Describe the block.", p)
     request = F.from_json("request", "custom_id STRING, body STRUCT<messages:ARRAY<STRUCT<role:STRING,content:STRING>>,temperature:DOUBLE,max_tokens:INT,usage:STRUCT<include:BOOLEAN>>")
     sizes = sent.groupBy("batch_no").agg(F.count("*").alias("batch_rows"))
     body = sent.select("batch_no", "custom_id", request.alias("r")).join(sizes, "batch_no")
@@ -208,7 +243,7 @@ def batch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests as JSON lines in a folder a batch, and what a service reads there."""
     path = fresh(spark, "requests")
-    sent = exchange.requests(render.prompts(_records(spark, sf_dir), "landmarks"), "Describe the block.", P.Params(batch_size=100))
+    sent = exchange.requests(_prompts(spark, sf_dir, "landmarks"), "Describe the block.", P.Params(batch_size=100))
     writers.request_lines(sent, path)
     line = F.from_json("value", "custom_id STRING, body STRUCT<messages:ARRAY<STRUCT<role:STRING,content:STRING>>>")
     rows = spark.read.text(path).select("batch_no", line.alias("r"))
@@ -373,7 +408,9 @@ def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def bucket_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and proximity words of every listing's buckets."""
-    return _dense(spark, sf_dir).select("id", phrases.label(F.col("bucket")).alias("label"), phrases.proximity(F.col("nearest_m")).alias("near"))
+    sites = _sites(spark, sf_dir)
+    told = _dense(sites, spark, sf_dir).select("id", phrases.label(F.col("bucket")).alias("label"), phrases.proximity(F.col("nearest_m")).alias("near"))
+    return _spread(told, sites, spark, sf_dir)
 
 
 @query
