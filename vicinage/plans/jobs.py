@@ -26,15 +26,18 @@ def enrich_job(listings: DataFrame, places: DataFrame, taxonomy: DataFrame, land
     """Workload 2: listings with cats and landmarks; listings without a place in the radius go.
 
     Coordinates are x_m, y_m, or lat and long, which are projected. Ids and leaks are dropped first. Places with a
-    wkt that is no point are measured to their edge.
+    wkt that is no point are measured to their edge. Records are made once for each position, and kept while listings get theirs.
     """
     own = clean.drop_leaks(listings, (key,))
     if "x_m" not in own.columns:
         x, y = geo.utm(F.col("long"), F.col("lat"), p.utm_zone)
         own = own.withColumns({"x_m": x, "y_m": y})
-    dense = enrich.density_around(own, enrich.gated(places, taxonomy, p), p, key)
-    marks = enrich.landmarks_within(own, landmarks, p, key)
-    return own.join(enrich.records(dense, marks, key), key).drop("x_m", "y_m", "lat", "long")
+    sites = enrich.sites(own, key)
+    dense = enrich.density_around(sites, enrich.gated(places, taxonomy, p), p, key)
+    marks = enrich.landmarks_within(sites, landmarks, p, key)
+    kept = tuple(c for c in own.columns if c not in (key, "x_m", "y_m", "lat", "long"))
+    found = enrich.spread(once(enrich.records(dense, marks, key)), sites, own, key, kept)
+    return found.select(*(f"`{c}`" for c in own.columns if c in (key, *kept)), "cats", "landmarks")
 
 
 def enrich_files_job(listings: DataFrame, places_path: str, taxonomy: DataFrame, landmarks: DataFrame, key: str = "id", p: P.Params = P.DEFAULT) -> DataFrame:
