@@ -1,0 +1,47 @@
+"""What the queries measure when many listings share a position: each position once, with the rows that SQL gives for all listings."""
+
+import duckdb
+import pytest
+
+from tests.test_queries import as_text
+from vicinage.operators import cells
+from vicinage.plans.oracles import ORACLES
+from vicinage.plans.queries import QUERIES
+
+DATA = "/root/testdata/sf0.001"
+#: Listings at each position; keys this far apart have one position in the fixtures.
+COPIES, APART = 12, 60_000
+
+ONCE_A_POSITION = (
+    "histogram_changes",
+)
+
+
+@pytest.fixture(scope="module")
+def grown(tmp_path_factory):
+    """(folder, engine): tables of listings that share positions, each with a neighbourhood and a type of its own."""
+    path, con = tmp_path_factory.mktemp("grown"), duckdb.connect()
+    con.execute(f"COPY (SELECT c_custkey + r * {APART} AS c_custkey, c_name, ((c_nationkey + r) % 25)::INT AS c_nationkey, c_acctbal, c_mktsegment FROM '{DATA}/customer.parquet', range({COPIES}) AS t(r)) TO '{path}/customer.parquet'")
+    for name in ("orders", "nation"):
+        con.execute(f"COPY (SELECT * FROM '{DATA}/{name}.parquet') TO '{path}/{name}.parquet'")
+    for name in ("customer", "orders", "nation"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}/{name}.parquet'")
+    return str(path), con
+
+
+@pytest.mark.parametrize("name", ONCE_A_POSITION)
+def test_pairs_are_formed_once_a_position(spark, grown, monkeypatch, name):
+    path, con = grown
+    positions, met, sums = con.execute("SELECT count(*) / ? FROM customer", [COPIES]).fetchone()[0], [], cells.sums_around
+
+    def seen(listings, *args):
+        met.append(listings.count())
+        return sums(listings, *args)
+
+    monkeypatch.setattr(cells, "sums_around", seen)
+    df = QUERIES[name](spark, path)
+    columns, found = sorted(df.columns), con.execute(ORACLES[name])
+    names = [c[0] for c in found.description]
+    want = [dict(zip(names, r, strict=True)) for r in found.fetchall()]
+    assert as_text([r.asDict() for r in df.collect()], columns) == as_text(want, columns)
+    assert met and max(met) <= positions
