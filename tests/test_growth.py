@@ -14,6 +14,7 @@ COPIES, APART = 12, 60_000
 
 ONCE_A_POSITION = (
     "histogram_changes",
+    "view_landmarks",
 )
 
 
