@@ -15,6 +15,7 @@ COPIES, APART = 12, 60_000
 ONCE_A_POSITION = (
     "histogram_changes",
     "view_landmarks",
+    "bucket_labels",
 )
 
 
