@@ -16,6 +16,7 @@ ONCE_A_POSITION = (
     "histogram_changes",
     "view_landmarks",
     "bucket_labels",
+    "deviations_exact",
 )
 
 
