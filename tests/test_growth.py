@@ -17,6 +17,7 @@ ONCE_A_POSITION = (
     "view_landmarks",
     "bucket_labels",
     "deviations_exact",
+    "batch_requests",
 )
 
 
