@@ -18,6 +18,7 @@ ONCE_A_POSITION = (
     "bucket_labels",
     "deviations_exact",
     "batch_requests",
+    "total_places_topk",
 )
 
 
