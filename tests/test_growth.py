@@ -19,6 +19,7 @@ ONCE_A_POSITION = (
     "deviations_exact",
     "batch_requests",
     "total_places_topk",
+    "corpus_histogram",
 )
 
 
