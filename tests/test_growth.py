@@ -20,6 +20,7 @@ ONCE_A_POSITION = (
     "batch_requests",
     "total_places_topk",
     "corpus_histogram",
+    "deviations_banded",
 )
 
 
