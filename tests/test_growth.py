@@ -21,6 +21,7 @@ ONCE_A_POSITION = (
     "total_places_topk",
     "corpus_histogram",
     "deviations_banded",
+    "request_files",
 )
 
 
