@@ -1,0 +1,56 @@
+"""Listings that come several times: a key's counts add up over its rows, as in SQL."""
+
+import duckdb
+import pytest
+
+from tests.test_queries import as_text
+from vicinage.operators import enrich
+from vicinage.plans.oracles import ORACLES
+from vicinage.plans.queries import QUERIES
+
+DATA = "/root/testdata/sf0.001"
+TABLES = ("customer", "orders", "nation")
+
+REPEATED = (
+    "histogram_changes",
+)
+
+
+def tables(path, **changed):
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"COPY ({changed.get(name, '{}').format(f"SELECT * FROM '{DATA}/{name}.parquet'")}) TO '{path}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}/{name}.parquet'")
+    return str(path), con
+
+
+def same_as_sql(spark, path, con, name):
+    df = QUERIES[name](spark, path)
+    columns, found = sorted(df.columns), con.execute(ORACLES[name])
+    names = [c[0] for c in found.description]
+    want = [dict(zip(names, r, strict=True)) for r in found.fetchall()]
+    assert as_text([r.asDict() for r in df.collect()], columns) == as_text(want, columns)
+    return len(want)
+
+
+@pytest.fixture(scope="module")
+def repeated(tmp_path_factory):
+    """Some listings come twice or three times, some of them with another neighbourhood."""
+    twice = "{0} UNION ALL SELECT * REPLACE (((c_nationkey + 1) % 25)::INT AS c_nationkey) FROM ({0}) WHERE c_custkey % 3 = 0 UNION ALL SELECT * FROM ({0}) WHERE c_custkey % 7 = 0"
+    return tables(tmp_path_factory.mktemp("repeated"), customer=twice)
+
+
+@pytest.mark.parametrize("name", REPEATED)
+def test_repeated_listings(spark, repeated, name):
+    assert same_as_sql(spark, *repeated, name)
+
+
+def test_a_listing_with_two_positions(spark):
+    """It counts once in the corpus, with the places around both; another with the same two shares its number."""
+    rows = spark.createDataFrame([(1, 0.0, 0.0), (1, 1000.0, 0.0), (2, 1000.0, 0.0), (3, 1000.0, 0.0), (3, 0.0, 0.0), (4, None, 0.0), (4, 1000.0, 0.0)], "id long, x_m double, y_m double")
+    places = spark.createDataFrame([(1, "a", 10.0, 0.0), (2, "a", 1005.0, 0.0)], "poi_id long, bucket string, x_m double, y_m double")
+    sites = enrich.sites(rows)
+    assert sorted((r["x_m"], r["n_rows"]) for r in sites.collect()) == [(0.0, 2), (1000.0, 2), (1000.0, 2)]
+    found = enrich.density_around(sites, places)
+    assert sorted((r["n_radius"], r["min_dist"], r["n_rows"]) for r in enrich.weighted(found, sites).collect()) == [(1, 5.0, 2), (2, 5.0, 2)]
+    assert {r["id"]: r["n_radius"] for r in enrich.spread(found, sites, rows).collect()} == {1: 2, 2: 1, 3: 2, 4: 1}

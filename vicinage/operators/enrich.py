@@ -6,7 +6,7 @@ spark.sql.autoBroadcastJoinThreshold and shuffles them beyond; no hint forces it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinage import params as P
@@ -35,29 +35,44 @@ def gated(places: DataFrame, taxonomy: DataFrame, p: P.Params = P.DEFAULT, box:
     return with_bucket(kept, taxonomy)
 
 
+def _positions(listings: DataFrame, key: str, least: tuple[str, ...] = ()) -> DataFrame:
+    """(key, least values of columns, _at): the positions of each key in order, as (x_m, y_m, _m) for _m of its rows; counts around a key that comes several times add up over them."""
+    lowest = [F.min(f"`{c}`").alias(c) for c in least]
+    at = listings.where("x_m IS NOT NULL AND y_m IS NOT NULL").groupBy(key, "x_m", "y_m").agg(F.count("*").cast("int").alias("_m"), *lowest)
+    return at.groupBy(key).agg(*lowest, F.sort_array(F.collect_list(F.struct("x_m", "y_m", "_m"))).alias("_at"))
+
+
 def sites(listings: DataFrame, key: str = "id") -> DataFrame:
-    """(key, x_m, y_m, n_rows): the distinct positions of listings, computed once and numbered, with how many rows each has.
+    """(key, x_m, y_m, n_rows): the distinct positions of listings, computed once and numbered, with how many listings each stands for.
 
     Such a table stands in for the listings, so that what depends on the position alone is worked out once for all of those at one address;
-    spread() gives it back to them.
+    spread() gives it back to them. A number has several rows where listings that come several times share all their positions.
     """
-    at = listings.where("x_m IS NOT NULL AND y_m IS NOT NULL").groupBy("x_m", "y_m").agg(F.count("*").alias("n_rows"))
-    return once(at.select(F.monotonically_increasing_id().alias(key), "x_m", "y_m", "n_rows"))
+    at = _positions(listings, key).groupBy("_at").agg(F.count("*").alias("n_rows")).select(F.monotonically_increasing_id().alias(key), "_at", "n_rows")
+    each = at.select(key, F.explode("_at").alias("_p"), "n_rows").select(key, "_p.*", "n_rows")
+    return once(each.select(key, "x_m", "y_m", "n_rows", F.explode(F.sequence(F.lit(1), "_m"))).drop("col"))
 
 
 def weighted(found: DataFrame, sites: DataFrame, key: str = "id") -> DataFrame:
     """found(key, ...) of sites with n_rows."""
-    return found.join(sites.select(key, "n_rows"), key)
+    return found.join(sites.select(key, "n_rows").distinct(), key)
+
+
+def members(listings: DataFrame, sites: DataFrame, key: str = "id", least: tuple[str, ...] = ()) -> DataFrame:
+    """(key, least values of columns, _site): the number in sites() of each key."""
+    at = _positions(sites.withColumnRenamed(key, "_site"), "_site")
+    return _positions(listings, key, least).join(at, "_at").drop("_at")
 
 
 def spread(found: DataFrame, sites: DataFrame, listings: DataFrame, key: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, columns to keep, ...): what was found for a site, for each listing there. Listings are dealt by their number first, as a few narrow files of them are the work of many tasks behind."""
-    at = sites.select(F.col(key).alias("_site"), "x_m", "y_m")
+    """(key, columns to keep, ...): what was found for a site, for each key there, or with columns to keep for each row of it. Keys are dealt by their number first, as a few narrow files of them are the work of many tasks behind."""
     kept = [F.col(f"`{c}`") for c in (key, *keep)]
-    tasks = 1 + (sites.agg(F.sum("n_rows")).first()[0] or 0) // TASK
-    members = listings.join(at, ["x_m", "y_m"]).select(*kept, "_site").repartition(tasks, "_site", key)
+    tasks = 1 + (sites.select(key, "n_rows").distinct().agg(F.sum("n_rows")).first()[0] or 0) // TASK
+    each = members(listings, sites, key)
+    if keep:
+        each = listings.join(each, key).select(*kept, "_site")
     own = found.withColumnRenamed(key, "_site")
-    return members.join(own, "_site").select(*kept, *(F.col(f"`{c}`") for c in own.columns if c != "_site"))
+    return each.repartition(tasks, "_site", key).join(own, "_site").select(*kept, *(F.col(f"`{c}`") for c in own.columns if c != "_site"))
 
 
 def places_within(listings: DataFrame, places: DataFrame, radius: float, key: str = "id") -> DataFrame:

@@ -152,8 +152,9 @@ def histogram_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, places = fx.listings(spark, sf_dir), enrich.gated(fx.places(spark, sf_dir), fx.taxonomy(spark))
     sites = enrich.sites(rows)
     new, old = once(enrich.density_around(sites, places)), once(enrich.density_around(sites, places.where("confidence >= 0.8")))
-    # a position has as many rows as listings of the kind that a step is about
-    part = lambda dense, kind: enrich.weighted(dense, once(rows.where(kind).join(sites.select(F.col("id").alias("_s"), "x_m", "y_m"), ["x_m", "y_m"]).groupBy(F.col("_s").alias("id")).agg(F.count("*").alias("n_rows"))))
+    # a position has as many rows as listings of the kind that a step is about; a listing is of one kind, however often it comes
+    kinds = once(enrich.members(rows, sites, least=("neighbourhood",)).groupBy(F.col("_site").alias("id"), "neighbourhood").agg(F.count("*").alias("n")))
+    part = lambda dense, kind: enrich.weighted(dense, kinds.where(kind).groupBy("id").agg(F.sum("n").alias("n_rows")))
     at = {"weight": "n_rows"}
     held = corpus.counts(part(old, "neighbourhood IS NULL OR neighbourhood <> 7"), **at)
     held = corpus.changed(held, part(old, "neighbourhood < 7"), part(new, "neighbourhood < 7"), **at)
