@@ -14,6 +14,7 @@ TABLES = ("customer", "orders", "nation")
 REPEATED = (
     "histogram_changes",
     "view_landmarks",
+    "bucket_labels",
     "listing_shapes",
     "listing_landmarks",
 )
