@@ -15,6 +15,7 @@ REPEATED = (
     "histogram_changes",
     "view_landmarks",
     "bucket_labels",
+    "deviations_exact",
     "listing_shapes",
     "listing_landmarks",
 )
