@@ -16,6 +16,7 @@ REPEATED = (
     "view_landmarks",
     "bucket_labels",
     "deviations_exact",
+    "batch_requests",
     "listing_shapes",
     "listing_landmarks",
 )
