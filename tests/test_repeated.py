@@ -18,6 +18,7 @@ REPEATED = (
     "deviations_exact",
     "batch_requests",
     "total_places_topk",
+    "corpus_histogram",
     "listing_shapes",
     "listing_landmarks",
 )
