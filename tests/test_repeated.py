@@ -1,4 +1,4 @@
-"""Listings that come several times: a key's counts add up over its rows, as in SQL."""
+"""Listings that come several times: a key's counts add up over its rows, as in SQL. And no places at all."""
 
 import duckdb
 import pytest
@@ -19,6 +19,7 @@ REPEATED = (
     "batch_requests",
     "total_places_topk",
     "corpus_histogram",
+    "request_files",
     "listing_shapes",
     "listing_landmarks",
 )
@@ -53,6 +54,10 @@ def test_repeated_listings(spark, repeated, name):
     assert same_as_sql(spark, *repeated, name)
 
 
+def test_requests_without_places(spark, tmp_path):
+    assert same_as_sql(spark, *tables(tmp_path, orders="{0} WHERE false"), "request_files") == 0
+
+
 def test_a_listing_with_two_positions(spark):
     """It counts once in the corpus, with the places around both; another with the same two shares its number."""
     rows = spark.createDataFrame([(1, 0.0, 0.0), (1, 1000.0, 0.0), (2, 1000.0, 0.0), (3, 1000.0, 0.0), (3, 0.0, 0.0), (4, None, 0.0), (4, 1000.0, 0.0)], "id long, x_m double, y_m double")

@@ -247,7 +247,7 @@ def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = exchange.requests(_prompts(spark, sf_dir, "landmarks"), "Describe the block.", P.Params(batch_size=100))
     writers.request_lines(sent, path)
     line = F.from_json("value", "custom_id STRING, body STRUCT<messages:ARRAY<STRUCT<role:STRING,content:STRING>>>")
-    rows = spark.read.text(path).select("batch_no", line.alias("r"))
+    rows = readers.request_lines(spark, path).select("batch_no", line.alias("r"))
     sizes = rows.groupBy("batch_no").agg(F.count("*").alias("_n"))
     return rows.join(sizes, "batch_no").select("r.custom_id", F.col("r.body.messages")[1]["content"].alias("prompt"), (F.col("_n") <= 100).alias("within"))
 

@@ -99,6 +99,12 @@ def stored_records(df: DataFrame, column: str = "surroundings") -> DataFrame:
     return df.withColumn("_r", parse_record(F.col(column))).withColumns({"cats": F.col("_r.cats"), "landmarks": F.col("_r.landmarks")}).drop("_r", column)
 
 
+def request_lines(spark: SparkSession, path: str) -> DataFrame:
+    """SNK5: (value, batch_no): request lines as they were written; where there was no request, there is no folder that tells the number."""
+    lines = spark.read.text(path)
+    return lines if "batch_no" in lines.columns else lines.withColumn("batch_no", F.lit(None).cast("int"))
+
+
 def result_files(spark: SparkSession, path: str) -> DataFrame:
     """SRC6: (value, seq): the lines of result files with their place, in the order of file names and of lines; for one object a file give whole lines."""
     lines = spark.read.text(path)
