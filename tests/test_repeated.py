@@ -20,8 +20,11 @@ REPEATED = (
     "total_places_topk",
     "corpus_histogram",
     "request_files",
+    "deviations_banded",
+    "listing_density",
     "listing_shapes",
     "listing_landmarks",
+    "enriched_table",
 )
 
 
